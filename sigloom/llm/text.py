@@ -118,6 +118,17 @@ def chunks(column: pa.Array, kind: WordClass) -> Iterator[tuple[int, int, Words]
         row = to
 
 
+def beginnings(words: Words, kind: WordClass, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of each word's first so many bytes (of the whole word where it is shorter)."""
+    n = len(words.data)
+    if not len(words.start):
+        return [np.zeros(0, _U) for _ in lengths]
+    run = np.zeros(n + 1, _U)
+    np.cumsum(kind.value[words.data] * _power("up", n)[:n], out=run[1:])
+    back = _power("down", n)[words.start]
+    return [mix((run[np.minimum(words.end, words.start + k)] - run[words.start]) * back + _U(k)) for k in lengths]
+
+
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document and the pointer to them.
 
