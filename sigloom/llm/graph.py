@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        e1 = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        e1 = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low1 = e1.groupBy("a").agg(F.min("b").alias("m"))
         moved = e1.join(low1, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e2 = materialise(moved.union(low1.select("a", F.col("m").alias("b"))).distinct(), "edges")

@@ -7,10 +7,11 @@ leaving out one symbol becomes a key: two signatures within that distance
 always share a key. Documents of equal shingle sets are one class first.
 
 Links are confirmed on whole shingle sets. Only links that matter for the
-components are tried: the members of a key are first held against one pivot,
-later only against members of other components, so a group of n near copies
-costs about n confirmations, while every candidate pair that still crosses two
-components is confirmed or refuted at the end.
+components are tried: first the members of each undisturbed chunk are held
+against the chunk's lowest member, then, over all keys, members of different
+components against each other. So a group of n near copies costs about n
+confirmations, while every pair that shares a key and would join two components
+is confirmed or refuted.
 """
 
 from __future__ import annotations
@@ -21,25 +22,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import materialise, small_batches
+from .storage import materialise, prune_by_bloom, small_batches
 from .text import SPACED, chunks, mix, shingles
 
-SYMBOLS, CHUNKS = 64, 12
-#: Of 128 bits (two of each symbol); the mean is 12.8 at a similarity of 0.8 and the deviation under 4.
-BITS_APART = 44
+SYMBOLS, CHUNKS = 84, 12
+#: Signatures are compared before whole sets are, by two bits of each of MINIMA minima: at a similarity of 0.8
+#: 25.6 of the 256 bits differ in the mean, with a deviation of 5.8.
+MINIMA, BITS_APART = 128, 52
+BITS = ["b0", "b1", "b2", "b3"]
 _U = np.uint64
 _rng = np.random.default_rng(71)
-_A = _rng.integers(0, 2**63, SYMBOLS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.int64).astype(_U)
+_A = _rng.integers(0, 2**63, MINIMA, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+_B = _rng.integers(0, 2**63, MINIMA, dtype=np.int64).astype(_U)
 _SPLIT = np.array_split(np.arange(SYMBOLS), CHUNKS)
 
 
 def signatures(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """16-bit MinHash symbols, documents x SYMBOLS; rows of empty sets are 0."""
+    """16-bit MinHash symbols, documents x MINIMA; rows of empty sets are 0."""
     full = np.flatnonzero(np.diff(ptr))
-    out = np.zeros((len(ptr) - 1, SYMBOLS), np.uint16)
+    out = np.zeros((len(ptr) - 1, MINIMA), np.uint16)
     if len(full):
-        for k in range(SYMBOLS):
+        for k in range(MINIMA):
             out[full, k] = mix(np.minimum.reduceat(sets * _A[k] + _B[k], ptr[full])) & _U(0xFFFF)
     return out
 
@@ -59,26 +62,31 @@ def _describe(k: int):
                 bits = np.packbits(np.concatenate([sig & 1, (sig >> 1) & 1], 1).astype(np.uint8), 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
-                     pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "lo", "hi", "sig"])
+                     *(pa.array(bits[:, c]) for c in range(4)), pa.array([r.tobytes() for r in sig[:, :SYMBOLS]], pa.binary())],
+                    ["doc_id", "n", "h1", "h2", *BITS, "sig"])
     return run
 
 
-def _keys(batches):
-    for batch in batches:
-        m = batch.num_rows
-        if not m:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(m, SYMBOLS).astype(_U)
-        keys = np.empty((m, SYMBOLS), _U)
-        for c, where in enumerate(_SPLIT):
-            for out in where:
-                h = np.full(m, c * SYMBOLS + int(out) + 1, _U)
-                for p in where[where != out]:
-                    h = mix(h + sig[:, p] * _U(0x9E3779B97F4A7C15))
-                keys[:, out] = h
-        take = pa.array(np.repeat(np.arange(m), SYMBOLS))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(batch.column(i).take(take) for i in range(5))], ["key", "id", "n", "h1", "lo", "hi"])
+def _keys(disturbed: bool):
+    """(key, id, comp) from (id, comp, sig): a key for each chunk, or for each chunk and symbol left out."""
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(m, SYMBOLS).astype(_U)
+            keys = []
+            for c, where in enumerate(_SPLIT):
+                for out in where if disturbed else [-1]:
+                    h = np.full(m, c * SYMBOLS + int(out) + 1, _U)
+                    for p in where[where != out]:
+                        h = mix(h + sig[:, p] * _U(0x9E3779B97F4A7C15))
+                    keys.append(h)
+            take = pa.array(np.tile(np.arange(m), len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["key", "id", "comp"])
+
+    return run
 
 
 def _sets(k: int):
@@ -96,20 +104,29 @@ def _sets(k: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, a1, b, b1)`` those whose whole sets are similar enough."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` with a1 and b1, as far as the sizes and the signatures' bits allow; this precedes the whole sets."""
+    side = lambda v: classes.select(F.col("id").alias(v), *(F.col(c).alias(f"{v}_{c}") for c in ("n", "h1", *BITS)))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_similar(percent)).select("a", F.col("a_h1").alias("a1"), "b", F.col("b_h1").alias("b1"))
+
+
+def _similar(percent: int):
+    apart = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= BITS_APART)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of ``pairs(a, a1, b, b1)`` those whose whole sets are similar enough; only their documents' texts are moved."""
+    pairs = materialise(pairs.distinct(), "pairs")
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    texts = docs.join(ids.where("doc_id is not null"), "doc_id", "left_semi")
+    sets = materialise(texts.mapInArrow(_sets(shingle), "id long, h1 long, words array<long>").dropDuplicates(["id", "h1"]), "sets")
     sa = sets.select(F.col("id").alias("a"), F.col("h1").alias("a1"), F.col("words").alias("wa"))
     sb = sets.select(F.col("id").alias("b"), F.col("h1").alias("b1"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     all_ = F.size("wa") + F.size("wb") - both
-    return pairs.join(sa, ["a", "a1"]).join(sb, ["b", "b1"]).where(100 * both >= percent * all_).select("a", "b")
-
-
-def _near(a: str, b: str, percent: int):
-    """What the sizes and the signatures' bits allow; it precedes the whole sets."""
-    apart = F.bit_count(F.col(f"{a}.lo").bitwiseXOR(F.col(f"{b}.lo"))) + F.bit_count(F.col(f"{a}.hi").bitwiseXOR(F.col(f"{b}.hi")))
-    low, high = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (100 * low >= percent * high) & (apart <= BITS_APART)
+    return materialise(pairs.join(sa, ["a", "a1"]).join(sb, ["b", "b1"]).where(100 * both >= percent * all_).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pairs_per_row: int = 8) -> DataFrame:
@@ -120,51 +137,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts have no set and are linked with nothing;
     rows that share an id are one vertex; a row of null id is never kept.
     Of ``docs`` only the two columns are read, so other columns may have any name.
-    ``pairs_per_row``: another round of pivots precedes the last, exhaustive one
-    while more candidate pairs than this for each class would remain.
+    ``pairs_per_row``: rounds with one member of each key as its pivot precede
+    the last, exhaustive one while more pairs than this for each class remain
+    and a round still links a hundredth of the documents in question.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    prune_by_bloom(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = materialise(docs.mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, lo long, hi long, sig binary"), "signatures")
-    classes = materialise(told.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("sig").alias("sig")), "classes")
+    told = materialise(docs.mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long, sig binary"), "signatures")
+    classes = materialise(told.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), *(F.first(b).alias(b) for b in BITS), F.first("sig").alias("sig")), "classes")
     n_classes = classes.count()
-    keys = classes.select("id", "n", "h1", "lo", "hi", "sig").mapInArrow(_keys, "key long, id long, n long, h1 long, lo long, hi long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot_id")).where("c > 1")
-    member = F.struct("id", "n", "h1", "lo", "hi")
-    held = materialise(keys.join(shared, "key").select("key", "pivot_id", member.alias("m")), "members")
-    wanted = materialise(held.select(F.col("m.id").alias("doc_id")).distinct(), "wanted")
-    sets = materialise(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, h1 long, words array<long>").dropDuplicates(["id", "h1"]), "sets")
-
-    flat = lambda p: p.select(F.col("x.id").alias("a"), F.col("x.h1").alias("a1"), F.col("y.id").alias("b"), F.col("y.h1").alias("b1"))
-    pivots = held.where("m.id = pivot_id").select("key", F.col("m").alias("y")).dropDuplicates(["key"])
-    star = held.select("key", F.col("m").alias("x")).join(pivots, "key").where("x.id <> y.id").where(_near("x", "y", percent))
-    best = star.groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", -F.col("y.id"))).alias("y"))
-    links = materialise(_confirm(flat(best), sets, percent), "links")
+    keyed = "key long, id long, comp long"
+    bands = classes.select("id", F.col("id").alias("comp"), "sig").mapInArrow(_keys(False), keyed)
+    pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("b")).where("c > 1")
+    star = bands.join(pivots, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = _confirm(_near(star, classes, percent), docs, shingle, percent)
     comps = materialise(components(links), "components")
-    turn, last = 0, False
+    cross, turn, last, gaining = None, 0, False, True
     while not last:
         turn += 1
-        now = held.select("key", "m").join(comps.select(F.col("id").alias("m_id"), "comp"), F.col("m.id") == F.col("m_id"), "left").select("key", "m", F.coalesce("comp", F.col("m.id")).alias("comp"))
-        split = now.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("comps > 1")
-        held_now = materialise(now.join(split.select("key", "s", "q"), "key"), "members")
-        left = held_now.select(F.sum((F.col("s") - F.col("q") / F.col("s")) / 2)).first()[0] or 0
-        if left == 0:
+        label = comps.withColumnRenamed("comp", "c")
+        if cross is None:
+            named = classes.join(label, "id", "left").select("id", F.coalesce("c", "id").alias("comp"), "sig").mapInArrow(_keys(True), keyed)
+        else:
+            named = cross.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        cross = materialise(named.join(mixed, "key").select("key", "id", "comp"), "cross")
+        parts = cross.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = parts.select(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+        if not left:
             break
-        last = left <= pairs_per_row * n_classes or turn > 6
+        last = left <= pairs_per_row * n_classes or not gaining
         if last:
-            x, y = held_now.select("key", F.col("m").alias("x"), F.col("comp").alias("cx")), held_now.select("key", F.col("m").alias("y"), F.col("comp").alias("cy"))
-            pairs = x.join(y, "key").where(F.col("cx") < F.col("cy"))
+            side = lambda v: cross.join(classes.select("id", "n", "h1", *BITS), "id").select("key", F.col("id").alias(v), F.col("comp").alias(f"{v}_comp"), *(F.col(c).alias(f"{v}_{c}") for c in ("n", "h1", *BITS)))
+            pairs = side("a").join(side("b"), "key").where((F.col("a_comp") < F.col("b_comp")) & _similar(percent)).select("a", F.col("a_h1").alias("a1"), "b", F.col("b_h1").alias("b1"))
         else:
-            pivot = held_now.groupBy("key").agg(F.min_by(F.struct("m", "comp"), F.xxhash64("m.id", "key", F.lit(turn))).alias("p"))
-            pairs = held_now.join(pivot, "key").where("comp <> p.comp").select(F.col("m").alias("x"), F.col("p.m").alias("y"))
-        found = materialise(_confirm(flat(pairs.where(_near("x", "y", percent)).select("x", "y").distinct()), sets, percent), "links")
-        if found.isEmpty():
-            if last:
-                break
-            continue
-        links = links.union(found)
-        comps = materialise(components(links), "components")
+            pivot = cross.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key", F.lit(turn))).alias("p"))
+            pairs = _near(cross.join(pivot, "key").where("comp <> p.comp").select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct(), classes, percent)
+        found = _confirm(pairs, docs, shingle, percent)
+        n_found = found.count()
+        gaining = n_found > 0.01 * cross.select("id").distinct().count()
+        if n_found:
+            links = links.union(found)
+            comps = materialise(components(links), "components")
     ids = classes.select("h1", "h2", "n", "id").join(comps, "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("comp"))
     out = told.select("doc_id", "n", "h1", "h2").join(ids, ["h1", "h2", "n"], "left")
     component = F.coalesce("comp", "doc_id")

@@ -37,6 +37,15 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prune_by_bloom(spark: SparkSession) -> None:
+    """Let Spark drop the rows of a large scan before a shuffle join with a small filtered table.
+
+    Its runtime Bloom filters are bounded by Spark's own size settings; here they
+    are also allowed for scans under 10 GB.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that a run of very long texts fits a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
