@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,49 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import probabilities
+
+    return probabilities(_table(spark, sf_dir, "documents"))
+
+
+#: Where the vocabularies of public tokenizers lie on the driver's machine.
+TOKENIZERS = os.environ.get("SIGLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: all come, later copies of a text go, table bars leave the texts; two commits are repeated."""
+    from pyspark.sql import functions as F
+
+    from . import token_rollup as R
+    from .storage import materialise, new_path
+
+    docs = _table(spark, sf_dir, "documents")
+    versions = {"words": None, "byte_bpe_50k": f"{TOKENIZERS}/byte_bpe_50k.tiktoken"}
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("n"))
+    first = keyed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
+    copies = keyed.join(first, ["h1", "h2", "n"]).where("doc_id <> first").select("doc_id")
+    counts = materialise(R.count_tokens(docs, versions), "counts")
+    gone = materialise(copies, "copies")
+    changed = docs.where(F.contains("text", F.lit(" | "))).join(gone, "doc_id", "left_anti").withColumn("text", F.replace("text", F.lit(" | "), F.lit(" ")))
+    after = materialise(R.count_tokens(changed, versions), "counts")
+    left = counts.join(after.select("doc_id").distinct(), "doc_id", "left_semi")
+    rollup = R.Rollup(spark, new_path(spark, "rollup"))
+    rollup.commit("insert", R.inserts(counts))
+    rollup.commit("delete", R.deletes(counts.join(gone, "doc_id", "left_semi")))
+    rollup.commit("revise", R.revisions(left, after))
+    rollup.commit("delete", R.deletes(counts))
+    rollup.commit("insert", R.inserts(counts))
+    return rollup.totals(["insert", "delete", "revise", "delete"])
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    langs, table = fit(_table(spark, sf_dir, "documents"))
+    return identify(_table(spark, sf_dir, "pages"), langs, table)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -29,6 +73,12 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -48,10 +98,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+from .mixing import oracle_sql as _mixing_sql  # noqa: E402
+
+ORACLE: dict[str, str] = {"op2_mixing": _mixing_sql()}
