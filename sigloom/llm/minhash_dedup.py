@@ -68,7 +68,10 @@ def _describe(k: int):
 
 
 def _keys(disturbed: bool):
-    """(key, id, comp) from (id, comp, sig): a key for each chunk, or for each chunk and symbol left out."""
+    """(key, id, comp, left_out, lead) from (id, comp, sig): a key for each chunk, or for each chunk and symbol left out.
+
+    Equal chunks meet under each of their keys; lead marks the one that counts for them.
+    """
 
     def run(batches):
         for batch in batches:
@@ -76,15 +79,17 @@ def _keys(disturbed: bool):
             if not m:
                 continue
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(m, SYMBOLS).astype(_U)
-            keys = []
+            keys, left_out, lead = [], [], []
             for c, where in enumerate(_SPLIT):
                 for out in where if disturbed else [-1]:
                     h = np.full(m, c * SYMBOLS + int(out) + 1, _U)
                     for p in where[where != out]:
                         h = mix(h + sig[:, p] * _U(0x9E3779B97F4A7C15))
                     keys.append(h)
+                    left_out.append(sig[:, out].astype(np.int32) if out >= 0 else np.zeros(m, np.int32))
+                    lead.append(np.full(m, out < 0 or out == where[0]))
             take = pa.array(np.tile(np.arange(m), len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["key", "id", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(left_out)), pa.array(np.concatenate(lead))], ["key", "id", "comp", "left_out", "lead"])
 
     return run
 
@@ -129,7 +134,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return materialise(pairs.join(sa, ["a", "a1"]).join(sb, ["b", "b1"]).where(100 * both >= percent * all_).select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pairs_per_row: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pairs_per_row: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Documents with ``100 * intersection >= percent * union`` of their distinct
@@ -148,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = materialise(docs.mapInArrow(_describe(shingle), "doc_id long, n long, h1 long, h2 long, b0 long, b1 long, b2 long, b3 long, sig binary"), "signatures")
     classes = materialise(told.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), *(F.first(b).alias(b) for b in BITS), F.first("sig").alias("sig")), "classes")
     n_classes = classes.count()
-    keyed = "key long, id long, comp long"
+    keyed = "key long, id long, comp long, left_out int, lead boolean"
     bands = classes.select("id", F.col("id").alias("comp"), "sig").mapInArrow(_keys(False), keyed)
     pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("b")).where("c > 1")
     star = bands.join(pivots, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
@@ -161,17 +166,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if cross is None:
             named = classes.join(label, "id", "left").select("id", F.coalesce("c", "id").alias("comp"), "sig").mapInArrow(_keys(True), keyed)
         else:
-            named = cross.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
+            named = cross.drop("comp").join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"), "left_out", "lead")
         mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        cross = materialise(named.join(mixed, "key").select("key", "id", "comp"), "cross")
+        cross = materialise(named.join(mixed, "key"), "cross")
         parts = cross.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = parts.select(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         if not left:
             break
         last = left <= pairs_per_row * n_classes or not gaining
         if last:
-            side = lambda v: cross.join(classes.select("id", "n", "h1", *BITS), "id").select("key", F.col("id").alias(v), F.col("comp").alias(f"{v}_comp"), *(F.col(c).alias(f"{v}_{c}") for c in ("n", "h1", *BITS)))
-            pairs = side("a").join(side("b"), "key").where((F.col("a_comp") < F.col("b_comp")) & _similar(percent)).select("a", F.col("a_h1").alias("a1"), "b", F.col("b_h1").alias("b1"))
+            side = lambda v: cross.join(classes.select("id", "n", "h1", *BITS), "id").select("key", "lead", F.col("left_out").alias(f"{v}_out"), F.col("id").alias(v), F.col("comp").alias(f"{v}_comp"), *(F.col(c).alias(f"{v}_{c}") for c in ("n", "h1", *BITS)))
+            once = F.col("lead") | (F.col("a_out") != F.col("b_out"))
+            pairs = side("a").join(side("b"), ["key", "lead"]).where((F.col("a_comp") < F.col("b_comp")) & once & _similar(percent)).select("a", F.col("a_h1").alias("a1"), "b", F.col("b_h1").alias("b1"))
         else:
             pivot = cross.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key", F.lit(turn))).alias("p"))
             pairs = _near(cross.join(pivot, "key").where("comp <> p.comp").select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct(), classes, percent)
