@@ -73,6 +73,15 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import repeated_lines
+
+    lines = repeated_lines(_table(spark, sf_dir, "documents"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
