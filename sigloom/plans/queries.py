@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..operators import matrix as M
 from ..sources import catalog as C
 from . import extract as X
+from . import report as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -337,6 +338,57 @@ def nmf_kl_steps(spark, d):
     return spark.range(1).repartition(1).mapInPandas(run, "sample string, signature string, activity double")
 
 
+def _beta_sql(beta: float) -> str:
+    half = lambda new, old, est, name, other: f"{new} AS (SELECT {name}, x.signature, any_value(x.{old}) * sum(cnt * pow(est, {beta - 2}) * {other}) / sum(pow(est, {beta - 1}) * {other}) AS {old} FROM"
+    h1 = half("h1", "activity", "est", "x.sample", "weight") + " w JOIN h x USING (signature) JOIN est e ON e.channel = w.channel AND e.sample = x.sample JOIN catalog c ON c.channel = e.channel AND c.sample = e.sample GROUP BY 1, 2)"
+    e1 = "e1 AS (SELECT channel, sample, sum(weight * activity) AS est FROM w JOIN h1 USING (signature) GROUP BY 1, 2)"
+    w1 = half("w1", "weight", "est", "x.channel", "activity") + " w x JOIN h1 USING (signature) JOIN e1 e ON e.channel = x.channel AND e.sample = h1.sample JOIN catalog c ON c.channel = e.channel AND c.sample = e.sample GROUP BY 1, 2)"
+    return f"WITH {CATALOG_SQL}, {WH_SQL}, {h1}, {e1}, {w1} SELECT channel, signature, round(weight, 4) AS weight FROM w1"
+
+
+def _one_step(spark, d, beta: float) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    cat = catalog(spark, d)
+    dense = X.Dense.of(cat)
+    w, h = (t.toPandas() for t in factors(cat))
+    wm = w.pivot(index="channel", columns="signature", values="weight").loc[dense.channels].to_numpy(np.float64)
+    hm = h.pivot(index="signature", columns="sample", values="activity")[dense.samples].to_numpy(np.float64)
+
+    def run(frames):
+        for _ in frames:
+            a, _h = K.step(dense.v, wm, hm, beta)
+            yield pd.DataFrame([(c, "AB"[k], round(float(a[i, k]), 4)) for i, c in enumerate(dense.channels) for k in range(2)], columns=["channel", "signature", "weight"])
+
+    return spark.range(1).repartition(1).mapInPandas(run, "channel string, signature string, weight double")
+
+
+@query(_beta_sql(2.0))
+def nmf_euclid(spark, d):
+    return _one_step(spark, d, 2.0)
+
+
+@query(_beta_sql(0.0))
+def nmf_itakura_saito(spark, d):
+    return _one_step(spark, d, 0.0)
+
+
+@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT sample, signature, activity, round(activity / sum(activity) OVER (PARTITION BY sample), 6) AS share FROM h")
+def activity_share(spark, d):
+    return six(R.activity_share(factors(catalog(spark, d))[1]), "share")
+
+
+@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT signature, sample, round(activity / 2800.0::DOUBLE, 8) AS per_mb, round(log10(activity / 2800.0::DOUBLE), 6) AS log10_per_mb FROM h WHERE activity > 0")
+def burden(spark, d):
+    return six(six(R.burden(factors(catalog(spark, d))[1]), "log10_per_mb"), "per_mb", to=8)
+
+
+@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT signature, channel, weight, round(100 * weight / sum(weight) OVER (PARTITION BY signature), 6) AS percent FROM w")
+def signature_profile(spark, d):
+    return six(R.signature_profile(factors(catalog(spark, d))[0]), "percent")
+
+
 @query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT round(sum(cnt * ln(cnt / est)) - sum(cnt) + sum(est), 3) AS loss FROM catalog JOIN est USING (channel, sample)")
 def kl_loss(spark, d):
     cat = catalog(spark, d)
