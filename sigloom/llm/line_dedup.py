@@ -33,13 +33,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("d", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "line"))
 
 
-def _sets(docs: DataFrame, rarity: Column) -> DataFrame:
-    """(d, l, s): s holds a line's distinct words as numbers, rarest first."""
+def _sets(lines: DataFrame, rarity: Column) -> DataFrame:
+    """(d, l, s) of lines: s holds the distinct words as numbers, rarest first."""
     cell = lambda w: F.element_at(F.col("rarity"), (F.xxhash64(w).bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int"))
     word = lambda w: F.shiftleft(cell(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    lines = _lines(docs).select("d", "l", _words(F.col("line")).alias("w"), rarity.alias("rarity"))
-    words = F.filter(F.array_distinct("w"), lambda w: w != "")
-    return lines.select("d", "l", F.array_sort(F.transform(words, word)).alias("s"))
+    lines = lines.select("d", "l", _words(F.col("line")).alias("w"), rarity.alias("rarity"))
+    return lines.select("d", "l", F.array_sort(F.transform(F.array_remove(F.array_distinct("w"), ""), word)).alias("s"))
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -54,21 +53,20 @@ def _overlap(n1: Column, n2: Column, jaccard: float) -> Column:
 
 
 def _possible(jaccard: float) -> Column:
-    """Whether a pair that shares the word at places a_i and b_i (from 0) can be similar enough."""
-    an, bn = F.col("a.n"), F.col("b.n")
-    need = _overlap(an, bn, jaccard)
-    apart = F.greatest(F.bit_count(F.col("a.x").bitwiseXOR(F.col("b.x"))), F.bit_count(F.col("a.y").bitwiseXOR(F.col("b.y"))))
-    return (F.least(an, bn) >= F.lit(jaccard) * F.greatest(an, bn) - 1e-9) & (F.least(an - F.col("a_i"), bn - F.col("b_i")) >= need - F.least("a_i", "b_i")) & (apart <= an + bn - 2 * need)
+    """Whether a pair that shares the word at places i and bi (from 0) can be similar enough."""
+    need = _overlap(F.col("n"), F.col("bn"), jaccard)
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("bx")))
+    return (F.least("n", "bn") >= F.lit(jaccard) * F.greatest("n", "bn") - 1e-9) & (F.least(F.col("n") - F.col("i"), F.col("bn") - F.col("bi")) >= need - F.least("i", "bi")) & (apart <= F.col("n") + F.col("bn") - 2 * need)
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, rarity: Column, jaccard: float) -> DataFrame:
     """The later lines (d, l) of the pairs that are similar; whole sets are made for the pairs' lines only."""
-    pairs = materialise(pairs.select("a.d", "a.l", F.col("b.d").alias("bd"), F.col("b.l").alias("bl")).distinct(), "pairs")
+    pairs = materialise(pairs.select("d", "l", "bd", "bl").distinct(), "pairs")
     ends = pairs.select("d", "l").union(pairs.select("bd", "bl")).distinct()
     ends = materialise(ends, "ends")
     ids = materialise(ends.select("d").distinct(), "ids")
-    sets = _sets(docs.join(ids.where("d is not null"), "d", "left_semi"), rarity).join(ends, ["d", "l"], "left_semi")
-    sets = materialise(sets.dropDuplicates(["d", "l"]), "sets")
+    lines = _lines(docs.join(ids.where("d is not null"), "d", "left_semi")).join(ends, ["d", "l"], "left_semi")
+    sets = materialise(_sets(lines.dropDuplicates(["d", "l"]), rarity), "sets")
     both = pairs.join(sets, ["d", "l"]).join(sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("s").alias("t")), ["bd", "bl"])
     shared = F.size(F.array_intersect("s", "t"))
     return materialise(both.where(shared >= F.lit(jaccard) * (F.size("s") + F.size("t") - shared) - 1e-9).select("d", "l").distinct(), "later")
@@ -88,17 +86,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rarity = _rarity(docs)
     bits = lambda shift: F.expr(f"aggregate(s, 0L, (a, x) -> a | shiftleft(1L, cast(shiftright(x, {shift}) & 63L as int)))")
     n = F.size("s")
-    told = _sets(docs, rarity).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), bits(3).alias("x"), bits(17).alias("y"), F.slice("s", 1, F.greatest(F.lit(0), n - F.ceil(F.lit(jaccard) * n - 1e-9) + 1).cast("int")).alias("p"))
+    told = _sets(_lines(docs), rarity).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), bits(3).alias("x"), F.slice("s", 1, F.greatest(F.lit(0), n - F.ceil(F.lit(jaccard) * n - 1e-9) + 1).cast("int")).alias("p"))
     told = materialise(told, "lines")
-    first = told.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", "x", "y", "p")).alias("m"))
+    first = told.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", "x", "p")).alias("m"))
     classes = materialise(first.select("h1", "h2", "m.*").where("n > 0"), "classes")
-    posts = lambda c: c.select(F.struct("d", "l", "n", "x", "y").alias("a"), F.posexplode("p").alias("a_i", "key"))
-    other = lambda p: p.select("key", F.col("a").alias("b"), F.col("a_i").alias("b_i"))
-    before = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") < F.col("a.l")))
-    all_ = posts(classes)
-    pivots = all_.groupBy("key").agg(F.min(F.struct("a", "a_i")).alias("m")).select("key", F.col("m.a").alias("b"), F.col("m.a_i").alias("b_i"))
-    gone = _confirm(all_.join(pivots, "key").where(before & _possible(jaccard)), docs, rarity, jaccard)
-    stay = classes.join(gone, ["d", "l"], "left_anti")
+    #: A set that has no place for one more or one less word is similar to itself alone.
+    able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
+    posts = lambda c: c.select("d", "l", "n", "x", F.posexplode("p").alias("i", "key"))
+    other = lambda p: p.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "l", "n", "x", "i")))
+    before = (F.col("bd") < F.col("d")) | ((F.col("bd") == F.col("d")) & (F.col("bl") < F.col("l")))
+    all_ = posts(able)
+    pivots = all_.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l", "n", "x", "i")).alias("m")).where("c > 1").select("key", "m.*")
+    gone = _confirm(all_.join(other(pivots), "key").where(before & _possible(jaccard)), docs, rarity, jaccard)
+    stay = able.join(gone, ["d", "l"], "left_anti")
     gone = gone.union(_confirm(posts(stay).join(other(all_), "key").where(before & _possible(jaccard)), docs, rarity, jaccard))
     late = gone.select("d", "l", F.lit(True).alias("late"))
     fate = classes.select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl")).join(late.select(F.col("d").alias("fd"), F.col("l").alias("fl"), "late"), ["fd", "fl"], "left")
