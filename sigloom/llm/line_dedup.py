@@ -4,7 +4,7 @@ A line is the set of its distinct words. Words are ordered by rarity, counted
 over all lines in a fixed number of hash cells, so the order is one and the same
 everywhere. Two sets of the wanted Jaccard similarity share a word among the
 rarest few of each (prefix filter); their sizes (length filter), the words'
-places (positional filter) and a bitmap of all words bound the overlap before
+places (positional filter) and the parities of all words bound the overlap before
 whole sets are compared. Equal sets are one class.
 
 A line goes if any earlier line is similar enough. Lines are first held against
@@ -21,6 +21,7 @@ from .storage import materialise, prune_by_bloom
 
 CELLS = 1 << 16
 JACCARD = 0.8
+X = ["x0", "x1", "x2", "x3"]
 
 
 def _words(line: Column) -> Column:
@@ -55,7 +56,7 @@ def _overlap(n1: Column, n2: Column, jaccard: float) -> Column:
 def _possible(jaccard: float) -> Column:
     """Whether a pair that shares the word at places i and bi (from 0) can be similar enough."""
     need = _overlap(F.col("n"), F.col("bn"), jaccard)
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("bx")))
+    apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"bx{j}"))) for j in range(4)), F.lit(0))
     return (F.least("n", "bn") >= F.lit(jaccard) * F.greatest("n", "bn") - 1e-9) & (F.least(F.col("n") - F.col("i"), F.col("bn") - F.col("bi")) >= need - F.least("i", "bi")) & (apart <= F.col("n") + F.col("bn") - 2 * need)
 
 
@@ -84,19 +85,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prune_by_bloom(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.col(text_col).alias("text"))
     rarity = _rarity(docs)
-    bits = lambda shift: F.expr(f"aggregate(s, 0L, (a, x) -> a | shiftleft(1L, cast(shiftright(x, {shift}) & 63L as int)))")
+    #: Parities of the words in each of 256 cells: two sets' parities differ in no more cells than the sets in words.
+    parity = lambda j: F.expr(f"aggregate(s, 0L, (a, x) -> IF((shiftright(x, 9) & 3L) = {j}L, a ^ shiftleft(1L, cast(shiftright(x, 3) & 63L as int)), a))")
     n = F.size("s")
-    told = _sets(_lines(docs), rarity).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), bits(3).alias("x"), F.slice("s", 1, F.greatest(F.lit(0), n - F.ceil(F.lit(jaccard) * n - 1e-9) + 1).cast("int")).alias("p"))
+    told = _sets(_lines(docs), rarity).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), *(parity(j).alias(f"x{j}") for j in range(4)), F.slice("s", 1, F.greatest(F.lit(0), n - F.ceil(F.lit(jaccard) * n - 1e-9) + 1).cast("int")).alias("p"))
     told = materialise(told, "lines")
-    first = told.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", "x", "p")).alias("m"))
+    first = told.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", *X, "p")).alias("m"))
     classes = materialise(first.select("h1", "h2", "m.*").where("n > 0"), "classes")
     #: A set that has no place for one more or one less word is similar to itself alone.
     able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
-    posts = lambda c: c.select("d", "l", "n", "x", F.posexplode("p").alias("i", "key"))
-    other = lambda p: p.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "l", "n", "x", "i")))
+    posts = lambda c: c.select("d", "l", "n", *X, F.posexplode("p").alias("i", "key"))
+    other = lambda p: p.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "l", "n", *X, "i")))
     before = (F.col("bd") < F.col("d")) | ((F.col("bd") == F.col("d")) & (F.col("bl") < F.col("l")))
     all_ = posts(able)
-    pivots = all_.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l", "n", "x", "i")).alias("m")).where("c > 1").select("key", "m.*")
+    pivots = all_.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l", "n", *X, "i")).alias("m")).where("c > 1").select("key", "m.*")
     gone = _confirm(all_.join(other(pivots), "key").where(before & _possible(jaccard)), docs, rarity, jaccard)
     stay = able.join(gone, ["d", "l"], "left_anti")
     gone = gone.union(_confirm(posts(stay).join(other(all_), "key").where(before & _possible(jaccard)), docs, rarity, jaccard))
