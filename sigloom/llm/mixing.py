@@ -50,8 +50,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             w = w.withColumn(f"t_{d}", F.coalesce(F.create_map(*pairs)[F.col(d)], F.lit(0.0)))
         else:
             sums = w.groupBy(d).agg(F.sum("w").alias("s")).select(d, F.pow("s", F.lit(TEMPER[d])).alias("p"))
-            total = sums.agg(F.sum("p").alias("total"))
-            w = w.join(sums.join(F.broadcast(total), F.lit(True)).select(d, (F.col("p") / F.col("total")).alias(f"t_{d}")), d)
+            total = sums.agg(F.sum("p")).first()[0] or 1.0
+            w = w.join(sums.select(d, (F.col("p") / F.lit(total)).alias(f"t_{d}")), d)
     w = materialise(w.select(*DIMENSIONS, "tokens", "w", *(f"t_{d}" for d in DIMENSIONS)), "cells")
     for _ in range(rounds):
         for d in DIMENSIONS:

@@ -37,6 +37,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results not yet written elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prune_by_bloom(spark: SparkSession) -> None:
     """Let Spark drop the rows of a large scan before a shuffle join with a small filtered table.
 
