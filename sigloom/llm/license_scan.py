@@ -1,12 +1,12 @@
 """License scans, in DataFrame operations only.
 
-A document's words are cut into overlapping windows, some templates' length
-wide. Windows that hold no shingle of any template cannot match and are left
-out by a bit table. The others get MinHash values; bands of one value each bring
+A document's shingles are cut into overlapping windows, twice as wide as some
+class of templates. Windows that hold no shingle of any template cannot match and
+are left out. The others get MinHash values; bands of one value each bring
 together windows and templates, so a window of Jaccard similarity s to a
 template is retrieved with probability ``1 - (1 - s) ** HASHES``. A template that
-lies whole in a window has at least half of the window's shingles less a few, so
-that the probability is above 0.999. Containment of the template's shingles in
+lies whole in a window has more than a quarter of the window's shingles, so the
+probability is above 0.998 for each such window. Containment of the template's shingles in
 the window is then checked exactly.
 """
 
@@ -63,26 +63,28 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     empty = docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where("false")
     texts = [(k, v) for k, v in (templates or TEMPLATES).items() if v]
     told = materialise(spark.createDataFrame(texts, "license string, text string").select("license", _words(F.col("text")).alias("w")), "words").where("size(w) > 0")
-    told = materialise(told.select("license", F.size("w").alias("length"), F.array_distinct(_shingles(F.col("w"))).alias("t")), "templates")
-    lengths = [r[0] for r in told.select("length").distinct().collect()]
+    told = materialise(told.select("license", F.array_distinct(_shingles(F.col("w"))).alias("t")), "templates")
+    lengths = [r[0] for r in told.select(F.size("t")).distinct().collect()]
     if not lengths:
         return empty
-    #: by length class (powers of two): a window twice as long, starting at each half class, holds every such template whole
-    classes = sorted({1 << max(3, (n - 1).bit_length()) for n in lengths})
+    #: by length class (powers of two): windows twice as long that start at each half class hold every such template whole
+    classes = sorted({1 << (n - 1).bit_length() for n in lengths})
+    known = [r[0] for r in told.select(F.explode("t")).distinct().toLocalIterator()]
     bits = [0] * (_BITS // 64)
-    for (h,) in told.select(F.explode("t")).distinct().toLocalIterator():
+    for h in known:
         bits[h % _BITS // 64] |= 1 << (h % 64)
-    table = F.array(*(F.lit(b - (1 << 64) if b >> 63 else b) for b in bits))
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    table = literal(b - (1 << 64) if b >> 63 else b for b in bits)
     cell = lambda h: F.element_at(F.col("bits"), (F.shiftrightunsigned(h.bitwiseAND(F.lit(_BITS - 1)), 6) + 1).cast("int"))
-    has = lambda h: F.bit_get(cell(h), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    has = lambda h: (F.bit_get(cell(h), h.bitwiseAND(F.lit(63)).cast("int")) == 1) & F.array_contains("known", h)
     #: The row number in each step keeps Spark from pushing later conditions, and with them copies of the costly columns, below it.
     number = F.monotonically_increasing_id()
     base = docs.select(F.struct(F.col(id_col).alias("v"), number.alias("r")).alias("id"), _words(F.col(text_col)).alias("w"))
-    base = base.select(F.struct("id.v", "id.r", number.alias("q")).alias("id"), _shingles(F.col("w")).alias("sh"), table.alias("bits"))
+    base = base.select(F.struct("id.v", "id.r", number.alias("q")).alias("id"), _shingles(F.col("w")).alias("sh"), table.alias("bits"), literal(known).alias("known"))
     hits = F.filter(F.transform("sh", lambda h, i: F.when(has(h), i)), lambda i: i.isNotNull())
     found = base.select(F.struct("id.v", "id.r", "id.q", number.alias("p")).alias("id"), "sh", hits.alias("at")).where(F.size("at") > 0)
-    starts = lambda c: F.array_distinct(F.flatten(F.transform("at", lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.greatest(F.lit(0), (F.floor(i / (c // 2)) - k) * (c // 2))))))
-    window = lambda c: lambda s: F.struct(s.cast("int").alias("start"), F.lit(2 * c - SHINGLE + 1).alias("width"))
+    starts = lambda c: F.array_distinct(F.flatten(F.transform("at", lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.greatest(F.lit(0), (F.floor(i / max(1, c // 2)) - k) * max(1, c // 2))))))
+    window = lambda c: lambda s: F.struct(s.cast("int").alias("start"), F.lit(2 * c).alias("width"))
     windows = F.flatten(F.array(*(F.transform(starts(c), window(c)) for c in classes)))
     cut = found.select("id", "sh", F.explode(windows).alias("win")).select("id", "win.start", "win.width", F.array_distinct(F.slice("sh", F.col("win.start") + 1, F.col("win.width"))).alias("s")).where("size(s) > 0")
     bands = lambda df: df.select("*", F.posexplode(_minhash(F.col("s"))).alias("band", "value"))
