@@ -246,7 +246,7 @@ def rank_filter(spark, d):
     return M.rank_filter(_ranks(spark, d))
 
 
-@query(f"WITH {RANKS_SQL} SELECT *, row_number() OVER (ORDER BY avg_stability DESC, k) AS place FROM stats")
+@query(f"WITH {RANKS_SQL} SELECT *, row_number() OVER (ORDER BY avg_stability DESC, k)::INTEGER AS place FROM stats")
 def selection_sort(spark, d):
     from pyspark.sql import Window
 
