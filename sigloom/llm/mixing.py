@@ -43,17 +43,19 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     get none. A dimension without targets follows ``TEMPER``. Cells without
     tokens get no weight.
     """
-    w = cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
+    cells = cells.where("tokens > 0")
+    w = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         if targets and d in targets:
             pairs = [x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))]
             w = w.withColumn(f"t_{d}", F.coalesce(F.create_map(*pairs)[F.col(d)], F.lit(0.0)))
         else:
-            sums = w.groupBy(d).agg(F.sum("w").alias("s")).select(d, F.pow("s", F.lit(TEMPER[d])).alias("p"))
+            sums = materialise(cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(TEMPER[d])).alias("p")), "marginal")
             total = sums.agg(F.sum("p")).first()[0] or 1.0
             w = w.join(sums.select(d, (F.col("p") / F.lit(total)).alias(f"t_{d}")), d)
-    w = materialise(w.select(*DIMENSIONS, "tokens", "w", *(f"t_{d}" for d in DIMENSIONS)), "cells")
-    for _ in range(rounds):
+    for r in range(rounds):
+        if r % 3 == 0:  # keeps the plan short
+            w = materialise(w, "cells")
         for d in DIMENSIONS:
             w = w.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.sum("w").over(Window.partitionBy(d))), F.lit(0.0)))
     return w.select(*DIMENSIONS, "tokens", "w")
