@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts have no set and are linked with nothing;
     rows that share an id are one vertex; a row of null id is never kept.
     Of ``docs`` only the two columns are read, so other columns may have any name.
-    ``pairs_per_row``: rounds with one member of each key as its pivot precede
-    the last, exhaustive one while more pairs than this for each class remain
+    ``pairs_per_row``: rounds that hold the members of each key against one of
+    its lowest component precede the last, exhaustive one while more pairs than this for each class remain
     and a round still links a hundredth of the documents in question.
     """
     spark = docs.sparkSession
@@ -181,11 +181,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = comps.withColumnRenamed("comp", "c")
         if cross is None:
             named = classes.join(label, "id", "left").select("id", F.coalesce("c", "id").alias("comp"), "sig").mapInArrow(_keys(True), keyed)
+            mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+            cross = materialise(named.join(mixed, "key", "left_semi"), "cross")
         else:
-            named = cross.drop("comp").join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"), "left_out", "lead")
-        mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        cross = materialise(named.join(mixed, "key"), "cross")
-        parts = cross.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+            cross = materialise(cross.drop("comp").join(label, "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"), "left_out", "lead"), "cross")
+        #: of each key: the pairs of different components it holds, and a member of its lowest component, another one each turn
+        parts = cross.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("member"))
+        parts = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.min("comp").alias("low"), F.min_by("member", "comp").alias("b"))
+        parts = materialise(parts.where("s * s > q"), "keys")
         left = parts.select(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         if not left:
             break
@@ -195,8 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             once = F.col("lead") | (F.col("a_out") != F.col("b_out"))
             pairs = side("a").join(side("b"), ["key", "lead"]).where((F.col("a_comp") < F.col("b_comp")) & once & _similar(percent)).select("a", F.col("a_h1").alias("a1"), "b", F.col("b_h1").alias("b1"))
         else:
-            pivot = cross.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key", F.lit(turn))).alias("p"))
-            pairs = _near(cross.join(pivot, "key").where("comp <> p.comp").select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct(), classes, percent)
+            pairs = _near(cross.join(parts, "key").where("comp <> low").select(F.col("id").alias("a"), "b").distinct(), classes, percent)
         found = _confirm(pairs, docs, shingle, percent)
         n_found = found.count()
         gaining = n_found > 0.01 * cross.select("id").distinct().count()
