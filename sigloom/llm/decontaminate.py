@@ -6,11 +6,13 @@ with any item. A match of at least the window's length marks the last window's
 words; the state tells which items hold that window.
 
 Blocks are bounded in bytes, so the automaton and its broadcast are bounded
-too; a larger benchmark makes further passes over the documents.
+too; a larger benchmark makes further passes over the documents. Spans of all
+blocks are united before any is cut, so the blocks do not show in the result.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -235,7 +237,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     return df.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("found").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _without(text: str, words: Words, doc: int, cut: list[tuple[int, int]]) -> str:
+    """``text``, document ``doc`` of the chunk, without the word ranges."""
+    raw, w0, at = text.encode(), int(words.ptr[doc]), int(words.doc_start[doc])
+    out, last = [], 0
+    for s, e in cut:
+        out.append(raw[last : words.start[w0 + s] - at])
+        last = int(words.end[w0 + e - 1]) - at
+    return b"".join([*out, raw[last:]]).decode()
+
+
+def _lengths(batch: pa.RecordBatch, name: str, texts: list, changed) -> pa.Array:
+    old = batch.column(batch.schema.names.index(name)).to_pylist()
+    return pa.array([len(t) if c else o for t, c, o in zip(texts, changed, old, strict=True)], batch.schema.field(name).type)
+
+
 def _clean(block, window: int, min_span: int, max_coverage: float, text_col: str):
+    """All rounds of one block that holds every item."""
+
     def run(batches):
         automaton = _automaton(block, window)
         for batch in batches:
@@ -252,41 +271,68 @@ def _clean(block, window: int, min_span: int, max_coverage: float, text_col: str
                         cut = [(s, e) for s, e in merged(ranges) if e - s >= min_span]
                         if not cut:
                             continue
-                        i, w0, at = todo[a + doc], int(words.ptr[doc]), int(words.doc_start[doc])
+                        i = todo[a + doc]
                         gone[i] += sum(e - s for s, e in cut)
-                        raw, out, last = texts[i].encode(), [], 0
-                        for s, e in cut:
-                            out.append(raw[last : words.start[w0 + s] - at])
-                            last = int(words.end[w0 + e - 1]) - at
-                        texts[i] = b"".join([*out, raw[last:]]).decode()
+                        texts[i] = _without(texts[i], words, doc, cut)
                         keep[i] = gone[i] <= max_coverage * total[i]
                         if keep[i]:
                             again.append(i)
                 todo, first = again, False
             new = {text_col: pa.array(texts, pa.string())}
             if "n_chars" in names:
-                changed = gone > 0
-                old = batch.column(names.index("n_chars")).to_pylist()
-                new["n_chars"] = pa.array([len(t) if c else o for t, c, o in zip(texts, changed, old, strict=True)], batch.schema.field("n_chars").type)
+                new["n_chars"] = _lengths(batch, "n_chars", texts, gone > 0)
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(names)], names).filter(pa.array(keep))
 
     return run
 
 
+def _cut(min_span: int, max_coverage: float, n_chars: str | None):
+    """Cuts the ``hits`` of one round; ``again`` marks the rows cut. Rows of which too much went are left out."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            col = {n: batch.column(i) for i, n in enumerate(names)}
+            texts, hits, total, gone = (col[n].to_pylist() for n in ("text", "hits", "total", "gone"))
+            again, keep = np.zeros(batch.num_rows, bool), np.ones(batch.num_rows, bool)
+            for a, b, words in chunks(col["text"], ALNUM):
+                for i in range(a, b):
+                    cut = [(s, e) for s, e in zip(hits[i][::2], hits[i][1::2], strict=True) if e - s >= min_span]
+                    if cut:
+                        gone[i] += sum(e - s for s, e in cut)
+                        texts[i] = _without(texts[i], words, i - a, cut)
+                        again[i], keep[i] = True, gone[i] <= max_coverage * total[i]
+            new = {"text": pa.array(texts, pa.string()), "gone": pa.array(gone, pa.int64()), "again": pa.array(again)}
+            if n_chars:
+                new[n_chars] = _lengths(batch, n_chars, texts, again)
+            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in col.items()], names).filter(pa.array(keep))
+
+    return run
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span: int = 1, max_coverage: float = 0.5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the marked spans of at least ``min_span`` words, and without documents of which more than ``max_coverage`` of the words went.
 
-    Cuts repeat until no such span is left. A column n_chars, where there is
-    one, follows a changed text. Texts without a span, null ones included, stay
-    as they are.
+    Cuts repeat until no such span is left; every round unites the spans of all
+    items first. Items of one block take one pass. Where there are more, each
+    round scans what the last one cut with all blocks anew. A column n_chars,
+    where there is one, follows a changed text. Texts without a span, null ones
+    included, stay as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
     blocks = _blocks(items, item_id, item_text)
-    df, block = docs, next(blocks)
-    while block is not None:
-        df = df.mapInArrow(_clean(spark.sparkContext.broadcast(block), window, min_span, max_coverage, text_col), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
-        block = next(blocks, None)
-        if block is not None:
-            df = materialise(df, "cleaned")
-    return df
+    block = next(blocks)
+    if next(blocks, None) is None:
+        return docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), window, min_span, max_coverage, text_col), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    names = ["text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
+    n_chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    told = items.select(F.lit(None).cast("string").alias("item_id"), F.col(item_text).alias("text"))
+    todo, done = docs.toDF(*names).withColumns({"total": F.lit(None).cast("long"), "gone": F.lit(0).cast("long")}), []
+    while True:
+        marked = scan(todo, told, window, "item_id", "text").withColumns({"total": F.coalesce("total", "n_words"), "again": F.lit(False)}).drop("n_words", "found")
+        df = materialise(marked.mapInArrow(_cut(min_span, max_coverage, n_chars), T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema])), "cleaned")
+        done.append(df.where("not again").select(names))
+        todo = df.where("again").drop("again", "hits")
+        if todo.isEmpty():
+            return functools.reduce(DataFrame.union, done).toDF(*docs.columns)

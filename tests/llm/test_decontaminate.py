@@ -80,3 +80,25 @@ def test_whole_table(spark, sf):
     d, i = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = brute([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in i.collect()])
     assert result(D.contamination(d, i)) == want and any(v[4] for v in want.values())
+
+
+def test_blocks_do_not_show_in_cleaned_texts(spark, monkeypatch):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(12)) for p in "abc")
+    other = " ".join(f"o{i}" for i in range(6))
+    items = [(1, a), (2, b), (3, " ".join([*a.split()[6:], *c.split()])), (4, "left right"), (5, "u v w")]
+    docs = [(1, f"{a} {other} {b}"),  # 12 and 12 of 30 words, in two blocks
+            (2, f"{other} {other} {other} {other} {' '.join(a.split() + c.split())} {other}"),  # spans of two items overlap
+            (3, f"{other} {other} {other} left {b} right {other}"),  # a cut joins the words of an item
+            (4, f"{other} {other} left u v {b} w right"), (5, other), (6, None), (7, "")]
+    d = spark.createDataFrame([(t, k, len(t or "")) for k, t in docs], "text string, hits long, n_chars long")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    one = {r.hits: r for r in D.decontaminate(d, i).collect()}
+    monkeypatch.setattr(D, "BLOCK_BYTES", 20)
+    got = D.decontaminate(d, i)
+    assert got.columns == d.columns and {r.hits: r for r in got.collect()} == one
+    assert 1 not in one and "left" not in one[3].text and 2 in one
+    for span in (2, 13):
+        monkeypatch.undo()
+        want = sorted(map(tuple, D.decontaminate(d, i, min_span=span).collect()), key=repr)
+        monkeypatch.setattr(D, "BLOCK_BYTES", 20)
+        assert sorted(map(tuple, D.decontaminate(d, i, min_span=span).collect()), key=repr) == want
