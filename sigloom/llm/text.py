@@ -138,7 +138,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h = words.hash
     n = len(h)
     total = np.zeros(n, _U)
-    for j in range(k):
+    for j in range(min(k, n)):
         total[: n - j] += h[j:] * _U(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64))
     hashed = mix(total)
     out, ptr = [], np.zeros(len(counts) + 1, np.int64)

@@ -59,3 +59,11 @@ def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert result(near_duplicates(docs, shingle=2)) == brute(rows, 2)
+
+
+@pytest.mark.parametrize("text", ["one two", "one two three"])
+def test_short_text_alone_in_a_chunk(spark, text):
+    """A partition's chunk of fewer words than a shingle."""
+    rows = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    got = near_duplicates(rows, shingle=5, percent=80).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False)]
