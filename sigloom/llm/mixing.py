@@ -5,10 +5,16 @@ the cells to the target share of each source, of each language and of each topic
 in turn. Documents are then drawn with the probability of their cell, decided by
 a hash of the id. DataFrame operations only: the cells, not the documents, pass
 through the rounds, as grouped sums that Spark pre-aggregates.
+
+A cell cannot give more than its tokens. ``rake`` leaves that to a clip after
+the rounds, as the SQL of ``probabilities`` does; ``rake_bounded`` keeps the
+bound within the rounds, so that what a full cell lacks comes from the others.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +24,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: A target share is proportional to the present one to this power; 1 would leave it.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 ROUNDS, BUDGET, SEED = 8, 0.5, "mix"
+#: Bounded rounds end when no marginal is further from its target than this share of the budget, or at MOST_ROUNDS.
+TOLERANCE, MOST_ROUNDS = 1e-4, 60
 
 
 def topic_of(text: Column) -> Column:
@@ -61,13 +69,82 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     return w.select(*DIMENSIONS, "tokens", "w")
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
+def _filled(df: DataFrame, part: list[str], amount: str, room: str, total: str, order: list[str]) -> DataFrame:
+    """``df`` with ``amount`` scaled in each part so that ``least(room, amount)`` sums to ``total``, or to all the room where that is less.
+
+    In the order of room over amount, the rows before the last one whose factor fits are full.
+    """
+    ratio = F.try_divide(F.col(room), F.col(amount))
+    by = Window.partitionBy(*part).orderBy(ratio.asc_nulls_last(), *order)
+    full = F.coalesce(F.sum(room).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum(amount).over(by.rowsBetween(0, Window.unboundedFollowing))
+    df = df.withColumn("_ratio", ratio).withColumn("_f", F.try_divide(F.col(total) - full, free))
+    whole = Window.partitionBy(*part)
+    f = F.coalesce(F.max(F.when(F.col("_f") <= F.col("_ratio"), F.col("_f"))).over(whole), F.max("_ratio").over(whole), F.lit(0.0))
+    scaled = F.least(F.col(amount) * f, F.col(room) * F.lit(1e12))
+    return df.withColumn("_scaled", scaled).withColumn(amount, F.col("_scaled")).drop("_ratio", "_f", "_scaled")
+
+
+def rake_bounded(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+    """``cells(source, lang, topic, tokens)`` and ``drawn``, the tokens to draw from each: at most its own, ``budget`` of all in sum.
+
+    ``targets`` as in ``rake``. A value with fewer tokens than its target gives
+    all of them, and the other values of its dimension share the rest in
+    proportion to their targets. Marginals that miss the target asked for are
+    logged. The factors go to the weights before the bound, so the rounds near
+    the mixture closest to the present one that meets bounds and marginals.
+    """
+    cells = cells.where("tokens > 0")
+    size = cells.agg(F.sum("tokens")).first()[0] or 0
+    w = cells.withColumns({"room": F.col("tokens").cast("double"), "w": F.col("tokens").cast("double")})
+    for d in DIMENSIONS:
+        if targets and d in targets:
+            pairs = [x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))]
+            w = w.withColumn(f"t_{d}", F.coalesce(F.create_map(*pairs)[F.col(d)], F.lit(0.0)))
+        else:
+            sums = materialise(cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(TEMPER[d])).alias("p")), "marginal")
+            total = sums.agg(F.sum("p")).first()[0] or 1.0
+            w = w.join(sums.select(d, (F.col("p") / F.lit(total)).alias(f"t_{d}")), d)
+    nothing = w.where(" or ".join(f"t_{d} <= 0" for d in DIMENSIONS)).select(*DIMENSIONS, "tokens", F.lit(0.0).alias("drawn"))
+    w = materialise(w.where(" and ".join(f"t_{d} > 0" for d in DIMENSIONS)), "cells")
+    wanted = min(float(budget * size), float(w.agg(F.sum("room")).first()[0] or 0.0))
+    for d in DIMENSIONS:
+        m = w.groupBy(d).agg(F.sum("room").alias("room"), F.max(f"t_{d}").alias("share")).withColumns({"all": F.lit(0), "total": F.lit(wanted), "least": F.col("share")})
+        m = _filled(m, ["all"], "share", "room", "total", [d])
+        asked = F.col("least") * F.lit(float(budget * size)) / F.sum("least").over(Window.partitionBy("all"))
+        w = w.join(m.select(d, F.least("share", "room").alias(f"s_{d}"), asked.alias(f"a_{d}")), d)
+    w = materialise(w, "cells")
+    rounds = 0
+    while rounds < MOST_ROUNDS:
+        for _ in range(2):
+            for d in DIMENSIONS:
+                w = _filled(w, [d], "w", "room", f"s_{d}", list(DIMENSIONS))
+        rounds += 2
+        w = materialise(w, "cells")  # keeps the plan short
+        if (_marginals(w).agg(F.max(F.abs(F.col("drawn") - F.col("target")))).first()[0] or 0.0) <= TOLERANCE * wanted:
+            break
+    missed = _marginals(w).where(F.abs(F.col("drawn") - F.col("asked")) > F.lit(10 * TOLERANCE * wanted)).orderBy("dimension", "value").limit(100).collect()
+    for r in missed:
+        logging.getLogger(__name__).warning("mixing: %s %r gets %.0f tokens of %.0f asked for; it has %.0f", r.dimension, r.value, r.drawn, r.asked, r.room)
+    return w.select(*DIMENSIONS, "tokens", F.least("w", "room").alias("drawn")).union(nothing)
+
+
+def _marginals(w: DataFrame) -> DataFrame:
+    """dimension, value, drawn, target (within reach), asked and room of each value."""
+    one = lambda d: F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"s_{d}").alias("target"), F.col(f"a_{d}").alias("asked"))
+    each = w.select("w", "room", F.explode(F.array(*map(one, DIMENSIONS))).alias("m")).select("w", "room", "m.*")
+    return each.groupBy("dimension", "value").agg(F.sum(F.least("w", "room")).alias("drawn"), F.max("target").alias("target"), F.max("asked").alias("asked"), F.sum("room").alias("room"))
+
+
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, rounds: int = ROUNDS, carry: list[str] | None = None, bounded: bool = False) -> DataFrame:
     """``carry`` columns (default: the id, source and lang) and topic, tokens, probability, kept: one row per document.
 
     A cell's probability is its target tokens over its present tokens, at most
     1; ``budget`` is the tokens wanted as a share of all. Null sources and
     languages are a value of their own; documents without tokens have
-    probability 0. Equal rows are drawn alike.
+    probability 0. Equal rows are drawn alike. ``bounded``: the rounds keep the
+    bound, as ``rake_bounded`` says; otherwise the weights are cut to 1 after
+    them, and targets and budget are missed where cells are full.
     """
     carry = carry or [id_col, "source", "lang"]
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -77,15 +154,16 @@ def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     cells = materialise(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     rate = F.least(F.lit(1.0), F.col("w") * F.lit(float(budget * total)) / F.col("tokens"))
-    shares = materialise(rake(cells, targets, rounds).select(*DIMENSIONS, F.round(rate, 6).alias("probability")), "shares")
+    raked = rake_bounded(cells, targets, budget).withColumn("p", F.col("drawn") / F.col("tokens")) if bounded else rake(cells, targets, rounds).withColumn("p", rate)
+    shares = materialise(raked.select(*DIMENSIONS, F.round("p", 6).alias("probability")), "shares")
     out = (counted if narrow else told).join(shares, list(DIMENSIONS), "left")
     p = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     return out.select(*(F.col(f"row.`{c}`") for c in carry), "topic", "tokens", p.alias("probability"), (F.col("u") < p).alias("kept"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """The drawn rows of ``docs``, with its columns."""
-    return probabilities(docs, targets, budget, id_col, text_col, seed, carry=docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The drawn rows of ``docs``, with its columns; the probabilities are the bounded ones."""
+    return probabilities(docs, targets, budget, id_col, text_col, seed, carry=docs.columns, bounded=True).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle_sql(docs: str = "documents") -> str:

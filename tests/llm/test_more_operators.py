@@ -37,6 +37,31 @@ def test_mixing_targets_and_cases(spark):
     assert mixing.mix(df).columns == df.columns and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_bounded_mixing_meets_targets(spark):
+    """Skewed sources, half of the tokens: cells are full, yet budget and reachable shares are met."""
+    rng = np.random.default_rng(3)
+    cells = [(f"s{s}", "abc"[k % 3], "xyz"[k % 2], int(10_000 / (s + 1) ** 1.5 * rng.uniform(0.05, 2))) for s in range(12) for k in range(6)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    raked = mixing.rake_bounded(df).collect()
+    size = sum(r.tokens for r in raked)
+    assert len(raked) == len(cells) and all(0 <= r.drawn <= r.tokens + 1e-6 for r in raked)
+    assert any(r.drawn > r.tokens - 1e-6 for r in raked) and abs(sum(r.drawn for r in raked) / (0.5 * size) - 1) < 1e-3
+    for d in mixing.DIMENSIONS:
+        has, got = collections.Counter(), collections.Counter()
+        for r in raked:
+            has[r[d]] += r.tokens
+            got[r[d]] += r.drawn
+        share = {k: v ** mixing.TEMPER[d] for k, v in has.items()}
+        high = 1e9
+        for _ in range(200):  # the scale at which the values' reachable targets make the budget
+            low = high
+            full = {k for k in has if low * share[k] >= has[k]}
+            high = (0.5 * size - sum(has[k] for k in full)) / sum(share[k] for k in has if k not in full) if len(full) < len(has) else low / 2
+        assert all(abs(got[k] - min(has[k], high * share[k])) < 1e-3 * size for k in has), d
+    only = {r.source: r.drawn for r in mixing.rake_bounded(df, {"source": {"s0": 0.5, "s1": 0.5}}, budget=0.01).groupBy("source").agg({"drawn": "sum"}).withColumnRenamed("sum(drawn)", "drawn").collect()}
+    assert abs(only["s0"] / only["s1"] - 1) < 1e-2 and not only["s2"]
+
+
 def test_rollup_is_idempotent(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "s", "en", 1), (2, "a b c", "s", "de", 1), (3, None, None, "en", 1), (4, "", "s", "en", 1)], "doc_id long, text string, source string, lang string, tokens int")
     counts = R.count_tokens(docs, {"w": None})
