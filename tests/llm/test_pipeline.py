@@ -33,3 +33,13 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_repeated_rows_and_null_ids(spark, sf):
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(20)) for p in "abcd")
+    rows = [(7, a), (7, a), (7, a), (9, a), (5, b), (5, c), (6, c), (None, d), (None, d), (None, b), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars int")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(7, a), (5, b), (5, c), (None, d), (8, ""), (8, "")], key=repr)
