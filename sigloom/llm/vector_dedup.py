@@ -27,6 +27,8 @@ TREES, SPILL = 6, 0.02
 SAMPLE = 40_000
 #: Rows aimed at in a leaf, rows of the sample needed for a split, rows compared at once.
 LEAF, LEAST, BLOCK = 1000, 32, 2000
+#: A tree's places for each vector, at most: a node is not split where the spill on its way would make more of them.
+COPIES = 4.0
 
 
 @dataclass
@@ -40,9 +42,9 @@ class Tree:
     @staticmethod
     def fit(x: np.ndarray, scale: float, seed: int) -> Tree:
         rng, dim = np.random.default_rng(seed), x.shape[1]
-        direction, at, child, todo = [np.zeros(dim)], [0.0], [[-1, -1]], [(0, np.arange(len(x)))]
+        direction, at, child, todo = [np.zeros(dim)], [0.0], [[-1, -1]], [(0, np.arange(len(x)), 1.0)]
         while todo:
-            node, rows = todo.pop()
+            node, rows, copies = todo.pop()
             if len(rows) * scale <= LEAF or len(rows) < LEAST:
                 continue
             d = rng.standard_normal(dim)
@@ -52,13 +54,16 @@ class Tree:
             sides = rows[p < middle + SPILL], rows[p >= middle - SPILL]
             if min(len(rows) - len(s) for s in sides) < 0.1 * len(rows):
                 continue  # a tight group that spills whole: more splits would only copy it
+            copies *= sum(map(len, sides)) / len(rows)
+            if copies > COPIES:
+                continue  # a larger leaf is compared whole, in blocks
             direction[node], at[node] = d, middle
             for side, rows_ in enumerate(sides):
                 child[node][side] = len(at)
                 direction.append(np.zeros(dim))
                 at.append(0.0)
                 child.append([-1, -1])
-                todo.append((child[node][side], rows_))
+                todo.append((child[node][side], rows_, copies))
         return Tree(np.array(direction), np.array(at), np.array(child))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

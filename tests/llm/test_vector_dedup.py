@@ -53,3 +53,33 @@ def test_whole_table_recall(spark, sf):
     want = brute([(r.vec_id, r.embedding, r.label) for r in df.collect()])
     got = result(V.near_duplicate_vectors(df))
     assert got == want
+
+
+def test_spill_is_bounded_and_recall_kept(monkeypatch):
+    """Planted pairs at cosines of 0.93 to 0.96, a third of the rows in one hot group, several levels of splits."""
+    monkeypatch.setattr(V, "LEAF", 100)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((1000, 64)))
+    side = unit(rng.standard_normal((1000, 64)))
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    cosine = rng.uniform(0.931, 0.96, (1000, 1))
+    hot = unit(unit(rng.standard_normal(64)) + unit(rng.standard_normal((2000, 64))) * np.sqrt(1 / 0.95 - 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side, rng.permutation(unit(rng.standard_normal((2000, 64)))), hot])
+    x = x[order := rng.permutation(len(x))]
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    is_hot = order[i] >= 4000
+    assert (~is_hot).sum() == 1000 and is_hot.sum() > 1_000_000
+    met = np.zeros(len(i), bool)
+    for seed in range(V.TREES):
+        tree = V.Tree.fit(x, 1.0, seed)
+        row, leaf = tree.leaves(x)
+        assert len(row) <= V.COPIES * len(x) and len(np.unique(leaf)) > 8
+        at = np.zeros((len(x), len(tree.at)), bool)
+        at[row, leaf] = True
+        used = at[:, at.any(0)]
+        packed = np.packbits(used, 1)
+        for a in range(0, len(i), 200_000):
+            met[a : a + 200_000] |= (packed[i[a : a + 200_000]] & packed[j[a : a + 200_000]]).any(1)
+    assert met[~is_hot].mean() >= 0.98 and met[is_hot].mean() >= 0.99
+    print(f"recall: planted {met[~is_hot].mean():.4f}, hot {met[is_hot].mean():.4f}")
