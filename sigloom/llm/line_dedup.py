@@ -8,25 +8,35 @@ places (positional filter) and the parities of all words bound the overlap befor
 whole sets are compared. Equal sets are one class.
 
 A line goes if any earlier line is similar enough. Lines are first held against
-the earliest line of each prefix word, and only those that stay against all
-earlier ones, so that a group of near copies does not meet in all pairs.
+the earliest line of each share of a prefix word's lines, and only those that
+stay against all earlier ones, so that a group of near copies does not meet in
+all pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise, prune_by_bloom
+from .storage import forget, materialise, prune_by_bloom
 
 CELLS = 1 << 16
 JACCARD = 0.8
-X = ["x0", "x1", "x2", "x3"]
+#: The lines of a word are dealt to so many shares in the first round; a hot word's lines so become several tasks.
+SHARES = 16
+#: Prefix words are joined in so many passes, each over its share of the words, so that one pass's shuffle is bounded.
+PASSES = 2
+X = ["x0", "x1"]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters beyond ASCII that lower() might change.
+_OTHER_CASE = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
 
 
 def _words(line: Column) -> Column:
-    plain = F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.split(F.trim(plain), " ")
+    """Words in order, folded A-Z only; "" may stand at either end. ``lower`` is the fast way where it changes A-Z alone."""
+    folded = F.when((F.octet_length(line) == F.length(line)) | ~F.rlike(line, F.lit(_OTHER_CASE)), F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
+    return F.split(folded, _GAP)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -34,43 +44,68 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("d", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "line"))
 
 
-def _sets(lines: DataFrame, rarity: Column) -> DataFrame:
-    """(d, l, s) of lines: s holds the distinct words as numbers, rarest first."""
-    cell = lambda w: F.element_at(F.col("rarity"), (F.xxhash64(w).bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int"))
-    word = lambda w: F.shiftleft(cell(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    lines = lines.select("d", "l", _words(F.col("line")).alias("w"), rarity.alias("rarity"))
-    return lines.select("d", "l", F.array_sort(F.transform(F.array_remove(F.array_distinct("w"), ""), word)).alias("s"))
+def _tokens(lines: DataFrame) -> DataFrame:
+    """(d, l, t) of lines: t holds the hashes of the distinct words."""
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    return lines.select("d", "l", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("t"))
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """Four times the logarithm of each cell's count; a literal of fixed size."""
-    cells = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("c")).count()
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
+
+
+def _rarity(tokens: DataFrame) -> Column:
+    """By cell: four times the logarithm of its count, in the highest byte of a long; a literal of fixed size."""
+    cells = tokens.select(F.explode("t").alias("h")).groupBy(_cell(F.col("h")).alias("c")).count()
     count = {r.c: r["count"] for r in cells.select("c", F.least(F.lit(120), F.floor(4 * F.log2(F.col("count")))).alias("count")).collect()}
-    return F.split(F.lit(",".join(str(count.get(i, 0)) for i in range(CELLS))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(count.get(i, 0) << 56) for i in range(CELLS))), ",").cast("array<bigint>")
+
+
+def _sets(tokens: DataFrame, rarity: Column) -> DataFrame:
+    """(d, l, s): s holds the words as numbers, rarest first."""
+    word = lambda h: F.get(rarity, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return tokens.select("d", "l", F.sort_array(F.transform("t", word)).alias("s"))
 
 
 def _overlap(n1: Column, n2: Column, jaccard: float) -> Column:
     return F.ceil(F.lit(jaccard / (1 + jaccard)) * (n1 + n2) - 1e-9)
 
 
+def _prefix(n: Column, share: float) -> Column:
+    """How many of the rarest words must be looked at if ``share`` of a set has to be shared."""
+    return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
+
+
+def _apart() -> Column:
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"b{x}"))) for x in X[1:]), F.bit_count(F.col("x0").bitwiseXOR(F.col("bx0"))))
+
+
 def _possible(jaccard: float) -> Column:
-    """Whether a pair that shares the word at places i and bi (from 0) can be similar enough."""
-    need = _overlap(F.col("n"), F.col("bn"), jaccard)
-    apart = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"bx{j}"))) for j in range(4)), F.lit(0))
-    return (F.least("n", "bn") >= F.lit(jaccard) * F.greatest("n", "bn") - 1e-9) & (F.least(F.col("n") - F.col("i"), F.col("bn") - F.col("bi")) >= need - F.least("i", "bi")) & (apart <= F.col("n") + F.col("bn") - 2 * need)
+    """Whether a pair that shares the word at places i and bi (from 0) can be similar enough; the test that most pairs fail comes first."""
+    differ = _apart() <= F.lit((1 - jaccard) / (1 + jaccard)) * (F.col("n") + F.col("bn")) + 1e-9
+    sizes = F.least("n", "bn") >= F.lit(jaccard) * F.greatest("n", "bn") - 1e-9
+    return differ & sizes & (F.least(F.col("n") - F.col("i"), F.col("bn") - F.col("bi")) >= _overlap(F.col("n"), F.col("bn"), jaccard) - F.least("i", "bi"))
+
+
+def _confirm(pairs: DataFrame, tokens: DataFrame, jaccard: float) -> DataFrame:
+    """The later lines (d, l) of ``pairs(d, l, bd, bl, q)`` that are similar.
+
+    Of each later line the pair of the least q is tried first, and the others only
+    where it fails. Whole sets move for the pairs' lines only.
+    """
+    ends = materialise(pairs.select("d", "l").union(pairs.select("bd", "bl")).distinct(), "ends")
+    sets = materialise(tokens.join(ends.where("d is not null"), ["d", "l"], "left_semi"), "sets")
 
+    def similar(some: DataFrame) -> DataFrame:
+        both = some.join(sets.withColumnRenamed("t", "s"), ["d", "l"]).join(sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), "t"), ["bd", "bl"])
+        shared = F.size(F.array_intersect("s", "t"))
+        return materialise(both.where(shared >= F.lit(jaccard) * (F.size("s") + F.size("t") - shared) - 1e-9).select("d", "l").distinct(), "later")
 
-def _confirm(pairs: DataFrame, docs: DataFrame, rarity: Column, jaccard: float) -> DataFrame:
-    """The later lines (d, l) of the pairs that are similar; whole sets are made for the pairs' lines only."""
-    pairs = materialise(pairs.select("d", "l", "bd", "bl").distinct(), "pairs")
-    ends = pairs.select("d", "l").union(pairs.select("bd", "bl")).distinct()
-    ends = materialise(ends, "ends")
-    ids = materialise(ends.select("d").distinct(), "ids")
-    lines = _lines(docs.join(ids.where("d is not null"), "d", "left_semi")).join(ends, ["d", "l"], "left_semi")
-    sets = materialise(_sets(lines.dropDuplicates(["d", "l"]), rarity), "sets")
-    both = pairs.join(sets, ["d", "l"]).join(sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), F.col("s").alias("t")), ["bd", "bl"])
-    shared = F.size(F.array_intersect("s", "t"))
-    return materialise(both.where(shared >= F.lit(jaccard) * (F.size("s") + F.size("t") - shared) - 1e-9).select("d", "l").distinct(), "later")
+    best = pairs.groupBy("d", "l").agg(F.min_by(F.struct("bd", "bl"), F.struct("q", "bd", "bl")).alias("b")).select("d", "l", "b.*")
+    later = similar(best)
+    later = later.union(similar(pairs.join(later, ["d", "l"], "left_anti").select("d", "l", "bd", "bl")))
+    forget(ends, sets)
+    return later
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
@@ -78,30 +113,47 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A line is removed if a line before it, by (id, line), has a Jaccard
     similarity of at least ``jaccard`` to it on distinct words, folded A-Z. Lines
-    without words, and so null and empty texts, are never removed. Null ids
-    count as the lowest; rows that share an id are one document, of which equal
-    lines at one place both stay. Other columns are not read.
+    without words, and so null and empty texts, are never removed. Ids are
+    integers; null ids count as the lowest; rows that share an id are one
+    document, of which equal lines at one place both stay and unlike ones go
+    together. Other columns are not read.
     """
     prune_by_bloom(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.col(text_col).alias("text"))
-    rarity = _rarity(docs)
-    #: Parities of the words in each of 256 cells: two sets' parities differ in no more cells than the sets in words.
-    parity = lambda j: F.expr(f"aggregate(s, 0L, (a, x) -> IF((shiftright(x, 9) & 3L) = {j}L, a ^ shiftleft(1L, cast(shiftright(x, 3) & 63L as int)), a))")
+    #: A word comes often: its number in a dictionary of one file is a third of its hash.
+    tokens = materialise(_tokens(_lines(docs)), "tokens", {"parquet.dictionary.page.size": str(16 << 20)})
     n = F.size("s")
-    told = _sets(_lines(docs), rarity).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), *(parity(j).alias(f"x{j}") for j in range(4)), F.slice("s", 1, F.greatest(F.lit(0), n - F.ceil(F.lit(jaccard) * n - 1e-9) + 1).cast("int")).alias("p"))
+    #: Parities of the words in each of 128 cells: two sets' parities differ in no more cells than the sets in words.
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda j: F.aggregate("s", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == 64 * j, a.bitwiseXOR(bit(w))).otherwise(a))
+    prefix = F.transform(F.slice("s", 1, F.greatest(F.lit(0), _prefix(n, jaccard))), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    told = _sets(tokens, _rarity(tokens)).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), *(parity(j).alias(x) for j, x in enumerate(X)), prefix.alias("p"))
     told = materialise(told, "lines")
-    first = told.groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", *X, "p")).alias("m"))
-    classes = materialise(first.select("h1", "h2", "m.*").where("n > 0"), "classes")
+    first = told.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", *X, "p")).alias("m"))
+    classes = materialise(first.select("h1", "h2", "m.*"), "classes")
     #: A set that has no place for one more or one less word is similar to itself alone.
     able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
-    posts = lambda c: c.select("d", "l", "n", *X, F.posexplode("p").alias("i", "key"))
-    other = lambda p: p.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "l", "n", *X, "i")))
+    #: A set and one no smaller share a word of this shorter prefix of the smaller one, too.
+    short = lambda size: _prefix(size, 2 * jaccard / (1 + jaccard))
+    posts = lambda c, p="p": c.select("d", "l", "n", *X, F.posexplode(p).alias("i", "key"))
     before = (F.col("bd") < F.col("d")) | ((F.col("bd") == F.col("d")) & (F.col("bl") < F.col("l")))
-    all_ = posts(able)
-    pivots = all_.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("d", "l", "n", *X, "i")).alias("m")).where("c > 1").select("key", "m.*")
-    gone = _confirm(all_.join(other(pivots), "key").where(before & _possible(jaccard)), docs, rarity, jaccard)
+    pair = ["d", "l", "bd", "bl", (_apart() / (F.col("n") + F.col("bn"))).alias("q")]
+    share = F.pmod(F.xxhash64("d", "l"), F.lit(SHARES)).cast("int")
+    w = Window.partitionBy("key", "share").orderBy("d", "l")
+    lead = posts(able, F.slice("p", 1, short(F.col("n")))).withColumn("share", share).withColumn("b", F.first(F.struct("d", "l", "n", *X, "i")).over(w))
+    lead = lead.select("*", *(F.col("b")[c].alias(f"b{c}") for c in ("d", "l", "n", *X, "i"))).where(before & _possible(jaccard))
+    gone = _confirm(materialise(lead.select(*pair).distinct(), "pairs"), tokens, jaccard)
     stay = able.join(gone, ["d", "l"], "left_anti")
-    gone = gone.union(_confirm(posts(stay).join(other(all_), "key").where(before & _possible(jaccard)), docs, rarity, jaccard))
+    shorter_has = F.when(F.col("n") <= F.col("bn"), F.col("i") < short(F.col("n"))).otherwise(F.col("bi") < short(F.col("bn")))
+    pairs = None
+    for k in range(PASSES):
+        part = F.pmod("key", F.lit(PASSES)) == k
+        other = posts(able).where(part).select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "l", "n", *X, "i")))
+        met = posts(stay).where(part).join(other, "key").where(_possible(jaccard) & before & shorter_has).select(*pair).distinct()
+        met = materialise(met, "pairs")
+        pairs = met if pairs is None else pairs.union(met)
+    gone = gone.union(_confirm(pairs.distinct(), tokens, jaccard))
+    forget(tokens)
     late = gone.select("d", "l", F.lit(True).alias("late"))
     fate = classes.select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl")).join(late.select(F.col("d").alias("fd"), F.col("l").alias("fl"), "late"), ["fd", "fl"], "left")
     out = told.select("d", "l", "h1", "h2").join(fate, ["h1", "h2"], "left")

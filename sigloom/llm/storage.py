@@ -7,21 +7,22 @@ Spark picks a broadcast join only where the table is known to be small.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local temporary one where it is unset (tests)."""
+    """This application's place in the folder named by ``spark.checkpoint.dir``.
+
+    Without that setting there is no folder that all executors surely see, so
+    this raises; tests and single machines set one of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="sigloom-"))
-        base = _LOCAL[0]
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     return f"{base.rstrip('/')}/sigloom-{spark.sparkContext.applicationId}"
 
 
@@ -29,18 +30,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, name: str = "step", options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, with ``options`` of the Parquet writer, and return the table read back.
+
+    The shuffle files behind it go as soon as the table stands, not when the
+    driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        home = shared_dir(df.sparkSession)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/sigloom-{df.sparkSession.sparkContext.applicationId}/" in folder and home:
+                _delete(df.sparkSession, folder)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results not yet written elsewhere go with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 def prune_by_bloom(spark: SparkSession) -> None:
