@@ -96,7 +96,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), allowed=fold != 2)
-    return toxicity.score(docs, model, bar=0.3).select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model, bar=0.3).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ STARTS = (4, 5, 6)
 #: The training sample: rows of each label, and words in all.
 SAMPLE_ROWS, SAMPLE_WORDS = {1: 3000, 0: 6000}, 4_000_000
 _PAD = max(WIDTHS) - 1
+#: Log odds of a model that saw no toxic row.
+NEVER = -20.0
 
 
 def buckets(words: Words) -> np.ndarray:
@@ -35,7 +37,7 @@ def buckets(words: Words) -> np.ndarray:
 def _padded(ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the words among the rows of a padded sequence, each text's first row, and the number of rows.
 
-    A text has ``1 + _PAD`` empty rows after its words, so no filter sees two texts and a text without words has a row.
+    A text has ``1 + _PAD`` empty rows after its words; a filter starts at its words or the first of these, so none sees two texts.
     """
     counts = np.diff(ptr)
     first = ptr[:-1] + np.arange(len(counts)) * (1 + _PAD)
@@ -68,6 +70,8 @@ class Model:
             total += self.emb[ids[:, j]]
         x[at] = total
         maps = np.concatenate([sum(x[j : n + j] @ m for j, m in enumerate(ms)) for ms in self.conv], 1)
+        for j in range(_PAD):  # from here a filter would see the next text
+            maps[first + counts + 1 + j] = -np.inf
         pooled = np.maximum(np.maximum.reduceat(maps, first, 0) + self.bias, 0) if len(first) else np.zeros((0, len(self.bias)), np.float32)
         return x, maps, at, first, pooled, pooled @ self.out + np.float32(self.out_bias)
 
@@ -79,7 +83,8 @@ def train(ids: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int =
     """Weighted logistic loss by Adam; embeddings take sparse steps."""
     model, rng = Model.new(seed), np.random.default_rng(seed)
     groups = [np.flatnonzero(y == c) for c in (0, 1)]
-    if not len(y):
+    if not y.any():
+        model.out[:], model.out_bias, model.threshold = 0, NEVER, np.inf
         return model
     dense = [m for ms in model.conv for m in ms]
     moments = [np.zeros_like(m) for m in dense], [np.zeros_like(m) for m in dense]
@@ -164,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     the sample the label shares of all allowed rows. A sixth of the sample is
     kept from training and sets the threshold of each language (``lang_col``)
     with ``min_positives`` toxic rows there, and one for the rest. Null ids and
-    labels other than 0 and 1 are not used. Without labels the model is untrained.
+    labels other than 0 and 1 are not used. Ids are integers. Without toxic rows every
+    score is next to 0 and nothing is rejected.
     """
     small_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
