@@ -24,7 +24,10 @@ BUCKETS = 1 << 15
 SAMPLE = 2000
 #: Trigrams overlap, so their log likelihoods count for less than independent ones.
 TEMPER, STRENGTH = 0.25, 5.0
-_HTML = re.compile(rb"<(script|style|nav|header|footer)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", re.S | re.I)
+#: Elements whose content isn't text of the page.
+_ASIDE = re.compile(rb"<(script|style|nav|header|footer)\b", re.I)
+_CLOSE = {n: re.compile(rb"</" + n + rb"\s*>", re.I) for n in (b"script", b"style", b"nav", b"header", b"footer")}
+_ENTITY = re.compile(rb"&[a-z#0-9]+;", re.I)
 
 
 def _trigrams(text: bytes) -> np.ndarray:
@@ -37,7 +40,43 @@ def _trigrams(text: bytes) -> np.ndarray:
 
 
 def visible(html: str | None) -> bytes:
-    return b" ".join(_HTML.sub(b" ", (html or "").encode()).split())
+    """A page's text: whole asides, comments, tags and entities become spaces.
+
+    One scan: an end that was once not found is never looked for again, so the
+    time grows with the length, whatever is left unclosed.
+    """
+    page, out, at, missing = (html or "").encode(), [], 0, set()
+
+    def past(kind: bytes, start: int) -> int:
+        if kind in missing:
+            return -1
+        if kind in _CLOSE:
+            found = _CLOSE[kind].search(page, start)
+            end = found.end() if found else -1
+        else:
+            end = page.find(kind, start)
+            end = end + len(kind) if end >= 0 else -1
+        if end < 0:
+            missing.add(kind)
+        return end
+
+    while (i := page.find(b"<", at)) >= 0:
+        out.append(page[at:i])
+        aside, end = _ASIDE.match(page, i), -1
+        if aside:
+            end = past(aside[1].lower(), aside.end())
+        elif page.startswith(b"<!--", i):
+            end = past(b"-->", i + 4)
+        if end < 0:
+            end = past(b">", i + 1)
+        if end < 0:
+            out.append(b"<")
+            end = i + 1
+        else:
+            out.append(b" ")
+        at = end
+    out.append(page[at:])
+    return b" ".join(_ENTITY.sub(b" ", b"".join(out)).split())
 
 
 def _count(batches):
@@ -75,7 +114,7 @@ def _likelihood(model):
             rows = []
             for html in batch.column(2).to_pylist():
                 t = _trigrams(visible(html))
-                rows.append((TEMPER * table[:, t].sum(1)).tolist() if len(t) else [0.0] * len(langs))
+                rows.append((TEMPER * table[:, t].sum(1)).tolist() if len(t) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64())), *(batch.column(i) for i in (3, 4, 5, 6))], ["page_id", "url", "ll", "declared", "address", "host", "domain"])
 
     return run
@@ -90,8 +129,9 @@ def _log_softmax(ll):
 def identify(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, lang, confidence, text_lang, declared, address, host: one row per page.
 
-    Null or empty pages rest on the other evidence; a page without any gets the
-    language of the prior. Null addresses have no host. ``lang`` ties go to the
+    Pages without trigrams of text, and so null and empty ones, have no text_lang:
+    they rest on the other evidence and count for none; a page without any gets
+    the language of the prior. Ids are integers. Null addresses have no host. ``lang`` ties go to the
     language that sorts first. Without languages lang is null.
     """
     spark = pages.sparkSession
@@ -120,7 +160,7 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str
         rows = full.join(per, "text_lang").groupBy(evidence).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", F.log(F.col("c") / F.col("t")).alias("v")))).alias("m"))
         return rows.select(evidence, F.transform(known, lambda x: F.col("m")[x]).alias(f"ll_{evidence}"))
 
-    counts = told.groupBy("host", "domain").agg(*(F.sum((F.col("text_lang") == x).cast("double")).alias(f"n{i}") for i, x in enumerate(langs)))
+    counts = told.groupBy("host", "domain").agg(*(F.coalesce(F.sum((F.col("text_lang") == x).cast("double")), F.lit(0.0)).alias(f"n{i}") for i, x in enumerate(langs)))
     hosts = materialise(counts, "hosts")
     arr = lambda p: F.array(*(F.col(f"{p}{i}") for i in range(len(langs))))
     add = [F.sum(f"n{i}").alias(f"d{i}") for i in range(len(langs))]

@@ -54,14 +54,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """id_col, license, containment, first_word: a row per document and template found in it.
 
     A template is found where a window holds at least ``contained`` of its
-    distinct 5-word shingles; containment is that of the best window, first_word
+    distinct 5-word shingles; no templates find nothing; containment is that of the best window, first_word
     the first word of the earliest best window. Null, empty and wordless texts,
     and templates without words, are in no row. Repeated rows of a document
     count once; rows of null id are reported under null.
     """
     spark = docs.sparkSession
     empty = docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where("false")
-    texts = [(k, v) for k, v in (templates or TEMPLATES).items() if v]
+    texts = [(k, v) for k, v in (TEMPLATES if templates is None else templates).items() if v]
+    if not texts:
+        return empty
     told = materialise(spark.createDataFrame(texts, "license string, text string").select("license", _words(F.col("text")).alias("w")), "words").where("size(w) > 0")
     told = materialise(told.select("license", F.array_distinct(_shingles(F.col("w"))).alias("t")), "templates")
     lengths = [r[0] for r in told.select(F.size("t")).distinct().collect()]

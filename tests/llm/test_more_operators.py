@@ -3,6 +3,7 @@
 import collections
 import os
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -107,12 +108,12 @@ def brute_language(pages, langs, table):
         s, p = re.search(r"\.([a-z]{2})$", host), re.match(r"[a-z]+://[^/]+/([a-z]{2})(?:/|$)", u)
         a = next((x[1] for x in (s, p) if x and x[1] in langs), None)
         dom = (re.search(r"([^.]+\.[^.]+)$", host) or [0, ""])[1]
-        first.append((ll, int(ll.argmax()), d, a, host, dom))
+        first.append((ll, int(ll.argmax()) if len(t) else None, d, a, host, dom))
     n = len(langs)
     overall = np.ones(n)
     host_n, dom_n = collections.defaultdict(lambda: np.zeros(n)), collections.defaultdict(lambda: np.zeros(n))
     trust = {2: np.ones((n, n)), 3: np.ones((n, n))}
-    for f in first:
+    for f in (f for f in first if f[1] is not None):
         overall[f[1]] += 1
         host_n[f[4]][f[1]] += 1
         dom_n[f[5]][f[1]] += 1
@@ -145,6 +146,32 @@ def test_languages(spark, sf):
     assert right.where("lang = truth").count() > 0.95 * right.count()
 
 
+TAGS = re.compile(rb"<(script|style|nav|header|footer)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", re.S | re.I)
+
+
+def test_visible_text():
+    pages = ["a<b>c</b>&amp;d", "<!-- x <b> --> y <!-- z", "<script>if (a<b) {}</SCRIPT >t<nav>m</nav", "<style>no end <p>x</p>", "< > <", "<headers>k</headers>", "<!-->ab-->c", "", None]
+    for page in pages:
+        assert language_id.visible(page) == b" ".join(TAGS.sub(b" ", (page or "").encode()).split()), page
+
+
+@pytest.mark.parametrize("piece", ["<!-- ", "<script>", "<", "<p ", "&amp", "</script "])
+def test_a_megabyte_of_unclosed_tags(piece):
+    began = time.process_time()
+    language_id.visible(piece * (1_000_000 // len(piece)) + " text")
+    assert time.process_time() - began < 20
+
+
+def test_pages_without_text_count_for_nothing(spark):
+    docs = spark.createDataFrame([(i, ("the cat sat on the mat ", "der hund und die katze ")[i % 2] * 9, ("en", "de")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    langs, table = language_id.fit(docs)
+    rows = [(i, f"http://h.com/{i}", "") for i in range(200)] + [(1000 + i, f"http://h.com/e{i}", "<p>the cat sat on the mat</p>") for i in range(3)]
+    got = language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), langs, table).collect()
+    assert {r.text_lang for r in got if r.page_id < 1000} == {None} and {r.lang for r in got} == {"en"}
+    empty = language_id.identify(spark.createDataFrame(rows[:5], "page_id long, url string, html string"), langs, table).collect()
+    assert {r.lang for r in empty} == {"de"} and all(abs(r.confidence - 0.5) < 1e-6 for r in empty)
+
+
 def brute_licenses(rows, templates):
     norm = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()))
     sh = lambda w: [tuple(w)] * (0 < len(w) < 5) or [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
@@ -160,3 +187,4 @@ def test_licenses(spark, sf):
     got = [(r.doc_id, r.license) for r in license_scan.scan_licenses(df).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_licenses(rows, t) and (9003, "GPL-3.0") in got
     assert license_scan.scan_licenses(df.limit(0)).count() == 0 and license_scan.scan_licenses(df, {"none": "?"}).count() == 0
+    assert license_scan.scan_licenses(df, {}).count() == 0
