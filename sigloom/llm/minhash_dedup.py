@@ -150,13 +150,22 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return materialise(pairs.join(sa, ["a", "a1"]).join(sb, ["b", "b1"]).where(100 * both >= percent * all_).select("a", "b"), "links")
 
 
+def _shared_ids(told: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) between classes that have an id in common."""
+    often = told.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("doc_id")
+    of = told.join(often, "doc_id").join(classes.select("h1", "h2", "n", "id"), ["h1", "h2", "n"]).select("doc_id", "id").distinct()
+    first = of.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return materialise(of.join(first, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "shared")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, pairs_per_row: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Documents with ``100 * intersection >= percent * union`` of their distinct
     ``shingle``-word sets are linked; component_id is the smallest id reachable.
     Null, empty and wordless texts have no set and are linked with nothing;
-    rows that share an id are one vertex; a row of null id is never kept.
+    rows that share an id are one vertex, of one component and one fate; a row of null id is
+    never kept; ids are integers.
     Of ``docs`` only the two columns are read, so other columns may have any name.
     ``pairs_per_row``: rounds that hold the members of each key against one of
     its lowest component precede the last, exhaustive one while more pairs than this for each class remain
@@ -173,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = classes.select("id", F.col("id").alias("comp"), "sig").mapInArrow(_keys(False), keyed)
     pivots = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("b")).where("c > 1")
     star = bands.join(pivots, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = _confirm(_near(star, classes, percent), docs, shingle, percent)
+    links = _confirm(_near(star, classes, percent), docs, shingle, percent).union(_shared_ids(told, classes))
     comps = materialise(components(links), "components")
     cross, turn, last, gaining = None, 0, False, True
     while not last:

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from sigloom.llm.minhash_dedup import near_duplicates
@@ -55,6 +56,26 @@ def test_empty_and_repeated_rows(spark):
     assert got == [(0, 1, False), (1, 1, True), (1, 1, True), (1, 1, True)]
 
 
+def test_rows_that_share_an_id(spark):
+    t, u = (" ".join(f"{p}{i}" for i in range(20)) for p in "tu")
+    df = spark.createDataFrame([(5, t), (7, t), (7, u), (9, u), (8, None), (8, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (8, 8, True)}
+
+
+def test_pairs_just_over_the_threshold(spark):
+    """Sets of 90 shingles of which the fewest allowed are shared: every link is found."""
+    rng, rows, links = np.random.default_rng(4), [], 0
+    for k in range(300):
+        n = int(rng.integers(40, 400))
+        base = [f"p{k}w{i}" for i in range(n)]
+        cut = max(c for c in range(n) if 100 * (n - c - 1) >= 80 * (n - 1 + c))  # the second text holds c words of its own at its end
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - cut] + [f"p{k}x{i}" for i in range(cut)]))]
+    want = brute(rows, 2)
+    links = sum(not v[2] for v in want.values())
+    assert links > 250 and result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)) == want
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
