@@ -57,8 +57,42 @@ def rescale(w: DataFrame, h: DataFrame) -> DataFrame:
     return h.join(w.groupBy("signature").agg(F.sum("weight").alias("s")), "signature").select("sample", "signature", (F.col("activity") * F.col("s")).alias("activity"))
 
 
-def multiply(w: DataFrame, h: DataFrame) -> DataFrame:
-    return w.join(h, "signature").groupBy("channel", "sample").agg(F.sum(F.col("weight") * F.col("activity")).alias("est"))
+def multiply(w: DataFrame, h: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """W x H as a join and a grouped sum; ``by`` names columns that tell several solutions apart."""
+    return w.join(h, [*by, "signature"]).groupBy(*by, "channel", "sample").agg(F.sum(F.col("weight") * F.col("activity")).alias("est"))
+
+
+def _ratio(catalog: DataFrame, w: DataFrame, h: DataFrame, beta: float, side: str) -> DataFrame:
+    """(side, signature, r): by what a multiplicative update of the divergence ``beta`` scales the weights or activities.
+
+    The estimate is dense, so cells that the catalogue lacks count as zeros. One
+    join makes the estimate; the other factor is joined to its cells on the
+    dimension that is summed over.
+    """
+    cells = multiply(w, h).join(catalog.select("channel", "sample", F.col("cnt").cast("double").alias("v")), ["channel", "sample"], "left")
+    up, down = F.coalesce("v", F.lit(0.0)) * F.pow("est", F.lit(beta - 2)), F.pow("est", F.lit(beta - 1))
+    other, on, x = (h, "sample", "activity") if side == "channel" else (w, "channel", "weight")
+    both = cells.select("channel", "sample", up.alias("up"), down.alias("down")).join(other, on)
+    return both.groupBy(side, "signature").agg(F.try_divide(F.sum(F.col("up") * F.col(x)), F.sum(F.col("down") * F.col(x))).alias("r"))
+
+
+def nmf_round(catalog: DataFrame, w: DataFrame, h: DataFrame, beta: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """One round of multiplicative updates as joins and grouped sums: W then H for beta 1 (KL), else H then W.
+
+    A factor whose denominator is zero becomes zero.
+    """
+
+    def weights(w: DataFrame, h: DataFrame) -> DataFrame:
+        return w.join(_ratio(catalog, w, h, beta, "channel"), ["channel", "signature"]).select("channel", "signature", (F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("weight"))
+
+    def activities(w: DataFrame, h: DataFrame) -> DataFrame:
+        return h.join(_ratio(catalog, w, h, beta, "sample"), ["sample", "signature"]).select("sample", "signature", (F.col("activity") * F.coalesce("r", F.lit(0.0))).alias("activity"))
+
+    if beta == 1:
+        w = weights(w, h)
+        return w, activities(w, h)
+    h = activities(w, h)
+    return weights(w, h), h
 
 
 def probabilities(w: DataFrame, h: DataFrame) -> DataFrame:
@@ -89,28 +123,42 @@ def pairwise(vectors: DataFrame, how: str = "cosine") -> DataFrame:
     return both.agg(F.when(zero, 0.0).otherwise(_pearson("xa", "xb")).alias("similarity"))
 
 
-def similarity_table(catalog: DataFrame, est: DataFrame) -> DataFrame:
-    """Eight measures per sample; percentages come from the rounded norms, an infinite divergence is 1000."""
-    both = catalog.select("channel", "sample", F.col("cnt").cast("double").alias("v")).join(est.select("channel", "sample", F.col("est").cast("double").alias("q")), ["channel", "sample"])
-    w = Window.partitionBy("sample")
+def similarity_table(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Eight measures per sample (and solution, ``by``); percentages come from the rounded norms, an infinite divergence is 1000."""
+    both = catalog.select("channel", "sample", F.col("cnt").cast("double").alias("v")).join(est.select(*by, "channel", "sample", F.col("est").cast("double").alias("q")), ["channel", "sample"])
+    w = Window.partitionBy(*by, "sample")
     both = both.withColumns({"pv": F.try_divide("v", F.sum("v").over(w)), "pq": F.try_divide("q", F.sum("q").over(w))})
     kl = F.sum(F.when(F.col("pv") == 0, 0.0).when(F.col("pq") == 0, float("inf")).otherwise(F.col("pv") * F.ln(F.when(F.col("pq") > 0, F.col("pv") / F.col("pq")))))
     d, total = F.col("v") - F.col("q"), F.sum("v")
     l1, l2 = F.round(F.sum(F.abs(d)), 3), F.round(F.sqrt(F.sum(d * d)), 3)
     zero = (total == 0) | (F.sum("q") == 0)
-    return both.groupBy("sample").agg(
+    return both.groupBy(*by, "sample").agg(
         total.cast("long").alias("total_mutations"), F.round(_cosine(F.col("v"), F.col("q")), 3).alias("cosine"), l1.alias("l1"), F.round(F.try_divide(l1 * 100, total), 3).alias("l1_pct"), l2.alias("l2"),
         F.round(F.try_divide(l2 * 100, F.sqrt(F.sum(F.col("v") * F.col("v")))), 3).alias("l2_pct"), F.when(kl == float("inf"), 1000.0).otherwise(F.round(kl, 5)).alias("kl"), F.round(F.when(zero, 0.0).otherwise(_pearson("v", "q")), 3).alias("correlation"))
 
 
-def frobenius_error(catalog: DataFrame, est: DataFrame) -> DataFrame:
+def frobenius_error(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     d = F.col("cnt") - F.col("est")
-    return catalog.join(est, ["channel", "sample"]).agg(F.round(F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("cnt") * F.col("cnt")))), 4).alias("fro_err"))
+    return catalog.join(est, ["channel", "sample"]).groupBy(*by).agg(F.round(F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("cnt") * F.col("cnt")))), 4).alias("fro_err"))
+
+
+def metric_summary(similarity: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means, medians and extremes of the measures over samples."""
+    asked = {
+        "mean_cosine": (F.avg, "cosine"), "max_cosine": (F.max, "cosine"), "median_l1_pct": (F.median, "l1_pct"), "max_l1_pct": (F.max, "l1_pct"), "median_l2_pct": (F.median, "l2_pct"),
+        "max_l2_pct": (F.max, "l2_pct"), "mean_kl": (F.avg, "kl"), "max_kl": (F.max, "kl"), "mean_corr": (F.avg, "correlation"), "min_corr": (F.min, "correlation"),
+    }
+    return similarity.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in asked.items()))
 
 
-def metric_summary(similarity: DataFrame) -> DataFrame:
-    f = lambda fn, c, n: fn(c).alias(n)
-    return similarity.agg(f(F.avg, "cosine", "mean_cosine"), f(F.max, "cosine", "max_cosine"), f(F.median, "l1_pct", "median_l1_pct"), f(F.max, "l1_pct", "max_l1_pct"), f(F.median, "l2_pct", "median_l2_pct"), f(F.max, "l2_pct", "max_l2_pct"), f(F.avg, "kl", "mean_kl"), f(F.max, "kl", "max_kl"), f(F.avg, "correlation", "mean_corr"), f(F.min, "correlation", "min_corr"))
+def selection_metrics(similarity: DataFrame) -> DataFrame:
+    """By rank k, the ten measures of the selection table, rounded as reports want them."""
+    x = similarity.withColumn("far", 1 - F.col("cosine"))
+    asked = [
+        ("mean_l1_pct", F.median("l1_pct"), 2), ("max_l1_pct", F.max("l1_pct"), 2), ("mean_l2_pct", F.median("l2_pct"), 2), ("max_l2_pct", F.max("l2_pct"), 2), ("mean_kl", F.avg("kl"), 4),
+        ("max_kl", F.max("kl"), 4), ("mean_cosine_distance", F.avg("far"), 3), ("max_cosine_distance", F.max("far"), 3), ("mean_correlation", F.avg("correlation"), 3), ("min_correlation", F.min("correlation"), 3),
+    ]
+    return x.groupBy("k").agg(*(F.round(c, n).alias(name) for name, c, n in asked))
 
 
 def centroids(replicates: DataFrame) -> DataFrame:
@@ -138,13 +186,43 @@ def rank_filter(stats: DataFrame, stability: float = 0.8, min_stability: float =
     return stats.where((F.col("min_stability") + F.col("avg_stability") >= combined) & (F.col("min_stability") >= min_stability) & (F.col("avg_stability") >= stability))
 
 
+#: The values of a rank test are cut at so many quantiles into ranges that are ranked apart.
+RANGES = 64
+
+
 def rank_sum(values: DataFrame) -> DataFrame:
-    """``values(grp, x)`` of two groups 'a' and 'b': z of a's rank sum, with average ranks for ties and no tie correction."""
-    tie = Window.partitionBy("x")
-    ranked = values.withColumn("r", F.rank().over(Window.orderBy("x")) + (F.count("*").over(tie) - 1) / F.lit(2.0))
-    n1, n2 = F.sum((F.col("grp") == "a").cast("double")), F.sum((F.col("grp") == "b").cast("double"))
-    s = F.sum(F.when(F.col("grp") == "a", F.col("r")))
-    return ranked.agg(s.alias("rank_sum"), ((s - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)).alias("z"))
+    """``values(grp, x)`` of two groups 'a' and 'b': z of a's rank sum, with average ranks for ties and no tie correction.
+
+    Equal values are counted first; ranges of values between quantiles then get
+    their running counts side by side, and each range the count of those before.
+    """
+    counts = values.groupBy("x").agg(F.count(F.when(F.col("grp") == "a", 1)).alias("na"), F.count("*").alias("n"))
+    cuts = counts.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
+    at = sum(((F.col("x") > F.lit(c)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+    counts = counts.withColumn("range", at)
+    sizes = counts.groupBy("range").agg(F.sum("n").alias("size"))  # at most RANGES rows
+    offset = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("offset"))
+    within = F.sum("n").over(Window.partitionBy("range").orderBy("x")) - F.col("n")
+    ranked = counts.withColumn("within", within).join(F.broadcast(offset), "range").withColumn("r", F.col("offset") + F.col("within") + (F.col("n") + 1) / F.lit(2.0))
+    n1, both = F.sum("na").cast("double"), F.sum("n").cast("double")
+    s = F.sum(F.col("na") * F.col("r"))
+    return ranked.agg(s.alias("rank_sum"), ((s - n1 * (both + 1) / 2.0) / F.sqrt(n1 * (both - n1) * (both + 1) / 12.0)).alias("z"))
+
+
+def compare_ranks(errors: DataFrame, base: int) -> DataFrame:
+    """``errors(k, x)`` -> (k, z, median): the rank test of the base's errors against those of each other rank, and that rank's median.
+
+    Errors are those of samples; each rank is tested apart.
+    """
+    own = errors.select("k", F.lit("b").alias("grp"), "x")
+    ks = errors.select("k").distinct()  # at most a few dozen
+    pairs = own.union(ks.crossJoin(errors.where(F.col("k") == base).select(F.lit("a").alias("grp"), "x")))
+    w = Window.partitionBy("k")
+    ranked = pairs.withColumn("r", F.rank().over(w.orderBy("x")) + (F.count("*").over(Window.partitionBy("k", "x")) - 1) / F.lit(2.0))
+    a = F.col("grp") == "a"
+    n1, n2, s = F.count(F.when(a, 1)).cast("double"), F.count(F.when(~a, 1)).cast("double"), F.sum(F.when(a, F.col("r")))
+    z = (s - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
+    return ranked.groupBy("k").agg(z.alias("z"), F.median(F.when(~a, F.col("x"))).alias("median"))
 
 
 def cutoff_stats(catalog: DataFrame) -> DataFrame:
@@ -171,16 +249,16 @@ def majority(labels: DataFrame) -> DataFrame:
 
 
 def single_linkage(pairs: DataFrame, points: DataFrame, distance: float) -> DataFrame:
-    """Clusters of single linkage cut at ``distance``: components of ``pairs(a, b, distance)``, by label spreading."""
+    """Clusters of single linkage cut at ``distance``: components of ``pairs(a, b, distance)``, by label spreading.
+
+    Each round's labels are checkpointed, so ``spark.checkpoint.dir`` must be set.
+    """
     near = pairs.where(F.col("distance") <= distance).select("a", "b")
-    edges = near.union(near.select("b", "a")).persist()
+    edges = near.union(near.select("b", "a")).checkpoint()
     label = points.select("id", F.col("id").alias("cluster"))
     while True:
         low = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = label.join(low, label.id == low.a, "left").select("id", "cluster", F.least("cluster", "m").alias("new"))
-        new = new.checkpoint() if new.sparkSession.conf.get("spark.checkpoint.dir", None) else new.persist()
-        changed = new.where("new <> cluster").limit(1).count()
+        new = label.join(low, label.id == low.a, "left").select("id", "cluster", F.least("cluster", "m").alias("new")).checkpoint()
         label = new.select("id", F.col("new").alias("cluster"))
-        if not changed:
-            edges.unpersist()
+        if new.where("new <> cluster").isEmpty():
             return label

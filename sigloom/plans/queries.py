@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels as K
 from ..functions import scalars as S
 from ..operators import matrix as M
 from ..sources import catalog as C
@@ -78,14 +77,18 @@ def catalog_long(spark, d):
     return catalog(spark, d)
 
 
-@query(f"WITH {CATALOG_SQL} SELECT channel, " + ", ".join(f"coalesce(sum(cnt) FILTER (WHERE sample = '{n}'), 0)::BIGINT AS \"{n}\"" for n in ("NATION_3", "NATION_12", "NATION_20")) + " FROM catalog GROUP BY channel")
+#: The samples of the catalogue: the names of all nations, a fixed list.
+NATIONS = [f"NATION_{i}" for i in range(25)]
+
+
+@query(f"WITH {CATALOG_SQL} SELECT channel, " + ", ".join(f"coalesce(sum(cnt) FILTER (WHERE sample = '{n}'), 0)::BIGINT AS \"{n}\"" for n in NATIONS) + " FROM catalog GROUP BY channel")
 def catalog_wide(spark, d):
-    return C.to_wide(catalog(spark, d), ["NATION_3", "NATION_12", "NATION_20"])
+    return C.to_wide(catalog(spark, d), NATIONS)
 
 
-@query(f"WITH {CATALOG_SQL} SELECT channel, sample, cnt::DOUBLE AS cnt FROM catalog WHERE sample IN ('NATION_3', 'NATION_12', 'NATION_20')")
+@query(f"WITH {CATALOG_SQL} SELECT channel, sample, cnt::DOUBLE AS cnt FROM catalog")
 def melt(spark, d):
-    return C.to_long(C.to_wide(catalog(spark, d), ["NATION_3", "NATION_12", "NATION_20"])).where("cnt > 0")
+    return C.to_long(C.to_wide(catalog(spark, d), NATIONS)).where("cnt > 0")
 
 
 @query(f"WITH {SPARSE_SQL} SELECT * FROM sparse WHERE sample IN (SELECT sample FROM sparse GROUP BY 1 HAVING sum(cnt) > 0)")
@@ -106,10 +109,10 @@ def csv_merge(spark, d):
     return C.merge_matrices([nation, count], ["n_nationkey", "n_regionkey"])
 
 
-@query(f"""WITH {SPARSE_SQL}, o AS (SELECT 'd' || i AS channel, i AS channel_idx FROM range(1, 31) t(i)), s AS (SELECT DISTINCT sample FROM sparse)
+@query(f"""WITH {SPARSE_SQL}, o AS (SELECT 'd' || i AS channel, i AS channel_idx FROM range(1, 367) t(i)), s AS (SELECT DISTINCT sample FROM sparse)
 SELECT channel, sample, channel_idx::INTEGER AS channel_idx, coalesce(cnt, 0) AS cnt FROM o CROSS JOIN s LEFT JOIN sparse USING (channel, sample)""")
 def order_align(spark, d):
-    order = spark.range(1, 31).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("channel"), F.col("id").cast("int").alias("channel_idx"))
+    order = spark.range(1, 367).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("channel"), F.col("id").cast("int").alias("channel_idx"))
     return C.align(sparse(spark, d), order).select("channel", "sample", "channel_idx", "cnt")
 
 
@@ -290,16 +293,21 @@ def set_union(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").select("s_nationkey")).distinct()
 
 
-@query(f"WITH {CATALOG_SQL} SELECT sample, sum(cnt)::BIGINT AS total FROM catalog GROUP BY 1")
+@query(f"""WITH {CATALOG_SQL} SELECT sample, sum(cnt)::BIGINT AS total, count(*) FILTER (WHERE cnt = 0) AS outside, 0::BIGINT AS far, count(*) < 2 AS same FROM catalog GROUP BY 1""")
 def bootstrap_totals(spark, d):
-    """A resample of every sample keeps its total."""
+    """A resample of every sample: its total stays, no new channel comes in, no cell is over six deviations off, and it differs."""
+    import zlib
+
+    import numpy as np
     import pandas as pd
 
     def run(key, pdf):
-        out = X.bootstrap(pdf.sort_values("channel")["cnt"].to_numpy()[:, None].astype(float), X._generator(7, len(key[0])))
-        return pd.DataFrame({"sample": key[0], "total": [int(out.sum())]})
+        v = pdf.sort_values("channel")["cnt"].to_numpy().astype(float)
+        out = X.bootstrap(v[:, None], X._generator(7, zlib.crc32(key[0].encode())))[:, 0]
+        sd = np.sqrt(v * (1 - v / v.sum()))
+        return pd.DataFrame({"sample": key[0], "total": [int(out.sum())], "outside": [int((out[v == 0] > 0).sum())], "far": [int((np.abs(out - v) > 6 * sd + 1).sum())], "same": [bool((out == v).all())]})
 
-    return catalog(spark, d).groupBy("sample").applyInPandas(run, "sample string, total long")
+    return catalog(spark, d).groupBy("sample").applyInPandas(run, "sample string, total long, outside long, far long, same boolean")
 
 
 def _step_sql(rounds: int) -> str:
@@ -316,26 +324,12 @@ def _step_sql(rounds: int) -> str:
 
 @query(_step_sql(2))
 def nmf_kl_steps(spark, d):
-    """Two rounds of the factorisation kernel from the formula's factors, all signatures in one bounded task."""
-    import numpy as np
-
+    """Two rounds of the factorisation from the formula's factors, as joins and grouped sums."""
     cat = catalog(spark, d)
-    dense = X.Dense.of(cat)
-    w, h = (t.toPandas() for t in factors(cat))
-    wm = w.pivot(index="channel", columns="signature", values="weight").loc[dense.channels].to_numpy(np.float64)
-    hm = h.pivot(index="signature", columns="sample", values="activity")[dense.samples].to_numpy(np.float64)
-    v = dense.v
-
-    def run(frames):
-        import pandas as pd
-
-        for _ in frames:
-            a, b = wm, hm
-            for _ in range(2):
-                a, b = K.step(v, a, b, 1.0)
-            yield pd.DataFrame([(s, "AB"[k], round(float(b[k, j]), 4)) for k in range(2) for j, s in enumerate(dense.samples)], columns=["sample", "signature", "activity"])
-
-    return spark.range(1).repartition(1).mapInPandas(run, "sample string, signature string, activity double")
+    w, h = factors(cat)
+    for _ in range(2):
+        w, h = M.nmf_round(cat, w, h, 1.0)
+    return six(h, "activity", to=4)
 
 
 def _beta_sql(beta: float) -> str:
@@ -347,21 +341,8 @@ def _beta_sql(beta: float) -> str:
 
 
 def _one_step(spark, d, beta: float) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
     cat = catalog(spark, d)
-    dense = X.Dense.of(cat)
-    w, h = (t.toPandas() for t in factors(cat))
-    wm = w.pivot(index="channel", columns="signature", values="weight").loc[dense.channels].to_numpy(np.float64)
-    hm = h.pivot(index="signature", columns="sample", values="activity")[dense.samples].to_numpy(np.float64)
-
-    def run(frames):
-        for _ in frames:
-            a, _h = K.step(dense.v, wm, hm, beta)
-            yield pd.DataFrame([(c, "AB"[k], round(float(a[i, k]), 4)) for i, c in enumerate(dense.channels) for k in range(2)], columns=["channel", "signature", "weight"])
-
-    return spark.range(1).repartition(1).mapInPandas(run, "channel string, signature string, weight double")
+    return six(M.nmf_round(cat, *factors(cat), beta)[0], "weight", to=4)
 
 
 @query(_beta_sql(2.0))
@@ -406,13 +387,19 @@ def dendrogram(spark, d):
     return M.single_linkage(dist, cells.select("id").distinct(), 0.98)
 
 
-@query("SELECT count(DISTINCT label)::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS f1 FROM embeddings")
+@query("""WITH x AS (SELECT label, vec_id % 2 AS half, i, avg(x) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
+c AS (SELECT label, half, list(m ORDER BY i) AS v FROM x GROUP BY 1, 2), p AS (SELECT a.label AS a, b.label AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a, c b WHERE a.half = 0 AND b.half = 1),
+t AS (SELECT *, s = max(s) OVER (PARTITION BY a) AND s = max(s) OVER (PARTITION BY b) AS best FROM p), n AS (SELECT count(*) FILTER (WHERE best AND s >= 0.8)::BIGINT AS tp, count(DISTINCT a)::BIGINT AS na, count(DISTINCT b)::BIGINT AS nb FROM t)
+SELECT tp, nb - tp AS fp, na - tp AS fn, round(tp / nb::DOUBLE, 2) AS precision, round(tp / na::DOUBLE, 2) AS recall, round(2 * tp / (na + nb)::DOUBLE, 2) AS f1 FROM n""")
 def evaluation(spark, d):
-    """Label centroids of all vectors against those of vectors with an even component; each label is its own best match."""
-    cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
-    one = cells.groupBy(F.col("label").cast("string").alias("signature"), F.col("dim").alias("channel")).agg(F.avg(F.col("x").cast("double")).alias("weight"))
-    got = X.match_signatures(one, one.withColumn("weight", F.col("weight") * 2))
-    return spark.createDataFrame([(got["tp"], got["fp"], got["fn"], got["f1"])], "tp long, fp long, fn long, f1 double")
+    """Label centroids of the vectors of even number, as the truth, against those of odd number.
+
+    The SQL takes mutual best partners: these make the matching of least cost where every partner is mutual, as here.
+    """
+    cells = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("half"), F.posexplode("embedding").alias("dim", "x"))
+    half = lambda n: cells.where(F.col("half") == n).groupBy(F.col("label").cast("string").alias("signature"), F.col("dim").alias("channel")).agg(F.avg(F.col("x").cast("double")).alias("weight"))
+    got = X.match_signatures(half(0), half(1), cutoff=0.8)
+    return spark.createDataFrame([tuple(got.values())], "tp long, fp long, fn long, precision double, recall double, f1 double")
 
 
 SETTINGS = X.Parameters(minimum_signatures=1, maximum_signatures=3, nmf_replicates=4, min_nmf_iterations=100, max_nmf_iterations=300, nmf_test_conv=100, clustering_restarts=4, seed=11)
