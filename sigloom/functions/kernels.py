@@ -51,10 +51,14 @@ def step(v: np.ndarray, w: np.ndarray, h: np.ndarray, beta: float) -> tuple[np.n
 
     def of_w(w, h):
         r = np.maximum(w @ h, tiny)
+        if beta == 1:  # the denominators are plain sums
+            return w * ((v / r) @ h.T) / np.maximum(h.sum(1), tiny)
         return w * ((v * r ** (beta - 2)) @ h.T) / np.maximum(r ** (beta - 1) @ h.T, tiny)
 
     def of_h(w, h):
         r = np.maximum(w @ h, tiny)
+        if beta == 1:
+            return h * (w.T @ (v / r)) / np.maximum(w.sum(0)[:, None], tiny)
         return h * (w.T @ (v * r ** (beta - 2))) / np.maximum(w.T @ r ** (beta - 1), tiny)
 
     if beta == 1:
@@ -143,11 +147,14 @@ def silhouette(d: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
 
 
-def cluster(stack: np.ndarray, k: int, rng: np.random.Generator, how: str = "cosine", passes: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and silhouettes of replicate columns (channels x k*R): each replicate gives one column to every cluster."""
+def cluster(stack: np.ndarray, k: int, rng: np.random.Generator, how: str = "cosine", passes: int = 11, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and silhouettes of replicate columns (channels x k*R): each replicate gives one column to every cluster.
+
+    ``far``: the columns' distances, where they are known already.
+    """
     n = stack.shape[1]
     centre = rng.random((stack.shape[0], k))
-    d, last = distances(stack, stack, how), None
+    d, last = distances(stack, stack, how) if far is None else far, None
     for _ in range(passes):
         label = np.concatenate([match(distances(stack[:, i : i + k], centre, how)) for i in range(0, n, k)])
         centre = np.stack([stack[:, label == c].mean(1) for c in range(k)], 1)

@@ -9,17 +9,21 @@ and it reaches the tasks by broadcast.
 
 from __future__ import annotations
 
+import datetime
+import math
+import platform
 from dataclasses import asdict, dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.scalars import signature_name
 from ..operators import matrix as M
 from ..sources.catalog import context_of
+from . import report as R
 
 #: Cells of one dense catalogue; 50 million doubles are 400 MB.
 MOST_CELLS = 50_000_000
@@ -59,11 +63,16 @@ class Dense:
 
     @staticmethod
     def of(catalog: DataFrame) -> Dense:
+        """The names are collected once each; cells come as numbers, a partition at a time."""
         n = catalog.agg(F.countDistinct("channel"), F.countDistinct("sample")).first()
         if n[0] * n[1] > MOST_CELLS:
-            raise ValueError(f"a catalogue of {n[0]} x {n[1]} cells exceeds MOST_CELLS")
-        p = catalog.select("channel", "sample", F.col("cnt").cast("double")).toPandas().pivot_table(index="channel", columns="sample", values="cnt", aggfunc="sum", fill_value=0.0)
-        return Dense(list(p.index), list(p.columns), p.to_numpy(np.float64))
+            raise ValueError(f"a catalogue of {n[0]} x {n[1]} cells exceeds MOST_CELLS; matrix.nmf_round factors it without a dense copy")
+        names = {c: sorted(r[0] for r in catalog.select(c).distinct().collect()) for c in ("channel", "sample")}
+        v = np.zeros((len(names["channel"]), len(names["sample"])))
+        row, col = ({x: i for i, x in enumerate(names[c])} for c in ("channel", "sample"))
+        for r in catalog.groupBy("channel", "sample").agg(F.sum(F.col("cnt").cast("double")).alias("cnt")).toLocalIterator():
+            v[row[r.channel], col[r.sample]] = r.cnt
+        return Dense(names["channel"], names["sample"], v)
 
 
 def bootstrap(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -118,21 +127,23 @@ def replicates(spark: SparkSession, dense: Dense, p: Parameters) -> DataFrame:
 def clustered(reps: DataFrame, p: Parameters) -> DataFrame:
     """(k, replicate, component, cluster, silhouette, restart): the best of the restarts of each rank.
 
-    A rank's replicates are k x R short columns, a size fixed by the parameters; each restart is a group of its own.
+    A rank's replicates are k x R short columns, a size fixed by the parameters: they
+    go to one task once, which tries the restarts on one matrix of distances.
     """
-    restarts = reps.sparkSession.range(p.clustering_restarts if p.nmf_replicates > 1 else 1).select(F.col("id").cast("int").alias("restart"))
+    restarts = p.clustering_restarts if p.nmf_replicates > 1 else 1
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, restart = int(key[0]), int(key[1])
+    def run(key, pdf):
+        k = int(key[0])
         pdf = pdf.sort_values("replicate")
         stack = np.concatenate([np.array([list(c) for c in w]).T for w in pdf["w"]], 1)
-        label, sil = K.cluster(stack, k, _generator(p.seed, 2, k, restart), p.clustering_distance)
-        return pd.DataFrame({"k": k, "restart": restart, "replicate": np.repeat(pdf["replicate"].to_numpy(), k), "component": np.tile(np.arange(k), len(pdf)), "cluster": label, "silhouette": sil})
+        far = K.distances(stack, stack, p.clustering_distance)
+        tried = [K.cluster(stack, k, _generator(p.seed, 2, k, r), p.clustering_distance, far=far) for r in range(restarts)]
+        best = max(range(restarts), key=lambda r: (tried[r][1].mean(), -r))
+        label, sil = tried[best]
+        return pd.DataFrame({"k": k, "restart": best, "replicate": np.repeat(pdf["replicate"].to_numpy(), k), "component": np.tile(np.arange(k), len(pdf)), "cluster": label, "silhouette": sil})
 
     kind = "k int, restart int, replicate int, component int, cluster int, silhouette double"
-    tried = reps.select("k", "replicate", "w").crossJoin(F.broadcast(restarts)).groupBy("k", "restart").applyInPandas(run, kind).persist()
-    best = tried.groupBy("k", "restart").agg(F.avg("silhouette").alias("s")).groupBy("k").agg(F.max(F.struct("s", -F.col("restart"))).alias("m")).select("k", (-F.col("m")["col2"]).alias("restart"))
-    return tried.join(F.broadcast(best), ["k", "restart"])
+    return reps.select("k", "replicate", "w").groupBy("k").applyInPandas(run, kind)
 
 
 def signatures(reps: DataFrame, labels: DataFrame, dense: Dense) -> DataFrame:
@@ -143,51 +154,84 @@ def signatures(reps: DataFrame, labels: DataFrame, dense: Dense) -> DataFrame:
     return cells.groupBy("k", "cluster", "i").agg(F.avg("x").alias("weight"), (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("sem")).select("k", "cluster", F.element_at(names, F.col("i") + 1).alias("channel"), "weight", "sem")
 
 
-def activities(sigs: DataFrame, catalog: DataFrame, dense: Dense) -> DataFrame:
-    """(k, sample, cluster, activity): non-negative fit of every sample; a row of the fanned-out table is one sample at one rank."""
-    ws = sigs.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("cluster", "channel", "weight"))).alias("w"))
-    vs = catalog.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.col("cnt").cast("double")))).alias("v"))
-    at = {c: i for i, c in enumerate(dense.channels)}
+def activity_errors(reps: DataFrame, labels: DataFrame, dense: Dense) -> DataFrame:
+    """(k, cluster, sample, sem): standard errors of the replicates' activities; null for one replicate."""
+    names = F.array(*(F.lit(c) for c in dense.samples))
+    cells = reps.select("k", "replicate", F.posexplode("h").alias("component", "c")).join(labels, ["k", "replicate", "component"])
+    cells = cells.select("k", "cluster", F.posexplode("c").alias("i", "x"))
+    return cells.groupBy("k", "cluster", "i").agg((F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("sem")).select("k", "cluster", F.element_at(names, F.col("i") + 1).alias("sample"), "sem")
+
+
+def activities(sigs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(k, sample, cluster, activity): non-negative fit of every sample at every rank.
+
+    The weights, bounded by ranks x channels, go to the tasks once; samples stay
+    where their counts were gathered.
+    """
+    told = sigs.toPandas()
+    channels = sorted(told["channel"].unique())
+    at = {c: i for i, c in enumerate(channels)}
+    weights = {int(k): g.pivot_table(index="channel", columns="cluster", values="weight", fill_value=0.0).reindex(channels, fill_value=0.0).to_numpy(np.float64) for k, g in told.groupby("k")}
+    shared = catalog.sparkSession.sparkContext.broadcast((at, weights))
+    vs = catalog.groupBy("sample").agg(F.collect_list("channel").alias("channels"), F.collect_list(F.col("cnt").cast("double")).alias("counts"))
 
     def run(frames):
+        at, weights = shared.value
         for pdf in frames:
             out = []
-            for k, sample, w, v in zip(pdf["k"], pdf["sample"], pdf["w"], pdf["v"], strict=True):
-                m, x = np.zeros((len(at), k)), np.zeros(len(at))
-                for r in w:
-                    m[at[r["channel"]], r["cluster"]] = r["weight"]
-                for c, n in dict(v).items():
-                    x[at[c]] = n
-                out += [(k, sample, c, float(a)) for c, a in enumerate(K.refit(m, x))]
+            for sample, names, counts in zip(pdf["sample"], pdf["channels"], pdf["counts"], strict=True):
+                x = np.zeros(len(at))
+                np.add.at(x, [at[c] for c in names], counts)
+                out += [(k, sample, c, float(a)) for k, m in weights.items() for c, a in enumerate(K.refit(m, x))]
             yield pd.DataFrame(out, columns=["k", "sample", "cluster", "activity"])
 
-    return vs.crossJoin(F.broadcast(ws)).repartition("sample", "k").mapInPandas(run, "k int, sample string, cluster int, activity double")
+    return vs.mapInPandas(run, "k int, sample string, cluster int, activity double")
 
 
-def select_rank(stats: list[dict], l2: dict[int, np.ndarray], p: Parameters, select: int | None = None) -> tuple[int, dict[int, tuple[bool, float | None]]]:
-    """The rank, and for each rank whether it was considered and its p value. Over at most a few dozen rows.
+def candidates(stats: list[dict], p: Parameters) -> list[int]:
+    """The ranks that may be chosen, in order; the last is the base of the tests. Over at most a few dozen rows.
 
-    From the highest rank that is stable enough, lower ones at least as stable
-    are tried in turn; the first whose relative errors are significantly larger
-    ends the walk, and the one above it is chosen, or the lowest if none is.
+    Ranks that are stable enough, and of these only those at least as stable as
+    the highest one; where none is stable enough, the lowest rank alone.
     """
     stats = sorted(stats, key=lambda s: s["k"])
     good = [s for s in stats if s["min_stability"] + s["avg_stability"] >= p.combined_stability and s["min_stability"] >= p.min_stability and s["avg_stability"] >= p.stability]
-    top = good[-1] if good else stats[0]
-    pool = good or stats
-    if not p.allow_stability_drop:
-        pool = [s for s in pool if (s["avg_stability"], -s["k"]) >= (top["avg_stability"], -top["k"])]
-    ranks = [s["k"] for s in pool if s["k"] <= top["k"]]
-    seen: dict[int, tuple[bool, float | None]] = {s["k"]: (False, None) for s in stats}
-    seen[ranks[-1]] = (True, None)
-    chosen, base = ranks[-1], l2[ranks[-1]]
+    if not good:
+        return [stats[0]["k"]]
+    top = good[-1]
+    return [s["k"] for s in good if p.allow_stability_drop or s["avg_stability"] >= top["avg_stability"]]
+
+
+def walk(ranks: list[int], lowest: int, tests: dict[int, tuple[float, float]], p: Parameters) -> tuple[int, dict[int, float]]:
+    """The chosen rank and the p values that were looked at.
+
+    From the base, the last of ``ranks``, lower candidates are tried in turn.
+    ``tests``: a rank's z against the base, and its median error; the base's own
+    median counts, too. The walk ends at a candidate whose errors are
+    significantly larger, or at the ``lowest`` rank of all, and the candidate just
+    above it is chosen. So the lowest rank is chosen only as the sole candidate.
+    Where the candidates run out without either, the last one tried is chosen.
+    """
+    seen: dict[int, float] = {}
+    chosen = ranks[-1]
     for k in reversed(ranks[:-1]):
-        pv = K.rank_sum_p(l2[k], base)
-        seen[k] = (True, pv)
-        if pv < (1.0 if p.exome else 0.05) and np.median(l2[k]) > np.median(base):
+        z, median = tests[k]
+        seen[k] = math.erfc(abs(z) / math.sqrt(2))
+        if (seen[k] < (1.0 if p.exome else 0.05) and median > tests[ranks[-1]][1]) or k == lowest:
             break
         chosen = k
-    return (chosen if select is None else select), seen
+    return chosen, seen
+
+
+def choose(rank_stats: DataFrame, errors: DataFrame, p: Parameters, select: int | None = None) -> tuple[int, DataFrame]:
+    """The rank and (k, chosen, considered, p_value); ``errors(k, x)`` are the samples' relative errors of each rank."""
+    stats = [r.asDict() for r in rank_stats.select("k", "min_stability", "avg_stability").collect()]
+    ranks = candidates(stats, p)
+    tests = {r.k: (r.z or 0.0, r.median) for r in M.compare_ranks(errors.where(F.col("k").isin(ranks)), ranks[-1]).collect()}
+    chosen, seen = walk(ranks, min(s["k"] for s in stats), tests, p)
+    chosen = chosen if select is None else select
+    marks = [(s["k"], s["k"] == chosen, s["k"] in seen or s["k"] == ranks[-1], seen.get(s["k"])) for s in stats]
+    return chosen, rank_stats.sparkSession.createDataFrame(marks, "k int, chosen boolean, considered boolean, p_value double")
 
 
 @dataclass
@@ -196,65 +240,84 @@ class Extraction:
     chosen: int
     signatures: DataFrame
     activities: DataFrame
+    activity_errors: DataFrame
     similarity: DataFrame
     convergence: DataFrame
+    signature_stats: DataFrame
     rank_stats: DataFrame
     selection: DataFrame
+    catalog: DataFrame
+    replicates: DataFrame
     parameters: DataFrame
-
-    def write(self, path: str) -> None:
-        """One directory per table; signatures and activities by context and rank."""
-        for name in ("signatures", "activities", "similarity"):
-            getattr(self, name).withColumn("context", F.lit(self.context)).write.partitionBy("context", "k").mode("overwrite").parquet(f"{path}/{name}")
-        for name in ("convergence", "rank_stats", "selection", "parameters"):
+    metadata: DataFrame
+
+    def write(self, path: str, known: DataFrame | None = None, all_replicates: bool = False, export_probabilities: bool = False) -> None:
+        """One directory per table, those of solutions by context and rank.
+
+        ``suggested_solution`` holds the chosen rank's signatures and activities,
+        and with ``known(channel, signature, weight)`` its decomposition.
+        ``all_replicates``: every replicate's factors, too. ``export_probabilities``:
+        the probability of each signature for each channel and sample.
+        """
+        by = lambda df, name: df.withColumn("context", F.lit(self.context)).write.partitionBy("context", "k").mode("overwrite").parquet(f"{path}/{name}")
+        for name in ("signatures", "activities", "activity_errors", "similarity", "signature_stats", "convergence"):
+            by(getattr(self, name), name)
+        for name in ("rank_stats", "selection", "catalog", "parameters", "metadata"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        best = lambda df: df.where(F.col("k") == self.chosen)
+        for name in ("signatures", "activities"):
+            best(getattr(self, name)).write.mode("overwrite").parquet(f"{path}/suggested_solution/{name}")
+        if known is not None:
+            decompose(best(self.signatures), known).write.mode("overwrite").parquet(f"{path}/suggested_solution/decomposed")
+        if all_replicates:
+            by(self.replicates, "replicates")
+        if export_probabilities:
+            M.probabilities(best(self.signatures).drop("k"), best(self.activities).drop("k")).write.mode("overwrite").parquet(f"{path}/suggested_solution/probabilities")
+
+
+def _metadata(spark: SparkSession, began: datetime.datetime, p: Parameters) -> DataFrame:
+    """Versions, times, machine and seed of a run."""
+    told = {"spark": spark.version, "python": platform.python_version(), "numpy": np.__version__, "system": platform.platform(), "application": spark.sparkContext.applicationId, "seed": p.seed, "began": began.isoformat(), "ended": datetime.datetime.now().isoformat()}
+    return spark.createDataFrame([(k, str(v)) for k, v in told.items()], "item string, value string")
 
 
 def extract(catalog: DataFrame, p: Parameters | None = None, select: int | None = None) -> Extraction:
-    """Clean the catalogue, factor it at every rank, measure stability and error, choose a rank."""
-    p, spark = p or Parameters(), catalog.sparkSession
+    """Clean the catalogue, factor it at every rank, measure stability and error, choose a rank.
+
+    The factorisations, labels and solutions are kept in Spark's cache, as several tables are derived from them.
+    """
+    p, spark, began = p or Parameters(), catalog.sparkSession, datetime.datetime.now()
     catalog = M.drop_zero_samples(M.drop_null_samples(catalog)).persist()
     dense = Dense.of(catalog)
     reps = replicates(spark, dense, p).persist()
     labels = clustered(reps, p).persist()
     sigs = signatures(reps, labels, dense).persist()
-    acts = activities(sigs, catalog, dense).persist()
+    acts = activities(sigs, catalog).persist()
     order = acts.groupBy("k", "cluster").agg(F.sum("activity").alias("t"))
-    from pyspark.sql import Window
-
-    named = order.select("k", "cluster", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), "cluster")).alias("n"))
     context = context_of(len(dense.channels))
-    from ..functions.scalars import signature_name
-
-    named = named.select("k", "cluster", signature_name(context, F.col("n") - 1).alias("signature")).persist()
+    named = order.select("k", "cluster", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), "cluster")).alias("n"))
+    named = F.broadcast(named.select("k", "cluster", signature_name(context, F.col("n") - 1).alias("signature")))  # a row a signature and rank
     sigs, acts = sigs.join(named, ["k", "cluster"]), acts.join(named, ["k", "cluster"])
-    ks = [r[0] for r in named.select("k").distinct().orderBy("k").collect()]
-    sims = []
-    for k in ks:
-        est = M.multiply(sigs.where(F.col("k") == k).select("channel", "signature", "weight"), acts.where(F.col("k") == k).select("sample", "signature", "activity"))
-        sims.append(M.similarity_table(catalog, est).withColumn("k", F.lit(k)).withColumn("fro", F.lit(M.frobenius_error(catalog, est).first()[0])))
-    sims = reduce(DataFrame.unionByName, sims).persist()
-    stab = labels.groupBy("k", "cluster").agg(F.avg("silhouette").alias("s")).groupBy("k").agg(F.round(F.min("s"), 2).alias("min_stability"), F.round(F.avg("s"), 2).alias("avg_stability"))
-    stats = stab.join(sims.groupBy("k").agg(F.first("fro").alias("fro_err")), "k").select("k", "min_stability", "fro_err", "avg_stability")
-    rows = [r.asDict() for r in stats.collect()]
-    l2 = {k: np.array([r[0] for r in sims.where(F.col("k") == k).select("l2_pct").collect()]) for k in ks}
-    chosen, seen = select_rank(rows, l2, p, select)
-    marks = spark.createDataFrame([(k, k == chosen, c, v) for k, (c, v) in seen.items()], "k int, chosen boolean, considered boolean, p_value double")
+    est = M.multiply(sigs.select("k", "channel", "signature", "weight"), acts.select("k", "sample", "signature", "activity"), ("k",)).persist()
+    sims = M.similarity_table(catalog, est, ("k",)).persist()
+    per = labels.groupBy("k", "cluster").agg(F.avg("silhouette").alias("s"))
+    stab = per.groupBy("k").agg(F.round(F.min("s"), 2).alias("min_stability"), F.round(F.avg("s"), 2).alias("avg_stability"))
+    stats = stab.join(M.frobenius_error(catalog, est, ("k",)), "k").select("k", "min_stability", "fro_err", "avg_stability").persist()
+    chosen, marks = choose(stats, sims.select("k", F.col("l2_pct").alias("x")), p, select)
     m = F.col("metrics")
     conv = reps.select("k", "replicate", *(m[i].alias(n) for i, n in enumerate(["l1", "l1_pct", "l2", "l2_pct", "kl", "correlation"])), F.col("iterations").cast("long").alias("iterations"))
-    return Extraction(context, chosen, sigs.drop("cluster"), acts.drop("cluster"), sims.drop("fro"), conv, stats, stats.join(marks, "k"), p.table(spark))
+    selection = stats.join(marks, "k").join(M.selection_metrics(sims), "k")
+    errors = activity_errors(reps, labels, dense).join(named, ["k", "cluster"]).select("k", "sample", "signature", "sem")
+    told = R.signature_stats(per.join(named, ["k", "cluster"]).select("k", "signature", F.round("s", 2).alias("stability")), acts.select("k", "signature", "activity"))
+    return Extraction(context, chosen, sigs.drop("cluster"), acts.drop("cluster"), errors, sims, conv, told, stats, selection, catalog, reps.select("k", "replicate", "w", "h"), p.table(spark), _metadata(spark, began, p))
 
 
 def estimate_solution(spark: SparkSession, path: str, catalog: DataFrame, p: Parameters | None = None, select: int | None = None) -> int:
     """Choose a rank again from written tables."""
-    p = p or Parameters()
-    w, h = spark.read.parquet(f"{path}/signatures"), spark.read.parquet(f"{path}/activities")
-    rows = [r.asDict() for r in spark.read.parquet(f"{path}/rank_stats").collect()]
-    l2 = {}
-    for r in rows:
-        est = M.multiply(w.where(F.col("k") == r["k"]), h.where(F.col("k") == r["k"]))
-        l2[r["k"]] = np.array([x[0] for x in M.similarity_table(catalog, est).select("l2_pct").collect()])
-    return select_rank(rows, l2, p, select)[0]
+    w, h = (spark.read.parquet(f"{path}/{name}") for name in ("signatures", "activities"))
+    est = M.multiply(w.select("k", "channel", "signature", "weight"), h.select("k", "sample", "signature", "activity"), ("k",))
+    errors = M.similarity_table(catalog, est, ("k",)).select("k", F.col("l2_pct").alias("x"))
+    return choose(spark.read.parquet(f"{path}/rank_stats"), errors, p or Parameters(), select)[0]
 
 
 def match_signatures(true: DataFrame, found: DataFrame, cutoff: float = 0.9, how: str = "cosine") -> dict:

@@ -38,10 +38,10 @@ def selection_curve(rank_stats: DataFrame, similarity: DataFrame) -> DataFrame:
     return rank_stats.select("k", "avg_stability").join(far, "k")
 
 
-def signature_stats(signatures_stability: DataFrame, activities: DataFrame) -> DataFrame:
-    """(signature, stability, total) with whole-number totals."""
-    total = activities.groupBy("signature").agg(F.sum("activity").cast("long").alias("total"))
-    return signatures_stability.join(total, "signature")
+def signature_stats(stability: DataFrame, activities: DataFrame) -> DataFrame:
+    """``stability(k, signature, stability)`` with whole-number totals of activities."""
+    total = activities.groupBy("k", "signature").agg(F.sum("activity").cast("long").alias("total"))
+    return stability.join(total, ["k", "signature"])
 
 
 def scientific(df: DataFrame, *cols: str) -> DataFrame:

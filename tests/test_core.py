@@ -56,11 +56,26 @@ def test_kernels():
 def test_selection():
     p = X.Parameters()
     stats = [{"k": k, "min_stability": m, "avg_stability": a} for k, m, a in ((1, 1.0, 1.0), (2, 0.9, 0.95), (3, 0.8, 0.9), (4, 0.1, 0.5))]
-    l2 = {1: np.arange(20) + 60.0, 2: np.arange(20) + 40.0, 3: np.arange(20) + 10.0, 4: np.arange(20.0)}
-    assert X.select_rank(stats, l2, p)[0] == 3
-    assert X.select_rank(stats, dict.fromkeys(l2, np.arange(20.0)), p)[0] == 1
-    assert X.select_rank(stats[1:3], dict.fromkeys(l2, np.arange(20.0)), p)[0] == 2
-    assert X.select_rank(stats[3:], l2, p)[0] == 4 and X.select_rank(stats, l2, p, select=2)[0] == 2
+    assert X.candidates(stats, p) == [1, 2, 3] and X.candidates(stats[3:], p) == [4]
+    drop = [*stats[:2], {"k": 3, "min_stability": 0.9, "avg_stability": 0.97}]
+    assert X.candidates(drop, p) == [1, 3] and X.candidates(drop, X.Parameters(allow_stability_drop=True)) == [1, 2, 3]
+    assert X.walk([1, 2, 3], 1, {1: (-5.0, 60.0), 2: (-5.0, 40.0), 3: (0.0, 10.0)}, p)[0] == 3
+    even = {1: (0.0, 5.0), 2: (0.0, 5.0), 3: (0.0, 5.0)}
+    assert X.walk([1, 2, 3], 1, even, p)[0] == 2  # the walk ends at the lowest rank; the one above is chosen
+    assert X.walk([2, 3], 1, even, p)[0] == 2 and X.walk([3], 1, even, p) == (3, {})
+    assert X.walk([1, 2, 3], 1, {**even, 2: (-1.0, 6.0)}, X.Parameters(exome=True))[0] == 3
+
+
+def test_choose_equals_the_kernel(spark):
+    rng = np.random.default_rng(2)
+    errors = {k: rng.normal(50 - 5 * k, 4, 40).round(1) for k in (1, 2, 3)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in errors.items() for x in v], "k int, x double")
+    for r in M.compare_ranks(df, 3).collect():
+        assert math.erfc(abs(r.z) / math.sqrt(2)) == pytest.approx(K.rank_sum_p(errors[3], errors[r.k])) and r.median == pytest.approx(float(np.median(errors[r.k])))
+    stats = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.9, 0.95), (3, 0.8, 0.9)], "k int, min_stability double, avg_stability double")
+    chosen, marks = X.choose(stats, df, X.Parameters())
+    assert chosen == 3 and {(r.k, r.considered) for r in marks.collect()} == {(1, False), (2, True), (3, True)}
+    assert X.choose(stats, df, X.Parameters(), select=1)[0] == 1
 
 
 def test_extraction_recovers_planted(spark, tmp_path):
@@ -80,7 +95,11 @@ def test_extraction_recovers_planted(spark, tmp_path):
     assert {r.known for r in X.decompose(found, true).where("share > 0.8").collect()} == {"t0", "t1", "t2"}
     totals = {r.sample: r.t for r in e.activities.where("k = 3").groupBy("sample").agg(F.sum("activity").alias("t")).collect()}
     assert len(totals) == 20 and all(abs(totals[f"s{j:02}"] - v[:, j].sum()) < 1 for j in range(20))
-    e.write(str(tmp_path / "out"))
+    assert {"mean_l2_pct", "min_correlation", "p_value"} <= set(e.selection.columns) and e.signature_stats.where("k = 3").count() == 3
+    e.write(str(tmp_path / "out"), known=true, all_replicates=True, export_probabilities=True)
+    for name, rows in {"catalog": 480, "activity_errors": 100, "replicates": 8, "suggested_solution/signatures": 72, "suggested_solution/decomposed": 3, "suggested_solution/probabilities": 1440}.items():
+        assert spark.read.parquet(str(tmp_path / "out" / name)).count() >= rows, name
+    assert {r.item for r in spark.read.parquet(str(tmp_path / "out" / "metadata")).collect()} >= {"seed", "spark", "began"}
     assert X.estimate_solution(spark, str(tmp_path / "out"), cat.where("sample like 's%'"), p) == 3
     sigs, _ = C.read_solutions(spark, str(tmp_path / "out"), "CH24", 2)
     assert sigs.select("signature").distinct().count() == 2
