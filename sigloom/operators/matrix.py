@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 EPS = 1e-4
 
 
@@ -251,14 +253,14 @@ def majority(labels: DataFrame) -> DataFrame:
 def single_linkage(pairs: DataFrame, points: DataFrame, distance: float) -> DataFrame:
     """Clusters of single linkage cut at ``distance``: components of ``pairs(a, b, distance)``, by label spreading.
 
-    Each round's labels are checkpointed, so ``spark.checkpoint.dir`` must be set.
+    Each round's labels are checkpointed.
     """
     near = pairs.where(F.col("distance") <= distance).select("a", "b")
-    edges = near.union(near.select("b", "a")).checkpoint()
+    edges = checkpointed(near.union(near.select("b", "a")))
     label = points.select("id", F.col("id").alias("cluster"))
     while True:
         low = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = label.join(low, label.id == low.a, "left").select("id", "cluster", F.least("cluster", "m").alias("new")).checkpoint()
+        new = checkpointed(label.join(low, label.id == low.a, "left").select("id", "cluster", F.least("cluster", "m").alias("new")))
         label = new.select("id", F.col("new").alias("cluster"))
         if new.where("new <> cluster").isEmpty():
             return label

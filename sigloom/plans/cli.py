@@ -7,7 +7,7 @@ from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
-from ..sources.catalog import read_input, seed_of
+from ..sources.catalog import read_inputs, seed_of
 from .extract import Parameters, extract
 
 
@@ -20,25 +20,39 @@ def flag(text: str) -> bool:
     raise argparse.ArgumentTypeError("a yes or no is expected")
 
 
+#: What the command line has as defaults of its own.
+DEFAULTS = {"maximum_signatures": 10}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Extract latent signatures from counts")
     for name in ("input_type", "output", "input_data"):
         p.add_argument(name)
     p.add_argument("--seeds", default="random")
+    p.add_argument("--context_type", default="default", help="contexts of variants: SBS96, DBS78, ID83, with commas")
+    p.add_argument("--flanks", help="Parquet table (chrom, pos, before, after) of the bases beside the variants")
+    p.add_argument("--known", help="Parquet table (channel, signature, weight) to decompose the suggested solution into")
+    p.add_argument("--select", type=int, help="the rank to suggest, whatever the rule says")
+    for name, what in (("get_all_signature_matrices", "write every replicate's factors"), ("export_probabilities", "write the suggested solution's probabilities"), ("stop_after_extraction", "suggest a rank, but decompose nothing")):
+        p.add_argument(f"--{name}", type=flag, default=False, help=what)
     for f in fields(Parameters):
         if f.name != "seed":
             kind = type(f.default)
-            p.add_argument(f"--{f.name}", type=flag if kind is bool else kind, default=f.default)
+            p.add_argument(f"--{f.name}", type=flag if kind is bool else kind, default=DEFAULTS.get(f.name, f.default))
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     spark = SparkSession.builder.appName("sigloom").getOrCreate()
-    kind, out, data, seeds = (args.pop(k) for k in ("input_type", "output", "input_data", "seeds"))
-    result = extract(read_input(spark, kind, data), Parameters(seed=seed_of(spark, seeds), **args))
-    result.write(out)
-    print(f"{result.context}: {result.chosen} signatures")
+    own = ("input_type", "output", "input_data", "seeds", "context_type", "flanks", "known", "select", "get_all_signature_matrices", "export_probabilities", "stop_after_extraction")
+    kind, out, data, seeds, contexts, flanks, known, select, every, probabilities, stop = (args.pop(k) for k in own)
+    p = Parameters(seed=seed_of(spark, seeds), **args)
+    known = spark.read.parquet(known) if known and not stop else None
+    for name, catalog in read_inputs(spark, kind, data, contexts, flanks and spark.read.parquet(flanks)).items():
+        result = extract(catalog, p, select)
+        result.write(f"{out}/{name}" if name else out, known, every, probabilities)
+        print(f"{name or result.context}: {result.chosen} signatures")
     return 0
 
 

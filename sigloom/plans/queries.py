@@ -410,3 +410,6 @@ def extraction(spark, d):
     """The whole extraction; stochastic, so its rows are checked by invariants in the tests."""
     e = X.extract(catalog(spark, d), SETTINGS)
     return e.selection.orderBy("k")
+
+
+from . import more_queries  # noqa: E402, F401

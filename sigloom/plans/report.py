@@ -45,7 +45,7 @@ def signature_stats(stability: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def scientific(df: DataFrame, *cols: str) -> DataFrame:
-    """Columns as ``1.23E-04`` texts."""
+    """Columns as ``1.23E-04`` texts; an exact tie rounds away from zero."""
     return df.withColumns({c: F.format_string("%.2E", F.col(c).cast("double")) for c in cols})
 
 

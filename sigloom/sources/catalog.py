@@ -82,8 +82,11 @@ def merge_matrices(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def read_csv_folder(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Comma-separated matrices of other samples each, merged on their key columns: two (mutation, trinucleotide) or one."""
     frames = [spark.read.option("header", True).csv(p) for p in paths]
-    return to_long(_keyed(merge_matrices(frames, frames[0].columns[:2])))
+    two = frames[0].columns[1].lower().startswith("trinucleotide")
+    merged = merge_matrices(frames, frames[0].columns[: 2 if two else 1])
+    return to_long(_keyed(merged) if two else merged)
 
 
 def align(catalog: DataFrame, order: DataFrame) -> DataFrame:
@@ -127,6 +130,51 @@ def doublets(variants: DataFrame) -> DataFrame:
     return count_events(pair, channel, F.col("sample"))
 
 
+def indels(variants: DataFrame, flanks: DataFrame) -> DataFrame:
+    """Insertions and deletions as ``length:type:class:n``.
+
+    Alleles share their first base; ``flanks(chrom, pos, before, after)`` gives
+    the reference's bases up to that base and those that follow the longer
+    allele's place: after a deleted piece, or after the point of insertion.
+    Lengths and repeats count up to 5. One base: its pyrimidine and the number of
+    further such bases that follow. Longer pieces: R and the copies of the piece
+    that follow, or, for a deletion without any, M and the longest part of the
+    piece that stands at its end before it or at its beginning after it.
+    """
+    one = variants.where("ref rlike '^[ACGT]+$' and alt rlike '^[ACGT]+$' and left(ref, 1) = left(alt, 1) and (length(ref) = 1) <> (length(alt) = 1)")
+    kind = F.when(F.length("ref") > 1, "Del").otherwise("Ins")
+    piece = F.expr("substring(if(length(ref) > 1, ref, alt), 2)")
+    both = one.withColumns({"kind": kind, "piece": piece}).join(flanks.select("chrom", "pos", "before", "after"), ["chrom", "pos"]).withColumn("size", F.length("piece"))
+    copies = F.least(F.lit(5), F.floor(F.length(F.call_function("regexp_extract", F.col("after"), F.concat(F.lit("^((?:"), F.col("piece"), F.lit("){0,5})")), F.lit(1))) / F.col("size")))
+    shared = F.expr("array_max(transform(sequence(0, greatest(size - 1, 0)), i -> if(left(after, i) = left(piece, i) or right(before, i) = right(piece, i), i, 0)))")
+    told = both.withColumns({"n": copies, "m": F.least(F.lit(5), shared)})
+    base = F.when(F.col("piece").isin("A", "G"), fold(F.col("piece"))).otherwise(F.col("piece"))
+    micro = (F.col("kind") == "Del") & (F.col("size") > 1) & (F.col("n") == 0) & (F.col("m") > 0)
+    label = F.when(F.col("size") == 1, base).when(micro, "M").otherwise("R")
+    count = F.when(micro, F.col("m")).otherwise(F.col("n"))
+    return count_events(told, F.concat_ws(":", F.least(F.lit(5), "size").cast("string"), "kind", label, count.cast("string")), F.col("sample"))
+
+
+def variant_contexts(variants: DataFrame, context_type: str = "default", flanks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The catalogues of the contexts asked for, by name; ``default`` are SBS96, DBS78 and ID83.
+
+    Without ``flanks`` substitutions have six classes and indels cannot be told: SBS6 then stands for SBS96, and ID83 is left out.
+    """
+    makers = {"SBS96": lambda: substitutions(variants, flanks), "DBS78": lambda: doublets(variants), "ID83": lambda: indels(variants, flanks)}
+    alias = {"96": "SBS96", "DINUC": "DBS78", "DBS": "DBS78", "78": "DBS78", "ID": "ID83", "83": "ID83", "SBS6": "SBS96", "6": "SBS96"}
+    out = {}
+    for name in parse_contexts(context_type):
+        name = alias.get(name, name)
+        if name not in makers:
+            raise ValueError(f"unknown context {name!r}; use SBS96, DBS78 or ID83")
+        if name == "ID83" and flanks is None:
+            if context_type.lower() != "default":
+                raise ValueError("ID83 needs a table of flanking bases")
+            continue
+        out["SBS6" if name == "SBS96" and flanks is None else name] = makers[name]()
+    return out
+
+
 def size_bin(length: Column, edges: list[tuple[float, str]], last: str) -> Column:
     out = F.lit(last)
     for upper, label in reversed(edges):
@@ -176,20 +224,37 @@ def cnv_order(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel string, channel_idx int")
 
 
+def cnv_classes(spark: SparkSession) -> DataFrame:
+    """(class, channel): the 48 names ``del|neut|dup|quad|amp:state:interval in Mb`` and the channels they stand for."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in {"0": "del", "1": "del", "2": "neut", "3-4": "dup", "5-8": "quad", "9+": "amp"}.items() for x in kv)), F.split("channel", ":")[0])
+    mb = F.element_at(F.create_map(*(F.lit(x) for kv in {"0-100kb": "(-0.01,0.1]", "100kb-1Mb": "(0.1,1]", "1Mb-10Mb": "(1,10]", "10Mb-40Mb": "(10,40]", ">40Mb": "(40,Inf]", ">1Mb": "(1,Inf]"}.items() for x in kv)), F.split("channel", ":")[2])
+    return cnv_order(spark).select(F.concat_ws(":", kind, F.split("channel", ":")[1], mb).alias("class"), "channel")
+
+
 def sbs96_order(spark: SparkSession) -> DataFrame:
     names = [f"{x}[{r}>{a}]{y}" for r in "CT" for a in "ACGT" if a != r for x in "ACGT" for y in "ACGT"]
     return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel string, channel_idx int")
 
 
+def read_inputs(spark: SparkSession, input_type: str, data, context_type: str = "default", flanks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The catalogues of an input by context; variants give several, as ``variant_contexts`` says, other inputs one."""
+    if input_type.lower() == "vcf":
+        return variant_contexts(read_variants(spark, data), context_type, flanks)
+    return {"": read_input(spark, input_type, data)}
+
+
 def read_input(spark: SparkSession, input_type: str, data) -> DataFrame:
-    """The long catalogue of any supported input; a bad type raises before any job runs."""
+    """The long catalogue of any supported input; a bad type raises before any job runs.
+
+    ``csv`` takes one path or a list of them; variants give their substitutions, and all contexts by ``read_inputs``.
+    """
     kind = input_type.lower()
     if kind in ("text", "table", "matrix"):
         if isinstance(data, DataFrame):
             return to_long(data)
         return read_matrix(spark, data) if isinstance(data, str) else to_long(spark.createDataFrame(data))
     if kind == "csv":
-        return read_csv_matrix(spark, data)
+        return read_csv_folder(spark, data) if isinstance(data, list) else read_csv_matrix(spark, data)
     if kind == "vcf":
         return substitutions(read_variants(spark, data))
     tsv = lambda: spark.read.option("sep", "\t").option("header", True).csv(data)

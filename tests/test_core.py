@@ -123,6 +123,8 @@ def test_readers(spark, tmp_path):
     assert {(r.channel, r.cnt) for r in C.read_input(spark, "bedpe", str(tmp_path / "b.tsv")).collect()} == {("non-clustered_del_1-10Kb", 1), ("non-clustered_trans", 1), ("clustered_inv_>10Mb", 12)}
     (tmp_path / "s.tsv").write_text("sample\tchr\tstartpos\tendpos\tnMajor\tnMinor\ns\t1\t0\t50000\t0\t0\ns\t1\t0\t50000000\t2\t0\ns\t1\t0\t5000000\t1\t1\n")
     assert {r.channel for r in C.read_input(spark, "seg:ASCAT", str(tmp_path / "s.tsv")).collect()} == {"0:homdel:0-100kb", "2:LOH:>40Mb", "2:het:1Mb-10Mb"}
+    assert C.read_input(spark, "csv", [str(tmp_path / "c.csv"), str(tmp_path / "d.csv")]).count() == 2
+    assert C.cnv_classes(spark).select("class").distinct().count() == 48
     assert C.cnv_order(spark).count() == 48 and C.sbs96_order(spark).count() == 96
     for bad in ("xml", "seg:NONE"):
         with pytest.raises(ValueError):
@@ -135,6 +137,22 @@ def test_readers(spark, tmp_path):
     assert [C.context_of(n) for n in (96, 83, 7)] == ["SBS96", "ID83", "CH7"]
 
 
+def test_indels_and_contexts(spark, tmp_path):
+    rows = [
+        (1, "CA", "C", "GC", "AAAT", "1:Del:T:3"), (2, "C", "CA", "GC", "GGGT", "1:Ins:T:0"), (3, "CG", "C", "TC", "GGGGGGG", "1:Del:C:5"), (4, "C", "CGT", "TC", "GTGTA", "2:Ins:R:2"),
+        (5, "CGTA", "C", "TTC", "GTTT", "3:Del:M:2"), (6, "CGTACCC", "C", "TTCCC", "AAAA", "5:Del:M:3"), (7, "CGTA", "C", "TTC", "CCCC", "3:Del:R:0"), (8, "C", "CGTACCC", "TTC", "GTA", "5:Ins:R:0"),
+    ]
+    flanks = spark.createDataFrame([("1", r[0], r[3], r[4]) for r in rows], "chrom string, pos bigint, before string, after string")
+    (tmp_path / "v.vcf").write_text("".join(f"1\t{r[0]}\ts\t{r[1]}\t{r[2]}\n" for r in rows) + "1\t50\ts\tA\tG\n")
+    variants = C.read_variants(spark, str(tmp_path / "v.vcf"))
+    assert {r.channel for r in C.indels(variants, flanks).collect()} == {r[5] for r in rows}
+    assert set(C.read_inputs(spark, "vcf", str(tmp_path / "v.vcf"), flanks=flanks)) == {"SBS96", "DBS78", "ID83"}
+    assert set(C.read_inputs(spark, "vcf", str(tmp_path / "v.vcf"))) == {"SBS6", "DBS78"} and set(C.variant_contexts(variants, "id", flanks)) == {"ID83"}
+    for bad in ("ID83", "SBS9"):
+        with pytest.raises(ValueError):
+            C.variant_contexts(variants, bad)
+
+
 def test_scalars_and_bad_norm(spark):
     r = spark.range(1).select(S.letters(F.lit(27)), S.letters(F.lit(702)), S.strip_marks(F.lit("3*")), S.plot_text("Stability", F.lit(0.97)), S.chunks_of(F.array(*map(F.lit, "abcde")), 2), S.positions_of(F.array(*map(F.lit, "abc")), F.array(F.lit("c")))).first()
     assert tuple(r) == ("AB", None, "3", "Stability: 0.97", [["a", "b"], ["c", "d"], ["e"]], [2])
@@ -162,8 +180,9 @@ def test_stream(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     rng = np.random.default_rng(3)
     (tmp_path / "m.txt").write_text("c\t" + "\t".join(f"s{i}" for i in range(6)) + "\n" + "".join(f"k{r}\t" + "\t".join(map(str, rng.integers(1, 50, 6))) + "\n" for r in range(8)))
-    args = ["matrix", str(tmp_path / "out"), str(tmp_path / "m.txt"), "--maximum_signatures", "2", "--nmf_replicates", "2", "--min_nmf_iterations", "10", "--max_nmf_iterations", "20", "--nmf_test_conv", "10", "--clustering_restarts", "2", "--exome", "yes"]
-    assert cli.main(args) == 0 and (tmp_path / "out" / "selection").exists()
+    args = ["matrix", str(tmp_path / "out"), str(tmp_path / "m.txt"), "--maximum_signatures", "2", "--nmf_replicates", "2", "--min_nmf_iterations", "10", "--max_nmf_iterations", "20", "--nmf_test_conv", "10", "--clustering_restarts", "2", "--exome", "yes", "--get_all_signature_matrices", "yes", "--select", "1"]
+    assert cli.main(args) == 0 and (tmp_path / "out" / "selection").exists() and (tmp_path / "out" / "replicates").exists()
+    assert cli.parser().parse_args(args[:3]).maximum_signatures == 10
     assert cli.flag("N") is False
     with pytest.raises(SystemExit):
         cli.parser().parse_args([*args, "--resample", "maybe"])
