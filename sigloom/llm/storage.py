@@ -13,17 +13,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_base
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's place in the folder named by ``spark.checkpoint.dir``.
 
-    Without that setting there is no folder that all executors surely see, so
-    this raises; tests and single machines set one of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
-    return f"{base.rstrip('/')}/sigloom-{spark.sparkContext.applicationId}"
+def shared_dir(spark: SparkSession) -> str:
+    """This application's place in the folder that all executors share."""
+    return f"{shared_base(spark)}/sigloom-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
