@@ -6,9 +6,8 @@ in turn. Documents are then drawn with the probability of their cell, decided by
 a hash of the id. DataFrame operations only: the cells, not the documents, pass
 through the rounds, as grouped sums that Spark pre-aggregates.
 
-A cell cannot give more than its tokens. ``rake`` leaves that to a clip after
-the rounds, as the SQL of ``probabilities`` does; ``rake_bounded`` keeps the
-bound within the rounds, so that what a full cell lacks comes from the others.
+A cell cannot give more than its tokens. The bound is kept within the rounds, so
+that what a full cell lacks comes from the others.
 """
 
 from __future__ import annotations
@@ -44,31 +43,6 @@ def unit(id_: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells(source, lang, topic, tokens)`` and w, the cell's share of the target mixture.
-
-    ``targets``: for a dimension, the shares of its values; values without one
-    get none. A dimension without targets follows ``TEMPER``. Cells without
-    tokens get no weight.
-    """
-    cells = cells.where("tokens > 0")
-    w = cells.withColumn("w", F.col("tokens").cast("double"))
-    for d in DIMENSIONS:
-        if targets and d in targets:
-            pairs = [x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))]
-            w = w.withColumn(f"t_{d}", F.coalesce(F.create_map(*pairs)[F.col(d)], F.lit(0.0)))
-        else:
-            sums = materialise(cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(TEMPER[d])).alias("p")), "marginal")
-            total = sums.agg(F.sum("p")).first()[0] or 1.0
-            w = w.join(sums.select(d, (F.col("p") / F.lit(total)).alias(f"t_{d}")), d)
-    for r in range(rounds):
-        if r % 3 == 0:  # keeps the plan short
-            w = materialise(w, "cells")
-        for d in DIMENSIONS:
-            w = w.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.sum("w").over(Window.partitionBy(d))), F.lit(0.0)))
-    return w.select(*DIMENSIONS, "tokens", "w")
-
-
 def _filled(df: DataFrame, part: list[str], amount: str, room: str, total: str, order: list[str]) -> DataFrame:
     """``df`` with ``amount`` scaled in each part so that ``least(room, amount)`` sums to ``total``, or to all the room where that is less.
 
@@ -85,14 +59,17 @@ def _filled(df: DataFrame, part: list[str], amount: str, room: str, total: str,
     return df.withColumn("_scaled", scaled).withColumn(amount, F.col("_scaled")).drop("_ratio", "_f", "_scaled")
 
 
-def rake_bounded(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
+def rake_bounded(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int | None = None) -> DataFrame:
     """``cells(source, lang, topic, tokens)`` and ``drawn``, the tokens to draw from each: at most its own, ``budget`` of all in sum.
 
-    ``targets`` as in ``rake``. A value with fewer tokens than its target gives
+    ``targets``: for a dimension, the shares of its values; values without one
+    get none. A dimension without targets follows ``TEMPER``. Cells without
+    tokens are left out. A value with fewer tokens than its target gives
     all of them, and the other values of its dimension share the rest in
     proportion to their targets. Marginals that miss the target asked for are
     logged. The factors go to the weights before the bound, so the rounds near
     the mixture closest to the present one that meets bounds and marginals.
+    ``rounds``: exactly so many; without it, until no marginal moves.
     """
     cells = cells.where("tokens > 0")
     size = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -114,14 +91,13 @@ def rake_bounded(cells: DataFrame, targets: dict[str, dict[str, float]] | None =
         asked = F.col("least") * F.lit(float(budget * size)) / F.sum("least").over(Window.partitionBy("all"))
         w = w.join(m.select(d, F.least("share", "room").alias(f"s_{d}"), asked.alias(f"a_{d}")), d)
     w = materialise(w, "cells")
-    rounds = 0
-    while rounds < MOST_ROUNDS:
-        for _ in range(2):
-            for d in DIMENSIONS:
-                w = _filled(w, [d], "w", "room", f"s_{d}", list(DIMENSIONS))
-        rounds += 2
+    for n in range(1, (rounds or MOST_ROUNDS) + 1):
+        for d in DIMENSIONS:
+            w = _filled(w, [d], "w", "room", f"s_{d}", list(DIMENSIONS))
+        if n % 2 and n != rounds:
+            continue
         w = materialise(w, "cells")  # keeps the plan short
-        if (_marginals(w).agg(F.max(F.abs(F.col("drawn") - F.col("target")))).first()[0] or 0.0) <= TOLERANCE * wanted:
+        if rounds is None and (_marginals(w).agg(F.max(F.abs(F.col("drawn") - F.col("target")))).first()[0] or 0.0) <= TOLERANCE * wanted:
             break
     missed = _marginals(w).where(F.abs(F.col("drawn") - F.col("asked")) > F.lit(10 * TOLERANCE * wanted)).orderBy("dimension", "value").limit(100).collect()
     for r in missed:
@@ -136,15 +112,13 @@ def _marginals(w: DataFrame) -> DataFrame:
     return each.groupBy("dimension", "value").agg(F.sum(F.least("w", "room")).alias("drawn"), F.max("target").alias("target"), F.max("asked").alias("asked"), F.sum("room").alias("room"))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, rounds: int = ROUNDS, carry: list[str] | None = None, bounded: bool = False) -> DataFrame:
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, rounds: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (default: the id, source and lang) and topic, tokens, probability, kept: one row per document.
 
-    A cell's probability is its target tokens over its present tokens, at most
-    1; ``budget`` is the tokens wanted as a share of all. Null sources and
-    languages are a value of their own; documents without tokens have
-    probability 0. Equal rows are drawn alike. ``bounded``: the rounds keep the
-    bound, as ``rake_bounded`` says; otherwise the weights are cut to 1 after
-    them, and targets and budget are missed where cells are full.
+    A cell's probability is the tokens that ``rake_bounded`` draws from it over
+    its tokens; ``budget`` is the tokens wanted as a share of all. Null and
+    empty sources and languages are one value; documents without tokens have
+    probability 0. Rows of equal id are drawn alike.
     """
     carry = carry or [id_col, "source", "lang"]
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -152,35 +126,42 @@ def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     narrow = text_col not in carry
     counted = materialise(told if narrow else told.drop("row"), "counted")
     cells = materialise(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rate = F.least(F.lit(1.0), F.col("w") * F.lit(float(budget * total)) / F.col("tokens"))
-    raked = rake_bounded(cells, targets, budget).withColumn("p", F.col("drawn") / F.col("tokens")) if bounded else rake(cells, targets, rounds).withColumn("p", rate)
-    shares = materialise(raked.select(*DIMENSIONS, F.round("p", 6).alias("probability")), "shares")
-    out = (counted if narrow else told).join(shares, list(DIMENSIONS), "left")
+    raked = rake_bounded(cells, targets, budget, rounds).select(*DIMENSIONS, (F.col("drawn") / F.col("tokens")).alias("probability"))
+    out = (counted if narrow else told).join(materialise(raked, "shares"), list(DIMENSIONS), "left")
     p = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     return out.select(*(F.col(f"row.`{c}`") for c in carry), "topic", "tokens", p.alias("probability"), (F.col("u") < p).alias("kept"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """The drawn rows of ``docs``, with its columns; the probabilities are the bounded ones."""
-    return probabilities(docs, targets, budget, id_col, text_col, seed, carry=docs.columns, bounded=True).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The drawn rows of ``docs``, with its columns."""
+    return probabilities(docs, targets, budget, id_col, text_col, seed, carry=docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+
 
+def _filled_sql(name: str, source: str, part: str, amount: str, total: str, order: str) -> str:
+    """CTEs for ``_filled`` over the rows of ``source``; the result is called ``name``."""
+    by = f"PARTITION BY {part} ORDER BY ratio ASC NULLS LAST, {order} ROWS BETWEEN"
+    return f"""{name}_r AS MATERIALIZED (SELECT *, room / nullif({amount}, 0) AS ratio FROM {source}),
+{name}_f AS MATERIALIZED (SELECT *, ({total} - coalesce(sum(room) OVER ({by} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum({amount}) OVER ({by} CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS f FROM {name}_r),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (ratio, f) REPLACE (least({amount} * coalesce(max(CASE WHEN f <= ratio THEN f END) OVER (PARTITION BY {part}), max(ratio) OVER (PARTITION BY {part}), 0), room * 1e12) AS {amount}) FROM {name}_f)"""
 
-def oracle_sql(docs: str = "documents") -> str:
-    """DuckDB SQL for ``probabilities`` with its defaults."""
-    steps = []
-    last = "raked0"
-    for r in range(ROUNDS):
+
+def oracle_sql(docs: str = "documents", rounds: int = ROUNDS) -> str:
+    """DuckDB SQL for ``probabilities`` with its defaults and so many rounds, probabilities to six places."""
+    parts = []
+    for d in DIMENSIONS:
+        parts.append(f"m_{d} AS (SELECT {d}, 0 AS everything, sum(tokens)::DOUBLE AS room, pow(sum(tokens)::DOUBLE, {TEMPER[d]}) AS share, {BUDGET}::DOUBLE * (SELECT sum(tokens) FROM cells) AS total FROM cells GROUP BY {d})")
+        parts.append(_filled_sql(f"s_{d}", f"m_{d}", "everything", "share", "total", d))
+    parts.append("raked AS (SELECT source, lang, topic, tokens, tokens::DOUBLE AS room, tokens::DOUBLE AS w, " + ", ".join(f"least(s_{d}.share, s_{d}.room) AS t_{d}" for d in DIMENSIONS) + " FROM cells " + " ".join(f"JOIN s_{d} USING ({d})" for d in DIMENSIONS) + ")")
+    last = "raked"
+    for r in range(rounds):
         for d in DIMENSIONS:
-            steps.append(f"w{r}{d} AS (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
+            parts.append(_filled_sql(f"w{r}{d}", last, d, "w", f"t_{d}", ", ".join(DIMENSIONS)))
             last = f"w{r}{d}"
-    shares = ", ".join(f"s_{d} AS (SELECT {d}, pow(s, {TEMPER[d]}) / sum(pow(s, {TEMPER[d]})) OVER () AS t_{d} FROM (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS s FROM cells GROUP BY {d}))" for d in DIMENSIONS)
     return f"""WITH counted AS (SELECT doc_id, source, lang,
  CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'icense') THEN 'licensed' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '!!') THEN 'shout' ELSE 'prose' END AS topic,
  CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens,
  CAST(('0x' || substr(md5(doc_id || ':{SEED}'), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM {docs}),
-cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL HAVING sum(tokens) > 0), {shares},
-raked0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic)),
-{", ".join(steps)},
-p AS (SELECT source, lang, topic, round(least(1.0::DOUBLE, w * {BUDGET}::DOUBLE * (SELECT sum(tokens) FROM cells) / tokens), 6) AS probability FROM {last})
-SELECT doc_id, source, lang, topic, tokens, CASE WHEN tokens > 0 THEN probability ELSE 0 END AS probability, u < CASE WHEN tokens > 0 THEN probability ELSE 0 END AS kept FROM counted LEFT JOIN p USING (source, lang, topic)"""
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL HAVING sum(tokens) > 0),
+{", ".join(parts)},
+p AS (SELECT source, lang, topic, least(w, room) / tokens AS p FROM {last})
+SELECT doc_id, source, lang, topic, tokens, round(CASE WHEN tokens > 0 THEN p ELSE 0 END, 6) AS probability, u < CASE WHEN tokens > 0 THEN p ELSE 0 END AS kept FROM counted LEFT JOIN p USING (source, lang, topic)"""

@@ -19,9 +19,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import probabilities
+    from pyspark.sql import functions as F
+
+    from .mixing import ROUNDS, probabilities
 
-    return probabilities(_table(spark, sf_dir, "documents"))
+    return probabilities(_table(spark, sf_dir, "documents"), rounds=ROUNDS).withColumn("probability", F.round("probability", 6))
 
 
 #: Where the vocabularies of public tokenizers lie on the driver's machine.
@@ -118,6 +120,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-from .mixing import oracle_sql as _mixing_sql  # noqa: E402
-
-ORACLE: dict[str, str] = {"op2_mixing": _mixing_sql()}
+from .oracle import ORACLE  # noqa: E402, F401
