@@ -8,9 +8,9 @@ places (positional filter) and the parities of all words bound the overlap befor
 whole sets are compared. Equal sets are one class.
 
 A line goes if any earlier line is similar enough. Lines are first held against
-the earliest line of each share of a prefix word's lines, and only those that
+the earliest of some lines that are alike by a few minima, and only those that
 stay against all earlier ones, so that a group of near copies does not meet in
-all pairs.
+all pairs. The first round decides nothing alone: it saves work in the second.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from .storage import forget, materialise, prune_by_bloom
 
 CELLS = 1 << 16
 JACCARD = 0.8
-#: The lines of a word are dealt to so many shares in the first round; a hot word's lines so become several tasks.
+#: The lines of a key are dealt to so many shares in the first round; a hot key's lines so become several tasks.
 SHARES = 16
 #: Prefix words are joined in so many passes, each over its share of the words, so that one pass's shuffle is bounded.
 PASSES = 2
+#: Lines of more words carry 128 parities instead of 64.
+LONG = 72
 X = ["x0", "x1"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,9 +64,9 @@ def _rarity(tokens: DataFrame) -> Column:
 
 
 def _sets(tokens: DataFrame, rarity: Column) -> DataFrame:
-    """(d, l, s): s holds the words as numbers, rarest first."""
+    """(d, l, t, s): s holds the words as numbers, rarest first."""
     word = lambda h: F.get(rarity, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return tokens.select("d", "l", F.sort_array(F.transform("t", word)).alias("s"))
+    return tokens.select("d", "l", "t", F.sort_array(F.transform("t", word)).alias("s"))
 
 
 def _overlap(n1: Column, n2: Column, jaccard: float) -> Column:
@@ -76,15 +78,29 @@ def _prefix(n: Column, share: float) -> Column:
     return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
 
 
-def _apart() -> Column:
-    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"b{x}"))) for x in X[1:]), F.bit_count(F.col("x0").bitwiseXOR(F.col("bx0"))))
+def _alike(a: str, b: str, jaccard: float) -> Column:
+    """Whether sizes and the parities of all words let two lines be similar enough; the test that most pairs fail comes first."""
+    most = F.lit((1 - jaccard) / (1 + jaccard)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
+    sizes = F.least(f"{a}n", f"{b}n") >= F.lit(jaccard) * F.greatest(f"{a}n", f"{b}n") - 1e-9
+    return (_apart(a, b) <= most) & sizes
 
 
-def _possible(jaccard: float) -> Column:
-    """Whether a pair that shares the word at places i and bi (from 0) can be similar enough; the test that most pairs fail comes first."""
-    differ = _apart() <= F.lit((1 - jaccard) / (1 + jaccard)) * (F.col("n") + F.col("bn")) + 1e-9
-    sizes = F.least("n", "bn") >= F.lit(jaccard) * F.greatest("n", "bn") - 1e-9
-    return differ & sizes & (F.least(F.col("n") - F.col("i"), F.col("bn") - F.col("bi")) >= _overlap(F.col("n"), F.col("bn"), jaccard) - F.least("i", "bi"))
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")))
+
+
+def _long_alike(a: str, b: str, jaccard: float) -> Column:
+    """The same test by 128 parities, for two long lines: x1 has the parities of half of the words, x0 those of all."""
+    most = F.lit((1 - jaccard) / (1 + jaccard)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
+    half = F.col(f"{a}x1").bitwiseXOR(F.col(f"{b}x1"))
+    other = F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")).bitwiseXOR(half)
+    return (F.least(f"{a}n", f"{b}n") <= LONG) | (F.bit_count(half) + F.bit_count(other) <= most)
+
+
+def _placed(a: str, b: str, jaccard: float) -> Column:
+    """Whether two lines that share the word at places i (from 0) can share enough others after it."""
+    after = F.least(F.col(f"{a}n") - F.col(f"{a}i"), F.col(f"{b}n") - F.col(f"{b}i"))
+    return after >= _overlap(F.col(f"{a}n"), F.col(f"{b}n"), jaccard) - F.least(f"{a}i", f"{b}i")
 
 
 def _confirm(pairs: DataFrame, tokens: DataFrame, jaccard: float) -> DataFrame:
@@ -123,33 +139,44 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     #: A word comes often: its number in a dictionary of one file is a third of its hash.
     tokens = materialise(_tokens(_lines(docs)), "tokens", {"parquet.dictionary.page.size": str(16 << 20)})
     n = F.size("s")
-    #: Parities of the words in each of 128 cells: two sets' parities differ in no more cells than the sets in words.
+    #: Parities of the words in each of 64 cells: two sets' parities differ in no more cells than the sets in words.
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda j: F.aggregate("s", F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(F.lit(64)) == 64 * j, a.bitwiseXOR(bit(w))).otherwise(a))
+    parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+    half = F.when(n > LONG, parity(F.filter("s", lambda w: w.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
     prefix = F.transform(F.slice("s", 1, F.greatest(F.lit(0), _prefix(n, jaccard))), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    told = _sets(tokens, _rarity(tokens)).select("d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), *(parity(j).alias(x) for j, x in enumerate(X)), prefix.alias("p"))
+    told = _sets(tokens, _rarity(tokens)).select(
+        "d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"),
+        F.hash(F.array_min("t"), F.array_max("t")).alias("ends"), parity("s").alias("x0"), half.alias("x1"), prefix.alias("p"),
+    )
     told = materialise(told, "lines")
-    first = told.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", *X, "p")).alias("m"))
+    first = told.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", "ends", *X, "p")).alias("m"))
     classes = materialise(first.select("h1", "h2", "m.*"), "classes")
     #: A set that has no place for one more or one less word is similar to itself alone.
     able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
     #: A set and one no smaller share a word of this shorter prefix of the smaller one, too.
     short = lambda size: _prefix(size, 2 * jaccard / (1 + jaccard))
-    posts = lambda c, p="p": c.select("d", "l", "n", *X, F.posexplode(p).alias("i", "key"))
-    before = (F.col("bd") < F.col("d")) | ((F.col("bd") == F.col("d")) & (F.col("bl") < F.col("l")))
-    pair = ["d", "l", "bd", "bl", (_apart() / (F.col("n") + F.col("bn"))).alias("q")]
     share = F.pmod(F.xxhash64("d", "l"), F.lit(SHARES)).cast("int")
+    #: Near copies mostly agree in the least and greatest hash of all words, or in the least or greatest one of the prefix.
+    keys = F.array(F.col("ends"), F.array_min("p"), F.array_max("p"))
     w = Window.partitionBy("key", "share").orderBy("d", "l")
-    lead = posts(able, F.slice("p", 1, short(F.col("n")))).withColumn("share", share).withColumn("b", F.first(F.struct("d", "l", "n", *X, "i")).over(w))
-    lead = lead.select("*", *(F.col("b")[c].alias(f"b{c}") for c in ("d", "l", "n", *X, "i"))).where(before & _possible(jaccard))
-    gone = _confirm(materialise(lead.select(*pair).distinct(), "pairs"), tokens, jaccard)
-    stay = able.join(gone, ["d", "l"], "left_anti")
-    shorter_has = F.when(F.col("n") <= F.col("bn"), F.col("i") < short(F.col("n"))).otherwise(F.col("bi") < short(F.col("bn")))
+    lead = able.select("d", "l", "n", "x0", F.explode(F.array_distinct(keys)).alias("key"), share.alias("share"))
+    lead = lead.withColumn("b", F.first(F.struct("d", "l", "n", "x0")).over(w))
+    lead = lead.select("d", "l", "n", "x0", *(F.col("b")[c].alias(f"b{c}") for c in ("d", "l", "n", "x0")))
+    lead = lead.where(((F.col("bd") != F.col("d")) | (F.col("bl") != F.col("l"))) & _alike("", "b", jaccard))
+    lead = lead.select("d", "l", "bd", "bl", (_apart("", "b") / (F.col("n") + F.col("bn"))).alias("q"))
+    gone = _confirm(materialise(lead.distinct(), "pairs"), tokens, jaccard)
+    seeks = able.join(gone.withColumn("found", F.lit(1)), ["d", "l"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    shorter_has = F.when(F.col("a.n") <= F.col("b.n"), F.col("a.i") < short(F.col("a.n"))).otherwise(F.col("b.i") < short(F.col("b.n")))
+    before = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") < F.col("a.l")))
+    #: Lines found by the first round seek nothing more. The sum reads both sides, so that both keep the column and the join needs one exchange.
+    open_ = F.col("a.found") * 2 + F.col("b.found") < 2
+    test = _alike("a.", "b.", jaccard) & _placed("a.", "b.", jaccard) & before & open_ & shorter_has & _long_alike("a.", "b.", jaccard)
+    pair = [*(F.col(f"a.{c}").alias(c) for c in ("d", "l")), *(F.col(f"b.{c}").alias(f"b{c}") for c in ("d", "l"))]
+    pair.append((_apart("a.", "b.") / (F.col("a.n") + F.col("b.n"))).alias("q"))
     pairs = None
     for k in range(PASSES):
-        part = F.pmod("key", F.lit(PASSES)) == k
-        other = posts(able).where(part).select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "l", "n", *X, "i")))
-        met = posts(stay).where(part).join(other, "key").where(_possible(jaccard) & before & shorter_has).select(*pair).distinct()
+        posts = seeks.select("d", "l", "n", "found", *X, F.posexplode("p").alias("i", "key")).where(F.pmod("key", F.lit(PASSES)) == k)
+        met = posts.alias("a").join(posts.alias("b"), F.col("a.key") == F.col("b.key")).where(test).select(*pair).distinct()
         met = materialise(met, "pairs")
         pairs = met if pairs is None else pairs.union(met)
     gone = gone.union(_confirm(pairs.distinct(), tokens, jaccard))
