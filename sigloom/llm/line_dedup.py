@@ -15,17 +15,15 @@ all pairs. The first round decides nothing alone: it saves work in the second.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import forget, materialise, prune_by_bloom
 
 CELLS = 1 << 16
 JACCARD = 0.8
-#: The lines of a key are dealt to so many shares in the first round; a hot key's lines so become several tasks.
-SHARES = 16
 #: Prefix words are joined in so many passes, each over its share of the words, so that one pass's shuffle is bounded.
-PASSES = 2
+PASSES = 4
 #: Lines of more words carry 128 parities instead of 64.
 LONG = 72
 X = ["x0", "x1"]
@@ -155,16 +153,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
     #: A set and one no smaller share a word of this shorter prefix of the smaller one, too.
     short = lambda size: _prefix(size, 2 * jaccard / (1 + jaccard))
-    share = F.pmod(F.xxhash64("d", "l"), F.lit(SHARES)).cast("int")
     #: Near copies mostly agree in the least and greatest hash of all words, or in the least or greatest one of the prefix.
-    keys = F.array(F.col("ends"), F.array_min("p"), F.array_max("p"))
-    w = Window.partitionBy("key", "share").orderBy("d", "l")
-    lead = able.select("d", "l", "n", "x0", F.explode(F.array_distinct(keys)).alias("key"), share.alias("share"))
-    lead = lead.withColumn("b", F.first(F.struct("d", "l", "n", "x0")).over(w))
-    lead = lead.select("d", "l", "n", "x0", *(F.col("b")[c].alias(f"b{c}") for c in ("d", "l", "n", "x0")))
+    keys = F.array_distinct(F.array("ends", F.array_min("p"), F.array_max("p"), F.col("p")[0], F.element_at("p", -1)))
+    alike = able.select("d", "l", "n", "x0", F.explode(keys).alias("key"))
+    #: The earliest line of each key: partial minima meet, and a row a key joins back, so no task holds a hot key's lines.
+    first = alike.groupBy("key").agg(F.min(F.struct("d", "l", "n", "x0")).alias("b"), F.count("*").alias("c")).where("c > 1")
+    first = materialise(first.select("key", *(F.col("b")[c].alias(f"b{c}") for c in ("d", "l", "n", "x0"))), "first")
+    lead = alike.join(first, "key")
     lead = lead.where(((F.col("bd") != F.col("d")) | (F.col("bl") != F.col("l"))) & _alike("", "b", jaccard))
     lead = lead.select("d", "l", "bd", "bl", (_apart("", "b") / (F.col("n") + F.col("bn"))).alias("q"))
     gone = _confirm(materialise(lead.distinct(), "pairs"), tokens, jaccard)
+    forget(first)
     seeks = able.join(gone.withColumn("found", F.lit(1)), ["d", "l"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
     shorter_has = F.when(F.col("a.n") <= F.col("b.n"), F.col("a.i") < short(F.col("a.n"))).otherwise(F.col("b.i") < short(F.col("b.n")))
     before = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") < F.col("a.l")))
