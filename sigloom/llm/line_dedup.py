@@ -24,7 +24,7 @@ CELLS = 1 << 16
 JACCARD = 0.8
 #: Prefix words are joined in so many passes, each over its share of the words, so that one pass's shuffle is bounded.
 PASSES = 4
-#: Lines of more words carry 128 parities instead of 64.
+#: Lines of more words carry 128 parities of one kind, others 64 of each of two kinds.
 LONG = 72
 X = ["x0", "x1"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,12 +87,15 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")))
 
 
-def _long_alike(a: str, b: str, jaccard: float) -> Column:
-    """The same test by 128 parities, for two long lines: x1 has the parities of half of the words, x0 those of all."""
+def _still_alike(a: str, b: str, jaccard: float) -> Column:
+    """The same test by x1. Of a long line it has the parities of half of the words, where x0 has those of all; of another
+    one it has parities of all words by other cells, which two unlike words seldom share twice. A long line and another
+    one are not told apart."""
     most = F.lit((1 - jaccard) / (1 + jaccard)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
-    half = F.col(f"{a}x1").bitwiseXOR(F.col(f"{b}x1"))
-    other = F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")).bitwiseXOR(half)
-    return (F.least(f"{a}n", f"{b}n") <= LONG) | (F.bit_count(half) + F.bit_count(other) <= most)
+    x1 = F.col(f"{a}x1").bitwiseXOR(F.col(f"{b}x1"))
+    rest = F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")).bitwiseXOR(x1)
+    short, long = F.greatest(f"{a}n", f"{b}n") <= LONG, F.least(f"{a}n", f"{b}n") > LONG
+    return F.when(short, F.bit_count(x1) <= most).when(long, F.bit_count(x1) + F.bit_count(rest) <= most).otherwise(F.lit(True))
 
 
 def _placed(a: str, b: str, jaccard: float) -> Column:
@@ -107,8 +110,11 @@ def _confirm(pairs: DataFrame, tokens: DataFrame, jaccard: float) -> DataFrame:
     Of each later line the pair of the least q is tried first, and the others only
     where it fails. Whole sets move for the pairs' lines only.
     """
-    ends = materialise(pairs.select("d", "l").union(pairs.select("bd", "bl")).distinct(), "ends")
-    sets = materialise(tokens.join(ends.where("d is not null"), ["d", "l"], "left_semi"), "sets")
+    place = F.xxhash64("d", "l").alias("k")
+    ends = materialise(pairs.select("d", "l").union(pairs.select("bd", "bl")).select(place).distinct(), "ends")
+    #: One key and a comparison, so that Spark builds its Bloom filter; a line whose place only shares the hash does no harm.
+    wanted = ends.where(F.col("k") >= F.lit(-(1 << 63)))
+    sets = materialise(tokens.withColumn("k", place).join(wanted, "k", "left_semi").drop("k"), "sets")
 
     def similar(some: DataFrame) -> DataFrame:
         both = some.join(sets.withColumnRenamed("t", "s"), ["d", "l"]).join(sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), "t"), ["bd", "bl"])
@@ -139,12 +145,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.size("s")
     #: Parities of the words in each of 64 cells: two sets' parities differ in no more cells than the sets in words.
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
-    half = F.when(n > LONG, parity(F.filter("s", lambda w: w.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
+    parity = lambda s, cell=lambda w: w: F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(cell(w))))
+    half = parity(F.filter("s", lambda w: w.bitwiseAND(F.lit(64)) == 0))
+    x1 = F.when(n > LONG, half).otherwise(parity("s", lambda w: F.shiftrightunsigned(w, 6)))
     prefix = F.transform(F.slice("s", 1, F.greatest(F.lit(0), _prefix(n, jaccard))), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     told = _sets(tokens, _rarity(tokens)).select(
         "d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"),
-        F.hash(F.array_min("t"), F.array_max("t")).alias("ends"), parity("s").alias("x0"), half.alias("x1"), prefix.alias("p"),
+        F.hash(F.array_min("t"), F.array_max("t")).alias("ends"), parity("s").alias("x0"), x1.alias("x1"), prefix.alias("p"),
     )
     told = materialise(told, "lines")
     first = told.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", "ends", *X, "p")).alias("m"))
@@ -164,23 +171,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lead = lead.select("d", "l", "bd", "bl", (_apart("", "b") / (F.col("n") + F.col("bn"))).alias("q"))
     gone = _confirm(materialise(lead.distinct(), "pairs"), tokens, jaccard)
     forget(first)
-    seeks = able.join(gone.withColumn("found", F.lit(1)), ["d", "l"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    shorter_has = F.when(F.col("a.n") <= F.col("b.n"), F.col("a.i") < short(F.col("a.n"))).otherwise(F.col("b.i") < short(F.col("b.n")))
-    before = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") < F.col("a.l")))
-    #: Lines found by the first round seek nothing more. The sum reads both sides, so that both keep the column and the join needs one exchange.
-    open_ = F.col("a.found") * 2 + F.col("b.found") < 2
-    test = _alike("a.", "b.", jaccard) & _placed("a.", "b.", jaccard) & before & open_ & shorter_has & _long_alike("a.", "b.", jaccard)
-    pair = [*(F.col(f"a.{c}").alias(c) for c in ("d", "l")), *(F.col(f"b.{c}").alias(f"b{c}") for c in ("d", "l"))]
+    #: Lines found by the first round seek nothing more. A merge join at every size: what is moved grows with the table.
+    found = gone.withColumn("found", F.lit(True)).hint("merge")
+    seeks = able.join(found, ["d", "l"], "left").withColumn("found", F.coalesce("found", F.lit(False))).select("d", "l", "n", "found", *X, "p")
+    seeks = materialise(seeks, "seeks")
+    #: The smaller line's short prefix meets the other's whole one; of two lines of one size the earlier one counts as the smaller.
+    later = (F.col("b.d") > F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") > F.col("a.l")))
+    earlier = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") < F.col("a.l")))
+    sought = F.when(later, ~F.col("b.found")).otherwise(earlier & (F.col("a.n") < F.col("b.n")) & ~F.col("a.found"))
+    test = _alike("a.", "b.", jaccard) & (F.col("a.n") <= F.col("b.n")) & _placed("a.", "b.", jaccard) & _still_alike("a.", "b.", jaccard) & sought
+    last, first = (F.when(later, F.struct(f"{x}.d", f"{x}.l")).otherwise(F.struct(f"{y}.d", f"{y}.l")) for x, y in ("ba", "ab"))
+    pair = [last["d"].alias("d"), last["l"].alias("l"), first["d"].alias("bd"), first["l"].alias("bl")]
     pair.append((_apart("a.", "b.") / (F.col("a.n") + F.col("b.n"))).alias("q"))
     pairs = None
     for k in range(PASSES):
         posts = seeks.select("d", "l", "n", "found", *X, F.posexplode("p").alias("i", "key")).where(F.pmod("key", F.lit(PASSES)) == k)
-        met = posts.alias("a").join(posts.alias("b"), F.col("a.key") == F.col("b.key")).where(test).select(*pair).distinct()
+        small = seeks.select("d", "l", "n", "found", *X, F.posexplode(F.slice("p", 1, short(F.col("n")))).alias("i", "key"))
+        small = small.where(F.pmod("key", F.lit(PASSES)) == k)
+        met = small.alias("a").join(posts.alias("b"), F.col("a.key") == F.col("b.key")).where(test).select(*pair).distinct()
         met = materialise(met, "pairs")
         pairs = met if pairs is None else pairs.union(met)
     gone = gone.union(_confirm(pairs.distinct(), tokens, jaccard))
-    forget(tokens)
-    late = gone.select("d", "l", F.lit(True).alias("late"))
+    forget(tokens, seeks)
+    late = gone.select("d", "l", F.lit(True).alias("late")).hint("merge")
     fate = classes.select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl")).join(late.select(F.col("d").alias("fd"), F.col("l").alias("fl"), "late"), ["fd", "fl"], "left")
     out = told.select("d", "l", "h1", "h2").join(fate, ["h1", "h2"], "left")
     removed = F.coalesce(F.col("late"), F.lit(False)) | F.coalesce((F.col("d") != F.col("fd")) | (F.col("l") != F.col("fl")), F.lit(False))
