@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import forget, materialise, prune_by_bloom
+from .storage import forget, materialise, prune_by_bloom, settings
 
 CELLS = 1 << 16
 JACCARD = 0.8
@@ -114,7 +114,8 @@ def _confirm(pairs: DataFrame, tokens: DataFrame, jaccard: float) -> DataFrame:
     ends = materialise(pairs.select("d", "l").union(pairs.select("bd", "bl")).select(place).distinct(), "ends")
     #: One key and a comparison, so that Spark builds its Bloom filter; a line whose place only shares the hash does no harm.
     wanted = ends.where(F.col("k") >= F.lit(-(1 << 63)))
-    sets = materialise(tokens.withColumn("k", place).join(wanted, "k", "left_semi").drop("k"), "sets")
+    with settings(tokens.sparkSession, {"spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}):
+        sets = materialise(tokens.withColumn("k", place).join(wanted, "k", "left_semi").drop("k"), "sets")
 
     def similar(some: DataFrame) -> DataFrame:
         both = some.join(sets.withColumnRenamed("t", "s"), ["d", "l"]).join(sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), "t"), ["bd", "bl"])
