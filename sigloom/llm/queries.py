@@ -107,6 +107,76 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), n_shards=8, law="bytes", carry=["doc_id"])
 
 
+def _fold(column: str = "doc_id"):
+    """Unsigned crc32 of the decimal id; null for a null id."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a null id are learned from."""
+    from pyspark.sql import functions as F
+
+    from . import lm_scoring
+
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.coalesce(_fold() % 7 == 2, F.lit(False)).alias("held_out"))
+    model, counts = lm_scoring.fit(docs.where("not held_out"))
+    scored = lm_scoring.score(docs.select("doc_id", "held_out", "text"), model, counts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Texts in which a tenth of all documents repeat themselves from some word on; the others stay as they are."""
+    from pyspark.sql import functions as F
+
+    h = _fold()
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        every = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.when(n > 0, F.array_join(F.transform(every, lambda i: F.element_at(words, (at(i) + 1).cast("int"))), " ")).otherwise(F.lit(""))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bound = F.element_at(F.transform(F.array(words), repeated), 1)  # the words are made once, not once a word
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), bound).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .periodic_runs import periodic_runs
+
+    found = periodic_runs(planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n", "")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import merkle as M
+
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(_fold() % 5 == 0, M.digest(*(F.col(c) for c in fields[:-1]), lower))
+    rows = M.manifest(docs, fields, carry=[tampered.alias("tampered")])
+    folded = M.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", M.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mixing": op2_mixing,
@@ -118,6 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 from .oracle import ORACLE  # noqa: E402, F401

@@ -15,5 +15,5 @@ def test_tables_are_shared_and_cleaned(spark):
 def test_registered_for_each_operator():
     from sigloom.llm.queries import ORACLE, QUERIES
 
-    assert sorted({int(q[2:].split("_")[0]) for q in QUERIES}) == list(range(1, 11)) and len(QUERIES) == 10
+    assert sorted({int(q[2:].split("_")[0]) for q in QUERIES}) == list(range(1, 14)) and len(QUERIES) == 13
     assert set(ORACLE) <= set(QUERIES)
