@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
 
 EPS = 1e-4
 
@@ -125,9 +128,18 @@ def pairwise(vectors: DataFrame, how: str = "cosine") -> DataFrame:
     return both.agg(F.when(zero, 0.0).otherwise(_pearson("xa", "xb")).alias("similarity"))
 
 
+def against(catalog: DataFrame, est: DataFrame) -> DataFrame:
+    """The estimate's cells with ``v``, the catalogue's count, 0 where it has none."""
+    cells = catalog.select("channel", "sample", F.col("cnt").cast("double").alias("v"))
+    return est.join(cells, ["channel", "sample"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
 def similarity_table(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Eight measures per sample (and solution, ``by``); percentages come from the rounded norms, an infinite divergence is 1000."""
-    both = catalog.select("channel", "sample", F.col("cnt").cast("double").alias("v")).join(est.select(*by, "channel", "sample", F.col("est").cast("double").alias("q")), ["channel", "sample"])
+    """Eight measures per sample (and solution, ``by``); percentages come from the rounded norms, an infinite divergence is 1000.
+
+    The estimate names the cells: those that the catalogue lacks are zeros.
+    """
+    both = against(catalog, est).select(*by, "channel", "sample", "v", F.col("est").cast("double").alias("q"))
     w = Window.partitionBy(*by, "sample")
     both = both.withColumns({"pv": F.try_divide("v", F.sum("v").over(w)), "pq": F.try_divide("q", F.sum("q").over(w))})
     kl = F.sum(F.when(F.col("pv") == 0, 0.0).when(F.col("pq") == 0, float("inf")).otherwise(F.col("pv") * F.ln(F.when(F.col("pq") > 0, F.col("pv") / F.col("pq")))))
@@ -140,8 +152,16 @@ def similarity_table(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = (
 
 
 def frobenius_error(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    d = F.col("cnt") - F.col("est")
-    return catalog.join(est, ["channel", "sample"]).groupBy(*by).agg(F.round(F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("cnt") * F.col("cnt")))), 4).alias("fro_err"))
+    """Relative error of all cells; the estimate names them, those that the catalogue lacks are zeros."""
+    d = F.col("v") - F.col("est")
+    return against(catalog, est).groupBy(*by).agg(F.round(F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("v") * F.col("v")))), 4).alias("fro_err"))
+
+
+def kl_loss(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The generalised divergence of the estimate; a cell of zero, absent or not, adds its estimate alone."""
+    v, q = F.col("v"), F.col("est")
+    cell = F.when(v > 0, v * F.ln(v / F.greatest(q, F.lit(1e-300))) - v).otherwise(0.0) + q
+    return against(catalog, est).groupBy(*by).agg(F.sum(cell).alias("loss"))
 
 
 def metric_summary(similarity: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -227,6 +247,120 @@ def compare_ranks(errors: DataFrame, base: int) -> DataFrame:
     return ranked.groupBy("k").agg(z.alias("z"), F.median(F.when(~a, F.col("x"))).alias("median"))
 
 
+def best_restarts(tried: DataFrame) -> DataFrame:
+    """``tried(k, restart, silhouette)`` -> the restart of the highest silhouette of each rank, the first of equals."""
+    best = tried.groupBy("k").agg(F.max(F.struct("silhouette", (-F.col("restart")).alias("back"))).alias("m"))
+    return best.select("k", (-F.col("m.back")).alias("restart"), "m.silhouette")
+
+
+#: Of a mixture: mean, deviation and share of the lower and the upper normal, in units of the values.
+Normals = tuple[tuple[float, float, float], tuple[float, float, float]]
+
+
+def two_normals(values: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> Normals:
+    """A mixture of two normals over ``values(x, n)``, n equal values each, by expectation and maximisation.
+
+    A round is one grouped sum of weighted counts, sums and squares: nothing but
+    these six numbers comes to the driver. It starts one deviation below and
+    above the mean, and ends where the means move by less than ``tolerance``
+    deviations. Values are centred and scaled for the sums.
+    """
+    mu, sd = values.agg(F.sum(F.col("x") * F.col("n")) / F.sum("n"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("x") * F.col("x") * F.col("n")) / F.sum("n") - F.pow(F.sum(F.col("x") * F.col("n")) / F.sum("n"), F.lit(2))))).first()
+    scale = max(sd, 1e-9)
+    z = (F.col("x") - F.lit(mu)) / F.lit(scale)
+    now = [(-1.0, 1.0, 0.5), (1.0, 1.0, 0.5)]
+    for _ in range(rounds):
+        p = upper_share(z, now)
+        sums = []
+        for q in (1 - p, p):
+            w = q * F.col("n")
+            sums += [F.sum(w), F.sum(w * z), F.sum(w * z * z)]
+        r = values.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
+        size, new = r[0] + r[3], []
+        for n, a, b in (r[:3], r[3:]):
+            n = max(n, 1e-9)
+            new.append((a / n, max(b / n - (a / n) ** 2, 0.0) + 1e-12, n / size))
+        new = [(m, v**0.5, s) for m, v, s in new]
+        moved = max(abs(new[i][0] - now[i][0]) for i in (0, 1))
+        now = new
+        if moved < tolerance:
+            break
+    return tuple((m * scale + mu, d * scale, s) for m, d, s in now)
+
+
+def upper_share(x: Column, normals) -> Column:
+    """The posterior of the second normal."""
+    log = [F.lit(math.log(max(s, 1e-300)) - math.log(d)) - (x - F.lit(m)) * (x - F.lit(m)) / F.lit(2 * d * d) for m, d, s in normals]
+    return 1 / (1 + F.exp(F.least(F.lit(700.0), log[0] - log[1])))
+
+
+def mixture_cutoff(totals: DataFrame, least: float, rounds: int = 200, tolerance: float = 1e-9) -> int:
+    """The total that normalisation cuts at: mean plus two deviations of the ordinary samples, at least ``least``.
+
+    Totals fall into two normals; the larger group alone is looked at again as
+    long as the groups' means are at least four of its deviations apart. Equal
+    totals are one row from the start.
+    """
+    values = written(totals.where("total is not null").groupBy(F.col("total").cast("double").alias("x")).agg(F.count("*").alias("n")), "totals")
+    of = lambda c: (F.sum(F.when(c, F.col("n"))), F.sum(F.when(c, F.col("n") * F.col("x"))), F.sum(F.when(c, F.col("n") * F.col("x") * F.col("x"))))
+    spread = lambda n, a, b: (a / n, max(b / n - (a / n) ** 2, 0.0) ** 0.5)
+    while True:
+        n, a, b = values.agg(*of(F.lit(True))).first()
+        if not n:
+            return int(least)
+        if n > 2:
+            normals = two_normals(values, rounds, tolerance)
+            upper = upper_share(F.col("x"), normals) > 0.5
+            r = values.agg(*of(~upper), *of(upper)).first()
+            low, high = r[:3], r[3:]
+            if low[0] and high[0]:
+                big, small = (high, low) if high[0] > low[0] else (low, high)
+                (mean, sd), (other, _) = spread(*big), spread(*small)
+                if abs(mean - other) >= 4 * sd:
+                    values = values.where(upper if big is high else ~upper)
+                    continue
+        mean, sd = spread(n, a, b)
+        return max(int(mean + 2 * sd), int(least))
+
+
+def gram(catalog: DataFrame) -> DataFrame:
+    """(a, b, dot) for channels a <= b: sums over samples of the products of their counts, one join by sample."""
+    left = catalog.select("sample", F.col("channel").alias("a"), F.col("cnt").cast("double").alias("x"))
+    right = catalog.select("sample", F.col("channel").alias("b"), F.col("cnt").cast("double").alias("y"))
+    return left.join(right, "sample").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+
+#: Channels of a Gram matrix that the driver takes apart; 5,000 squared are 200 MB.
+MOST_CHANNELS = 5000
+
+
+def singular(catalog: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Truncated singular value decomposition: (channel, component, x) and (component, value, error).
+
+    ``error``: the relative error of all cells when components up to this one are kept. Only
+    the Gram matrix of the channels comes to the driver; the samples may be any number.
+    """
+    cells = gram(catalog)
+    channels = sorted(r[0] for r in cells.select("a").distinct().collect())
+    if len(channels) > MOST_CHANNELS:
+        raise ValueError(f"{len(channels)} channels exceed MOST_CHANNELS")
+    at, matrix = {c: i for i, c in enumerate(channels)}, np.zeros((len(channels), len(channels)))
+    for r in cells.toLocalIterator():
+        matrix[at[r.a], at[r.b]] = matrix[at[r.b], at[r.a]] = r.dot
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(-values)[:k]
+    spark, left = catalog.sparkSession, np.sqrt(np.maximum(1 - np.cumsum(np.maximum(values[order], 0)) / max(matrix.trace(), 1e-300), 0))
+    u = [(c, j, float(vectors[i, o] * (-1 if vectors[np.abs(vectors[:, o]).argmax(), o] < 0 else 1))) for j, o in enumerate(order) for i, c in enumerate(channels)]
+    sizes = [(j, float(max(values[o], 0) ** 0.5), float(left[j])) for j, o in enumerate(order)]
+    return spark.createDataFrame(u, "channel string, component int, x double"), spark.createDataFrame(sizes, "component int, value double, error double")
+
+
+def right_vectors(catalog: DataFrame, left: DataFrame, values: DataFrame) -> DataFrame:
+    """(sample, component, y): the samples' singular vectors, a join and a grouped sum."""
+    dots = catalog.join(F.broadcast(left), "channel").groupBy("sample", "component").agg(F.sum(F.col("cnt") * F.col("x")).alias("s"))  # channels x k rows
+    return dots.join(F.broadcast(values), "component").select("sample", "component", F.try_divide("s", "value").alias("y"))
+
+
 def cutoff_stats(catalog: DataFrame) -> DataFrame:
     return totals(catalog).agg(F.floor(F.avg("total") + 2 * F.stddev_pop("total")).cast("long").alias("cutoff"))
 

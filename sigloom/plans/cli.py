@@ -8,14 +8,20 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from ..sources.catalog import read_inputs, seed_of
+from ..sources.channels import STRANDS
+from ..sources.genome import read_fasta
 from .extract import Parameters, extract
+from .report import genome_build
+
+#: What the command's yes-or-no options accept.
+YES, NO = ("yes", "true", "t", "y", "1"), ("no", "false", "f", "n", "0")
 
 
 def flag(text: str) -> bool:
     low = text.lower()
-    if low in ("yes", "true", "t", "y", "1"):
+    if low in YES:
         return True
-    if low in ("no", "false", "f", "n", "0"):
+    if low in NO:
         return False
     raise argparse.ArgumentTypeError("a yes or no is expected")
 
@@ -31,6 +37,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seeds", default="random")
     p.add_argument("--context_type", default="default", help="contexts of variants: SBS96, DBS78, ID83, with commas")
     p.add_argument("--flanks", help="Parquet table (chrom, pos, before, after) of the bases beside the variants")
+    p.add_argument("--reference_genome", default="GRCh37", help="the reference's build; with --volume its sequences are VOLUME/BUILD.fa")
+    p.add_argument("--opportunity_genome", default="GRCh37", help="the build of the known signatures below --volume")
+    p.add_argument("--cosmic_version", type=float, default=3.4, help="the version of the known signatures below --volume")
+    p.add_argument("--volume", help="folder of reference files: BUILD.fa, BUILD_transcripts.parquet, signatures/BUILD_vVERSION.parquet")
+    p.add_argument("--reference_sequence", help="FASTA files of the reference, instead of those below --volume")
+    p.add_argument("--transcripts", help="Parquet table (chrom, start, end, strand) of what is transcribed, for contexts with strands")
+    p.add_argument("--collapse_to_SBS96", type=flag, default=True, help="decompose finer contexts of substitutions as SBS96")
     p.add_argument("--known", help="Parquet table (channel, signature, weight) to decompose the suggested solution into")
     p.add_argument("--select", type=int, help="the rank to suggest, whatever the rule says")
     for name, what in (("get_all_signature_matrices", "write every replicate's factors"), ("export_probabilities", "write the suggested solution's probabilities"), ("stop_after_extraction", "suggest a rank, but decompose nothing")):
@@ -42,17 +55,32 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+OWN = (
+    "input_type", "output", "input_data", "seeds", "context_type", "flanks", "known", "select", "get_all_signature_matrices", "export_probabilities", "stop_after_extraction",
+    "reference_genome", "opportunity_genome", "cosmic_version", "volume", "reference_sequence", "transcripts", "collapse_to_SBS96",
+)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     spark = SparkSession.builder.appName("sigloom").getOrCreate()
-    own = ("input_type", "output", "input_data", "seeds", "context_type", "flanks", "known", "select", "get_all_signature_matrices", "export_probabilities", "stop_after_extraction")
-    kind, out, data, seeds, contexts, flanks, known, select, every, probabilities, stop = (args.pop(k) for k in own)
+    kind, out, data, seeds, contexts, flanks, known, select, every, probabilities, stop, build, opportunity, version, volume, sequence, transcripts, coarse = (args.pop(k) for k in OWN)
     p = Parameters(seed=seed_of(spark, seeds), **args)
-    known = spark.read.parquet(known) if known and not stop else None
-    for name, catalog in read_inputs(spark, kind, data, contexts, flanks and spark.read.parquet(flanks)).items():
+    table = lambda path: spark.read.parquet(path) if path else None
+    build, note = genome_build(build)
+    if note:
+        print(note)
+    if volume:
+        sequence = sequence or f"{volume}/{build}.fa"
+        transcripts = transcripts or (f"{volume}/{build}_transcripts.parquet" if any(STRANDS.get(c) for c in contexts.upper().split(",")) else None)
+        known = known or f"{volume}/signatures/{genome_build(opportunity)[0]}_v{version:g}.parquet"
+    known = None if stop else table(known)
+    parts = read_fasta(spark, sequence) if sequence and kind.lower() == "vcf" and not flanks else None
+    for name, catalog in read_inputs(spark, kind, data, contexts, table(flanks), parts, table(transcripts)).items():
         result = extract(catalog, p, select)
-        result.write(f"{out}/{name}" if name else out, known, every, probabilities)
+        result.write(f"{out}/{name}" if name else out, known, every, probabilities, coarse)
         print(f"{name or result.context}: {result.chosen} signatures")
+        result.release()
     return 0
 
 

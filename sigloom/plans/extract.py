@@ -1,10 +1,11 @@
 """Signature extraction as Spark jobs.
 
-All ranks and replicates are rows of one task table; each task bootstraps,
-normalises and factors the catalogue in a numpy kernel. Restarts of the
-clustering are the rows of a second table. The catalogue itself is bounded: its
-channels are at most a few thousand, its samples are checked against a limit,
-and it reaches the tasks by broadcast.
+A catalogue of at most ``most_cells`` cells reaches the tasks by broadcast: all
+ranks and replicates are rows of one task table, and each task bootstraps,
+normalises and factors it in a numpy kernel. A larger one is never gathered:
+``factor`` keeps its samples in blocks and goes through them round by round for
+all ranks and replicates together. Restarts of the clustering are rows of a
+task table, too. Channels are at most a few thousand.
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.scalars import signature_name
 from ..operators import matrix as M
+from ..sources import channels as H
 from ..sources.catalog import context_of
+from ..sources.shared import dropped, written
+from . import factor as B
 from . import report as R
 
 #: Cells of one dense catalogue; 50 million doubles are 400 MB.
 MOST_CELLS = 50_000_000
+#: Restarts of the clustering that one task tries.
+RESTARTS = 5
 
 
 @dataclass(frozen=True)
@@ -50,6 +56,7 @@ class Parameters:
     combined_stability: float = 1.0
     allow_stability_drop: bool = False
     exome: bool = False
+    most_cells: int = MOST_CELLS
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, str(v)) for k, v in asdict(self).items()], "parameter string, value string")
@@ -64,9 +71,6 @@ class Dense:
     @staticmethod
     def of(catalog: DataFrame) -> Dense:
         """The names are collected once each; cells come as numbers, a partition at a time."""
-        n = catalog.agg(F.countDistinct("channel"), F.countDistinct("sample")).first()
-        if n[0] * n[1] > MOST_CELLS:
-            raise ValueError(f"a catalogue of {n[0]} x {n[1]} cells exceeds MOST_CELLS; matrix.nmf_round factors it without a dense copy")
         names = {c: sorted(r[0] for r in catalog.select(c).distinct().collect()) for c in ("channel", "sample")}
         v = np.zeros((len(names["channel"]), len(names["sample"])))
         row, col = ({x: i for i, x in enumerate(names[c])} for c in ("channel", "sample"))
@@ -81,8 +85,7 @@ def bootstrap(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.stack([rng.multinomial(int(round(t)), c / t) if t > 0 else np.zeros(len(c)) for c, t in zip(v.T, n, strict=True)], 1).astype(np.float64)
 
 
-def _generator(*path: int) -> np.random.Generator:
-    return np.random.Generator(np.random.PCG64DXSM(np.random.SeedSequence(path[0], spawn_key=path[1:])))
+_generator = B.generator
 
 
 def _normalised(v: np.ndarray, norm: str, cutoff: float) -> np.ndarray:
@@ -124,42 +127,92 @@ def replicates(spark: SparkSession, dense: Dense, p: Parameters) -> DataFrame:
     return table.mapInPandas(run, "k int, replicate int, w array<array<double>>, h array<array<double>>, metrics array<double>, iterations int")
 
 
+@dataclass
+class Replicates:
+    """factors: (k, replicate, w, metrics, iterations); activities: (k, replicate, component, sample, activity)."""
+
+    factors: DataFrame
+    activities: DataFrame
+
+
+def dense_replicates(spark: SparkSession, dense: Dense, p: Parameters) -> Replicates:
+    reps = written(replicates(spark, dense, p), "replicates")
+    names = spark.createDataFrame(list(enumerate(dense.samples)), "i int, sample string")
+    cells = reps.select("k", "replicate", F.posexplode("h").alias("component", "c")).select("k", "replicate", "component", F.posexplode("c").alias("i", "activity"))
+    return Replicates(reps.drop("h"), cells.join(names, "i").select("k", "replicate", "component", "sample", "activity"))
+
+
+def block_replicates(catalog: DataFrame, channels: list[str], n_samples: int, p: Parameters) -> Replicates:
+    """The same without a dense copy: replicates in groups whose weights have at most ``factor.MOST_WEIGHTS`` numbers."""
+    spark, top = catalog.sparkSession, min(p.maximum_signatures, n_samples)
+    ks = list(range(min(p.minimum_signatures, top), top + 1))
+    if p.precision not in ("single", "double"):
+        raise ValueError(f"precision must be single or double, not {p.precision!r}")
+    dtype = np.float32 if p.precision == "single" else np.float64
+    cutoff = M.mixture_cutoff(M.totals(catalog), 100 * len(channels)) if p.matrix_normalization == "gmm" else 0
+
+    def prepare(counts, replicate, sample):
+        x = bootstrap(counts[:, None], B.of_sample(p.seed, replicate, sample)) if p.resample else counts[:, None]
+        x = np.maximum(x, M.EPS)
+        return x.sum(), _normalised(x, p.matrix_normalization, cutoff)[:, 0]
+
+    def start(k, replicate, sample):
+        return B.of_sample(p.seed + 1_000_003 * k, replicate, sample).random(k)
+
+    size = max(1, B.MOST_WEIGHTS // (sum(ks) * len(channels)))
+    parts = []
+    for first in range(0, p.nmf_replicates, size):
+        some = list(range(first, min(first + size, p.nmf_replicates)))
+        held = written(B.blocks(catalog, channels, ks, some, prepare, start, dtype), "blocks")
+        if p.nmf_init == "random":
+            weights = {(k, r): _generator(p.seed, 1, k, r).random((len(channels), k)) for k in ks for r in some}
+        else:
+            held, weights = B.singular_starts(held, ks, channels, dtype, p.nmf_init, p.seed)
+        f = B.factor(held, weights, ks, channels, dtype, p.min_nmf_iterations, p.max_nmf_iterations, p.nmf_test_conv, p.nmf_tolerance)
+        parts.append((B.weights_table(spark, f).join(B.metrics(f), ["k", "replicate"]).select("k", "replicate", "w", "metrics", "iterations"), B.activities(f)))
+    joined = [parts[0][0], parts[0][1]]
+    for w, h in parts[1:]:
+        joined = [joined[0].unionByName(w), joined[1].unionByName(h)]
+    return Replicates(written(joined[0], "replicates"), joined[1])
+
+
 def clustered(reps: DataFrame, p: Parameters) -> DataFrame:
     """(k, replicate, component, cluster, silhouette, restart): the best of the restarts of each rank.
 
-    A rank's replicates are k x R short columns, a size fixed by the parameters: they
-    go to one task once, which tries the restarts on one matrix of distances.
+    A rank's replicates are k x R short columns, a size fixed by the parameters.
+    They go to as many tasks as it takes to try ``RESTARTS`` restarts each; of
+    every task its best stays, then the best of each rank.
     """
     restarts = p.clustering_restarts if p.nmf_replicates > 1 else 1
 
     def run(key, pdf):
-        k = int(key[0])
+        k, part = int(key[0]), int(key[1])
         pdf = pdf.sort_values("replicate")
         stack = np.concatenate([np.array([list(c) for c in w]).T for w in pdf["w"]], 1)
         far = K.distances(stack, stack, p.clustering_distance)
-        tried = [K.cluster(stack, k, _generator(p.seed, 2, k, r), p.clustering_distance, far=far) for r in range(restarts)]
-        best = max(range(restarts), key=lambda r: (tried[r][1].mean(), -r))
+        tried = {r: K.cluster(stack, k, _generator(p.seed, 2, k, r), p.clustering_distance, far=far) for r in range(part * RESTARTS, min(restarts, (part + 1) * RESTARTS))}
+        best = max(tried, key=lambda r: (tried[r][1].mean(), -r))
         label, sil = tried[best]
-        return pd.DataFrame({"k": k, "restart": best, "replicate": np.repeat(pdf["replicate"].to_numpy(), k), "component": np.tile(np.arange(k), len(pdf)), "cluster": label, "silhouette": sil})
+        return pd.DataFrame({"k": k, "restart": best, "mean": sil.mean(), "replicate": np.repeat(pdf["replicate"].to_numpy(), k), "component": np.tile(np.arange(k), len(pdf)), "cluster": label, "silhouette": sil})
 
-    kind = "k int, restart int, replicate int, component int, cluster int, silhouette double"
-    return reps.select("k", "replicate", "w").groupBy("k").applyInPandas(run, kind)
+    tasks = reps.select("k", "replicate", "w", F.explode(F.sequence(F.lit(0), F.lit((restarts - 1) // RESTARTS))).alias("part"))
+    tried = written(tasks.groupBy("k", "part").applyInPandas(run, "k int, restart int, mean double, replicate int, component int, cluster int, silhouette double"), "restarts")
+    best = M.best_restarts(tried.select("k", "restart", F.col("mean").alias("silhouette")).distinct()).select("k", "restart")
+    return tried.drop("mean").join(F.broadcast(best), ["k", "restart"])  # a row a rank
 
 
-def signatures(reps: DataFrame, labels: DataFrame, dense: Dense) -> DataFrame:
+def signatures(reps: DataFrame, labels: DataFrame, channels: list[str]) -> DataFrame:
     """(k, cluster, channel, weight, sem): centroids of the clusters."""
-    names = F.array(*(F.lit(c) for c in dense.channels))
+    names = F.array(*(F.lit(c) for c in channels))
     cells = reps.select("k", "replicate", F.posexplode("w").alias("component", "c")).join(labels, ["k", "replicate", "component"])
     cells = cells.select("k", "cluster", F.posexplode("c").alias("i", "x"))
     return cells.groupBy("k", "cluster", "i").agg(F.avg("x").alias("weight"), (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("sem")).select("k", "cluster", F.element_at(names, F.col("i") + 1).alias("channel"), "weight", "sem")
 
 
-def activity_errors(reps: DataFrame, labels: DataFrame, dense: Dense) -> DataFrame:
+def activity_errors(activities: DataFrame, labels: DataFrame) -> DataFrame:
     """(k, cluster, sample, sem): standard errors of the replicates' activities; null for one replicate."""
-    names = F.array(*(F.lit(c) for c in dense.samples))
-    cells = reps.select("k", "replicate", F.posexplode("h").alias("component", "c")).join(labels, ["k", "replicate", "component"])
-    cells = cells.select("k", "cluster", F.posexplode("c").alias("i", "x"))
-    return cells.groupBy("k", "cluster", "i").agg((F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("sem")).select("k", "cluster", F.element_at(names, F.col("i") + 1).alias("sample"), "sem")
+    cells = activities.join(F.broadcast(labels.select("k", "replicate", "component", "cluster")), ["k", "replicate", "component"])  # a row a component of a replicate
+    return cells.groupBy("k", "cluster", "sample").agg((F.stddev_samp("activity") / F.sqrt(F.count("activity"))).alias("sem"))
 
 
 def activities(sigs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -248,10 +301,16 @@ class Extraction:
     selection: DataFrame
     catalog: DataFrame
     replicates: DataFrame
+    replicate_activities: DataFrame
     parameters: DataFrame
     metadata: DataFrame
+    steps: list[DataFrame]
+
+    def release(self) -> None:
+        """Delete the intermediate tables; what is not written by then is gone."""
+        dropped(*self.steps)
 
-    def write(self, path: str, known: DataFrame | None = None, all_replicates: bool = False, export_probabilities: bool = False) -> None:
+    def write(self, path: str, known: DataFrame | None = None, all_replicates: bool = False, export_probabilities: bool = False, collapse_to_sbs96: bool = True) -> None:
         """One directory per table, those of solutions by context and rank.
 
         ``suggested_solution`` holds the chosen rank's signatures and activities,
@@ -268,9 +327,10 @@ class Extraction:
         for name in ("signatures", "activities"):
             best(getattr(self, name)).write.mode("overwrite").parquet(f"{path}/suggested_solution/{name}")
         if known is not None:
-            decompose(best(self.signatures), known).write.mode("overwrite").parquet(f"{path}/suggested_solution/decomposed")
+            decompose(best(self.signatures), known, context=self.context, collapse_to_sbs96=collapse_to_sbs96).write.mode("overwrite").parquet(f"{path}/suggested_solution/decomposed")
         if all_replicates:
             by(self.replicates, "replicates")
+            by(self.replicate_activities, "replicate_activities")
         if export_probabilities:
             M.probabilities(best(self.signatures).drop("k"), best(self.activities).drop("k")).write.mode("overwrite").parquet(f"{path}/suggested_solution/probabilities")
 
@@ -284,32 +344,39 @@ def _metadata(spark: SparkSession, began: datetime.datetime, p: Parameters) -> D
 def extract(catalog: DataFrame, p: Parameters | None = None, select: int | None = None) -> Extraction:
     """Clean the catalogue, factor it at every rank, measure stability and error, choose a rank.
 
-    The factorisations, labels and solutions are kept in Spark's cache, as several tables are derived from them.
+    The steps' tables are written to the shared folder: lineage ends there, and
+    nothing stays in Spark's cache. ``Extraction.release`` deletes them.
     """
     p, spark, began = p or Parameters(), catalog.sparkSession, datetime.datetime.now()
-    catalog = M.drop_zero_samples(M.drop_null_samples(catalog)).persist()
-    dense = Dense.of(catalog)
-    reps = replicates(spark, dense, p).persist()
-    labels = clustered(reps, p).persist()
-    sigs = signatures(reps, labels, dense).persist()
-    acts = activities(sigs, catalog).persist()
+    catalog = written(M.drop_zero_samples(M.drop_null_samples(catalog)), "catalog")
+    channels = sorted(r[0] for r in catalog.select("channel").distinct().collect())
+    n_samples = catalog.agg(F.countDistinct("sample")).first()[0]
+    if len(channels) * n_samples <= p.most_cells:
+        reps = dense_replicates(spark, Dense.of(catalog), p)
+    else:
+        reps = block_replicates(catalog, channels, n_samples, p)
+    labels = written(clustered(reps.factors, p), "labels")
+    sigs = written(signatures(reps.factors, labels, channels), "signatures")
+    acts = written(activities(sigs, catalog), "activities")
     order = acts.groupBy("k", "cluster").agg(F.sum("activity").alias("t"))
-    context = context_of(len(dense.channels))
+    context = context_of(len(channels))
     named = order.select("k", "cluster", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("t"), "cluster")).alias("n"))
-    named = F.broadcast(named.select("k", "cluster", signature_name(context, F.col("n") - 1).alias("signature")))  # a row a signature and rank
+    named = F.broadcast(written(named.select("k", "cluster", signature_name(context, F.col("n") - 1).alias("signature")), "names"))  # a row a signature and rank
     sigs, acts = sigs.join(named, ["k", "cluster"]), acts.join(named, ["k", "cluster"])
     est = M.multiply(sigs.select("k", "channel", "signature", "weight"), acts.select("k", "sample", "signature", "activity"), ("k",)).persist()
-    sims = M.similarity_table(catalog, est, ("k",)).persist()
+    sims = written(M.similarity_table(catalog, est, ("k",)), "similarity")
     per = labels.groupBy("k", "cluster").agg(F.avg("silhouette").alias("s"))
     stab = per.groupBy("k").agg(F.round(F.min("s"), 2).alias("min_stability"), F.round(F.avg("s"), 2).alias("avg_stability"))
-    stats = stab.join(M.frobenius_error(catalog, est, ("k",)), "k").select("k", "min_stability", "fro_err", "avg_stability").persist()
+    stats = written(stab.join(M.frobenius_error(catalog, est, ("k",)), "k").select("k", "min_stability", "fro_err", "avg_stability"), "stats")
+    est.unpersist()
     chosen, marks = choose(stats, sims.select("k", F.col("l2_pct").alias("x")), p, select)
     m = F.col("metrics")
-    conv = reps.select("k", "replicate", *(m[i].alias(n) for i, n in enumerate(["l1", "l1_pct", "l2", "l2_pct", "kl", "correlation"])), F.col("iterations").cast("long").alias("iterations"))
+    conv = reps.factors.select("k", "replicate", *(m[i].alias(n) for i, n in enumerate(["l1", "l1_pct", "l2", "l2_pct", "kl", "correlation"])), F.col("iterations").cast("long").alias("iterations"))
     selection = stats.join(marks, "k").join(M.selection_metrics(sims), "k")
-    errors = activity_errors(reps, labels, dense).join(named, ["k", "cluster"]).select("k", "sample", "signature", "sem")
+    errors = activity_errors(reps.activities, labels).join(named, ["k", "cluster"]).select("k", "sample", "signature", "sem")
     told = R.signature_stats(per.join(named, ["k", "cluster"]).select("k", "signature", F.round("s", 2).alias("stability")), acts.select("k", "signature", "activity"))
-    return Extraction(context, chosen, sigs.drop("cluster"), acts.drop("cluster"), errors, sims, conv, told, stats, selection, catalog, reps.select("k", "replicate", "w", "h"), p.table(spark), _metadata(spark, began, p))
+    steps = [catalog, reps.factors, reps.activities, labels, sigs, acts, sims, stats]
+    return Extraction(context, chosen, sigs.drop("cluster"), acts.drop("cluster"), errors, sims, conv, told, stats, selection, catalog, reps.factors.select("k", "replicate", "w"), reps.activities, p.table(spark), _metadata(spark, began, p), steps)
 
 
 def estimate_solution(spark: SparkSession, path: str, catalog: DataFrame, p: Parameters | None = None, select: int | None = None) -> int:
@@ -331,8 +398,13 @@ def match_signatures(true: DataFrame, found: DataFrame, cutoff: float = 0.9, how
     return {"tp": hits, "fp": s.shape[1] - hits, "fn": s.shape[0] - hits, "precision": round(precision, 2), "recall": round(recall, 2), "f1": round(2 * precision * recall / (precision + recall), 2) if hits else 0.0}
 
 
-def decompose(sigs: DataFrame, known: DataFrame, add: float = 0.05, remove: float = 0.01) -> DataFrame:
-    """(signature, known, share): each found signature as a mixture of few known ones; ``known(channel, signature, weight)`` is supplied by the user."""
+def decompose(sigs: DataFrame, known: DataFrame, add: float = 0.05, remove: float = 0.01, context: str = "", collapse_to_sbs96: bool = True) -> DataFrame:
+    """(signature, known, share): each found signature as a mixture of few known ones; ``known(channel, signature, weight)`` is supplied by the user.
+
+    Signatures of a finer context of substitutions are summed to SBS96 first; where that is not wanted, ``known`` has their channels.
+    """
+    if collapse_to_sbs96 and context in H.STRANDS and context != "SBS96":
+        sigs = H.collapse(sigs, context, "SBS96", "weight", ("signature",))
     k = known.toPandas().pivot_table(index="channel", columns="signature", values="weight", fill_value=0.0)
     shared = sigs.sparkSession.sparkContext.broadcast((list(k.index), list(k.columns), k.to_numpy()))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import matrix as M
 from ..sources import catalog as C
+from ..sources import channels as H
 from ..sources.shared import shared_base
 from . import extract as X
 from . import report as R
@@ -39,8 +40,9 @@ def snv_channels(spark, d):
     return C.substitutions(v.drop("before", "after"), v.select("chrom", "pos", "before", "after").distinct())
 
 
-@query(f"""WITH {VARIANT_SQL}, p AS (SELECT a.sample, a.ref || b.ref AS r, a.alt || b.alt AS x FROM v a JOIN v b ON a.chrom = b.chrom AND a.sample = b.sample AND b.pos = a.pos + 1)
-SELECT CASE WHEN r IN ('AC','AT','CC','CG','CT','GC','TA','TC','TG','TT') THEN r || '>' || x ELSE reverse(translate(r, 'ACGT', 'TGCA')) || '>' || reverse(translate(x, 'ACGT', 'TGCA')) END AS channel, sample, count(*) AS cnt FROM p GROUP BY 1, 2""")
+@query(f"""WITH {VARIANT_SQL}, p AS (SELECT a.sample, a.ref || b.ref AS r, a.alt || b.alt AS x FROM v a JOIN v b ON a.chrom = b.chrom AND a.sample = b.sample AND b.pos = a.pos + 1 WHERE a.ref <> a.alt AND b.ref <> b.alt),
+names AS (SELECT unnest({H.channel_names("DBS78")}) AS name), o AS (SELECT sample, r || '>' || x AS here, reverse(translate(r, 'ACGT', 'TGCA')) || '>' || reverse(translate(x, 'ACGT', 'TGCA')) AS there FROM p)
+SELECT name AS channel, sample, count(*) AS cnt FROM o JOIN names ON name = here OR (name = there AND here NOT IN (SELECT name FROM names)) GROUP BY 1, 2""")
 def doublet_channels(spark, d):
     return C.doublets(_variants(spark, d))
 
@@ -158,10 +160,7 @@ def channel_sort(spark, d):
 
 @query("SELECT c_nationkey AS k, min(c_custkey) AS restart, max(c_acctbal) AS silhouette FROM (SELECT *, max(c_acctbal) OVER (PARTITION BY c_nationkey) AS m FROM customer) WHERE c_acctbal = m GROUP BY 1")
 def best_restart(spark, d):
-    """The restart of the highest silhouette by rank, the first of equals."""
-    tried = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("restart"), F.col("c_acctbal").alias("silhouette"))
-    best = tried.groupBy("k").agg(F.max(F.struct("silhouette", -F.col("restart"))).alias("m"))
-    return best.select("k", (-F.col("m")["col2"]).alias("restart"), "m.silhouette")
+    return M.best_restarts(table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("restart"), F.col("c_acctbal").alias("silhouette")))
 
 
 @query(f"WITH {RANKS_SQL} SELECT max(k) AS k FROM stats WHERE min_stability + avg_stability >= 1 AND min_stability >= 0.2 AND avg_stability >= 0.8")

@@ -195,10 +195,10 @@ def corr_pairs(spark, d):
     return six(M.pairwise(_vectors(catalog(spark, d)), "correlation"), "similarity")
 
 
-SIMILARITY_SQL = """x AS (SELECT c.channel, c.sample, cnt::DOUBLE AS v, est AS q, cnt / sum(cnt) OVER (PARTITION BY c.sample)::DOUBLE AS pv, est / sum(est) OVER (PARTITION BY c.sample) AS pq FROM catalog c JOIN est e ON c.channel = e.channel AND c.sample = e.sample),
+SIMILARITY_SQL = """x AS (SELECT e.channel, e.sample, coalesce(cnt, 0)::DOUBLE AS v, est AS q, coalesce(cnt, 0) / sum(coalesce(cnt, 0)) OVER (PARTITION BY e.sample)::DOUBLE AS pv, est / sum(est) OVER (PARTITION BY e.sample) AS pq FROM est e LEFT JOIN catalog c ON c.channel = e.channel AND c.sample = e.sample),
 similarity AS (SELECT sample, sum(v)::BIGINT AS total_mutations, round(sum(v * q) / (sqrt(sum(v * v)) * sqrt(sum(q * q))), 3) AS cosine, round(sum(abs(v - q)), 3) AS l1,
  round(round(sum(abs(v - q)), 3) * 100 / sum(v), 3) AS l1_pct, round(sqrt(sum((v - q) * (v - q))), 3) AS l2, round(round(sqrt(sum((v - q) * (v - q))), 3) * 100 / sqrt(sum(v * v)), 3) AS l2_pct,
- round(sum(pv * ln(pv / pq)), 5) AS kl, round(corr(v, q), 3) AS correlation FROM x GROUP BY sample)"""
+ round(sum(CASE WHEN pv = 0 THEN 0 ELSE pv * ln(pv / pq) END), 5) AS kl, round(corr(v, q), 3) AS correlation FROM x GROUP BY sample)"""
 
 
 def _similarity(spark, d) -> DataFrame:
@@ -217,7 +217,7 @@ def metric_summary(spark, d):
     return six(M.metric_summary(_similarity(spark, d)), "mean_cosine", "median_l1_pct", "median_l2_pct", "mean_kl", "mean_corr")
 
 
-@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT round(sqrt(sum((cnt - est) * (cnt - est))) / sqrt(sum(cnt * cnt)), 4) AS fro_err FROM catalog JOIN est USING (channel, sample)")
+@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT round(sqrt(sum((coalesce(cnt, 0) - est) ** 2)) / sqrt(sum(cnt * cnt)), 4) AS fro_err FROM est LEFT JOIN catalog USING (channel, sample)")
 def fro_error(spark, d):
     cat = catalog(spark, d)
     return M.frobenius_error(cat, M.multiply(*factors(cat)))
@@ -370,11 +370,10 @@ def signature_profile(spark, d):
     return six(R.signature_profile(factors(catalog(spark, d))[0]), "percent")
 
 
-@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT round(sum(cnt * ln(cnt / est)) - sum(cnt) + sum(est), 3) AS loss FROM catalog JOIN est USING (channel, sample)")
+@query(f"WITH {CATALOG_SQL}, {WH_SQL} SELECT round(sum(cnt * ln(cnt / est)) - sum(cnt) + sum(est), 3) AS loss FROM est LEFT JOIN catalog USING (channel, sample)")
 def kl_loss(spark, d):
     cat = catalog(spark, d)
-    both = cat.join(M.multiply(*factors(cat)), ["channel", "sample"])
-    return both.agg(F.round(F.sum(F.col("cnt") * F.ln(F.col("cnt") / F.col("est"))) - F.sum("cnt") + F.sum("est"), 3).alias("loss"))
+    return M.kl_loss(cat, M.multiply(*factors(cat))).select(F.round("loss", 3).alias("loss"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
@@ -412,4 +411,4 @@ def extraction(spark, d):
     return e.selection.orderBy("k")
 
 
-from . import more_queries  # noqa: E402, F401
+from . import factor_queries, genome_queries, more_queries  # noqa: E402, F401

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import channels as H
+from . import genome as G
+
 #: A context's name by its number of channels.
 CONTEXTS = {96: "SBS96", 288: "SBS288", 384: "SBS384", 1536: "SBS1536", 4608: "SBS4608", 78: "DBS78", 83: "ID83", 48: "CNV48", 32: "SV32"}
 CALLERS = {
@@ -108,34 +111,54 @@ def fold(bases: Column) -> Column:
     return F.reverse(F.translate(bases, "ACGT", "TGCA"))
 
 
-def substitutions(variants: DataFrame, flanks: DataFrame | None = None) -> DataFrame:
-    """Single-base channels: ``R>A`` on the pyrimidine strand, or ``X[R>A]Y`` where ``flanks(chrom, pos, before, after)`` gives the neighbours."""
+def _flanked(variants: DataFrame, flanks: DataFrame | None) -> DataFrame:
+    """The variants with ``before`` and ``after``: their own, or those of ``flanks`` by position and, where it has them, alleles."""
+    if flanks is None:
+        return variants
+    keys = ["chrom", "pos", *(c for c in ("ref", "alt") if c in flanks.columns)]
+    return variants.join(flanks.select(*keys, "before", "after").distinct(), keys)
+
+
+def substitutions(variants: DataFrame, flanks: DataFrame | None = None, context: str = "SBS96") -> DataFrame:
+    """Single-base channels on the pyrimidine strand.
+
+    ``X[R>A]Y`` where the variants have ``before`` and ``after`` (``genome.with_flanks``)
+    or ``flanks`` gives them for substitutions; two bases on each side for
+    SBS1536 and SBS4608, and ``T:``, ``U:``, ``N:`` or ``B:`` first where the
+    context asks for strands, by the variants' ``strand`` (``genome.with_strand``).
+    Without neighbours ``R>A``. Variants with other letters beside them go.
+    """
     snv = variants.where("ref rlike '^[ACGT]$' and alt rlike '^[ACGT]$' and ref <> alt")
     turn = F.col("ref").isin("A", "G")
     change = F.when(turn, F.concat(fold(F.col("ref")), F.lit(">"), fold(F.col("alt")))).otherwise(F.concat("ref", F.lit(">"), "alt"))
-    if flanks is None:
+    if flanks is None and "before" not in variants.columns:
         return count_events(snv, change, F.col("sample"))
-    both = snv.join(flanks, ["chrom", "pos"])
+    width, classes = H.WIDTHS[context], H.STRANDS[context]
+    near = {"before": F.right("before", F.lit(width)), "after": F.left("after", F.lit(width))}
+    both = _flanked(snv, flanks).withColumns(near).where(f"before rlike '^[ACGT]{{{width}}}$' and after rlike '^[ACGT]{{{width}}}$'")
     left, right = F.when(turn, fold(F.col("after"))).otherwise(F.col("before")), F.when(turn, fold(F.col("before"))).otherwise(F.col("after"))
-    return count_events(both, F.concat(left, F.lit("["), change, F.lit("]"), right), F.col("sample"))
+    channel = F.concat(left, F.lit("["), change, F.lit("]"), right)
+    if classes:
+        channel = F.concat(G.strand_class(F.col("strand"), turn, classes), F.lit(":"), channel)
+    return count_events(both, channel, F.col("sample"))
 
 
 def doublets(variants: DataFrame) -> DataFrame:
-    """Neighbouring substitutions of a sample as ``RR>AA``, on the strand whose reference sorts first."""
-    snv = variants.where("ref rlike '^[ACGT]$' and alt rlike '^[ACGT]$'")
+    """Neighbouring substitutions of a sample as ``RR>AA``, one of 78 names: the strand on which the pair has one."""
+    snv = variants.where("ref rlike '^[ACGT]$' and alt rlike '^[ACGT]$' and ref <> alt")
     nxt = snv.select("chrom", "sample", (F.col("pos") - 1).alias("pos"), F.col("ref").alias("ref2"), F.col("alt").alias("alt2"))
     pair = snv.join(nxt, ["chrom", "sample", "pos"]).select("sample", F.concat("ref", "ref2").alias("r"), F.concat("alt", "alt2").alias("a"))
-    known = ["AC", "AT", "CC", "CG", "CT", "GC", "TA", "TC", "TG", "TT"]
-    channel = F.when(F.col("r").isin(known), F.concat("r", F.lit(">"), "a")).otherwise(F.concat(fold(F.col("r")), F.lit(">"), fold(F.col("a"))))
+    here = F.concat("r", F.lit(">"), "a")
+    channel = F.when(here.isin(H.channel_names("DBS78")), here).otherwise(F.concat(fold(F.col("r")), F.lit(">"), fold(F.col("a"))))
     return count_events(pair, channel, F.col("sample"))
 
 
-def indels(variants: DataFrame, flanks: DataFrame) -> DataFrame:
+def indels(variants: DataFrame, flanks: DataFrame | None = None) -> DataFrame:
     """Insertions and deletions as ``length:type:class:n``.
 
-    Alleles share their first base; ``flanks(chrom, pos, before, after)`` gives
-    the reference's bases up to that base and those that follow the longer
-    allele's place: after a deleted piece, or after the point of insertion.
+    Alleles share their first base; ``before`` and ``after``, of the variants or of
+    ``flanks``, are the reference's bases up to that base and those that follow the
+    reference allele: after a deleted piece, or after the point of insertion.
     Lengths and repeats count up to 5. One base: its pyrimidine and the number of
     further such bases that follow. Longer pieces: R and the copies of the piece
     that follow, or, for a deletion without any, M and the longest part of the
@@ -144,7 +167,7 @@ def indels(variants: DataFrame, flanks: DataFrame) -> DataFrame:
     one = variants.where("ref rlike '^[ACGT]+$' and alt rlike '^[ACGT]+$' and left(ref, 1) = left(alt, 1) and (length(ref) = 1) <> (length(alt) = 1)")
     kind = F.when(F.length("ref") > 1, "Del").otherwise("Ins")
     piece = F.expr("substring(if(length(ref) > 1, ref, alt), 2)")
-    both = one.withColumns({"kind": kind, "piece": piece}).join(flanks.select("chrom", "pos", "before", "after"), ["chrom", "pos"]).withColumn("size", F.length("piece"))
+    both = _flanked(one, flanks).withColumns({"kind": kind, "piece": piece, "size": F.length(piece)})
     copies = F.least(F.lit(5), F.floor(F.length(F.call_function("regexp_extract", F.col("after"), F.concat(F.lit("^((?:"), F.col("piece"), F.lit("){0,5})")), F.lit(1))) / F.col("size")))
     shared = F.expr("array_max(transform(sequence(0, greatest(size - 1, 0)), i -> if(left(after, i) = left(piece, i) or right(before, i) = right(piece, i), i, 0)))")
     told = both.withColumns({"n": copies, "m": F.least(F.lit(5), shared)})
@@ -155,23 +178,45 @@ def indels(variants: DataFrame, flanks: DataFrame) -> DataFrame:
     return count_events(told, F.concat_ws(":", F.least(F.lit(5), "size").cast("string"), "kind", label, count.cast("string")), F.col("sample"))
 
 
-def variant_contexts(variants: DataFrame, context_type: str = "default", flanks: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The catalogues of the contexts asked for, by name; ``default`` are SBS96, DBS78 and ID83.
+#: Other names that a context may be asked for by.
+ALIASES = {"DINUC": "DBS78", "DBS": "DBS78", "ID": "ID83", "SBS6": "SBS96", "6": "SBS96"} | {str(n): name for n, name in CONTEXTS.items()}
+
 
-    Without ``flanks`` substitutions have six classes and indels cannot be told: SBS6 then stands for SBS96, and ID83 is left out.
+def variant_contexts(variants: DataFrame, context_type: str = "default", flanks: DataFrame | None = None, parts: DataFrame | None = None, ranges: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The catalogues of the contexts asked for, by name, with all channels of each; ``default`` are SBS96, DBS78 and ID83.
+
+    Neighbours come from ``parts(chrom, start, bases)``, pieces of the reference,
+    from ``flanks(chrom, pos, ref, alt, before, after)``, or are the variants'
+    own ``before`` and ``after``. Without any,
+    substitutions have six classes and indels cannot be told: SBS6 then stands
+    for SBS96, and ID83 is left out. Contexts with strands need
+    ``ranges(chrom, start, end, strand)``, what is transcribed.
     """
-    makers = {"SBS96": lambda: substitutions(variants, flanks), "DBS78": lambda: doublets(variants), "ID83": lambda: indels(variants, flanks)}
-    alias = {"96": "SBS96", "DINUC": "DBS78", "DBS": "DBS78", "78": "DBS78", "ID": "ID83", "83": "ID83", "SBS6": "SBS96", "6": "SBS96"}
+    if flanks is not None and not {"ref", "alt"} <= set(flanks.columns):
+        raise ValueError("flanks need ref and alt: variants at one position have flanks of their own")
+    names = [ALIASES.get(n, n) for n in parse_contexts(context_type)]
+    known = parts is not None or flanks is not None or "before" in variants.columns
+    for name in names:
+        if name not in (*H.STRANDS, "DBS78", "ID83"):
+            raise ValueError(f"unknown context {name!r} of variants")
+        if not known and context_type.lower() != "default" and name not in ("SBS96", "DBS78"):
+            raise ValueError(f"{name} needs the reference's bases beside the variants")
+        if H.STRANDS.get(name) and ranges is None:
+            raise ValueError(f"{name} needs the ranges that are transcribed")
+    told = G.with_flanks(variants, G.blocks(parts)) if parts is not None else _flanked(variants, flanks)
+    if ranges is not None:
+        told = G.with_strand(told, G.transcribed(ranges))
     out = {}
-    for name in parse_contexts(context_type):
-        name = alias.get(name, name)
-        if name not in makers:
-            raise ValueError(f"unknown context {name!r}; use SBS96, DBS78 or ID83")
-        if name == "ID83" and flanks is None:
-            if context_type.lower() != "default":
-                raise ValueError("ID83 needs a table of flanking bases")
-            continue
-        out["SBS6" if name == "SBS96" and flanks is None else name] = makers[name]()
+    for name in names:
+        if name == "DBS78":
+            out[name] = H.complete(doublets(variants), name)
+        elif name == "ID83":
+            if known:
+                out[name] = H.complete(indels(told), name)
+        elif known:
+            out[name] = H.complete(substitutions(told, context=name), name)
+        else:
+            out["SBS6"] = substitutions(variants)
     return out
 
 
@@ -215,13 +260,13 @@ def segments(df: DataFrame, caller: str) -> DataFrame:
     return count_events(df.where(t.isNotNull() & mb.isNotNull()), F.concat_ws(":", copies, state, F.when(t == 0, small).otherwise(large)), F.col(f"`{sample}`"))
 
 
+def channel_order(spark: SparkSession, context: str) -> DataFrame:
+    """(channel, channel_idx): the channels of a context in order."""
+    return spark.createDataFrame([(n, i) for i, n in enumerate(H.channel_names(context))], "channel string, channel_idx int")
+
+
 def cnv_order(spark: SparkSession) -> DataFrame:
-    """The 48 copy-number channels in order, from their grammar."""
-    sizes = ["0-100kb", "100kb-1Mb", "1Mb-10Mb", "10Mb-40Mb", ">40Mb"]
-    names = [f"0:homdel:{s}" for s in (*sizes[:2], ">1Mb")]
-    for state, copies in (("LOH", ["1", "2", "3-4", "5-8", "9+"]), ("het", ["2", "3-4", "5-8", "9+"])):
-        names += [f"{c}:{state}:{s}" for c in copies for s in sizes]
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel string, channel_idx int")
+    return channel_order(spark, "CNV48")
 
 
 def cnv_classes(spark: SparkSession) -> DataFrame:
@@ -232,21 +277,21 @@ def cnv_classes(spark: SparkSession) -> DataFrame:
 
 
 def sbs96_order(spark: SparkSession) -> DataFrame:
-    names = [f"{x}[{r}>{a}]{y}" for r in "CT" for a in "ACGT" if a != r for x in "ACGT" for y in "ACGT"]
-    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel string, channel_idx int")
+    return channel_order(spark, "SBS96")
 
 
-def read_inputs(spark: SparkSession, input_type: str, data, context_type: str = "default", flanks: DataFrame | None = None) -> dict[str, DataFrame]:
+def read_inputs(spark: SparkSession, input_type: str, data, context_type: str = "default", flanks: DataFrame | None = None, parts: DataFrame | None = None, ranges: DataFrame | None = None) -> dict[str, DataFrame]:
     """The catalogues of an input by context; variants give several, as ``variant_contexts`` says, other inputs one."""
     if input_type.lower() == "vcf":
-        return variant_contexts(read_variants(spark, data), context_type, flanks)
+        return variant_contexts(read_variants(spark, data), context_type, flanks, parts, ranges)
     return {"": read_input(spark, input_type, data)}
 
 
 def read_input(spark: SparkSession, input_type: str, data) -> DataFrame:
     """The long catalogue of any supported input; a bad type raises before any job runs.
 
-    ``csv`` takes one path or a list of them; variants give their substitutions, and all contexts by ``read_inputs``.
+    ``csv`` takes one path or a list of them. Breakpoints and segments have all
+    channels of their context. Variants give their six classes of substitutions, and all contexts by ``read_inputs``.
     """
     kind = input_type.lower()
     if kind in ("text", "table", "matrix"):
@@ -259,9 +304,9 @@ def read_input(spark: SparkSession, input_type: str, data) -> DataFrame:
         return substitutions(read_variants(spark, data))
     tsv = lambda: spark.read.option("sep", "\t").option("header", True).csv(data)
     if kind == "bedpe":
-        return structural(tsv().withColumns({c: F.col(c).cast("long") for c in ("start1", "start2")}))
+        return H.complete(structural(tsv().withColumns({c: F.col(c).cast("long") for c in ("start1", "start2")})), "SV32")
     if kind.startswith("seg:"):
-        return segments(tsv(), input_type[4:].upper())
+        return H.complete(segments(tsv(), input_type[4:].upper()), "CNV48")
     raise ValueError(f"unknown input type {input_type!r}; use text, table, matrix, csv, vcf, bedpe or seg:CALLER")
 
 

@@ -120,9 +120,13 @@ def test_readers(spark, tmp_path):
     flanks = spark.createDataFrame([("1", 10, "A", "C"), ("1", 11, "G", "T")], "chrom string, pos bigint, before string, after string")
     assert {r.channel for r in C.substitutions(variants, flanks).collect()} == {"G[C>A]T"}
     (tmp_path / "b.tsv").write_text("sample\tchrom1\tstart1\tchrom2\tstart2\tsvclass\ns\t1\t100\t1\t5100\tdeletion\ns\t1\t100\t2\t5\ttranslocation\n" + "t\t3\t5\t3\t50000005\tinversion\n" * 12)
-    assert {(r.channel, r.cnt) for r in C.read_input(spark, "bedpe", str(tmp_path / "b.tsv")).collect()} == {("non-clustered_del_1-10Kb", 1), ("non-clustered_trans", 1), ("clustered_inv_>10Mb", 12)}
+    full = C.read_input(spark, "bedpe", str(tmp_path / "b.tsv"))
+    assert full.count() == 2 * 32
+    assert {(r.channel, r.cnt) for r in full.where("cnt > 0").collect()} == {("non-clustered_del_1-10Kb", 1), ("non-clustered_trans", 1), ("clustered_inv_>10Mb", 12)}
     (tmp_path / "s.tsv").write_text("sample\tchr\tstartpos\tendpos\tnMajor\tnMinor\ns\t1\t0\t50000\t0\t0\ns\t1\t0\t50000000\t2\t0\ns\t1\t0\t5000000\t1\t1\n")
-    assert {r.channel for r in C.read_input(spark, "seg:ASCAT", str(tmp_path / "s.tsv")).collect()} == {"0:homdel:0-100kb", "2:LOH:>40Mb", "2:het:1Mb-10Mb"}
+    full = C.read_input(spark, "seg:ASCAT", str(tmp_path / "s.tsv"))
+    assert full.count() == 48
+    assert {r.channel for r in full.where("cnt > 0").collect()} == {"0:homdel:0-100kb", "2:LOH:>40Mb", "2:het:1Mb-10Mb"}
     assert C.read_input(spark, "csv", [str(tmp_path / "c.csv"), str(tmp_path / "d.csv")]).count() == 2
     assert C.cnv_classes(spark).select("class").distinct().count() == 48
     assert C.cnv_order(spark).count() == 48 and C.sbs96_order(spark).count() == 96
@@ -142,15 +146,18 @@ def test_indels_and_contexts(spark, tmp_path):
         (1, "CA", "C", "GC", "AAAT", "1:Del:T:3"), (2, "C", "CA", "GC", "GGGT", "1:Ins:T:0"), (3, "CG", "C", "TC", "GGGGGGG", "1:Del:C:5"), (4, "C", "CGT", "TC", "GTGTA", "2:Ins:R:2"),
         (5, "CGTA", "C", "TTC", "GTTT", "3:Del:M:2"), (6, "CGTACCC", "C", "TTCCC", "AAAA", "5:Del:M:3"), (7, "CGTA", "C", "TTC", "CCCC", "3:Del:R:0"), (8, "C", "CGTACCC", "TTC", "GTA", "5:Ins:R:0"),
     ]
-    flanks = spark.createDataFrame([("1", r[0], r[3], r[4]) for r in rows], "chrom string, pos bigint, before string, after string")
+    flanks = spark.createDataFrame([("1", r[0], r[1], r[2], r[3], r[4]) for r in rows], "chrom string, pos bigint, ref string, alt string, before string, after string")
     (tmp_path / "v.vcf").write_text("".join(f"1\t{r[0]}\ts\t{r[1]}\t{r[2]}\n" for r in rows) + "1\t50\ts\tA\tG\n")
     variants = C.read_variants(spark, str(tmp_path / "v.vcf"))
     assert {r.channel for r in C.indels(variants, flanks).collect()} == {r[5] for r in rows}
     assert set(C.read_inputs(spark, "vcf", str(tmp_path / "v.vcf"), flanks=flanks)) == {"SBS96", "DBS78", "ID83"}
     assert set(C.read_inputs(spark, "vcf", str(tmp_path / "v.vcf"))) == {"SBS6", "DBS78"} and set(C.variant_contexts(variants, "id", flanks)) == {"ID83"}
-    for bad in ("ID83", "SBS9"):
+    for bad in ("ID83", "SBS9", "SBS384", "SBS1536"):
         with pytest.raises(ValueError):
             C.variant_contexts(variants, bad)
+    for bad in ({"flanks": flanks.drop("ref")}, {"context_type": "SBS288", "flanks": flanks}):
+        with pytest.raises(ValueError):
+            C.variant_contexts(variants, **bad)
 
 
 def test_scalars_and_bad_norm(spark):
