@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed, written
+from ..sources.shared import written
+from . import ordered as O
 
 EPS = 1e-4
 
@@ -164,23 +165,33 @@ def kl_loss(catalog: DataFrame, est: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return against(catalog, est).groupBy(*by).agg(F.sum(cell).alias("loss"))
 
 
+def _medians(similarity: DataFrame, by: tuple[str, ...], names: list[str]) -> DataFrame:
+    """Exact medians of several measures by group, one column each."""
+    one = F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("x")) for n in names))).alias("m")
+    found = O.medians(similarity.select(*by, one).select(*by, "m.*"), (*by, "measure"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("measure") == n, F.col("median"))).alias(f"median_{n}") for n in names))
+
+
 def metric_summary(similarity: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Means, medians and extremes of the measures over samples."""
     asked = {
-        "mean_cosine": (F.avg, "cosine"), "max_cosine": (F.max, "cosine"), "median_l1_pct": (F.median, "l1_pct"), "max_l1_pct": (F.max, "l1_pct"), "median_l2_pct": (F.median, "l2_pct"),
-        "max_l2_pct": (F.max, "l2_pct"), "mean_kl": (F.avg, "kl"), "max_kl": (F.max, "kl"), "mean_corr": (F.avg, "correlation"), "min_corr": (F.min, "correlation"),
+        "mean_cosine": (F.avg, "cosine"), "max_cosine": (F.max, "cosine"), "max_l1_pct": (F.max, "l1_pct"), "max_l2_pct": (F.max, "l2_pct"), "mean_kl": (F.avg, "kl"), "max_kl": (F.max, "kl"),
+        "mean_corr": (F.avg, "correlation"), "min_corr": (F.min, "correlation"),
     }
-    return similarity.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in asked.items()))
+    middle = _medians(similarity, by, ["l1_pct", "l2_pct"])
+    rest = similarity.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in asked.items()))
+    return rest.join(middle, list(by)) if by else rest.join(middle)  # one row each without groups
 
 
 def selection_metrics(similarity: DataFrame) -> DataFrame:
     """By rank k, the ten measures of the selection table, rounded as reports want them."""
     x = similarity.withColumn("far", 1 - F.col("cosine"))
     asked = [
-        ("mean_l1_pct", F.median("l1_pct"), 2), ("max_l1_pct", F.max("l1_pct"), 2), ("mean_l2_pct", F.median("l2_pct"), 2), ("max_l2_pct", F.max("l2_pct"), 2), ("mean_kl", F.avg("kl"), 4),
-        ("max_kl", F.max("kl"), 4), ("mean_cosine_distance", F.avg("far"), 3), ("max_cosine_distance", F.max("far"), 3), ("mean_correlation", F.avg("correlation"), 3), ("min_correlation", F.min("correlation"), 3),
+        ("max_l1_pct", F.max("l1_pct"), 2), ("max_l2_pct", F.max("l2_pct"), 2), ("mean_kl", F.avg("kl"), 4), ("max_kl", F.max("kl"), 4), ("mean_cosine_distance", F.avg("far"), 3),
+        ("max_cosine_distance", F.max("far"), 3), ("mean_correlation", F.avg("correlation"), 3), ("min_correlation", F.min("correlation"), 3),
     ]
-    return x.groupBy("k").agg(*(F.round(c, n).alias(name) for name, c, n in asked))
+    middle = _medians(similarity, ("k",), ["l1_pct", "l2_pct"]).select("k", F.round("median_l1_pct", 2).alias("mean_l1_pct"), F.round("median_l2_pct", 2).alias("mean_l2_pct"))
+    return x.groupBy("k").agg(*(F.round(c, n).alias(name) for name, c, n in asked)).join(middle, "k")
 
 
 def centroids(replicates: DataFrame) -> DataFrame:
@@ -188,19 +199,36 @@ def centroids(replicates: DataFrame) -> DataFrame:
     return replicates.groupBy("cluster", "channel").agg(F.avg("weight").alias("mean"), (F.stddev_samp("weight") / F.sqrt(F.count("weight"))).alias("sem"))
 
 
+#: Numbers of all clusters' sums that may go to every task; 4 million doubles are 32 MB.
+MOST_SUMS = 4_000_000
+
+
 def silhouettes(points: DataFrame) -> DataFrame:
     """``points(id, cluster, vector)`` -> cosine silhouette of each point; 0 in a cluster of one.
 
-    Distances to whole clusters need only each cluster's sum of unit vectors, so no pair is formed.
+    Distances to whole clusters need only each cluster's sum of unit vectors, so
+    no pair of points is formed. Where these sums have at most ``MOST_SUMS``
+    numbers they go to every task as one array; beyond that points and sums meet
+    on the clusters' blocks, and the points' own rows carry the best so far.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = points.select("id", "cluster", F.transform("vector", lambda x: x.cast("double")).alias("v")).withColumn("v", F.transform("v", lambda x: x / norm(F.col("v"))))
     sums = unit.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    other = sums.groupBy(F.col("cluster").alias("c")).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("s"))
-    dot = F.aggregate(F.zip_with("v", "s", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    far = unit.crossJoin(F.broadcast(other)).withColumns({"own": F.col("cluster") == F.col("c"), "dot": dot})
-    d = far.withColumn("d", F.when(F.col("own"), F.try_divide(F.col("n") - F.col("dot"), F.col("n") - 1)).otherwise((F.col("n") - F.col("dot")) / F.col("n")))
-    ab = d.groupBy("id", "cluster").agg(F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
+    other = written(sums.groupBy(F.col("cluster").alias("c")).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("s")), "sums")
+    size = other.agg(F.count("*").alias("m"), F.max(F.size("s")).alias("d")).first()
+    blocks = max(1, -(-(size.m or 0) * (size.d or 0) // MOST_SUMS))
+    dot = lambda v, s: F.aggregate(F.zip_with(v, s, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    best = None
+    for k in range(blocks):
+        own = other if blocks == 1 else other.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == k)
+        held = F.broadcast(own.agg(F.collect_list(F.struct("c", "n", "s")).alias("sums")))  # one row of at most MOST_SUMS numbers
+        told = unit.join(held, F.lit(True)).withColumn("far", F.transform("sums", lambda c: F.struct(c.c.alias("c"), c.n.alias("n"), dot(F.col("v"), c.s).alias("dot"))))
+        mine = F.filter("far", lambda c: c.c == F.col("cluster"))
+        a = F.when(F.size(mine) > 0, F.try_divide(mine[0]["n"] - mine[0]["dot"], mine[0]["n"] - 1))
+        b = F.array_min(F.transform(F.filter("far", lambda c: c.c != F.col("cluster")), lambda c: (c.n - c.dot) / c.n))
+        part = told.select("id", "cluster", a.alias("a"), b.alias("b"))
+        best = part if best is None else best.union(part)
+    ab = best if blocks == 1 else best.groupBy("id", "cluster").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     return ab.select("id", "cluster", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
@@ -232,19 +260,8 @@ def rank_sum(values: DataFrame) -> DataFrame:
 
 
 def compare_ranks(errors: DataFrame, base: int) -> DataFrame:
-    """``errors(k, x)`` -> (k, z, median): the rank test of the base's errors against those of each other rank, and that rank's median.
-
-    Errors are those of samples; each rank is tested apart.
-    """
-    own = errors.select("k", F.lit("b").alias("grp"), "x")
-    ks = errors.select("k").distinct()  # at most a few dozen
-    pairs = own.union(ks.crossJoin(errors.where(F.col("k") == base).select(F.lit("a").alias("grp"), "x")))
-    w = Window.partitionBy("k")
-    ranked = pairs.withColumn("r", F.rank().over(w.orderBy("x")) + (F.count("*").over(Window.partitionBy("k", "x")) - 1) / F.lit(2.0))
-    a = F.col("grp") == "a"
-    n1, n2, s = F.count(F.when(a, 1)).cast("double"), F.count(F.when(~a, 1)).cast("double"), F.sum(F.when(a, F.col("r")))
-    z = (s - n1 * (n1 + n2 + 1) / 2.0) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0)
-    return ranked.groupBy("k").agg(z.alias("z"), F.median(F.when(~a, F.col("x"))).alias("median"))
+    """``errors(k, x)`` -> (k, z, median): the rank test of the base's errors against those of each other rank, and that rank's median."""
+    return O.rank_tests(errors, base)
 
 
 def best_restarts(tried: DataFrame) -> DataFrame:
@@ -385,16 +402,5 @@ def majority(labels: DataFrame) -> DataFrame:
 
 
 def single_linkage(pairs: DataFrame, points: DataFrame, distance: float) -> DataFrame:
-    """Clusters of single linkage cut at ``distance``: components of ``pairs(a, b, distance)``, by label spreading.
-
-    Each round's labels are checkpointed.
-    """
-    near = pairs.where(F.col("distance") <= distance).select("a", "b")
-    edges = checkpointed(near.union(near.select("b", "a")))
-    label = points.select("id", F.col("id").alias("cluster"))
-    while True:
-        low = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = checkpointed(label.join(low, label.id == low.a, "left").select("id", "cluster", F.least("cluster", "m").alias("new")))
-        label = new.select("id", F.col("new").alias("cluster"))
-        if new.where("new <> cluster").isEmpty():
-            return label
+    """(id, cluster): clusters of single linkage of ``points(id)`` cut at ``distance``, named by their smallest id."""
+    return O.linkage_cuts(pairs, points, [distance]).drop("cut")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import matrix as M
+from ..operators import ordered as O
 from ..sources.shared import written
 from . import factor as B
 from .queries import CATALOG_SQL, WH_SQL, catalog, query, six, table
@@ -94,3 +95,40 @@ def svd_reconstruction(spark, d):
     joined = M.right_vectors(cat, left, values).join(F.broadcast(values), "component")
     return six(joined.select("sample", "y", F.round("value", 3).alias("value"), F.round("error", 5).alias("error")), "y")
 
+
+
+@query("SELECT l_returnflag AS flag, l_suppkey % 50 AS grp, count(*) AS n, median(l_extendedprice) AS median, quantile_disc(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY 1, 2")
+def group_medians(spark, d):
+    """Exact medians and upper deciles of many groups by refinement."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_suppkey") % 50).alias("grp"), F.col("l_extendedprice").alias("x"))
+    n = F.col("n")
+    found = O.order_statistics(rows, ("flag", "grp"), {"low": F.floor((n - 1) / 2), "top": F.floor(n / 2), "high": F.ceil(n * 0.9 - 1e-9) - 1})
+    counts = rows.groupBy("flag", "grp").agg(F.count("*").alias("n"))
+    return found.join(counts, ["flag", "grp"]).select("flag", "grp", "n", ((F.col("low") + F.col("top")) / 2).alias("median"), "high")
+
+
+@query("""WITH e AS (SELECT o_custkey % 9 AS k, round(o_totalprice / 50) AS x FROM orders), p AS (SELECT k, false AS a, x FROM e UNION ALL SELECT o.k, true, e.x FROM (SELECT DISTINCT k FROM e) o, e WHERE e.k = 8),
+r AS (SELECT k, a, x, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0e0 AS r FROM p),
+s AS (SELECT k, sum(r) FILTER (WHERE a) AS s, count(*) FILTER (WHERE a)::DOUBLE AS n, count(*) FILTER (WHERE NOT a)::DOUBLE AS m, median(x) FILTER (WHERE NOT a) AS median FROM r GROUP BY 1)
+SELECT k, round((s - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12), 6) AS z, median FROM s""")
+def rank_tests(spark, d):
+    """Order totals of eight groups of customers, each against a ninth."""
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 9).alias("k"), F.round(F.col("o_totalprice") / 50).alias("x"))
+    return six(O.rank_tests(rows, 8), "z")
+
+
+#: Pairs of suppliers by the difference of their parts' mean prices, for neighbours in a ring of keys and every seventh.
+_PAIRS_SQL = """s AS (SELECT l_suppkey AS id, avg(l_extendedprice) AS x FROM lineitem GROUP BY 1),
+pairs AS (SELECT a.id AS a, b.id AS b, round(abs(a.x - b.x), 4) AS distance FROM s a JOIN s b ON b.id - a.id IN (1, 7, 11))"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS_SQL}, cuts AS (SELECT unnest([50.0, 200.0, 800.0])::DOUBLE AS cut), e AS (SELECT cut, a, b FROM cuts, pairs WHERE distance <= cut UNION ALL SELECT cut, b, a FROM cuts, pairs WHERE distance <= cut),
+r(cut, id, other) AS (SELECT cut, id, id FROM cuts, s UNION SELECT r.cut, r.id, e.b FROM r JOIN e ON r.other = e.a AND r.cut = e.cut) SELECT cut, id, min(other) AS cluster FROM r GROUP BY 1, 2""")
+def linkage_cuts(spark, d):
+    """Single linkage of suppliers at three heights, from the edges of the spanning tree alone; the SQL takes all pairs."""
+    means = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.avg("l_extendedprice").alias("x"))
+    means = written(means, "means")
+    near = means.select(F.col("id").alias("a"), F.col("x").alias("p"), F.explode(F.array(*(F.col("id") + k for k in (1, 7, 11)))).alias("b"))
+    pairs = near.join(means.select(F.col("id").alias("b"), F.col("x").alias("q")), "b").select("a", "b", F.round(F.abs(F.col("p") - F.col("q")), 4).alias("distance"))
+    tree, _ = O.spanning_tree(pairs)
+    return O.linkage_cuts(written(tree, "tree"), means, [50.0, 200.0, 800.0])

@@ -12,7 +12,7 @@ from sigloom.sources import channels as H
 from sigloom.sources import genome as G
 
 
-def test_grammars():
+def test_grammars(spark):
     sizes = {"SBS96": 96, "SBS288": 288, "SBS384": 384, "SBS1536": 1536, "SBS4608": 4608, "DBS78": 78, "ID83": 83, "CNV48": 48, "SV32": 32}
     for name, n in sizes.items():
         assert len(set(H.channel_names(name))) == n
