@@ -1,9 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Every tree splits its vectors again and again at the median along a random
-direction; vectors near a split spill to both sides. The splits are fitted on
-a bounded sample, every vector is then routed in the tasks. Vectors are compared
-within leaves only, in blocks of bounded size, and links are united.
+direction; the share of vectors nearest to a split spills to both sides. That
+share follows from the depth that the table needs, so that a tree makes a bounded
+number of places for a vector and its leaves keep their size at any size of table.
+The splits are fitted on a bounded sample. Trees are added until pairs at the
+wanted cosine, made from the sample, meet often enough: more of them for a deeper
+tree. Every vector is then routed in the tasks, vectors are compared within leaves
+only, in blocks of bounded size, and links are united.
 
 A pair that meets in several leaves is counted in the first of them, so link
 counts need no list of all pairs.
@@ -11,6 +15,7 @@ counts need no list of all pairs.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +27,16 @@ from pyspark.sql import functions as F
 from .graph import components
 from .storage import materialise, small_batches
 
-TREES, SPILL = 6, 0.02
-#: Vectors that fit the splits; a larger table wants more of them, or its leaves grow.
+#: Share of pairs at the wanted cosine that must meet in a leaf, so many of which are tried; trees at most.
+RECALL, TRIED, TREES = 0.97, 1000, 48
+#: Vectors that fit the splits.
 SAMPLE = 40_000
 #: Rows aimed at in a leaf, rows of the sample needed for a split, rows compared at once.
-LEAF, LEAST, BLOCK = 1000, 32, 2000
-#: A tree's places for each vector, at most: a node is not split where the spill on its way would make more of them.
-COPIES = 4.0
+LEAF, LEAST, BLOCK = 1000, 6, 2000
+#: A tree's places for each vector, in the mean.
+COPIES = 3.0
+#: A node whose spread along the direction is under so many times that of the difference of a pair at the wanted cosine is not split.
+TIGHT = 1.5
 
 
 @dataclass
@@ -37,34 +45,37 @@ class Tree:
 
     direction: np.ndarray
     at: np.ndarray
+    wide: np.ndarray
     child: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, scale: float, seed: int) -> Tree:
+    def fit(x: np.ndarray, scale: float, seed: int, cosine: float = 0.93) -> Tree:
+        """``x``: unit vectors, each of which stands for ``scale`` ones."""
         rng, dim = np.random.default_rng(seed), x.shape[1]
-        direction, at, child, todo = [np.zeros(dim)], [0.0], [[-1, -1]], [(0, np.arange(len(x)), 1.0)]
+        depth = max(1, int(np.ceil(np.log2(max(len(x) * scale / LEAF, 1.0)))))
+        share = COPIES ** (1 / depth) - 1
+        apart = np.sqrt(2 * (1 - cosine) / dim)
+        direction, at, wide, child, todo = [np.zeros(dim)], [0.0], [0.0], [[-1, -1]], [(0, np.arange(len(x)))]
         while todo:
-            node, rows, copies = todo.pop()
+            node, rows = todo.pop()
             if len(rows) * scale <= LEAF or len(rows) < LEAST:
                 continue
             d = rng.standard_normal(dim)
             d /= np.linalg.norm(d)
             p = x[rows] @ d
             middle = float(np.median(p))
-            sides = rows[p < middle + SPILL], rows[p >= middle - SPILL]
-            if min(len(rows) - len(s) for s in sides) < 0.1 * len(rows):
-                continue  # a tight group that spills whole: more splits would only copy it
-            copies *= sum(map(len, sides)) / len(rows)
-            if copies > COPIES:
-                continue  # a larger leaf is compared whole, in blocks
-            direction[node], at[node] = d, middle
-            for side, rows_ in enumerate(sides):
+            if p.std() < TIGHT * apart:
+                continue  # a tight group: splits would part what belongs together; it is compared whole, in blocks
+            spill = float(np.quantile(np.abs(p - middle), share))
+            direction[node], at[node], wide[node] = d, middle, spill
+            for side, rows_ in enumerate((rows[p < middle + spill], rows[p >= middle - spill])):
                 child[node][side] = len(at)
                 direction.append(np.zeros(dim))
                 at.append(0.0)
+                wide.append(0.0)
                 child.append([-1, -1])
-                todo.append((child[node][side], rows_, copies))
-        return Tree(np.array(direction), np.array(at), np.array(child))
+                todo.append((child[node][side], rows_))
+        return Tree(np.array(direction), np.array(at), np.array(wide), np.array(child))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each place a row comes to."""
@@ -74,25 +85,48 @@ class Tree:
             done.append((row[leaf], node[leaf]))
             row, node = row[~leaf], node[~leaf]
             p = np.einsum("ij,ij->i", x[row], self.direction[node]) - self.at[node]
-            low, high = p < SPILL, p >= -SPILL
+            low, high = p < self.wide[node], p >= -self.wide[node]
             row, node = np.concatenate([row[low], row[high]]), np.concatenate([self.child[node[low], 0], self.child[node[high], 1]])
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the greatest component is divided out first, so that no square under- or overflows."""
+    if not x.size:
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _router(forest):
+def forest(x: np.ndarray, scale: float, cosine: float) -> tuple[list[Tree], float]:
+    """Trees over a sample of unit vectors, and the share of pairs at exactly ``cosine`` that meet in them.
+
+    The pairs are vectors of the sample and others made from them, which the splits have not seen.
+    """
+    rng = np.random.default_rng(19)
+    a = x[rng.permutation(len(x))[:TRIED]]
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a) if x.shape[1] > 1 else np.zeros_like(a)
+    b = cosine * a + np.sqrt(max(0.0, 1 - cosine * cosine)) * side
+    trees, met = [], np.zeros(len(a), bool)
+    while len(trees) < TREES:
+        trees.append(Tree.fit(x, scale, len(trees), cosine))
+        (i, p), (j, q) = trees[-1].leaves(a), trees[-1].leaves(b)
+        n = len(trees[-1].at)
+        met[np.intersect1d(i * n + p, j * n + q) // n] = True
+        if met.mean() >= RECALL:
+            break
+    return trees, float(met.mean())
+
+
+def _router(shared):
     def run(batches):
-        trees = forest.value
+        trees = shared.value
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            x = np.asarray(batch.column(3).flatten(), np.float64).reshape(n, -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(np.asarray(batch.column(3).flatten(), np.float64).reshape(n, -1))
             places = [t.leaves(x) for t in trees]
             row = np.concatenate([p[0] for p in places])
             code = np.concatenate([p[1] + (k << 32) for k, p in enumerate(places)])
@@ -134,8 +168,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _compare(cosine: float):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         leaf, first, second = int(key[0]), int(key[2]), int(key[3])
-        x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
         ids, copies, codes = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), _table(pdf["codes"].tolist())
         side = pdf["block"].to_numpy()
         a, b = np.flatnonzero(side == first), np.flatnonzero(side == second)
@@ -172,7 +205,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     smallest id reachable. Vectors that are null, zero, or hold a null or
     non-finite component, and those of null label, are linked with nothing.
     Equal vectors are one class, linked fully. Vectors of one length meet only
-    with their like. A row of null id is returned without links.
+    with their like. Ids are integers; a row of null id is returned without links.
+    Other columns may have any name.
     """
     spark = vectors.sparkSession
     small_batches(spark, 5000)
@@ -186,9 +220,13 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str
     for (dim,) in classes.select(F.size("vector")).distinct().orderBy(F.size("vector")).collect():
         own = classes.where(F.size("vector") == dim)
         n = own.count()
-        sample = _unit(pa.array([r.vector for r in own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").toLocalIterator()]))
-        forest = spark.sparkContext.broadcast([Tree.fit(sample, n / len(sample), seed) for seed in range(TREES)])
-        routed = materialise(own.mapInArrow(_router(forest), "leaf long, label string, id long, copies long, vector array<double>, codes binary"), "routed")
+        picked = own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
+        sample = unit(np.asarray(picked.flatten(), np.float64).reshape(len(picked), -1))
+        trees, met = forest(sample, n / len(sample), cosine)
+        if met < RECALL:
+            logging.getLogger(__name__).warning("%d trees: %.3f of pairs at the wanted cosine meet, %.2f were asked for", len(trees), met, RECALL)
+        shared = spark.sparkContext.broadcast(trees)
+        routed = materialise(own.mapInArrow(_router(shared), "leaf long, label string, id long, copies long, vector array<double>, codes binary"), "routed")
         sizes = routed.groupBy("leaf", "label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where("rows > 1")
         block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
         placed = routed.join(sizes, ["leaf", "label"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
