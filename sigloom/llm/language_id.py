@@ -139,10 +139,12 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str
     url, html = F.col(url_col), F.col(html_col)
     known = F.array(*(F.lit(x) for x in langs)).cast("array<string>")
     valid = lambda c: F.when(F.array_contains(known, F.substring(F.lower(c), 1, 2)), F.substring(F.lower(c), 1, 2))
-    declared = valid(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1))
+    low = F.lower(html)
+    tag = F.substring_index(F.substr(low, F.locate("<html", low)), ">", 1)  # the first such tag alone, and one anchored match in it: linear in the page
+    declared = valid(F.when(F.contains(low, F.lit("<html")), F.regexp_extract(tag, r"(?s)^.*\blang\s*=\s*[\"']?([a-z]{2})", 1)))
     host = F.nullif(F.regexp_extract(F.lower(url), r"^[a-z]+://([^/:?#]+)", 1), F.lit(""))
     suffix, part = F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.regexp_extract(F.lower(url), r"^[a-z]+://[^/]+/([a-z]{2})(?:/|$)", 1)
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    domain = F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), declared.alias("declared"), F.coalesce(valid(suffix), valid(part)).alias("address"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(domain, F.lit("")).alias("domain"))
     shared = spark.sparkContext.broadcast((langs, table))
     scored = base.mapInArrow(_likelihood(shared), "page_id long, url string, ll array<double>, declared string, address string, host string, domain string")
@@ -166,15 +168,17 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str
     add = [F.sum(f"n{i}").alias(f"d{i}") for i in range(len(langs))]
     all_ = [(x or 0.0) + 1.0 for x in hosts.agg(*add).first()]
     overall = F.array(*(F.lit(x / sum(all_)) for x in all_))
-    domains = hosts.groupBy("domain").agg(*add)
+    named = hosts.where("host <> ''")
+    domains = named.groupBy("domain").agg(*add)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     smooth = lambda n, prior: F.zip_with(n, prior, lambda c, q: (c + STRENGTH * q) / (total(n) + STRENGTH))
-    priors = hosts.join(domains, "domain").withColumn("dp", smooth(arr("d"), overall))
+    priors = named.join(domains, "domain").withColumn("dp", smooth(arr("d"), overall))
     priors = materialise(priors.select("host", F.transform(smooth(arr("n"), F.col("dp")), lambda x: F.log(x)).alias("prior")), "priors")
     joined = told.join(priors, "host", "left").join(materialise(trust("declared"), "trust"), "declared", "left").join(materialise(trust("address"), "trust"), "address", "left")
     zero = F.array(*(F.lit(0.0) for _ in langs))
     fused = F.coalesce("ll", zero)
-    for c in ("prior", "ll_declared", "ll_address"):
-        fused = F.zip_with(fused, F.coalesce(c, zero), lambda a, b: a + b)
+    of_all = F.transform(overall, lambda x: F.log(x))
+    for c, absent in (("prior", of_all), ("ll_declared", zero), ("ll_address", zero)):
+        fused = F.zip_with(fused, F.coalesce(F.col(c), absent), lambda a, b: a + b)
     out = joined.withColumn("post", _log_softmax(fused))
     return out.select(F.col("page_id").alias(id_col), best(F.col("post")).alias("lang"), F.round(F.exp(F.array_max("post")), 6).alias("confidence"), "text_lang", "declared", "address", "host")

@@ -87,13 +87,14 @@ def brute_language(pages, langs, table):
     for url, html in pages:
         t = language_id._trigrams(language_id.visible(html))
         ll = language_id.TEMPER * table[:, t].sum(1) if len(t) else np.zeros(len(langs))
-        m = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", html or "", re.I)
-        d = m[1].lower() if m and m[1].lower() in langs else None
+        tag = (html or "").lower().partition("<html")[2].partition(">")[0]
+        m = re.findall(r"\blang\s*=\s*[\"']?([a-z]{2})", tag)
+        d = m[-1] if m and m[-1] in langs else None
         u = (url or "").lower()
         host = (re.match(r"[a-z]+://([^/:?#]+)", u) or [0, ""])[1]
         s, p = re.search(r"\.([a-z]{2})$", host), re.match(r"[a-z]+://[^/]+/([a-z]{2})(?:/|$)", u)
         a = next((x[1] for x in (s, p) if x and x[1] in langs), None)
-        dom = (re.search(r"([^.]+\.[^.]+)$", host) or [0, ""])[1]
+        dom = (re.search(r"([^.]+\.[^.]+)$", host) or [0, host])[1]
         first.append((ll, int(ll.argmax()) if len(t) else None, d, a, host, dom))
     n = len(langs)
     overall = np.ones(n)
@@ -110,7 +111,7 @@ def brute_language(pages, langs, table):
     out, c = [], language_id.STRENGTH
     for f in first:
         dp = (dom_n[f[5]] + c * overall) / (dom_n[f[5]].sum() + c)
-        post = f[0] + np.log((host_n[f[4]] + c * dp) / (host_n[f[4]].sum() + c))
+        post = f[0] + np.log((host_n[f[4]] + c * dp) / (host_n[f[4]].sum() + c) if f[4] else overall)
         for k in (2, 3):
             if f[k]:
                 post = post + np.log(trust[k] / trust[k].sum(1, keepdims=True))[:, langs.index(f[k])]
@@ -122,7 +123,7 @@ def test_languages(spark, sf):
     docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
     langs, table = language_id.fit(docs)
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
-    rows += [(9000, None, None), (9001, "http://a.de", ""), (9002, "x", "<p>"), (9003, rows[0][1], rows[0][2] * 20)]
+    rows += [(9000, None, None), (9001, "http://a.de", ""), (9002, "x", "<p>"), (9003, rows[0][1], rows[0][2] * 20), (9004, None, rows[1][2]), (9004, None, rows[1][2]), (9005, "http://localhost/x", "<HTML xml:lang='de' lang = en><html lang=fr>"), (9006, None, "<html lang")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, ll string")
     got = {r.page_id: r.lang for r in language_id.identify(df, langs, table).collect()}
     assert [got[i] for i, _, _ in rows] == brute_language([r[1:] for r in rows], langs, table)
@@ -158,6 +159,33 @@ def test_pages_without_text_count_for_nothing(spark):
     assert {r.lang for r in empty} == {"de"} and all(abs(r.confidence - 0.5) < 1e-6 for r in empty)
 
 
+def test_hostless_pages_have_the_overall_prior(spark):
+    """Pages without an address do not make a prior for each other."""
+    docs = spark.createDataFrame([(i, ("the cat sat on the mat ", "der hund und die katze ")[i % 2] * 9, ("en", "de")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    langs, table = language_id.fit(docs)
+    rows = [(i, None, "<p>der hund und die katze</p>") for i in range(100)] + [(200 + i, f"http://h{i}.com/x", "<p>the cat sat on the mat</p>") for i in range(100)] + [(999, None, "")]
+    got = {r.page_id: r for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), langs, table).collect()}
+    assert abs(got[999].confidence - 0.5) < 1e-6 and got[0].lang == "de" and got[200].lang == "en"
+
+
+def test_unclosed_html_tags_take_linear_time(spark):
+    langs, table = ["de", "en"], np.log(np.full((2, language_id.BUCKETS), 1 / language_id.BUCKETS))
+    rows = [(1, "http://a.de/x", "<html " * 200_000), (2, None, "<html " + "lang " * 200_000), (3, None, "<html" + " " * 300_000 + "lang=en>")]
+    began = time.time()
+    got = {r.page_id: r.declared for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), langs, table).collect()}
+    assert got == {1: None, 2: None, 3: "en"} and time.time() - began < 60
+
+
+def test_mixing_any_names_and_repeated_rows(spark):
+    names = ["topic", "tokens", "probability", "kept", "row", "u", "drawn"]
+    rows = [(i // 2, "a b c " * (i % 5), "ab"[i % 2], None, *([i] * len(names))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} int" for n in names))
+    got = mixing.mix(df)
+    assert got.columns == df.columns and 0 < got.count() < 400 and all(r.kept == r.u == r.topic for r in got.collect())
+    p = mixing.probabilities(df, carry=["doc_id", "kept", "tokens", "drawn"])
+    assert p.columns == ["doc_id", "drawn", "topic", "tokens", "probability", "kept"] and p.count() == 400
+
+
 def brute_licenses(rows, templates):
     norm = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()))
     sh = lambda w: [tuple(w)] * (0 < len(w) < 5) or [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
