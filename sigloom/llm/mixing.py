@@ -112,29 +112,42 @@ def _marginals(w: DataFrame) -> DataFrame:
     return each.groupBy("dimension", "value").agg(F.sum(F.least("w", "room")).alias("drawn"), F.max("target").alias("target"), F.max("asked").alias("asked"), F.sum("room").alias("room"))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, rounds: int | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (default: the id, source and lang) and topic, tokens, probability, kept: one row per document.
-
-    A cell's probability is the tokens that ``rake_bounded`` draws from it over
-    its tokens; ``budget`` is the tokens wanted as a share of all. Null and
-    empty sources and languages are one value; documents without tokens have
-    probability 0. Rows of equal id are drawn alike.
-    """
-    carry = carry or [id_col, "source", "lang"]
+def _drawn(docs: DataFrame, targets, budget: float, id_col: str, text_col: str, seed: str, rounds: int | None, carry: list[str]) -> DataFrame:
+    """(row, topic, tokens, probability, kept), ``row`` the struct of the carried columns, so that their names meet no others."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    told = docs.select(F.struct(*carry).alias("row"), key("source").alias("source"), key("lang").alias("lang"), topic_of(F.col(text_col)).alias("topic"), tokens_of(F.col(text_col)).alias("tokens"), unit(F.col(id_col), seed).alias("u"))
+    row = F.struct(*(F.col(f"`{c}`") for c in carry))
+    told = docs.select(row.alias("row"), key("source").alias("source"), key("lang").alias("lang"), topic_of(F.col(text_col)).alias("topic"), tokens_of(F.col(text_col)).alias("tokens"), unit(F.col(id_col), seed).alias("u"))
     narrow = text_col not in carry
     counted = materialise(told if narrow else told.drop("row"), "counted")
     cells = materialise(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake_bounded(cells, targets, budget, rounds).select(*DIMENSIONS, (F.col("drawn") / F.col("tokens")).alias("probability"))
     out = (counted if narrow else told).join(materialise(raked, "shares"), list(DIMENSIONS), "left")
     p = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
-    return out.select(*(F.col(f"row.`{c}`") for c in carry), "topic", "tokens", p.alias("probability"), (F.col("u") < p).alias("kept"))
+    return out.select("row", "topic", "tokens", p.alias("probability"), (F.col("u") < p).alias("kept"))
+
+
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, rounds: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns (default: the id, source and lang) and topic, tokens, probability, kept: one row per document.
+
+    A cell's probability is the tokens that ``rake_bounded`` draws from it over
+    its tokens; ``budget`` is the tokens wanted as a share of all. Null and
+    empty sources and languages are one value; documents without tokens have
+    probability 0. Rows of equal id are drawn alike. A carried column named like
+    a result is left out.
+    """
+    made = ["topic", "tokens", "probability", "kept"]
+    carry = [c for c in carry or [id_col, "source", "lang"] if c not in made]
+    return _drawn(docs, targets, budget, id_col, text_col, seed, rounds, carry).select(*(F.col(f"row.`{c}`") for c in carry), *made)
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """The drawn rows of ``docs``, with its columns."""
-    return probabilities(docs, targets, budget, id_col, text_col, seed, carry=docs.columns).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The drawn rows of ``docs``, with its columns, which may have any names beside source and lang.
+
+    Null sources and languages count as empty ones; null and empty texts have no
+    tokens and are not drawn; rows of equal id are drawn alike; no rows give no rows.
+    """
+    drawn = _drawn(docs, targets, budget, id_col, text_col, seed, None, docs.columns)
+    return drawn.where("kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def _filled_sql(name: str, source: str, part: str, amount: str, total: str, order: str) -> str:
