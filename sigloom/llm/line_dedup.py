@@ -202,7 +202,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
-    """``docs`` with the removed lines taken out of the texts; ids must be unique and not null."""
-    gone = repeated_lines(docs, id_col, text_col, jaccard).where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(docs.columns)
+    """``docs`` with the removed lines taken out of the texts; ids must be unique and not null; columns may have any names."""
+    gone = repeated_lines(docs, id_col, text_col, jaccard).where("removed").groupBy(F.col(id_col).alias("key")).agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    text = F.col(f"row.`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    joined = rows.join(gone, "key", "left").select("row", F.when(F.col("gone").isNull(), text).otherwise(left).alias("left"))
+    return joined.select(*(F.col("left").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))

@@ -76,7 +76,7 @@ def shard(docs: DataFrame, n_shards: int = 8, law: str = "bytes", tolerance: flo
     size is the text's UTF-8 bytes plus 1. ``law``: ``bytes`` makes the shards'
     sizes near equal (within ``tolerance`` of a shard at each splitter where the
     rows allow it), ``rows`` their counts. slot numbers a shard's rows from 0
-    without gaps, in key order. A null text counts as empty, a null id sorts as
+    without gaps, in key order. Ids are integers. A null text counts as empty, a null id sorts as
     the lowest; rows of equal text and id are not parted; no rows give no rows.
     A column of ``docs`` named like a result is left out.
     """

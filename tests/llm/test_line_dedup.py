@@ -32,8 +32,18 @@ def test_cases(spark):
     cleaned = {r.doc_id: r.text for r in dedup_lines(df).collect()}
     assert cleaned[7] == "a\na b c d e" and cleaned[2] is None and cleaned[1] == rows[0][1]
     assert repeated_lines(df.limit(0)).count() == 0
+    named = df.selectExpr("*", "doc_id _id", "n _gone", "n `key`", "n gone", "n `left`", "n `row`", "text line")
+    assert dedup_lines(named).columns == named.columns and {r.doc_id: r.text for r in dedup_lines(named).collect()} == cleaned
 
 
 def test_whole_table(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     assert result(repeated_lines(d)) == brute([(r.doc_id, r.text) for r in d.collect()])
+
+
+def test_null_and_shared_ids(spark):
+    line = "one two three four five"
+    df = spark.createDataFrame([(None, line), (None, "x\n" + line), (1, line), (1, line), (2, None)], "doc_id long, text string")
+    got = sorted(map(tuple, repeated_lines(df).collect()), key=repr)
+    # null ids stand first, as one document; its lines at place 0 differ, the equal one at place 1 goes; equal lines of id 1 share one fate
+    assert got == sorted([(None, 0, False), (None, 0, False), (None, 1, True), (1, 0, True), (1, 0, True), (2, 0, False)], key=repr)
