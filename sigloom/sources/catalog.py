@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import channels as H
 from . import genome as G
+from .matlab import read_matlab
 
 #: A context's name by its number of channels.
 CONTEXTS = {96: "SBS96", 288: "SBS288", 384: "SBS384", 1536: "SBS1536", 4608: "SBS4608", 78: "DBS78", 83: "ID83", 48: "CNV48", 32: "SV32"}
@@ -300,6 +301,8 @@ def read_input(spark: SparkSession, input_type: str, data) -> DataFrame:
         return read_matrix(spark, data) if isinstance(data, str) else to_long(spark.createDataFrame(data))
     if kind == "csv":
         return read_csv_folder(spark, data) if isinstance(data, list) else read_csv_matrix(spark, data)
+    if kind == "matobj":
+        return read_matlab(spark, data)
     if kind == "vcf":
         return substitutions(read_variants(spark, data))
     tsv = lambda: spark.read.option("sep", "\t").option("header", True).csv(data)
@@ -307,7 +310,7 @@ def read_input(spark: SparkSession, input_type: str, data) -> DataFrame:
         return H.complete(structural(tsv().withColumns({c: F.col(c).cast("long") for c in ("start1", "start2")})), "SV32")
     if kind.startswith("seg:"):
         return H.complete(segments(tsv(), input_type[4:].upper()), "CNV48")
-    raise ValueError(f"unknown input type {input_type!r}; use text, table, matrix, csv, vcf, bedpe or seg:CALLER")
+    raise ValueError(f"unknown input type {input_type!r}; use text, table, matrix, csv, matobj, vcf, bedpe or seg:CALLER")
 
 
 def read_solutions(spark: SparkSession, path: str, context: str | None = None, k: int | None = None) -> tuple[DataFrame, DataFrame]:
