@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from ..sources.catalog import read_inputs, seed_of
 from ..sources.channels import STRANDS
 from ..sources.genome import read_fasta
-from .extract import Parameters, extract
+from .extract import Parameters, extract, write_text
 from .report import genome_build
 
 #: What the command's yes-or-no options accept.
@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--collapse_to_SBS96", type=flag, default=True, help="decompose finer contexts of substitutions as SBS96")
     p.add_argument("--known", help="Parquet table (channel, signature, weight) to decompose the suggested solution into")
     p.add_argument("--select", type=int, help="the rank to suggest, whatever the rule says")
-    for name, what in (("get_all_signature_matrices", "write every replicate's factors"), ("export_probabilities", "write the suggested solution's probabilities"), ("stop_after_extraction", "suggest a rank, but decompose nothing")):
+    for name, what in (("get_all_signature_matrices", "write every replicate's factors"), ("export_probabilities", "write the suggested solution's probabilities"), ("export_text", "write the suggested solution as tab-separated matrices, too"), ("stop_after_extraction", "suggest a rank, but decompose nothing")):
         p.add_argument(f"--{name}", type=flag, default=False, help=what)
     for f in fields(Parameters):
         if f.name != "seed":
@@ -56,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 OWN = (
-    "input_type", "output", "input_data", "seeds", "context_type", "flanks", "known", "select", "get_all_signature_matrices", "export_probabilities", "stop_after_extraction",
+    "input_type", "output", "input_data", "seeds", "context_type", "flanks", "known", "select", "get_all_signature_matrices", "export_probabilities", "export_text", "stop_after_extraction",
     "reference_genome", "opportunity_genome", "cosmic_version", "volume", "reference_sequence", "transcripts", "collapse_to_SBS96",
 )
 
@@ -64,7 +64,7 @@ OWN = (
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     spark = SparkSession.builder.appName("sigloom").getOrCreate()
-    kind, out, data, seeds, contexts, flanks, known, select, every, probabilities, stop, build, opportunity, version, volume, sequence, transcripts, coarse = (args.pop(k) for k in OWN)
+    kind, out, data, seeds, contexts, flanks, known, select, every, probabilities, as_text, stop, build, opportunity, version, volume, sequence, transcripts, coarse = (args.pop(k) for k in OWN)
     p = Parameters(seed=seed_of(spark, seeds), **args)
     table = lambda path: spark.read.parquet(path) if path else None
     build, note = genome_build(build)
@@ -79,6 +79,8 @@ def main(argv: list[str] | None = None) -> int:
     for name, catalog in read_inputs(spark, kind, data, contexts, table(flanks), parts, table(transcripts)).items():
         result = extract(catalog, p, select)
         result.write(f"{out}/{name}" if name else out, known, every, probabilities, coarse)
+        if as_text:
+            write_text(result, f"{out}/{name}/text" if name else f"{out}/text")
         print(f"{name or result.context}: {result.chosen} signatures")
         result.release()
     return 0

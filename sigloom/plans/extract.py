@@ -24,7 +24,8 @@ from ..functions import kernels as K
 from ..functions.scalars import signature_name
 from ..operators import matrix as M
 from ..sources import channels as H
-from ..sources.catalog import context_of
+from ..sources.catalog import channel_order as channel_table
+from ..sources.catalog import context_of, read_solutions
 from ..sources.shared import dropped, written
 from . import factor as B
 from . import report as R
@@ -335,6 +336,29 @@ class Extraction:
             M.probabilities(best(self.signatures).drop("k"), best(self.activities).drop("k")).write.mode("overwrite").parquet(f"{path}/suggested_solution/probabilities")
 
 
+def write_text(e: Extraction, path: str, digits: bool = True) -> None:
+    """The suggested solution as tab-separated matrices, channels and samples in order.
+
+    ``signatures``: channels x signatures, weights as ``1.23E-04`` where ``digits``;
+    ``activities``: samples x signatures. Signatures are columns, at most as many as the rank.
+    """
+    best = lambda df: df.where(F.col("k") == e.chosen)
+    names = [r.signature for r in M.order_signatures(best(e.activities)).orderBy("position").collect()]
+    weights = best(e.signatures).select("channel", "signature", "weight")
+    R.write_wide(weights, f"{path}/signatures", "channel", "signature", "weight", names, channel_order(weights, e.context), digits)
+    R.write_wide(best(e.activities), f"{path}/activities", "sample", "signature", "activity", names)
+
+
+def channel_order(weights: DataFrame, context: str) -> DataFrame:
+    """(channel, channel_idx): the order of the context's grammar, or by name where it has none."""
+    spark = weights.sparkSession
+    try:
+        return channel_table(spark, context)
+    except ValueError:
+        names = sorted(r[0] for r in weights.select("channel").distinct().collect())  # channels are a few thousand at most
+        return spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "channel string, channel_idx int")
+
+
 def _metadata(spark: SparkSession, began: datetime.datetime, p: Parameters) -> DataFrame:
     """Versions, times, machine and seed of a run."""
     told = {"spark": spark.version, "python": platform.python_version(), "numpy": np.__version__, "system": platform.platform(), "application": spark.sparkContext.applicationId, "seed": p.seed, "began": began.isoformat(), "ended": datetime.datetime.now().isoformat()}
@@ -381,7 +405,7 @@ def extract(catalog: DataFrame, p: Parameters | None = None, select: int | None
 
 def estimate_solution(spark: SparkSession, path: str, catalog: DataFrame, p: Parameters | None = None, select: int | None = None) -> int:
     """Choose a rank again from written tables."""
-    w, h = (spark.read.parquet(f"{path}/{name}") for name in ("signatures", "activities"))
+    w, h = read_solutions(spark, path)
     est = M.multiply(w.select("k", "channel", "signature", "weight"), h.select("k", "sample", "signature", "activity"), ("k",))
     errors = M.similarity_table(catalog, est, ("k",)).select("k", F.col("l2_pct").alias("x"))
     return choose(spark.read.parquet(f"{path}/rank_stats"), errors, p or Parameters(), select)[0]

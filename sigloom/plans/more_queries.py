@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -150,12 +150,11 @@ def selection_metrics(spark, d):
     return M.selection_metrics(_similarity(spark, d).withColumn("k", F.length("sample").cast("long")))
 
 
-@query("SELECT 'd' || day AS channel, row_number() OVER (ORDER BY day)::INTEGER AS place FROM (SELECT DISTINCT dayofyear(l_shipdate) AS day FROM lineitem)")
+@query("SELECT 'd' || day AS channel, n FROM (SELECT dayofyear(l_shipdate) AS day, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)")
 def channel_sort(spark, d):
     """The channels that occur, in the canonical order of days (366 rows at most)."""
     order = spark.range(1, 367).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("channel"), F.col("id").cast("int").alias("channel_idx"))
-    there = sparse(spark, d).select("channel").distinct().join(F.broadcast(order), "channel")
-    return there.select("channel", F.row_number().over(Window.orderBy("channel_idx")).alias("place"))
+    return C.sort_channels(sparse(spark, d).groupBy("channel").agg(F.count("*").alias("n")), order)
 
 
 @query("SELECT c_nationkey AS k, min(c_custkey) AS restart, max(c_acctbal) AS silhouette FROM (SELECT *, max(c_acctbal) OVER (PARTITION BY c_nationkey) AS m FROM customer) WHERE c_acctbal = m GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.catalog import to_wide
+from ..sources.catalog import sort_channels, to_wide
 
 #: Genome builds that decomposition knows; others fall back to the first.
 BUILDS = ["GRCh37", "GRCh38", "mm9", "mm10", "mm39", "rn6", "rn7"]
@@ -49,7 +49,15 @@ def scientific(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.format_string("%.2E", F.col(c).cast("double")) for c in cols})
 
 
-def write_wide(cells: DataFrame, path: str, rows: str, columns: str, value: str, names: list[str] | None = None) -> None:
-    """A tab-separated matrix with a header, as users of spreadsheets expect; one row per ``rows`` value."""
+def write_wide(cells: DataFrame, path: str, rows: str, columns: str, value: str, names: list[str] | None = None, order: DataFrame | None = None, digits: bool = False) -> None:
+    """A tab-separated matrix with a header, as users of spreadsheets expect; one row per ``rows`` value.
+
+    ``order(channel, channel_idx)``: the order of the rows; without it they come as they are dealt. ``digits``: values as ``1.23E-04``.
+    """
     long = cells.select(F.col(rows).alias("channel"), F.col(columns).alias("sample"), F.col(value).alias("cnt"))
-    to_wide(long, names).withColumnRenamed("channel", rows).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    wide = to_wide(long, names)
+    if order is not None:
+        wide = sort_channels(wide, order)
+    if digits:
+        wide = scientific(wide, *(c for c in wide.columns if c != "channel"))
+    wide.withColumnRenamed("channel", rows).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

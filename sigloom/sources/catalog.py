@@ -64,6 +64,11 @@ def to_wide(catalog: DataFrame, samples: list[str] | None = None, value: str = "
     return catalog.groupBy("channel").pivot("sample", samples).agg(F.sum(value)).fillna(0)
 
 
+def sort_channels(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """``rows(channel, ...)`` in the order of ``order(channel, channel_idx)``, a few thousand names; rows of other channels go."""
+    return rows.join(F.broadcast(order.select("channel", "channel_idx")), "channel").orderBy("channel_idx").drop("channel_idx")
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return to_long(spark.read.option("sep", "\t").option("header", True).csv(path))
 

@@ -106,9 +106,11 @@ def test_command_line_on_variants(spark, tmp_path, capsys):
     spark.createDataFrame([(c, "K", 1 / 96) for c in H.channel_names("SBS96")], "channel string, signature string, weight double").write.parquet(str(tmp_path / "signatures/GRCh37_v3.4.parquet"))
     rows = [(p, f"s{i % 4}", seq[p - 1], rng.choice([b for b in "ACGT" if b != seq[p - 1]])) for i, p in enumerate(rng.sample(range(5, 2990), 800))]
     (tmp_path / "v.vcf").write_text("".join(f"1\t{p}\t{s}\t{r}\t{a}\n" for p, s, r, a in rows))
-    args = ["vcf", str(tmp_path / "out"), str(tmp_path / "v.vcf"), "--context_type", "SBS288", "--volume", str(tmp_path), "--reference_genome", "hg0", "--maximum_signatures", "1", "--nmf_replicates", "2", "--min_nmf_iterations", "10", "--max_nmf_iterations", "20", "--nmf_test_conv", "10"]
+    args = ["vcf", str(tmp_path / "out"), str(tmp_path / "v.vcf"), "--context_type", "SBS288", "--volume", str(tmp_path), "--reference_genome", "hg0", "--maximum_signatures", "1", "--nmf_replicates", "2", "--min_nmf_iterations", "10", "--max_nmf_iterations", "20", "--nmf_test_conv", "10", "--export_text", "yes"]
     assert cli.main(args) == 0 and "hg0" in capsys.readouterr().out
     out = str(tmp_path / "out" / "SBS288")
     cells = spark.read.parquet(f"{out}/catalog")
     assert cells.select("channel").distinct().count() == 288 and cells.agg(F.sum("cnt")).first()[0] == 800
     assert spark.read.parquet(f"{out}/suggested_solution/decomposed").first().known == "K"
+    lines = [x for f in sorted((tmp_path / "out" / "SBS288" / "text" / "signatures").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("channel")]
+    assert [x.split("\t")[0] for x in lines] == H.channel_names("SBS288") and "E-0" in lines[0]
