@@ -30,8 +30,10 @@ def _keyed_sql() -> str:
     every = lambda name, cols: " UNION ALL ".join(f"SELECT {k} AS k, {i} AS i, {cols} FROM {name}{k}_{i}" for k in (1, 2) for i in range(ROUNDS + 1))
     tail = f"""losses AS ({' UNION ALL '.join(f'SELECT * FROM l{k}_{i}' for k in (1, 2) for i in range(ROUNDS + 1))}),
 fall AS (SELECT k, i, (lag(loss) OVER (PARTITION BY k ORDER BY i) - loss) / first_value(loss) OVER (PARTITION BY k ORDER BY i) AS fall FROM losses),
-stop AS (SELECT k, coalesce(min(i) FILTER (WHERE i > 1 AND fall < {TOLERANCE}), 0) AS iterations FROM fall GROUP BY 1), acts AS ({every('h', 'sample, signature, activity')})
-SELECT k::INTEGER AS k, iterations::INTEGER AS iterations, sample, signature, round(activity, 3) AS activity FROM acts JOIN stop USING (k) WHERE i = CASE iterations WHEN 0 THEN {ROUNDS} ELSE iterations END"""
+stop AS (SELECT k, coalesce(min(i) FILTER (WHERE i > 1 AND fall < {TOLERANCE}), 0) AS iterations FROM fall GROUP BY 1), acts AS
+ ({every('h', 'sample, signature, activity')})
+SELECT k::INTEGER AS k, iterations::INTEGER AS iterations, sample, signature, round(activity, 3) AS activity FROM acts JOIN stop USING (k) WHERE i = CASE
+ iterations WHEN 0 THEN {ROUNDS} ELSE iterations END"""
     return f"WITH {CATALOG_SQL}, {WH_SQL}, {', '.join(parts)}, {tail}"
 
 
@@ -83,8 +85,10 @@ def _power_sql(rounds: int = 25) -> str:
         parts.append(f"y{i} AS (SELECT a AS channel, sum(dot * x) AS y FROM g JOIN u{i} ON b = channel GROUP BY 1)")
         parts.append(f"u{i + 1} AS (SELECT channel, y / sqrt((SELECT sum(y * y) FROM y{i})) AS x FROM y{i})")
     last = f"u{rounds}"
-    return f"""WITH {CATALOG_SQL}, {', '.join(parts)}, v AS (SELECT sample, sum(cnt * x) AS s FROM catalog JOIN {last} USING (channel) GROUP BY 1), t AS (SELECT sqrt(sum(s * s)) AS value FROM v),
-e AS (SELECT sqrt(greatest(1 - (SELECT value * value FROM t) / sum(cnt * cnt), 0)) AS error FROM catalog) SELECT sample, round(s / value, 6) AS y, round(value, 3) AS value, round(error, 5) AS error FROM v, t, e"""
+    return f"""WITH {CATALOG_SQL}, {', '.join(parts)}, v AS (SELECT sample, sum(cnt * x) AS s FROM catalog JOIN {last} USING (channel) GROUP BY 1), t AS (SELECT sqrt(sum(s *
+ s)) AS value FROM v),
+e AS (SELECT sqrt(greatest(1 - (SELECT value * value FROM t) / sum(cnt * cnt), 0)) AS error FROM catalog) SELECT sample, round(s / value, 6) AS y, round(value,
+ 3) AS value, round(error, 5) AS error FROM v, t, e"""
 
 
 @query(_power_sql())
@@ -107,9 +111,11 @@ def group_medians(spark, d):
     return found.join(counts, ["flag", "grp"]).select("flag", "grp", "n", ((F.col("low") + F.col("top")) / 2).alias("median"), "high")
 
 
-@query("""WITH e AS (SELECT o_custkey % 9 AS k, round(o_totalprice / 50) AS x FROM orders), p AS (SELECT k, false AS a, x FROM e UNION ALL SELECT o.k, true, e.x FROM (SELECT DISTINCT k FROM e) o, e WHERE e.k = 8),
+@query("""WITH e AS (SELECT o_custkey % 9 AS k, round(o_totalprice / 50) AS x FROM orders), p AS (SELECT k, false AS a, x FROM e UNION ALL SELECT o.k, true, e.x FROM
+ (SELECT DISTINCT k FROM e) o, e WHERE e.k = 8),
 r AS (SELECT k, a, x, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0e0 AS r FROM p),
-s AS (SELECT k, sum(r) FILTER (WHERE a) AS s, count(*) FILTER (WHERE a)::DOUBLE AS n, count(*) FILTER (WHERE NOT a)::DOUBLE AS m, median(x) FILTER (WHERE NOT a) AS median FROM r GROUP BY 1)
+s AS (SELECT k, sum(r) FILTER (WHERE a) AS s, count(*) FILTER (WHERE a)::DOUBLE AS n, count(*) FILTER (WHERE NOT a)::DOUBLE AS m, median(x) FILTER (WHERE NOT a)
+ AS median FROM r GROUP BY 1)
 SELECT k, round((s - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12), 6) AS z, median FROM s""")
 def rank_tests(spark, d):
     """Order totals of eight groups of customers, each against a ninth."""
@@ -122,8 +128,10 @@ _PAIRS_SQL = """s AS (SELECT l_suppkey AS id, avg(l_extendedprice) AS x FROM lin
 pairs AS (SELECT a.id AS a, b.id AS b, round(abs(a.x - b.x), 4) AS distance FROM s a JOIN s b ON b.id - a.id IN (1, 7, 11))"""
 
 
-@query(f"""WITH RECURSIVE {_PAIRS_SQL}, cuts AS (SELECT unnest([50.0, 200.0, 800.0])::DOUBLE AS cut), e AS (SELECT cut, a, b FROM cuts, pairs WHERE distance <= cut UNION ALL SELECT cut, b, a FROM cuts, pairs WHERE distance <= cut),
-r(cut, id, other) AS (SELECT cut, id, id FROM cuts, s UNION SELECT r.cut, r.id, e.b FROM r JOIN e ON r.other = e.a AND r.cut = e.cut) SELECT cut, id, min(other) AS cluster FROM r GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {_PAIRS_SQL}, cuts AS (SELECT unnest([50.0, 200.0, 800.0])::DOUBLE AS cut), e AS (SELECT cut, a, b FROM cuts, pairs WHERE distance <= cut UNION
+ ALL SELECT cut, b, a FROM cuts, pairs WHERE distance <= cut),
+r(cut, id, other) AS (SELECT cut, id, id FROM cuts, s UNION SELECT r.cut, r.id, e.b FROM r JOIN e ON r.other = e.a AND r.cut = e.cut) SELECT cut, id, min(other)
+ AS cluster FROM r GROUP BY 1, 2""")
 def linkage_cuts(spark, d):
     """Single linkage of suppliers at three heights, from the edges of the spanning tree alone; the SQL takes all pairs."""
     means = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.avg("l_extendedprice").alias("x"))

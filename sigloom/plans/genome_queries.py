@@ -18,10 +18,13 @@ c AS (SELECT *, CASE WHEN turn THEN translate(ref, 'ACGT', 'TGCA') || '>' || tra
  CASE WHEN turn THEN translate(after, 'ACGT', 'TGCA') ELSE before END AS l, CASE WHEN turn THEN translate(before, 'ACGT', 'TGCA') ELSE after END AS r FROM t)"""
 
 #: Variants and what is transcribed beside them: each order is a range of a strand, of any length up to 50,000 bases.
-STRAND_SQL = f"""{VARIANT_SQL}, g AS (SELECT DISTINCT o_custkey % 7 + 1 AS chrom, o_orderkey * 37 AS s, o_orderkey * 37 + (o_custkey % 50) * 1000 AS e, CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' END AS strand FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey % 4 = 0),
-x AS (SELECT c.chrom, c.pos, bool_or(strand = '+') AS plus, bool_or(strand = '-') AS minus FROM (SELECT DISTINCT chrom, pos * 37 AS pos FROM v) c JOIN g ON g.chrom = c.chrom AND c.pos BETWEEN g.s AND g.e GROUP BY 1, 2),
+STRAND_SQL = f"""{VARIANT_SQL}, g AS (SELECT DISTINCT o_custkey % 7 + 1 AS chrom, o_orderkey * 37 AS s, o_orderkey * 37 + (o_custkey % 50) * 1000 AS e, CASE o_orderstatus WHEN
+ 'F' THEN '+' WHEN 'O' THEN '-' END AS strand FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey % 4 = 0),
+x AS (SELECT c.chrom, c.pos, bool_or(strand = '+') AS plus, bool_or(strand = '-') AS minus FROM (SELECT DISTINCT chrom, pos * 37 AS pos FROM v) c JOIN g ON
+ g.chrom = c.chrom AND c.pos BETWEEN g.s AND g.e GROUP BY 1, 2),
 {_SNV_SQL},
-k AS (SELECT sample, CASE WHEN plus AND minus THEN 'B' WHEN plus THEN CASE WHEN turn THEN 'T' ELSE 'U' END WHEN minus THEN CASE WHEN turn THEN 'U' ELSE 'T' END ELSE 'N' END AS strand, l || '[' || change || ']' || r AS plain FROM c LEFT JOIN x ON x.chrom = c.chrom AND x.pos = c.pos * 37)"""
+k AS (SELECT sample, CASE WHEN plus AND minus THEN 'B' WHEN plus THEN CASE WHEN turn THEN 'T' ELSE 'U' END WHEN minus THEN CASE WHEN turn THEN 'U' ELSE 'T' END
+ ELSE 'N' END AS strand, l || '[' || change || ']' || r AS plain FROM c LEFT JOIN x ON x.chrom = c.chrom AND x.pos = c.pos * 37)"""
 
 
 def _stranded(spark, d) -> DataFrame:
@@ -53,7 +56,8 @@ _LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 @query(f"""WITH s AS (SELECT doc_id AS chrom, translate(text, '{_LETTERS[0]}', '{_LETTERS[1]}') AS bases FROM documents),
 v AS (SELECT l_partkey % 300 AS chrom, 1 + (l_partkey * 7919 + l_suppkey * 104729) % 9000 AS pos, l_orderkey, l_linenumber, l_linenumber % 3 AS gone FROM lineitem),
 j AS (SELECT *, substr(bases, pos, 1 + gone) AS ref FROM v JOIN s USING (chrom) WHERE pos <= length(bases))
-SELECT l_orderkey, l_linenumber, right(substr(bases, 1, pos - CASE WHEN length(ref) > 1 THEN 0 ELSE 1 END), 12) AS before, substr(bases, pos + length(ref), 12) AS after FROM j""")
+SELECT l_orderkey, l_linenumber, right(substr(bases, 1, pos - CASE WHEN length(ref) > 1 THEN 0 ELSE 1 END), 12) AS before, substr(bases, pos + length(ref), 12)
+ AS after FROM j""")
 def flank_bases(spark, d):
     """The bases beside variants and deletions in sequences made of the documents' texts, in blocks that overlap."""
     sequences = table(spark, d, "documents").select(F.col("doc_id").alias("chrom"), F.translate("text", *_LETTERS).alias("bases"))
@@ -70,10 +74,13 @@ def _names_sql(context: str) -> str:
     return "(VALUES " + ", ".join(f"('{n}')" for n in H.channel_names(context)) + ")"
 
 
-@query(f"""WITH {VARIANT_SQL}, {_SNV_SQL}, n AS (SELECT l || '[' || change || ']' || r AS channel, sample, count(*) AS cnt FROM c GROUP BY 1, 2), s AS (SELECT DISTINCT sample FROM n),
-p AS (SELECT a.sample, a.ref || b.ref AS r, a.alt || b.alt AS x FROM v a JOIN v b ON a.chrom = b.chrom AND a.sample = b.sample AND b.pos = a.pos + 1 WHERE a.ref <> a.alt AND b.ref <> b.alt),
+@query(f"""WITH {VARIANT_SQL}, {_SNV_SQL}, n AS (SELECT l || '[' || change || ']' || r AS channel, sample, count(*) AS cnt FROM c GROUP BY 1, 2), s AS (SELECT DISTINCT
+ sample FROM n),
+p AS (SELECT a.sample, a.ref || b.ref AS r, a.alt || b.alt AS x FROM v a JOIN v b ON a.chrom = b.chrom AND a.sample = b.sample AND b.pos = a.pos + 1 WHERE a.ref
+ <> a.alt AND b.ref <> b.alt),
 names AS (SELECT channel, split_part(channel, '>', 1) AS r, split_part(channel, '>', 2) AS x FROM {_names_sql("DBS78")} t(channel)),
-q AS (SELECT channel, sample, count(*) AS cnt FROM p JOIN names ON (p.r = names.r AND p.x = names.x) OR (NOT EXISTS (SELECT 1 FROM names o WHERE o.r = p.r AND o.x = p.x) AND reverse(translate(p.r, 'ACGT', 'TGCA')) = names.r AND reverse(translate(p.x, 'ACGT', 'TGCA')) = names.x) GROUP BY 1, 2),
+q AS (SELECT channel, sample, count(*) AS cnt FROM p JOIN names ON (p.r = names.r AND p.x = names.x) OR (NOT EXISTS (SELECT 1 FROM names o WHERE o.r = p.r AND
+ o.x = p.x) AND reverse(translate(p.r, 'ACGT', 'TGCA')) = names.r AND reverse(translate(p.x, 'ACGT', 'TGCA')) = names.x) GROUP BY 1, 2),
 ds AS (SELECT DISTINCT sample FROM q)
 SELECT 'SBS96' AS context, channel, sample, coalesce(cnt, 0)::BIGINT AS cnt FROM {_names_sql("SBS96")} o(channel) CROSS JOIN s LEFT JOIN n USING (channel, sample)
 UNION ALL SELECT 'DBS78', channel, sample, coalesce(cnt, 0)::BIGINT FROM {_names_sql("DBS78")} o(channel) CROSS JOIN ds LEFT JOIN q USING (channel, sample)""")
@@ -93,10 +100,13 @@ def _sparse(spark, d) -> tuple[DataFrame, DataFrame]:
     return cells, M.multiply(*factors(cells))
 
 
-@query(f"""WITH {SPARSE_EST_SQL}, x AS (SELECT e.sample, coalesce(cnt, 0)::DOUBLE AS v, est AS q FROM est e LEFT JOIN catalog c ON c.channel = e.channel AND c.sample = e.sample),
+@query(f"""WITH {SPARSE_EST_SQL}, x AS (SELECT e.sample, coalesce(cnt, 0)::DOUBLE AS v, est AS q FROM est e LEFT JOIN catalog c ON c.channel = e.channel AND c.sample =
+ e.sample),
 y AS (SELECT *, v / sum(v) OVER (PARTITION BY sample) AS pv, q / sum(q) OVER (PARTITION BY sample) AS pq FROM x)
-SELECT sample, sum(v)::BIGINT AS total_mutations, round(sum(v * q) / (sqrt(sum(v * v)) * sqrt(sum(q * q))), 3) AS cosine, round(sum(abs(v - q)), 3) AS l1, round(round(sum(abs(v - q)), 3) * 100 / sum(v), 3) AS l1_pct,
- round(sqrt(sum((v - q) * (v - q))), 3) AS l2, round(round(sqrt(sum((v - q) * (v - q))), 3) * 100 / sqrt(sum(v * v)), 3) AS l2_pct, round(sum(CASE WHEN v = 0 THEN 0 ELSE pv * ln(pv / pq) END), 5) AS kl, round(corr(v, q), 3) AS correlation FROM y GROUP BY sample""")
+SELECT sample, sum(v)::BIGINT AS total_mutations, round(sum(v * q) / (sqrt(sum(v * v)) * sqrt(sum(q * q))), 3) AS cosine, round(sum(abs(v - q)), 3) AS l1,
+ round(round(sum(abs(v - q)), 3) * 100 / sum(v), 3) AS l1_pct,
+ round(sqrt(sum((v - q) * (v - q))), 3) AS l2, round(round(sqrt(sum((v - q) * (v - q))), 3) * 100 / sqrt(sum(v * v)), 3) AS l2_pct, round(sum(CASE WHEN v = 0
+ THEN 0 ELSE pv * ln(pv / pq) END), 5) AS kl, round(corr(v, q), 3) AS correlation FROM y GROUP BY sample""")
 def similarity_sparse(spark, d):
     """Errors of a catalogue in which most cells are absent: they count as zeros."""
     return M.similarity_table(*_sparse(spark, d))

@@ -19,7 +19,8 @@ from .queries import CATALOG_SQL, NATIONS, RANKS_SQL, SIMILARITY_SQL, SQL, WH_SQ
 
 DIGITS = ("0123456789", "ACGTACGTAC")
 
-VARIANT_SQL = """v AS (SELECT l_linenumber AS chrom, l_orderkey AS pos, l_returnflag AS sample, substr('ACGT', 1 + l_partkey % 4, 1) AS ref, substr('ACGT', 1 + l_suppkey % 4, 1) AS alt,
+VARIANT_SQL = """v AS (SELECT l_linenumber AS chrom, l_orderkey AS pos, l_returnflag AS sample, substr('ACGT', 1 + l_partkey % 4, 1) AS ref, substr('ACGT', 1 + l_suppkey % 4, 1)
+ AS alt,
  substr('ACGT', 1 + l_orderkey % 4, 1) AS before, substr('ACGT', 1 + (l_orderkey // 4) % 4, 1) AS after FROM lineitem)"""
 
 
@@ -32,7 +33,8 @@ def _variants(spark, d) -> DataFrame:
         base(at % 4).alias("before"), base(F.floor(at / 4) % 4).alias("after"))
 
 
-@query(f"""WITH {VARIANT_SQL}, t AS (SELECT *, ref IN ('A', 'G') AS turn FROM v WHERE ref <> alt), c AS (SELECT sample, CASE WHEN turn THEN translate(ref, 'ACGT', 'TGCA') || '>' || translate(alt, 'ACGT', 'TGCA') ELSE ref || '>' || alt END AS change,
+@query(f"""WITH {VARIANT_SQL}, t AS (SELECT *, ref IN ('A', 'G') AS turn FROM v WHERE ref <> alt), c AS (SELECT sample, CASE WHEN turn THEN translate(ref, 'ACGT', 'TGCA')
+ || '>' || translate(alt, 'ACGT', 'TGCA') ELSE ref || '>' || alt END AS change,
  CASE WHEN turn THEN translate(after, 'ACGT', 'TGCA') ELSE before END AS l, CASE WHEN turn THEN translate(before, 'ACGT', 'TGCA') ELSE after END AS r FROM t)
 SELECT l || '[' || change || ']' || r AS channel, sample, count(*) AS cnt FROM c GROUP BY 1, 2""")
 def snv_channels(spark, d):
@@ -40,17 +42,24 @@ def snv_channels(spark, d):
     return C.substitutions(v.drop("before", "after"), v.select("chrom", "pos", "before", "after").distinct())
 
 
-@query(f"""WITH {VARIANT_SQL}, p AS (SELECT a.sample, a.ref || b.ref AS r, a.alt || b.alt AS x FROM v a JOIN v b ON a.chrom = b.chrom AND a.sample = b.sample AND b.pos = a.pos + 1 WHERE a.ref <> a.alt AND b.ref <> b.alt),
-names AS (SELECT unnest({H.channel_names("DBS78")}) AS name), o AS (SELECT sample, r || '>' || x AS here, reverse(translate(r, 'ACGT', 'TGCA')) || '>' || reverse(translate(x, 'ACGT', 'TGCA')) AS there FROM p)
+@query(f"""WITH {VARIANT_SQL}, p AS (SELECT a.sample, a.ref || b.ref AS r, a.alt || b.alt AS x FROM v a JOIN v b ON a.chrom = b.chrom AND a.sample = b.sample AND b.pos =
+ a.pos + 1 WHERE a.ref <> a.alt AND b.ref <> b.alt),
+names AS (SELECT unnest({H.channel_names("DBS78")}) AS name), o AS (SELECT sample, r || '>' || x AS here, reverse(translate(r, 'ACGT', 'TGCA')) || '>' ||
+ reverse(translate(x, 'ACGT', 'TGCA')) AS there FROM p)
 SELECT name AS channel, sample, count(*) AS cnt FROM o JOIN names ON name = here OR (name = there AND here NOT IN (SELECT name FROM names)) GROUP BY 1, 2""")
 def doublet_channels(spark, d):
     return C.doublets(_variants(spark, d))
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS pos, o_orderstatus AS sample, o_orderkey % 2 = 1 AS del, 1 + o_orderkey % 6 AS size, translate(o_custkey::VARCHAR || o_orderkey::VARCHAR || '012345', '{DIGITS[0]}', '{DIGITS[1]}') AS seq, o_custkey % 8 AS copies FROM orders),
-v AS (SELECT *, substr(seq, 1, size) AS piece, repeat(substr(seq, 1, size), copies::INT) || reverse(seq) AS after, 'GATTACA' || reverse(substr(seq, 1, 3)) AS before FROM o),
-n AS (SELECT *, list_max(list_filter(range(0, 6), lambda i: starts_with(after, repeat(piece, i::INT)))) AS n, list_max(list_filter(range(0, size), lambda i: left(after, i) = left(piece, i) OR right(before, i) = right(piece, i))) AS m FROM v)
-SELECT least(size, 5)::VARCHAR || ':' || CASE WHEN del THEN 'Del' ELSE 'Ins' END || ':' || CASE WHEN size = 1 THEN CASE piece WHEN 'A' THEN 'T' WHEN 'G' THEN 'C' ELSE piece END || ':' || n WHEN del AND n = 0 AND m > 0 THEN 'M:' || least(m, 5) ELSE 'R:' || n END AS channel, sample, count(*) AS cnt FROM n GROUP BY 1, 2""")
+@query(f"""WITH o AS (SELECT o_orderkey AS pos, o_orderstatus AS sample, o_orderkey % 2 = 1 AS del, 1 + o_orderkey % 6 AS size, translate(o_custkey::VARCHAR ||
+ o_orderkey::VARCHAR || '012345', '{DIGITS[0]}', '{DIGITS[1]}') AS seq, o_custkey % 8 AS copies FROM orders),
+v AS (SELECT *, substr(seq, 1, size) AS piece, repeat(substr(seq, 1, size), copies::INT) || reverse(seq) AS after, 'GATTACA' || reverse(substr(seq, 1, 3)) AS
+ before FROM o),
+n AS (SELECT *, list_max(list_filter(range(0, 6), lambda i: starts_with(after, repeat(piece, i::INT)))) AS n, list_max(list_filter(range(0, size), lambda i:
+ left(after, i) = left(piece, i) OR right(before, i) = right(piece, i))) AS m FROM v)
+SELECT least(size, 5)::VARCHAR || ':' || CASE WHEN del THEN 'Del' ELSE 'Ins' END || ':' || CASE WHEN size = 1 THEN CASE piece WHEN 'A' THEN 'T' WHEN 'G' THEN
+ 'C' ELSE piece END || ':' || n WHEN del AND n = 0 AND m > 0 THEN 'M:' || least(m, 5) ELSE 'R:' || n END AS channel, sample, count(*) AS cnt FROM n GROUP BY 1,
+ 2""")
 def indel_channels(spark, d):
     """An indel of each order: piece, repeats and neighbours come from its keys."""
     seq = F.translate(F.concat(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lit("012345")), *DIGITS)
@@ -62,11 +71,15 @@ def indel_channels(spark, d):
     return C.indels(v, flanks)
 
 
-@query("""WITH b AS (SELECT l_returnflag || l_linestatus AS sample, l_linenumber AS chrom1, (l_partkey * 100003) % 400000000 AS start1, l_linenumber + (l_suppkey % 4 = 3)::INT AS chrom2, (l_partkey * 100003) % 400000000 + (10 ** (3 + l_orderkey % 6))::BIGINT AS start2, l_suppkey % 4 AS c FROM lineitem),
-e AS (SELECT sample, chrom1 AS c, start1 // 1000000 AS bin FROM b UNION ALL SELECT sample, chrom2, start2 // 1000000 FROM b), n AS (SELECT sample, c, bin, count(*) AS n FROM e GROUP BY ALL),
+@query("""WITH b AS (SELECT l_returnflag || l_linestatus AS sample, l_linenumber AS chrom1, (l_partkey * 100003) % 400000000 AS start1, l_linenumber + (l_suppkey % 4 =
+ 3)::INT AS chrom2, (l_partkey * 100003) % 400000000 + (10 ** (3 + l_orderkey % 6))::BIGINT AS start2, l_suppkey % 4 AS c FROM lineitem),
+e AS (SELECT sample, chrom1 AS c, start1 // 1000000 AS bin FROM b UNION ALL SELECT sample, chrom2, start2 // 1000000 FROM b), n AS (SELECT sample, c, bin,
+ count(*) AS n FROM e GROUP BY ALL),
 w AS (SELECT sample, c, bin + o AS bin, sum(n) AS n FROM n, (VALUES (-1), (0), (1)) t(o) GROUP BY ALL),
-t AS (SELECT b.sample, CASE WHEN coalesce(n, 0) >= 10 THEN 'clustered_' ELSE 'non-clustered_' END || (['del', 'tds', 'inv', 'trans'])[b.c + 1] AS k, b.c, abs(start2 - start1) AS s FROM b LEFT JOIN w ON w.sample = b.sample AND w.c = b.chrom1 AND w.bin = b.start1 // 1000000)
-SELECT CASE WHEN c = 3 THEN k ELSE k || '_' || CASE WHEN s <= 10000 THEN '1-10Kb' WHEN s <= 100000 THEN '10-100Kb' WHEN s <= 1000000 THEN '100Kb-1Mb' WHEN s <= 10000000 THEN '1Mb-10Mb' ELSE '>10Mb' END END AS channel, sample, count(*) AS cnt FROM t GROUP BY 1, 2""")
+t AS (SELECT b.sample, CASE WHEN coalesce(n, 0) >= 10 THEN 'clustered_' ELSE 'non-clustered_' END || (['del', 'tds', 'inv', 'trans'])[b.c + 1] AS k, b.c,
+ abs(start2 - start1) AS s FROM b LEFT JOIN w ON w.sample = b.sample AND w.c = b.chrom1 AND w.bin = b.start1 // 1000000)
+SELECT CASE WHEN c = 3 THEN k ELSE k || '_' || CASE WHEN s <= 10000 THEN '1-10Kb' WHEN s <= 100000 THEN '10-100Kb' WHEN s <= 1000000 THEN '100Kb-1Mb' WHEN s <=
+ 10000000 THEN '1Mb-10Mb' ELSE '>10Mb' END END AS channel, sample, count(*) AS cnt FROM t GROUP BY 1, 2""")
 def structural_channels(spark, d):
     """A breakpoint pair of each line item."""
     start, kind = (F.col("l_partkey") * 100003) % 400_000_000, F.col("l_suppkey") % 4
@@ -76,9 +89,12 @@ def structural_channels(spark, d):
         (start + F.pow(F.lit(10.0), 3 + F.col("l_orderkey") % 6).cast("long")).alias("start2"), F.get(names, kind.cast("int")).alias("svclass")))
 
 
-@query(f"""WITH s AS (SELECT l_returnflag AS sample, l_extendedprice::DOUBLE * 1000 / 1e6 AS mb, (l_quantity::BIGINT % 12 + l_linenumber % 3) AS t, l_linenumber % 3 AS m FROM lineitem), c AS (SELECT unnest({[*C.CALLERS]}) AS caller)
-SELECT caller, CASE WHEN t = 0 THEN '0:homdel:' ELSE CASE WHEN t <= 2 THEN t::VARCHAR WHEN t <= 4 THEN '3-4' WHEN t <= 8 THEN '5-8' ELSE '9+' END || CASE WHEN m = 0 OR t = 1 THEN ':LOH:' ELSE ':het:' END END ||
- CASE WHEN mb <= 0.1 THEN '0-100kb' WHEN mb <= 1 THEN '100kb-1Mb' WHEN t = 0 THEN '>1Mb' WHEN mb <= 10 THEN '1Mb-10Mb' WHEN mb <= 40 THEN '10Mb-40Mb' ELSE '>40Mb' END AS channel, sample, count(*) AS cnt FROM s, c GROUP BY 1, 2, 3""")
+@query(f"""WITH s AS (SELECT l_returnflag AS sample, l_extendedprice::DOUBLE * 1000 / 1e6 AS mb, (l_quantity::BIGINT % 12 + l_linenumber % 3) AS t, l_linenumber % 3 AS m
+ FROM lineitem), c AS (SELECT unnest({[*C.CALLERS]}) AS caller)
+SELECT caller, CASE WHEN t = 0 THEN '0:homdel:' ELSE CASE WHEN t <= 2 THEN t::VARCHAR WHEN t <= 4 THEN '3-4' WHEN t <= 8 THEN '5-8' ELSE '9+' END || CASE WHEN m
+ = 0 OR t = 1 THEN ':LOH:' ELSE ':het:' END END ||
+ CASE WHEN mb <= 0.1 THEN '0-100kb' WHEN mb <= 1 THEN '100kb-1Mb' WHEN t = 0 THEN '>1Mb' WHEN mb <= 10 THEN '1Mb-10Mb' WHEN mb <= 40 THEN '10Mb-40Mb' ELSE
+ '>40Mb' END AS channel, sample, count(*) AS cnt FROM s, c GROUP BY 1, 2, 3""")
 def segment_channels(spark, d):
     """A segment of each line item, in the columns of every caller."""
     major, minor = F.col("l_quantity").cast("long") % 12, F.col("l_linenumber") % 3
@@ -92,9 +108,12 @@ def segment_channels(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (0, '0-100kb', '(-0.01,0.1]'), (1, '100kb-1Mb', '(0.1,1]'), (2, '1Mb-10Mb', '(1,10]'), (3, '10Mb-40Mb', '(10,40]'), (4, '>40Mb', '(40,Inf]')) t(i, size, mb)),
-c AS (SELECT * FROM (VALUES ('LOH', '1', 'del'), ('LOH', '2', 'neut'), ('LOH', '3-4', 'dup'), ('LOH', '5-8', 'quad'), ('LOH', '9+', 'amp'), ('het', '2', 'neut'), ('het', '3-4', 'dup'), ('het', '5-8', 'quad'), ('het', '9+', 'amp')) t(state, n, kind))
-SELECT kind || ':' || state || ':' || mb AS class, n || ':' || state || ':' || size AS channel FROM c, s UNION ALL SELECT 'del:homdel:' || CASE i WHEN 2 THEN '(1,Inf]' ELSE mb END, '0:homdel:' || CASE i WHEN 2 THEN '>1Mb' ELSE size END FROM s WHERE i < 3""")
+@query("""WITH s AS (SELECT * FROM (VALUES (0, '0-100kb', '(-0.01,0.1]'), (1, '100kb-1Mb', '(0.1,1]'), (2, '1Mb-10Mb', '(1,10]'), (3, '10Mb-40Mb', '(10,40]'), (4,
+ '>40Mb', '(40,Inf]')) t(i, size, mb)),
+c AS (SELECT * FROM (VALUES ('LOH', '1', 'del'), ('LOH', '2', 'neut'), ('LOH', '3-4', 'dup'), ('LOH', '5-8', 'quad'), ('LOH', '9+', 'amp'), ('het', '2',
+ 'neut'), ('het', '3-4', 'dup'), ('het', '5-8', 'quad'), ('het', '9+', 'amp')) t(state, n, kind))
+SELECT kind || ':' || state || ':' || mb AS class, n || ':' || state || ':' || size AS channel FROM c, s UNION ALL SELECT 'del:homdel:' || CASE i WHEN 2 THEN
+ '(1,Inf]' ELSE mb END, '0:homdel:' || CASE i WHEN 2 THEN '>1Mb' ELSE size END FROM s WHERE i < 3""")
 def cnv_labels(spark, d):
     return C.cnv_classes(spark)
 
@@ -203,9 +222,12 @@ def sem_text(spark, d):
     return R.scientific(table(spark, d, "part").select("p_partkey", F.sqrt("p_retailprice").alias("price")), "price")
 
 
-@query(f"""WITH {CATALOG_SQL}, {WH_SQL}, v AS (SELECT sample, sum(cnt) AS total, sum(cnt * wa) AS p, sum(cnt * wb) AS q FROM catalog JOIN (SELECT channel, max(weight) FILTER (WHERE signature = 'A') AS wa, max(weight) FILTER (WHERE signature = 'B') AS wb FROM w GROUP BY 1) USING (channel) GROUP BY 1),
-g AS (SELECT sum(wa * wa) AS a, sum(wb * wb) AS b, sum(wa * wb) AS c FROM (SELECT channel, max(weight) FILTER (WHERE signature = 'A') AS wa, max(weight) FILTER (WHERE signature = 'B') AS wb FROM w GROUP BY 1)),
-f AS (SELECT sample, total, (p * b - q * c) / (a * b - c * c) AS x, (q * a - p * c) / (a * b - c * c) AS y, p / a AS xo, q / b AS yo FROM v, g), s AS (SELECT sample, total, CASE WHEN x < 0 THEN 0 WHEN y < 0 THEN xo ELSE x END AS x, CASE WHEN y < 0 THEN 0 WHEN x < 0 THEN yo ELSE y END AS y FROM f)
+@query(f"""WITH {CATALOG_SQL}, {WH_SQL}, v AS (SELECT sample, sum(cnt) AS total, sum(cnt * wa) AS p, sum(cnt * wb) AS q FROM catalog JOIN (SELECT channel, max(weight)
+ FILTER (WHERE signature = 'A') AS wa, max(weight) FILTER (WHERE signature = 'B') AS wb FROM w GROUP BY 1) USING (channel) GROUP BY 1),
+g AS (SELECT sum(wa * wa) AS a, sum(wb * wb) AS b, sum(wa * wb) AS c FROM (SELECT channel, max(weight) FILTER (WHERE signature = 'A') AS wa, max(weight) FILTER
+ (WHERE signature = 'B') AS wb FROM w GROUP BY 1)),
+f AS (SELECT sample, total, (p * b - q * c) / (a * b - c * c) AS x, (q * a - p * c) / (a * b - c * c) AS y, p / a AS xo, q / b AS yo FROM v, g), s AS (SELECT
+ sample, total, CASE WHEN x < 0 THEN 0 WHEN y < 0 THEN xo ELSE x END AS x, CASE WHEN y < 0 THEN 0 WHEN x < 0 THEN yo ELSE y END AS y FROM f)
 SELECT 2 AS k, sample, 0 AS cluster, round(x * total / (x + y), 3) AS activity FROM s UNION ALL SELECT 2, sample, 1, round(y * total / (x + y), 3) FROM s""")
 def refit(spark, d):
     """Every sample's non-negative fit to two given signatures, scaled to its total; the SQL solves the two unknowns by hand."""
@@ -214,11 +236,14 @@ def refit(spark, d):
     return six(X.activities(w, cat), "activity", to=3)
 
 
-@query(f"""WITH {RANKS_SQL}, e AS (SELECT c_nationkey + 1 AS k, c_acctbal AS x FROM customer), good AS (SELECT * FROM stats WHERE min_stability + avg_stability >= 1 AND min_stability >= 0.2 AND avg_stability >= 0.8),
-hi AS (SELECT coalesce((SELECT max(k) FROM good), (SELECT min(k) FROM stats)) AS k), cand AS (SELECT k FROM good WHERE avg_stability >= (SELECT avg_stability FROM stats WHERE k = (SELECT k FROM hi)) UNION SELECT k FROM hi),
+@query(f"""WITH {RANKS_SQL}, e AS (SELECT c_nationkey + 1 AS k, c_acctbal AS x FROM customer), good AS (SELECT * FROM stats WHERE min_stability + avg_stability >= 1 AND
+ min_stability >= 0.2 AND avg_stability >= 0.8),
+hi AS (SELECT coalesce((SELECT max(k) FROM good), (SELECT min(k) FROM stats)) AS k), cand AS (SELECT k FROM good WHERE avg_stability >= (SELECT avg_stability
+ FROM stats WHERE k = (SELECT k FROM hi)) UNION SELECT k FROM hi),
 p AS (SELECT k, false AS a, x FROM e WHERE k IN (SELECT k FROM cand) UNION ALL SELECT cand.k, true, x FROM cand, e WHERE e.k = (SELECT k FROM hi)),
 r AS (SELECT k, a, x, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0e0 AS r FROM p),
-s AS (SELECT k, sum(r) FILTER (WHERE a) AS s, count(*) FILTER (WHERE a)::DOUBLE AS n, count(*) FILTER (WHERE NOT a)::DOUBLE AS m, median(x) FILTER (WHERE NOT a) AS med FROM r GROUP BY 1),
+s AS (SELECT k, sum(r) FILTER (WHERE a) AS s, count(*) FILTER (WHERE a)::DOUBLE AS n, count(*) FILTER (WHERE NOT a)::DOUBLE AS m, median(x) FILTER (WHERE NOT a)
+ AS med FROM r GROUP BY 1),
 z AS (SELECT k, (s - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12) AS z, med FROM s), base AS (SELECT med FROM z WHERE k = (SELECT k FROM hi)),
 stop AS (SELECT max(k) AS k FROM z WHERE k < (SELECT k FROM hi) AND ((abs(z) > 1.959963984540054 AND med > (SELECT med FROM base)) OR k = (SELECT min(k) FROM stats))),
 pick AS (SELECT min(k) AS k FROM cand WHERE k > coalesce((SELECT k FROM stop), 0))

@@ -26,8 +26,10 @@ CATALOG_SQL = """catalog AS (SELECT l_returnflag || '[' || l_linestatus || ']' |
 SPARSE_SQL = """sparse AS (SELECT 'd' || dayofyear(l_shipdate) AS channel, 's' || s_suppkey AS sample, count(*) FILTER (WHERE s_suppkey % 7 <> 0) AS cnt
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 #: A rank-2 factorisation given by a formula: weights by channel, activities by sample.
-WH_SQL = """w AS (SELECT channel, s.signature, CASE s.signature WHEN 'A' THEN 1 + length(channel) % 3 + ascii(channel) % 5 ELSE 1 + ascii(channel) % 3 END::DOUBLE AS weight FROM (SELECT DISTINCT channel FROM catalog), (VALUES ('A'), ('B')) s(signature)),
-h AS (SELECT sample, s.signature, CASE s.signature WHEN 'A' THEN 10 + length(sample) ELSE 20 + ascii(sample) % 7 END::DOUBLE AS activity FROM (SELECT DISTINCT sample FROM catalog), (VALUES ('A'), ('B')) s(signature)),
+WH_SQL = """w AS (SELECT channel, s.signature, CASE s.signature WHEN 'A' THEN 1 + length(channel) % 3 + ascii(channel) % 5 ELSE 1 + ascii(channel) % 3 END::DOUBLE AS weight
+ FROM (SELECT DISTINCT channel FROM catalog), (VALUES ('A'), ('B')) s(signature)),
+h AS (SELECT sample, s.signature, CASE s.signature WHEN 'A' THEN 10 + length(sample) ELSE 20 + ascii(sample) % 7 END::DOUBLE AS activity FROM (SELECT DISTINCT
+ sample FROM catalog), (VALUES ('A'), ('B')) s(signature)),
 est AS (SELECT channel, sample, sum(weight * activity) AS est FROM w JOIN h USING (signature) GROUP BY 1, 2)"""
 
 
@@ -195,9 +197,11 @@ def corr_pairs(spark, d):
     return six(M.pairwise(_vectors(catalog(spark, d)), "correlation"), "similarity")
 
 
-SIMILARITY_SQL = """x AS (SELECT e.channel, e.sample, coalesce(cnt, 0)::DOUBLE AS v, est AS q, coalesce(cnt, 0) / sum(coalesce(cnt, 0)) OVER (PARTITION BY e.sample)::DOUBLE AS pv, est / sum(est) OVER (PARTITION BY e.sample) AS pq FROM est e LEFT JOIN catalog c ON c.channel = e.channel AND c.sample = e.sample),
+SIMILARITY_SQL = """x AS (SELECT e.channel, e.sample, coalesce(cnt, 0)::DOUBLE AS v, est AS q, coalesce(cnt, 0) / sum(coalesce(cnt, 0)) OVER (PARTITION BY e.sample)::DOUBLE AS pv,
+ est / sum(est) OVER (PARTITION BY e.sample) AS pq FROM est e LEFT JOIN catalog c ON c.channel = e.channel AND c.sample = e.sample),
 similarity AS (SELECT sample, sum(v)::BIGINT AS total_mutations, round(sum(v * q) / (sqrt(sum(v * v)) * sqrt(sum(q * q))), 3) AS cosine, round(sum(abs(v - q)), 3) AS l1,
- round(round(sum(abs(v - q)), 3) * 100 / sum(v), 3) AS l1_pct, round(sqrt(sum((v - q) * (v - q))), 3) AS l2, round(round(sqrt(sum((v - q) * (v - q))), 3) * 100 / sqrt(sum(v * v)), 3) AS l2_pct,
+ round(round(sum(abs(v - q)), 3) * 100 / sum(v), 3) AS l1_pct, round(sqrt(sum((v - q) * (v - q))), 3) AS l2, round(round(sqrt(sum((v - q) * (v - q))), 3) * 100
+ / sqrt(sum(v * v)), 3) AS l2_pct,
  round(sum(CASE WHEN pv = 0 THEN 0 ELSE pv * ln(pv / pq) END), 5) AS kl, round(corr(v, q), 3) AS correlation FROM x GROUP BY sample)"""
 
 
@@ -211,7 +215,8 @@ def similarity_table(spark, d):
     return _similarity(spark, d)
 
 
-@query(f"""WITH {CATALOG_SQL}, {WH_SQL}, {SIMILARITY_SQL} SELECT round(avg(cosine), 6) AS mean_cosine, max(cosine) AS max_cosine, round(median(l1_pct), 6) AS median_l1_pct, max(l1_pct) AS max_l1_pct, round(median(l2_pct), 6) AS median_l2_pct, max(l2_pct) AS max_l2_pct,
+@query(f"""WITH {CATALOG_SQL}, {WH_SQL}, {SIMILARITY_SQL} SELECT round(avg(cosine), 6) AS mean_cosine, max(cosine) AS max_cosine, round(median(l1_pct), 6) AS
+ median_l1_pct, max(l1_pct) AS max_l1_pct, round(median(l2_pct), 6) AS median_l2_pct, max(l2_pct) AS max_l2_pct,
  round(avg(kl), 6) AS mean_kl, max(kl) AS max_kl, round(avg(correlation), 6) AS mean_corr, min(correlation) AS min_corr FROM similarity""")
 def metric_summary(spark, d):
     return six(M.metric_summary(_similarity(spark, d)), "mean_cosine", "median_l1_pct", "median_l2_pct", "mean_kl", "mean_corr")
@@ -229,8 +234,10 @@ def centroid_sem(spark, d):
     return six(M.centroids(cells), "mean", "sem")
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id, a.cluster, b.cluster AS c, 1 - list_cosine_similarity(a.v, b.v) AS dist FROM e a JOIN e b ON a.id <> b.id),
-m AS (SELECT id, cluster, c, avg(dist) AS dist FROM p GROUP BY ALL), ab AS (SELECT id, cluster, max(dist) FILTER (WHERE c = cluster) AS a, min(dist) FILTER (WHERE c <> cluster) AS b FROM m GROUP BY 1, 2)
+@query("""WITH e AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id, a.cluster, b.cluster AS c, 1 -
+ list_cosine_similarity(a.v, b.v) AS dist FROM e a JOIN e b ON a.id <> b.id),
+m AS (SELECT id, cluster, c, avg(dist) AS dist FROM p GROUP BY ALL), ab AS (SELECT id, cluster, max(dist) FILTER (WHERE c = cluster) AS a, min(dist) FILTER
+ (WHERE c <> cluster) AS b FROM m GROUP BY 1, 2)
 SELECT id, cluster, round(coalesce((b - a) / greatest(a, b), 0), 6) AS silhouette FROM ab""")
 def silhouette(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
@@ -256,8 +263,10 @@ def selection_sort(spark, d):
     return _ranks(spark, d).withColumn("place", F.row_number().over(Window.orderBy(F.desc("avg_stability"), "k")))
 
 
-@query("""WITH v AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS grp, floor(o_totalprice / 1000) AS x FROM orders WHERE o_orderstatus IN ('F', 'O')), r AS (SELECT grp, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0e0 AS r FROM v),
-s AS (SELECT sum(r) FILTER (WHERE grp = 'a') AS s, count(*) FILTER (WHERE grp = 'a')::DOUBLE AS n, count(*) FILTER (WHERE grp = 'b')::DOUBLE AS m FROM r) SELECT s AS rank_sum, round((s - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12), 6) AS z FROM s""")
+@query("""WITH v AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS grp, floor(o_totalprice / 1000) AS x FROM orders WHERE o_orderstatus IN ('F', 'O')), r
+ AS (SELECT grp, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0e0 AS r FROM v),
+s AS (SELECT sum(r) FILTER (WHERE grp = 'a') AS s, count(*) FILTER (WHERE grp = 'a')::DOUBLE AS n, count(*) FILTER (WHERE grp = 'b')::DOUBLE AS m FROM r) SELECT
+ s AS rank_sum, round((s - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12), 6) AS z FROM s""")
 def ranksum(spark, d):
     orders = table(spark, d, "orders").where("o_orderstatus in ('F', 'O')")
     return six(M.rank_sum(orders.select(F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("grp"), F.floor(F.col("o_totalprice") / 1000).alias("x"))), "z")
@@ -376,8 +385,10 @@ def kl_loss(spark, d):
     return M.kl_loss(cat, M.multiply(*factors(cat))).select(F.round("loss", 3).alias("loss"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
-e AS (SELECT a.label AS a, b.label AS b FROM c a, c b WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.98), r(id, other) AS (SELECT label, label FROM c UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a) SELECT id, min(other) AS cluster FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x,
+ unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT a.label AS a, b.label AS b FROM c a, c b WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.98), r(id, other) AS (SELECT label, label FROM c UNION
+ SELECT r.id, e.b FROM r JOIN e ON r.other = e.a) SELECT id, min(other) AS cluster FROM r GROUP BY 1""")
 def dendrogram(spark, d):
     """Label centroids cut by single linkage."""
     cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy(F.col("label").alias("id"), "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -386,10 +397,14 @@ def dendrogram(spark, d):
     return M.single_linkage(dist, cells.select("id").distinct(), 0.98)
 
 
-@query("""WITH x AS (SELECT label, vec_id % 2 AS half, i, avg(x) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
-c AS (SELECT label, half, list(m ORDER BY i) AS v FROM x GROUP BY 1, 2), p AS (SELECT a.label AS a, b.label AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a, c b WHERE a.half = 0 AND b.half = 1),
-t AS (SELECT *, s = max(s) OVER (PARTITION BY a) AND s = max(s) OVER (PARTITION BY b) AS best FROM p), n AS (SELECT count(*) FILTER (WHERE best AND s >= 0.8)::BIGINT AS tp, count(DISTINCT a)::BIGINT AS na, count(DISTINCT b)::BIGINT AS nb FROM t)
-SELECT tp, nb - tp AS fp, na - tp AS fn, round(tp / nb::DOUBLE, 2) AS precision, round(tp / na::DOUBLE, 2) AS recall, round(2 * tp / (na + nb)::DOUBLE, 2) AS f1 FROM n""")
+@query("""WITH x AS (SELECT label, vec_id % 2 AS half, i, avg(x) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM
+ embeddings) GROUP BY ALL),
+c AS (SELECT label, half, list(m ORDER BY i) AS v FROM x GROUP BY 1, 2), p AS (SELECT a.label AS a, b.label AS b, list_cosine_similarity(a.v, b.v) AS s FROM c
+ a, c b WHERE a.half = 0 AND b.half = 1),
+t AS (SELECT *, s = max(s) OVER (PARTITION BY a) AND s = max(s) OVER (PARTITION BY b) AS best FROM p), n AS (SELECT count(*) FILTER (WHERE best AND s >=
+ 0.8)::BIGINT AS tp, count(DISTINCT a)::BIGINT AS na, count(DISTINCT b)::BIGINT AS nb FROM t)
+SELECT tp, nb - tp AS fp, na - tp AS fn, round(tp / nb::DOUBLE, 2) AS precision, round(tp / na::DOUBLE, 2) AS recall, round(2 * tp / (na + nb)::DOUBLE, 2) AS f1
+ FROM n""")
 def evaluation(spark, d):
     """Label centroids of the vectors of even number, as the truth, against those of odd number.
 
