@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.scalars import signature_name
 from ..operators import matrix as M
+from ..operators.matching import assign
 from ..sources import channels as H
 from ..sources.catalog import channel_order as channel_table
 from ..sources.catalog import context_of, read_solutions
@@ -411,15 +412,30 @@ def estimate_solution(spark: SparkSession, path: str, catalog: DataFrame, p: Par
     return choose(spark.read.parquet(f"{path}/rank_stats"), errors, p or Parameters(), select)[0]
 
 
+#: Pairs of signatures that are matched on the driver; more go through rounds of bids.
+MOST_PAIRS = 250_000
+
+
 def match_signatures(true: DataFrame, found: DataFrame, cutoff: float = 0.9, how: str = "cosine") -> dict:
-    """Precision, recall and F1 of a one-to-one matching; both are (channel, signature, weight) tables of a few dozen signatures."""
-    sim = M.pairwise(true.select(F.concat(F.lit("a"), "signature").alias("id"), F.col("channel").alias("dim"), F.col("weight").alias("x")).union(found.select(F.concat(F.lit("b"), "signature"), "channel", "weight")), how)
-    pairs = sim.where("a like 'a%' and b like 'b%'").toPandas().pivot(index="a", columns="b", values="similarity")
-    s = pairs.to_numpy()
-    at = K.match(1 - s)
-    hits = int(sum(s[i, j] >= cutoff for i, j in enumerate(at) if j >= 0))
-    precision, recall = hits / s.shape[1], hits / s.shape[0]
-    return {"tp": hits, "fp": s.shape[1] - hits, "fn": s.shape[0] - hits, "precision": round(precision, 2), "recall": round(recall, 2), "f1": round(2 * precision * recall / (precision + recall), 2) if hits else 0.0}
+    """Precision, recall and F1 of a one-to-one matching of two (channel, signature, weight) tables.
+
+    Few signatures are matched exactly on the driver. Where they make more than
+    ``MOST_PAIRS`` pairs, the matching is found by an auction over the table of
+    pairs, within a thousandth of a distance a signature.
+    """
+    side = lambda df, mark: df.select(F.concat(F.lit(mark), "signature").alias("id"), F.col("channel").alias("dim"), F.col("weight").alias("x"))
+    n, m = (df.select("signature").distinct().count() for df in (true, found))
+    pairs = M.pairwise(side(true, "a").union(side(found, "b")), how).where("a like 'a%' and b like 'b%'")
+    if n * m > MOST_PAIRS:
+        matched = assign(pairs.select("a", "b", (1 - F.col("similarity")).alias("cost")), tolerance=1e-3)
+        hits = matched.where(F.col("cost") <= 1 - cutoff).count()
+    else:
+        s = pairs.toPandas().pivot(index="a", columns="b", values="similarity").to_numpy()
+        at = K.match(1 - s)
+        hits = int(sum(s[i, j] >= cutoff for i, j in enumerate(at) if j >= 0))
+    precision, recall = hits / m, hits / n
+    f1 = round(2 * precision * recall / (precision + recall), 2) if hits else 0.0
+    return {"tp": hits, "fp": m - hits, "fn": n - hits, "precision": round(precision, 2), "recall": round(recall, 2), "f1": f1}
 
 
 def decompose(sigs: DataFrame, known: DataFrame, add: float = 0.05, remove: float = 0.01, context: str = "", collapse_to_sbs96: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matrix as M
 from ..operators import ordered as O
+from ..operators.matching import assign
 from ..sources.shared import written
 from . import factor as B
 from .queries import CATALOG_SQL, WH_SQL, catalog, query, six, table
@@ -140,3 +141,27 @@ def linkage_cuts(spark, d):
     pairs = near.join(means.select(F.col("id").alias("b"), F.col("x").alias("q")), "b").select("a", "b", F.round(F.abs(F.col("p") - F.col("q")), 4).alias("distance"))
     tree, _ = O.spanning_tree(pairs)
     return O.linkage_cuts(written(tree, "tree"), means, [50.0, 200.0, 800.0])
+
+
+def _matching_sql(n: int = 10) -> str:
+    """The least cost of matching the first i labels to any set of as many others, set by set."""
+    parts = ["s0 AS (SELECT 0 AS used, 0.0::DOUBLE AS cost)"]
+    for i in range(n):
+        step = f"SELECT used | (1 << j) AS used, s{i}.cost + p.cost AS cost FROM s{i} JOIN p ON p.i = {i} AND used & (1 << j) = 0"
+        parts.append(f"s{i + 1} AS (SELECT used, min(cost) AS cost FROM ({step}) GROUP BY 1)")
+    return f"""WITH x AS (SELECT label, vec_id % 2 AS half, k, avg(x) AS m FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY ALL),
+c AS (SELECT half, label, list(m ORDER BY k) AS v FROM x GROUP BY 1, 2), d AS (SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS i FROM c),
+p AS (SELECT a.i, b.i AS j, 1 - list_cosine_similarity(a.v, b.v) AS cost FROM d a, d b WHERE a.half = 0 AND b.half = 1), {", ".join(parts)}
+SELECT {n}::BIGINT AS matched, round(min(cost), 4) AS cost FROM s{n}"""
+
+
+@query(_matching_sql())
+def matching(spark, d):
+    """The matching of least cost between label centroids of vectors of even and odd number, by rounds of bids."""
+    cells = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("half"), F.posexplode("embedding").alias("dim", "x"))
+    means = written(cells.groupBy("label", "half", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")), "means")
+    side = lambda n, name, x: means.where(F.col("half") == n).select(F.col("label").alias(name), "dim", F.col("x").alias(x))
+    sums = side(0, "a", "p").join(side(1, "b", "q"), "dim").groupBy("a", "b")
+    dot = lambda x, y: F.sum(F.col(x) * F.col(y))
+    costs = sums.agg((1 - dot("p", "q") / F.sqrt(dot("p", "p") * dot("q", "q"))).alias("cost"))
+    return assign(costs, tolerance=1e-6).agg(F.count("*").alias("matched"), F.round(F.sum("cost"), 4).alias("cost"))
