@@ -31,7 +31,10 @@ TOKENIZERS = os.environ.get("SIGLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: all come, later copies of a text go, table bars leave the texts; two commits are repeated."""
+    """Three batches over all documents: all come, later copies of a text go, table bars leave the texts; two commits are repeated.
+
+    A null text is no copy of another one and has no tokens.
+    """
     from pyspark.sql import functions as F
 
     from . import token_rollup as R

@@ -246,7 +246,11 @@ def _filter(model, text_at: int, lang_at: int | None):
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under the threshold of their language."""
+    """The rows of ``docs``, all columns, whose score is under the threshold of their language.
+
+    Null and empty texts have the score of no words; a language without a threshold of its own, and a null one, have the
+    common one. Repeated rows share one fate; no rows give no rows; columns may have any names.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

@@ -186,6 +186,18 @@ def test_mixing_any_names_and_repeated_rows(spark):
     assert p.columns == ["doc_id", "drawn", "topic", "tokens", "probability", "kept"] and p.count() == 400
 
 
+def test_very_long_texts_and_null_ids(spark):
+    """Token counts of a text of megabytes, of null and repeated rows; licences of rows with null ids."""
+    text = "word, " * 400_000
+    df = spark.createDataFrame([(1, text, "s", "en"), (1, text, "s", "en"), (2, None, "s", None), (None, "a b", None, "en")], "doc_id long, text string, source string, lang string")
+    counts = R.count_tokens(df, {"w": None})
+    assert sorted((r.doc_id or 0, r.tokens) for r in counts.collect()) == [(0, 2), (1, 400_000), (1, 400_000), (2, 0)]
+    t = license_scan.TEMPLATES["MIT-grant"]
+    rows = spark.createDataFrame([(None, t), (None, "none"), (5, "x " * 200_000 + t), (5, t)], "doc_id long, text string")
+    found = [r.doc_id for r in license_scan.scan_licenses(rows).collect() if r.license == "MIT-grant"]
+    assert sorted(found, key=repr) == [5, None]
+
+
 def brute_licenses(rows, templates):
     norm = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()))
     sh = lambda w: [tuple(w)] * (0 < len(w) < 5) or [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
