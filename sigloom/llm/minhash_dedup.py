@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import FEW, components
 from .storage import materialise, prune_by_bloom, small_batches
 from .text import SPACED, chunks, mix, shingles
 
@@ -138,16 +138,23 @@ def _similar(percent: int):
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of ``pairs(a, a1, b, b1)`` those whose whole sets are similar enough; only their documents' texts are moved."""
+    """Of ``pairs(a, a1, b, b1)`` those whose whole sets are similar enough; only their documents' texts are moved.
+
+    Few pairs, by a count of them, go to the texts and sets instead of being dealt with them.
+    """
     pairs = materialise(pairs.distinct(), "pairs")
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = docs.join(ids.where("doc_id is not null"), "doc_id", "left_semi")
+    few = pairs.count() <= FEW
+    held = (lambda df: F.broadcast(df.coalesce(1))) if few else (lambda df: df)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null")
+    ids = held(ends.coalesce(1).distinct()) if few else materialise(ends.distinct(), "ids")
+    texts = docs.join(ids, "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(_sets(shingle), "id long, h1 long, words array<long>").dropDuplicates(["id", "h1"]), "sets")
     sa = sets.select(F.col("id").alias("a"), F.col("h1").alias("a1"), F.col("words").alias("wa"))
     sb = sets.select(F.col("id").alias("b"), F.col("h1").alias("b1"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     all_ = F.size("wa") + F.size("wb") - both
-    return materialise(pairs.join(sa, ["a", "a1"]).join(sb, ["b", "b1"]).where(100 * both >= percent * all_).select("a", "b"), "links")
+    first = sa.join(held(pairs), ["a", "a1"]) if few else pairs.join(sa, ["a", "a1"])
+    return materialise(first.join(sb, ["b", "b1"]).where(100 * both >= percent * all_).select("a", "b"), "links")
 
 
 def _shared_ids(told: DataFrame, classes: DataFrame) -> DataFrame:
