@@ -33,7 +33,7 @@ def _keyed_sql() -> str:
 fall AS (SELECT k, i, (lag(loss) OVER (PARTITION BY k ORDER BY i) - loss) / first_value(loss) OVER (PARTITION BY k ORDER BY i) AS fall FROM losses),
 stop AS (SELECT k, coalesce(min(i) FILTER (WHERE i > 1 AND fall < {TOLERANCE}), 0) AS iterations FROM fall GROUP BY 1), acts AS
  ({every('h', 'sample, signature, activity')})
-SELECT k::INTEGER AS k, iterations::INTEGER AS iterations, sample, signature, round(activity, 3) AS activity FROM acts JOIN stop USING (k) WHERE i = CASE
+SELECT k::INTEGER AS k, iterations::INTEGER AS iterations, sample, signature, round(activity, 6) AS activity FROM acts JOIN stop USING (k) WHERE i = CASE
  iterations WHEN 0 THEN {ROUNDS} ELSE iterations END"""
     return f"WITH {CATALOG_SQL}, {WH_SQL}, {', '.join(parts)}, {tail}"
 
@@ -50,7 +50,7 @@ def nmf_keyed(spark, d):
     f = B.factor(held, weights, [1, 2], channels, np.float64, 1, ROUNDS, 1, TOLERANCE)
     acts = B.activities(f, scale=False)
     rounds = F.when(F.col("k") == 1, f.iterations[1, 0]).otherwise(f.iterations[2, 0])
-    return acts.select("k", rounds.alias("iterations"), "sample", F.chr(65 + F.col("component")).alias("signature"), F.round("activity", 3).alias("activity"))
+    return acts.select("k", rounds.alias("iterations"), "sample", F.chr(65 + F.col("component")).alias("signature"), F.round("activity", 6).alias("activity"))
 
 
 EM_ROUNDS = 12

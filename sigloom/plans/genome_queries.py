@@ -106,7 +106,7 @@ y AS (SELECT *, v / sum(v) OVER (PARTITION BY sample) AS pv, q / sum(q) OVER (PA
 SELECT sample, sum(v)::BIGINT AS total_mutations, round(sum(v * q) / (sqrt(sum(v * v)) * sqrt(sum(q * q))), 3) AS cosine, round(sum(abs(v - q)), 3) AS l1,
  round(round(sum(abs(v - q)), 3) * 100 / sum(v), 3) AS l1_pct,
  round(sqrt(sum((v - q) * (v - q))), 3) AS l2, round(round(sqrt(sum((v - q) * (v - q))), 3) * 100 / sqrt(sum(v * v)), 3) AS l2_pct, round(sum(CASE WHEN v = 0
- THEN 0 ELSE pv * ln(pv / pq) END), 5) AS kl, round(corr(v, q), 3) AS correlation FROM y GROUP BY sample""")
+ THEN 0 ELSE pv * ln(pv / pq) END), 5) AS kl, round(corr(v, q), 3) + 0.0::DOUBLE AS correlation FROM y GROUP BY sample""")
 def similarity_sparse(spark, d):
     """Errors of a catalogue in which most cells are absent: they count as zeros."""
     return M.similarity_table(*_sparse(spark, d))
