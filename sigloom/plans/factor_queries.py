@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import matrix as M
 from ..operators import ordered as O
 from ..operators.matching import assign
+from ..operators.resample import resample
 from ..sources.shared import written
 from . import factor as B
 from .queries import CATALOG_SQL, WH_SQL, catalog, query, six, table
@@ -165,3 +166,32 @@ def matching(spark, d):
     dot = lambda x, y: F.sum(F.col(x) * F.col(y))
     costs = sums.agg((1 - dot("p", "q") / F.sqrt(dot("p", "p") * dot("q", "q"))).alias("cost"))
     return assign(costs, tolerance=1e-6).agg(F.count("*").alias("matched"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+REPLICATES = 40
+
+
+@query(f"""WITH {CATALOG_SQL}, t AS (SELECT sample, sum(cnt) AS total, count(*) AS cells FROM catalog GROUP BY 1)
+SELECT sample, total::BIGINT AS total, cells, {REPLICATES} AS replicates, total::BIGINT AS least, total::BIGINT AS greatest, 0::BIGINT AS new_cells, TRUE AS means_near, TRUE AS spread_near,
+ round(total - sum(cnt * cnt) / total, 4) AS variance FROM t JOIN catalog USING (sample) GROUP BY sample, total, cells""")
+def resample_totals(spark, d):
+    """Resamples of each sample by splitting: totals stay, no new cell comes in, means lie within six deviations, and the cells' variances add up to the expected sum.
+
+    variance is that expected sum; the sum over replicates may leave it by a quarter.
+    """
+    cells = catalog(spark, d).select("channel", "sample", "cnt")
+    drawn = written(resample(cells, REPLICATES, seed=13), "resampled")
+    by = drawn.groupBy("sample", "replicate").agg(F.sum("cnt").alias("n"))
+    kept = by.groupBy("sample").agg(F.count("*").cast("int").alias("replicates"), F.min("n").alias("least"), F.max("n").alias("greatest"))
+    moments = drawn.groupBy("channel", "sample").agg(F.sum("cnt").alias("sx"), F.sum(F.col("cnt") * F.col("cnt")).alias("sxx"))
+    both = cells.join(moments, ["channel", "sample"], "full")
+    total = cells.groupBy("sample").agg(F.sum("cnt").alias("total"))
+    x, p = F.col("cnt"), F.col("cnt") / F.col("total")
+    mean = F.coalesce("sx", F.lit(0)) / REPLICATES
+    expected = x * (1 - p)
+    squares = F.coalesce("sxx", F.lit(0)) - 2 * x * F.coalesce("sx", F.lit(0)) + REPLICATES * x * x
+    out = both.join(total, "sample").groupBy("sample", "total").agg(
+        F.count("cnt").alias("cells"), F.sum(F.col("cnt").isNull().cast("long")).alias("new_cells"),
+        F.min(F.abs(mean - x) <= 6 * F.sqrt(expected / REPLICATES)).alias("means_near"),
+        F.abs(F.sum(squares) / REPLICATES / F.sum(expected) - 1).alias("off"), F.round(F.sum(expected), 4).alias("variance"))
+    return out.join(kept, "sample").select("sample", "total", "cells", "replicates", "least", "greatest", "new_cells", "means_near", (F.col("off") < 0.25).alias("spread_near"), "variance")
