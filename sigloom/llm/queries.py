@@ -31,7 +31,7 @@ TOKENIZERS = os.environ.get("SIGLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents: all come, later copies of a text go, table bars leave the texts; two commits are repeated.
+    """Three batches over all documents: all come, later copies of a text go, table bars leave the texts; two commits are repeated, the second after the sums so far went into a snapshot.
 
     A null text is no copy of another one and has no tokens.
     """
@@ -55,8 +55,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("delete", R.deletes(counts.join(gone, "doc_id", "left_semi")))
     rollup.commit("revise", R.revisions(left, after))
     rollup.commit("delete", R.deletes(counts))
+    rollup.compact()
     rollup.commit("insert", R.inserts(counts))
-    return rollup.totals(["insert", "delete", "revise", "delete"])
+    return rollup.totals()
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 A batch holds signed changes: a document's count under a tokenizer version with
 +1 for an insert, -1 for a delete, and both for a revised count. Each batch is
-summed to (source, lang, version) and committed under its id as one directory,
-complete once Spark's ``_SUCCESS`` marker is there. Committing an id again
-changes nothing; a half-written one is replaced. Totals are the sum of the
-committed batches, so late and repeated batches need no recount.
+summed to (source, lang, version) and written under its id by each attempt to a
+directory of its own, complete once Spark's ``_SUCCESS`` marker is there. One
+complete attempt of an id counts, so committing an id again changes nothing, a
+half-written attempt is passed over, and two writers of one id at the same time
+neither overwrite nor double what is read. Totals are the sum of the committed
+batches, so late and repeated batches need no recount; a snapshot holds the sum
+of the batches before it, so that reading need not go back to the first batch.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import reduce
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -88,29 +93,78 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals kept under ``path``, any file system that Spark writes to."""
+    """Totals kept under ``path``, any file system that Spark writes to.
+
+    A batch id names one set of changes: whoever commits it, and how often, it
+    counts once. Nothing that was written is changed or deleted.
+    """
+
+    _TOTALS = "source string, lang string, version string, documents long, tokens long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _listed(self, path: str) -> list[str]:
+        """Names in a folder, in order; none where there is no folder."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _complete(self, path: str) -> bool:
+        return "_SUCCESS" in self._listed(path)
+
+    def _attempt(self, batch: str) -> str | None:
+        """The folder of the attempt that counts: the first complete one by name."""
+        home = f"{self.path}/batches/{quote(batch, safe='')}"
+        return next((f"{home}/{x}" for x in self._listed(home) if self._complete(f"{home}/{x}")), None)
+
+    def batches(self) -> list[str]:
+        """Ids of the committed batches."""
+        return [b for b in map(unquote, self._listed(f"{self.path}/batches")) if self.committed(b)]
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        return self._attempt(batch) is not None
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Whether the batch was new. ``changes(source, lang, version, sign, tokens)`` is summed before it is moved."""
         if self.committed(batch):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        summed.write.parquet(f"{self.path}/batches/{quote(batch, safe='')}/{uuid.uuid4().hex}")
         return True
 
-    def totals(self, batches: list[str]) -> DataFrame:
-        """source, lang, version, documents, tokens over the given batches that are committed; groups that fell to nothing go."""
-        kind = "source string, lang string, version string, documents long, tokens long"
-        done = [f"{self.path}/batch={b}" for b in dict.fromkeys(batches) if self.committed(b)]
-        rows = self.spark.read.schema(kind).parquet(*done) if done else self.spark.createDataFrame([], kind)
+    def _read(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(self._TOTALS).parquet(*folders) if folders else self.spark.createDataFrame([], self._TOTALS)
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
+
+    def _snapshot(self) -> tuple[list[str], set[str]]:
+        """The folder of the snapshot over most batches, and their ids; none where none is complete."""
+        homes = [f"{self.path}/snapshots/{x}" for x in self._listed(f"{self.path}/snapshots") if self._complete(f"{self.path}/snapshots/{x}/totals")]
+        held = [({r.batch for r in self.spark.read.schema("batch string").parquet(f"{h}/batches").collect()}, h) for h in homes]
+        covered, home = max(held, key=lambda x: (len(x[0]), x[1]), default=(set(), None))
+        return ([f"{home}/totals"] if home else []), covered
+
+    def _parts(self) -> tuple[list[str], set[str]]:
+        """The folders whose sum is the total of all committed batches, and those batches' ids."""
+        base, covered = self._snapshot()
+        rest = [b for b in self.batches() if b not in covered]
+        return base + [self._attempt(b) for b in rest], covered | set(rest)
+
+    def compact(self) -> bool:
+        """Write the sum of all batches committed so far as a snapshot; whether there was anything new to sum.
+
+        The ids are written before the totals, whose marker completes the snapshot.
+        """
+        folders, ids = self._parts()
+        if len(folders) < 2:
+            return False
+        home = f"{self.path}/snapshots/{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(b,) for b in sorted(ids)], "batch string").coalesce(1).write.parquet(f"{home}/batches")
+        self._read(folders).write.parquet(f"{home}/totals")
+        return True
+
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """source, lang, version, documents, tokens over all committed batches, or those of the given ids; groups that fell to nothing go."""
+        if batches is None:
+            return self._read(self._parts()[0])
+        return self._read([a for b in dict.fromkeys(batches) if (a := self._attempt(b))])

@@ -58,11 +58,36 @@ def test_rollup_is_idempotent(spark, tmp_path):
     r.commit("2", R.deletes(counts.where("doc_id = 2")))
     after = R.count_tokens(docs.where("doc_id = 1").withColumn("text", docs.text.substr(1, 1)), {"w": None})
     r.commit("3", R.revisions(counts.where("doc_id = 1"), after))
-    os.remove(tmp_path / "r" / "batch=2" / "_SUCCESS")
+    (marker,) = (tmp_path / "r" / "batches" / "2").glob("*/_SUCCESS")
+    os.remove(marker)
     assert r.commit("2", R.deletes(counts.where("doc_id = 2")))
     assert sorted(map(tuple, r.totals(["1", "2", "3", "2", "4"]).collect()), key=repr) == [("s", "en", "w", 2, 1), (None, "en", "w", 1, 0)]
 
 
+def test_rollup_snapshots_and_two_writers(spark, tmp_path):
+    counts = spark.createDataFrame([("s", "en", "w", 5), ("t", None, "w", 7), ("s", "en", "w", 1)], "source string, lang string, version string, tokens long")
+    r = R.Rollup(spark, str(tmp_path / "r"))
+    total = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    assert r.batches() == [] and not r.compact() and r.totals().count() == 0
+    r.commit("day/1 a", R.inserts(counts))
+    # another writer saw no commit and writes the same id
+    late = R.Rollup(spark, str(tmp_path / "r"))
+    late.committed = lambda batch: False
+    assert late.commit("day/1 a", R.inserts(counts))
+    assert r.batches() == ["day/1 a"] and total(r.totals()) == [("s", "en", "w", 2, 6), ("t", None, "w", 1, 7)]
+    r.commit("2", R.deletes(counts.where("source = 't'")))
+    assert r.compact() and not r.compact()
+    assert not r.commit("2", R.deletes(counts)) and total(r.totals()) == [("s", "en", "w", 2, 6)]
+    r.commit("3", R.inserts(counts.where("source = 't'")))
+    want = [("s", "en", "w", 2, 6), ("t", None, "w", 1, 7)]
+    assert total(r.totals()) == want == total(r.totals(["day/1 a", "2", "3"]))
+    # a snapshot that broke off before its totals stood is passed over
+    assert r.compact()
+    for marker in (tmp_path / "r" / "snapshots").glob("*/totals/_SUCCESS"):
+        os.remove(marker)
+    assert total(r.totals()) == want and r.compact() and total(r.totals()) == want
+
+
 def test_token_query(spark, sf):
     path = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
     if not os.path.exists(path):
