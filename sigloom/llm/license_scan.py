@@ -4,10 +4,12 @@ A document's shingles are cut into overlapping windows, twice as wide as some
 class of templates. Windows that hold no shingle of any template cannot match and
 are left out. The others get MinHash values; bands of one value each bring
 together windows and templates, so a window of Jaccard similarity s to a
-template is retrieved with probability ``1 - (1 - s) ** HASHES``. A template that
-lies whole in a window has more than a quarter of the window's shingles, so the
-probability is above 0.998 for each such window. Containment of the template's shingles in
-the window is then checked exactly.
+template is retrieved with probability ``1 - (1 - s) ** HASHES``. A window has
+fewer than four times the template's n shingles. One that holds the least share
+wanted, 0.8 n of them, is thus of a similarity above ``0.8 / 4.2``, so it is
+retrieved with a probability above 0.998; one that holds the whole template with
+0.9998. Most places lie in several windows. Containment of the template's
+shingles in the window is then checked exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 
-SHINGLE, HASHES, CONTAINED = 5, 24, 0.8
+SHINGLE, HASHES, CONTAINED = 5, 32, 0.8
 #: Cells of the table of template shingles.
 _BITS = 1 << 16
 

@@ -239,3 +239,19 @@ def test_licenses(spark, sf):
     assert len(got) == len(set(got)) and set(got) == brute_licenses(rows, t) and (9003, "GPL-3.0") in got
     assert license_scan.scan_licenses(df.limit(0)).count() == 0 and license_scan.scan_licenses(df, {"none": "?"}).count() == 0
     assert license_scan.scan_licenses(df, {}).count() == 0
+
+
+def test_license_windows_at_the_least_containment(spark):
+    """65 shingles, the length whose windows are widest against it; 52 of them are left in each of 400 texts."""
+    words = [f"t{i}" for i in range(69)]
+    rows = []
+    for d in range(400):
+        changed = list(words)
+        for at in (2, 10 + d % 20, 40 + d % 20):
+            changed[at] = f"x{d}"
+        before, after = ([f"{side}{d}w{i}" for i in range(n)] for side, n in (("a", d * 7 % 300), ("b", 200)))
+        rows.append((d, " ".join(before + changed + after)))
+        changed[30 + d % 2] = f"y{d}"  # one word more: under the share wanted
+        rows.append((1000 + d, " ".join(before + changed + after)))
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {"long": " ".join(words)}).collect()
+    assert {(r.doc_id, r.containment) for r in got} == {(d, 0.8) for d in range(400)}
