@@ -9,7 +9,7 @@ over the training tokens of the class, so unseen tokens have a share, too.
 
 Token counts cover all training texts and are one grouped sum. The model starts
 from a bounded sample on the driver; then every task goes on from there over
-windows of all training texts that it reads, and the tasks' parameters are
+every window of the training texts that it reads, and the tasks' parameters are
 averaged, weighted by windows. In scoring, frequent tokens are looked up in a
 bounded table and each rare one meets its count in one join.
 """
@@ -33,8 +33,8 @@ TOKENS, CLASSES, DIM, ORDER = 96, 416, 16, 3
 KNOWN = 1 << 18
 #: The starting sample: documents and windows; passes over it.
 SAMPLE_DOCS, SAMPLE_WINDOWS, PASSES = 4000, 400_000, 3
-#: Tasks train on one window of so many, in every text; windows of one step and noise units that they share.
-STRIDE, BATCH, NOISE, RATE = 16, 512, 64, 0.08
+#: Windows of one step and noise units that they share; the step's rate.
+BATCH, NOISE, RATE = 512, 64, 0.08
 #: The token after each text's last word.
 END = 1
 _U = np.uint64
@@ -72,6 +72,8 @@ class Model:
     noise: np.ndarray = field(default_factory=lambda: np.zeros(0))
     total: int = 0
     types: int = 0
+    #: Windows that the tasks trained on.
+    trained: int = 0
 
     @staticmethod
     def new(hashes: np.ndarray, counts: np.ndarray, of_class: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, seed: int = 11) -> Model:
@@ -159,35 +161,35 @@ class Trainer:
         self.log_noise = np.log(np.maximum(NOISE * model.noise, 1e-30)).astype(np.float32)
         self.cumulative = np.cumsum(model.noise)
 
-    def _add(self, k: int, rows, grad: np.ndarray) -> None:
-        """A step of parameter k; ``rows``: all, or the places whose gradients add up."""
+    def _add(self, k: int, grad: np.ndarray) -> None:
+        """A step of parameter k; where the gradient is 0 nothing moves."""
         p, s = self.m.parameters()[k], self.sums[k]
-        if rows is not None:
-            rows, inverse = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(rows), *p.shape[1:]), np.float32)
-            np.add.at(total, inverse.ravel(), grad)
-            s[rows] += total * total
-            p[rows] -= RATE * total / np.sqrt(s[rows])
-        else:
-            s += grad * grad
-            p -= RATE * grad / np.sqrt(s)
+        grad = grad.astype(np.float32)
+        s += grad * grad
+        p -= RATE * grad / np.sqrt(s)
+
+    def _by_unit(self, unit: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The sum of the rows of each unit."""
+        size = len(self.m.bias)
+        return np.bincount((unit[:, None] * DIM + np.arange(DIM)).ravel(), rows.ravel(), size * DIM).reshape(size, DIM)
 
     def step(self, before: np.ndarray, unit: np.ndarray) -> None:
         m, n = self.m, len(unit)
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), len(m.bias) - 1)
-        vectors = [m.context[before[:, j]] for j in range(ORDER)]
-        h = sum(v @ m.matrices[j] for j, v in enumerate(vectors))
-        own = (h * m.target[unit]).sum(1) + m.bias[unit] - self.log_noise[unit]
-        other = h @ m.target[noise].T + m.bias[noise] - self.log_noise[noise]
+        h, against, level = m.predicted(before), m.target[noise], m.bias - self.log_noise
+        own = np.einsum("ij,ij->i", h, m.target[unit]) + level[unit]
+        other = h @ against.T + level[noise]
         g_own = ((1 / (1 + np.exp(-own)) - 1) / n).astype(np.float32)
         g_other = (1 / (1 + np.exp(-other)) / n).astype(np.float32)
-        d_h = g_own[:, None] * m.target[unit] + g_other @ m.target[noise]
-        d_context = [d_h @ m.matrices[j].T for j in range(ORDER)]
-        d_matrices = np.stack([v.T @ d_h for v in vectors])
-        self._add(2, np.concatenate([unit, noise]), np.concatenate([g_own[:, None] * h, g_other.T @ h]))
-        self._add(3, np.concatenate([unit, noise]), np.concatenate([g_own, g_other.sum(0)]))
-        self._add(1, None, d_matrices)
-        self._add(0, before.T.ravel(), np.concatenate(d_context))
+        d_h = g_own[:, None] * m.target[unit] + g_other @ against
+        sums = [self._by_unit(before[:, j], d_h) for j in range(ORDER)]
+        d_context = sum(s @ m.matrices[j].T for j, s in enumerate(sums))
+        d_matrices = np.stack([m.context.T @ s for s in sums])
+        d_target = self._by_unit(unit, g_own[:, None] * h)
+        np.add.at(d_target, noise, g_other.T @ h)
+        d_bias = np.bincount(unit, g_own, len(m.bias)) + np.bincount(noise, g_other.sum(0), len(m.bias))
+        for k, grad in enumerate((d_context, d_matrices, d_target, d_bias)):
+            self._add(k, grad)
 
     def run(self, before: np.ndarray, unit: np.ndarray, passes: int = 1) -> None:
         for _ in range(passes):
@@ -251,18 +253,17 @@ def _sampler(shared, share: float):
     return run
 
 
-def _refiner(shared, stride: int):
-    """A task's own parameters after steps over its windows, times their number; and that number."""
+def _refiner(shared):
+    """A task's own parameters after steps over all its windows, times their number; and that number."""
 
     def run(batches):
         model, n = shared.value, 0
         model = Model(**{**model.__dict__, **{k: getattr(model, k).copy() for k in ("context", "matrices", "target", "bias")}})
-        seed = TaskContext.get().partitionId()
-        rng, trainer = np.random.default_rng((6, seed)), Trainer(model, seed)
+        trainer = Trainer(model, TaskContext.get().partitionId())
         for batch in batches:
             for _, _, words in chunks(batch.column(0), SPACED):
-                before, unit = _picked(model, words, 1 / stride, rng)
-                trainer.run(before, unit)
+                unit = model.look_up(with_ends(words, words.hash, _U(END)), with_ends(words, classes(words), 0))[0]
+                trainer.run(windows(unit, places(words), model.end), unit)
                 n += len(unit)
         if n:
             flat = np.concatenate([p.ravel() for p in model.parameters()]).astype(np.float64)
@@ -277,12 +278,13 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return materialise(found.groupBy("hash").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "tokens")
 
 
-def fit(docs: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """A model trained on ``docs``, and the counts of their tokens.
 
-    Counts and windows come from all texts; ``SAMPLE_DOCS`` and
-    ``SAMPLE_WINDOWS`` bound what the starting parameters are fitted on. Without
-    rows the model gives every unit its starting probability.
+    Every token of every text is counted and is the last of one window that is
+    trained on; ``SAMPLE_DOCS`` and ``SAMPLE_WINDOWS`` bound only what the
+    parameters that the tasks start from are fitted on. Without rows the model
+    gives every unit its starting probability.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -303,9 +305,10 @@ def fit(docs: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[
     rows = np.frombuffer(b"".join(r.windows for r in packed), np.int16).reshape(-1, ORDER + 1).astype(np.int32)
     Trainer(model, 7).run(rows[:, :ORDER], rows[:, ORDER], PASSES)
     shared = spark.sparkContext.broadcast(model)
-    sent = texts.mapInArrow(_refiner(shared, stride), "at int, value double, n long")
-    mean = sent.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
+    sent = texts.mapInArrow(_refiner(shared), "at int, value double, n long")
+    mean = sent.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value"), F.sum("n").alias("n")).toArrow()
     if mean.num_rows:
+        model.trained = mean.column("n")[0].as_py()
         flat = np.zeros(mean.num_rows)
         flat[mean.column("at").to_numpy()] = mean.column("value").to_numpy()
         for p in model.parameters():

@@ -86,3 +86,21 @@ def test_cases(spark):
     assert model.total == n and model.types == v
     assert got[3, "Wor"].n_known == 300_001 and got[3, "Wor"].base_score == pytest.approx(300_000 * math.log10(300_001 / (n + v + 1)) + math.log10(6 / (n + v + 1)))
     assert L.score(none, model, counts).count() == 0
+
+
+def test_every_window_is_trained_on(spark, monkeypatch):
+    """What a token follows counts at each of its places, and at those alone that the starting sample lacks."""
+    monkeypatch.setattr(L, "SAMPLE_WINDOWS", 1)
+    texts = ["a b c d e", None, "", "x", "long text " * 20_000, *(f"w{i} v{i} a" for i in range(3000))]
+    model, _ = _model(spark, texts)
+    assert model.trained == model.total == sum(len(tokens(t)) for t in texts)
+    before = np.array([[0] * L.ORDER] * 40 + [[1] * L.ORDER] * 24)
+    trainer, unit = L.Trainer(model, 1), np.repeat([2, 3, 4], [40, 12, 12])
+    rows = np.random.default_rng(2).normal(size=(64, L.DIM))
+    want = np.zeros((len(model.bias), L.DIM))
+    np.add.at(want, unit, rows)
+    assert np.allclose(trainer._by_unit(unit, rows), want)
+    for _ in range(300):
+        trainer.step(before, unit)
+    p = np.exp(model.log_probabilities(before[[0, -1]], np.array([2, 3])))
+    assert p[0] > 0.8 and p[1] > 0.3
