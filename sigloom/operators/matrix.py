@@ -64,8 +64,24 @@ def rescale(w: DataFrame, h: DataFrame) -> DataFrame:
 
 
 def multiply(w: DataFrame, h: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """W x H as a join and a grouped sum; ``by`` names columns that tell several solutions apart."""
-    return w.join(h, [*by, "signature"]).groupBy(*by, "channel", "sample").agg(F.sum(F.col("weight") * F.col("activity")).alias("est"))
+    """W x H: every sample meets every channel once; ``by`` names columns that tell several solutions apart.
+
+    The signatures are few, so neither a join nor a sum is dealt by them: the
+    channels' weights, channels x signatures numbers, go to every task, and the
+    samples are dealt to the tasks. A cell is made whole where it arises, and no
+    task holds cells. Cells without a signature that both sides have are left out.
+    """
+    tasks = 4 * h.sparkSession.sparkContext.defaultParallelism
+    names = lambda side, x: F.transform(F.array_sort(F.collect_list(F.struct("signature", F.col(x).cast("double").alias("x")))), lambda e: e[side])
+    arrays = lambda df, key, x, s: df.where("signature is not null").groupBy(*by, key).agg(names("signature", x).alias(f"{s}n"), names("x", x).alias(f"{s}x"))
+    channels = arrays(w, "channel", "weight", "w").withColumn("single", F.size(F.array_distinct("wn")) == F.size("wn"))
+    samples = arrays(h.repartition(tasks, *by, "sample"), "sample", "activity", "h")
+    both = samples.join(F.broadcast(channels), list(by)) if by else samples.crossJoin(F.broadcast(channels))
+    times = lambda a, b: a * b
+    mixed = F.transform("wn", lambda n, i: F.transform(F.filter(F.arrays_zip("hn", "hx"), lambda e: e["hn"] == n), lambda e: e["hx"] * F.get("wx", i)))
+    products = F.when(F.col("single") & (F.col("wn") == F.col("hn")), F.zip_with("wx", "hx", times)).otherwise(F.flatten(mixed))
+    est = F.aggregate("products", F.lit(None).cast("double"), lambda t, x: F.coalesce(t + x, t, x))
+    return both.select(*by, "channel", "sample", products.alias("products")).where(F.size("products") > 0).select(*by, "channel", "sample", est.alias("est"))
 
 
 def _ratio(catalog: DataFrame, w: DataFrame, h: DataFrame, beta: float, side: str) -> DataFrame:

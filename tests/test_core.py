@@ -193,3 +193,29 @@ def test_command_line(spark, tmp_path):
     assert cli.flag("N") is False
     with pytest.raises(SystemExit):
         cli.parser().parse_args([*args, "--resample", "maybe"])
+
+
+def test_product_is_not_dealt_by_signature(spark):
+    """Cells arise whole where the samples lie; signatures of one side, null and repeated ones, null factors and several solutions."""
+    w = [(k, f"c{i}", s, float(i + k) if i % 3 else None) for k in (1, 2) for i in range(12) for s in ("A", "B", "D")[: 1 + i % 3]] + [(1, "c1", "A", 7.0), (1, "c1", None, 5.0)]
+    h = [(k, f"s{j}", s, float(j * k)) for k in (1, 2, 3) for j in range(30) for s in ("A", "B", "C")[: 1 + j % 3]] + [(1, "s30", "C", 1.0), (1, "s1", "A", 2.0), (1, "s1", None, 5.0)]
+    want = {}
+    for k, c, s, x in w:
+        for k2, p, s2, y in h:
+            if k == k2 and s and s == s2:
+                old = want.get((k, c, p))
+                want[k, c, p] = old if x is None else x * y + (old or 0.0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wd, hd = spark.createDataFrame(w, "k int, channel string, signature string, weight double"), spark.createDataFrame(h, "k int, sample string, signature string, activity double")
+        est = M.multiply(wd, hd, ("k",))
+        one = M.multiply(wd.where("k = 2").drop("k"), hd.where("k = 2").drop("k"))
+        assert all("hashpartitioning(signature" not in d._jdf.queryExecution().toString() for d in (est, one))
+        assert "hashpartitioning(k" not in one._jdf.queryExecution().toString()
+        assert {(r.k, r.channel, r.sample): r.est for r in est.collect()} == want
+        assert {(2, r.channel, r.sample): r.est for r in one.collect()} == {k: v for k, v in want.items() if k[0] == 2}
+        held = one.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(held) > 2 and max(r["count"] for r in held) < 12 * 30 / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
