@@ -2,41 +2,46 @@
 
 A line is the set of its distinct words. Words are ordered by rarity, counted
 over all lines in a fixed number of hash cells, so the order is one and the same
-everywhere. Two sets of the wanted Jaccard similarity share a word among the
-rarest few of each (prefix filter); their sizes (length filter), the words'
-places (positional filter) and the parities of all words bound the overlap before
-whole sets are compared. Equal sets are one class.
+everywhere. What two sets do not share breaks few of the pairs of words that
+follow each other in that order, so two sets of the wanted Jaccard similarity
+share such a pair among the rarest of each (prefix filter). Few other lines share
+one. Sizes (length filter), places (positional filter) and the parities of all
+words bound the overlap before whole sets are compared. Equal sets are one class.
 
 A line goes if any earlier line is similar enough. Lines are first held against
-the earliest of some lines that are alike by a few minima, and only those that
-stay against all earlier ones, so that a group of near copies does not meet in
-all pairs. The first round decides nothing alone: it saves work in the second.
+the earliest line of each of their keys and the few lines before them in it, and
+only those that stay against all earlier ones, so that a group of near copies
+does not meet in all pairs: who has no similar line among many is rare in it, or
+stands early. A pair that the first round leaves out is tried in the second.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import forget, materialise, prune_by_bloom, settings
 
 CELLS = 1 << 16
 JACCARD = 0.8
-#: Prefix words are joined in so many passes, each over its share of the words, so that one pass's shuffle is bounded.
-PASSES = 4
-#: Lines of more words carry 128 parities of one kind, others 64 of each of two kinds.
+#: Keys are dealt in so many passes, each over its share of them, so that one pass's shuffle is bounded.
+PASSES = 2
+#: Lines of more words carry 64 parities of half of the words as well.
 LONG = 72
-X = ["x0", "x1"]
+#: The first round holds a line against so many lines before it in a key, and the earliest one.
+NEXT = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words, besides spaces; A-Z are folded before.
+_GAP = r"[\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F]"
 #: Letters beyond ASCII that lower() might change.
 _OTHER_CASE = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
 
 
 def _words(line: Column) -> Column:
-    """Words in order, folded A-Z only; "" may stand at either end. ``lower`` is the fast way where it changes A-Z alone."""
+    """Words in order, folded A-Z only; "" may stand anywhere. ``lower`` is the fast way where it changes A-Z alone."""
     folded = F.when((F.octet_length(line) == F.length(line)) | ~F.rlike(line, F.lit(_OTHER_CASE)), F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
-    return F.split(folded, _GAP)
+    #: Few gaps are more than a space, and a split at one character needs no regular expression.
+    return F.split(F.regexp_replace(folded, _GAP, " "), " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -55,80 +60,110 @@ def _cell(h: Column) -> Column:
 
 
 def _rarity(tokens: DataFrame) -> Column:
-    """By cell: four times the logarithm of its count, in the highest byte of a long; a literal of fixed size."""
+    """By cell: four times the logarithm of its count; a literal of fixed size and of small numbers, which the JVM keeps once."""
     cells = tokens.select(F.explode("t").alias("h")).groupBy(_cell(F.col("h")).alias("c")).count()
     count = {r.c: r["count"] for r in cells.select("c", F.least(F.lit(120), F.floor(4 * F.log2(F.col("count")))).alias("count")).collect()}
-    return F.split(F.lit(",".join(str(count.get(i, 0) << 56) for i in range(CELLS))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(count.get(i, 0)) for i in range(CELLS))), ",").cast("array<bigint>")
 
 
 def _sets(tokens: DataFrame, rarity: Column) -> DataFrame:
     """(d, l, t, s): s holds the words as numbers, rarest first."""
-    word = lambda h: F.get(rarity, _cell(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    #: Not null by its type, which lets Spark sort plain numbers.
+    word = lambda h: F.coalesce(F.shiftleft(F.get(rarity, _cell(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
     return tokens.select("d", "l", "t", F.sort_array(F.transform("t", word)).alias("s"))
 
 
-def _overlap(n1: Column, n2: Column, jaccard: float) -> Column:
-    return F.ceil(F.lit(jaccard / (1 + jaccard)) * (n1 + n2) - 1e-9)
+def _place(lines: DataFrame) -> Column:
+    """(d, l) as one number in the same order, from 0: a long where all of ``lines`` fit, else a decimal."""
+    low, high, last = lines.agg(F.min("d"), F.max("d"), F.max("l")).first()
+    if low is None:
+        return F.col("d")
+    if (high - low + 1) * (last + 1) < 1 << 63:
+        return (F.col("d") - F.lit(low)) * F.lit(last + 1).cast("long") + F.col("l")
+    d = F.col("d").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+    return (d * F.lit(last + 1).cast("decimal(11,0)") + F.col("l")).cast("decimal(38,0)")
 
 
-def _prefix(n: Column, share: float) -> Column:
-    """How many of the rarest words must be looked at if ``share`` of a set has to be shared."""
-    return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
+def _width(jaccard: float) -> int:
+    """Words of a key: two where similar lines are sure to share a pair of neighbours."""
+    return 2 if jaccard >= 0.7 else 1
 
 
-def _alike(a: str, b: str, jaccard: float) -> Column:
-    """Whether sizes and the parities of all words let two lines be similar enough; the test that most pairs fail comes first."""
-    most = F.lit((1 - jaccard) / (1 + jaccard)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
-    sizes = F.least(f"{a}n", f"{b}n") >= F.lit(jaccard) * F.greatest(f"{a}n", f"{b}n") - 1e-9
-    return (_apart(a, b) <= most) & sizes
-
-
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")))
+def _overlap(both: Column, jaccard: float) -> Column:
+    """Keys that two similar sets of ``both`` words in all share at least. A word of one set alone takes two of its pairs away, one of the other set one."""
+    words = F.ceil(F.lit(jaccard / (1 + jaccard)) * both - 1e-9)
+    return words if _width(jaccard) == 1 else 3 * words - both - 1
 
 
-def _still_alike(a: str, b: str, jaccard: float) -> Column:
-    """The same test by x1. Of a long line it has the parities of half of the words, where x0 has those of all; of another
-    one it has parities of all words by other cells, which two unlike words seldom share twice. A long line and another
-    one are not told apart."""
-    most = F.lit((1 - jaccard) / (1 + jaccard)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
-    x1 = F.col(f"{a}x1").bitwiseXOR(F.col(f"{b}x1"))
-    rest = F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0")).bitwiseXOR(x1)
-    short, long = F.greatest(f"{a}n", f"{b}n") <= LONG, F.least(f"{a}n", f"{b}n") > LONG
-    return F.when(short, F.bit_count(x1) <= most).when(long, F.bit_count(x1) + F.bit_count(rest) <= most).otherwise(F.lit(True))
+def _prefix(n: Column, jaccard: float) -> Column:
+    """How many of the rarest keys of a set must be looked at, whatever set is similar to it: the least one shares the least keys."""
+    share = jaccard / (1 + jaccard)
+    both = n + F.ceil(F.lit(jaccard) * n - 1e-9)
+    least = F.ceil(F.lit(share) * both - 1e-9) if _width(jaccard) == 1 else F.ceil(F.lit(3 * share - 1) * both - 1 - 1e-9)
+    return (n - (_width(jaccard) - 1) - least + 1).cast("int")
 
 
-def _placed(a: str, b: str, jaccard: float) -> Column:
-    """Whether two lines that share the word at places i (from 0) can share enough others after it."""
-    after = F.least(F.col(f"{a}n") - F.col(f"{a}i"), F.col(f"{b}n") - F.col(f"{b}i"))
-    return after >= _overlap(F.col(f"{a}n"), F.col(f"{b}n"), jaccard) - F.least(f"{a}i", f"{b}i")
+def _alike(a: str, b: str, jaccard: float) -> Column:
+    """Whether sizes, the parities of words and the places i (from 0) of a shared key, if it is their first one, let two
+    lines be similar enough; the test that most pairs fail comes first."""
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    most = F.lit((1 - jaccard) / (1 + jaccard)) * both + 1e-9
+    sizes = F.least(f"{a}n", f"{b}n") >= F.lit(jaccard) * F.greatest(f"{a}n", f"{b}n") - 1e-9
+    x0, x1 = (F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}")) for x in ("x0", "x1"))
+    halves = (F.least(f"{a}n", f"{b}n") <= LONG) | (F.bit_count(x1) + F.bit_count(x0.bitwiseXOR(x1)) <= most)
+    rest = F.least(F.col(f"{a}n") - F.col(f"{a}i"), F.col(f"{b}n") - F.col(f"{b}i")) - (_width(jaccard) - 1)
+    return (F.bit_count(x0) <= most) & sizes & (rest >= _overlap(both, jaccard)) & halves
 
 
 def _confirm(pairs: DataFrame, tokens: DataFrame, jaccard: float) -> DataFrame:
-    """The later lines (d, l) of ``pairs(d, l, bd, bl, q)`` that are similar.
-
-    Of each later line the pair of the least q is tried first, and the others only
-    where it fails. Whole sets move for the pairs' lines only.
-    """
-    place = F.xxhash64("d", "l").alias("k")
-    ends = materialise(pairs.select("d", "l").union(pairs.select("bd", "bl")).select(place).distinct(), "ends")
-    #: One key and a comparison, so that Spark builds its Bloom filter; a line whose place only shares the hash does no harm.
-    wanted = ends.where(F.col("k") >= F.lit(-(1 << 63)))
+    """The later lines k of ``pairs(k, bk)`` that are similar. Whole sets ``tokens(k, t)`` move for the pairs' lines only."""
+    ends = materialise(pairs.select("k").union(pairs.select("bk")).distinct(), "ends")
+    #: A comparison, so that Spark builds its Bloom filter; places begin at 0.
+    wanted = ends.where("k >= 0")
     with settings(tokens.sparkSession, {"spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}):
-        sets = materialise(tokens.withColumn("k", place).join(wanted, "k", "left_semi").drop("k"), "sets")
-
-    def similar(some: DataFrame) -> DataFrame:
-        both = some.join(sets.withColumnRenamed("t", "s"), ["d", "l"]).join(sets.select(F.col("d").alias("bd"), F.col("l").alias("bl"), "t"), ["bd", "bl"])
-        shared = F.size(F.array_intersect("s", "t"))
-        return materialise(both.where(shared >= F.lit(jaccard) * (F.size("s") + F.size("t") - shared) - 1e-9).select("d", "l").distinct(), "later")
-
-    best = pairs.groupBy("d", "l").agg(F.min_by(F.struct("bd", "bl"), F.struct("q", "bd", "bl")).alias("b")).select("d", "l", "b.*")
-    later = similar(best)
-    later = later.union(similar(pairs.join(later, ["d", "l"], "left_anti").select("d", "l", "bd", "bl")))
+        sets = materialise(tokens.join(wanted, "k", "left_semi"), "sets")
+    both = pairs.join(sets.withColumnRenamed("t", "s"), "k").join(sets.select(F.col("k").alias("bk"), "t"), "bk")
+    shared = F.size(F.array_intersect("s", "t"))
+    later = materialise(both.where(shared >= F.lit(jaccard) * (F.size("s") + F.size("t") - shared) - 1e-9).select("k").distinct(), "later")
     forget(ends, sets)
     return later
 
 
+def _later(classes: DataFrame, tokens: DataFrame, jaccard: float) -> DataFrame:
+    """(k) of the lines of ``classes(k, n, x0, x1, p)`` that an earlier one of them is similar to."""
+    #: A set that has no place for one more or one less word is similar to itself alone.
+    able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
+    words = [F.slice("p", i + 1, F.greatest(F.lit(0), F.size("p") - (_width(jaccard) - 1))).alias(f"w{i}") for i in range(_width(jaccard))]
+    keys = able.select("k", "n", "x0", "x1", F.posexplode(F.arrays_zip(*words)).alias("i", "w"))
+    keys = keys.select("k", "n", "x0", "x1", "i", F.xxhash64(*(F.col("w")[f"w{i}"] for i in range(_width(jaccard)))).alias("key"))
+    order = Window.partitionBy("key").orderBy("k")
+    whole, so_far = (order.rowsBetween(Window.unboundedPreceding, x) for x in (Window.unboundedFollowing, Window.currentRow))
+    row = F.struct("k", "n", "x0", "x1", "i")
+    met = None
+    for j in range(PASSES):
+        #: Most keys have one line; they go before anything else is done.
+        some = keys.where(F.pmod("key", F.lit(PASSES)) == j).select("*", F.count(F.lit(1)).over(whole).alias("c")).where("c > 1")
+        others = [F.first(row).over(so_far).alias("b0"), *(F.lag(row, x).over(order).alias(f"b{x}") for x in range(1, NEXT + 1))]
+        some = some.select("*", F.row_number().over(order).alias("r"), *others).where("r > 1")
+        alike = [F.when(_alike("", f"b{x}.", jaccard), F.col(f"b{x}.k")) for x in range(NEXT + 1)]
+        some = some.select("key", "k", "n", "x0", "x1", "i", "r", "c", F.array_compact(F.array(*alike)).alias("b"))
+        some = materialise(some.where((F.col("c") > NEXT + 2) | (F.size("b") > 0)), "met")
+        met = some if met is None else met.union(some)
+    pairs = materialise(met.select("k", F.explode("b").alias("bk")).distinct(), "pairs")
+    gone = _confirm(pairs, tokens, jaccard)
+    #: Lines found by now seek nothing more. A merge join at every size: what is moved grows with the table.
+    many = met.where(F.col("c") > NEXT + 2).drop("b", "c")
+    seek = many.where(F.col("r") > NEXT + 2).join(gone.hint("merge"), "k", "left_anti")
+    #: Two near copies share many keys; they meet at the first.
+    own = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seek, many = (x.withColumn("keys", F.collect_list("key").over(own)) for x in (seek, many))
+    once = F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("a.key")
+    before = F.col("b.r") < F.col("a.r") - NEXT
+    pairs = seek.alias("a").join(many.alias("b"), (F.col("a.key") == F.col("b.key")) & before & _alike("a.", "b.", jaccard) & once)
+    pairs = materialise(pairs.select("a.k", F.col("b.k").alias("bk")).distinct(), "pairs")
+    return gone.union(_confirm(pairs, tokens, jaccard))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float = JACCARD) -> DataFrame:
     """(id_col, line, removed): a row per line of each document, lines numbered from 0.
 
@@ -142,62 +177,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prune_by_bloom(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), F.col(text_col).alias("text"))
     #: A word comes often: its number in a dictionary of one file is a third of its hash.
-    tokens = materialise(_tokens(_lines(docs)), "tokens", {"parquet.dictionary.page.size": str(16 << 20)})
+    often = {"parquet.dictionary.page.size": str(16 << 20)}
+    tokens = materialise(_tokens(_lines(docs)), "tokens", often)
+    place = _place(tokens).alias("k")
     n = F.size("s")
     #: Parities of the words in each of 64 cells: two sets' parities differ in no more cells than the sets in words.
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda s, cell=lambda w: w: F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(cell(w))))
-    half = parity(F.filter("s", lambda w: w.bitwiseAND(F.lit(64)) == 0))
-    x1 = F.when(n > LONG, half).otherwise(parity("s", lambda w: F.shiftrightunsigned(w, 6)))
-    prefix = F.transform(F.slice("s", 1, F.greatest(F.lit(0), _prefix(n, jaccard))), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+    half = F.when(n > LONG, parity(F.filter("s", lambda w: w.bitwiseAND(F.lit(64)) == 0))).otherwise(F.lit(0).cast("long"))
+    rarest = F.slice("s", 1, F.greatest(F.lit(0), _prefix(n, jaccard) + (_width(jaccard) - 1)))
+    prefix = F.transform(rarest, lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     told = _sets(tokens, _rarity(tokens)).select(
-        "d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"),
-        F.hash(F.array_min("t"), F.array_max("t")).alias("ends"), parity("s").alias("x0"), x1.alias("x1"), prefix.alias("p"),
+        "d", "l", n.alias("n"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), parity("s").alias("x0"), half.alias("x1"), prefix.alias("p")
     )
-    told = materialise(told, "lines")
-    first = told.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("d", "l", "n", "ends", *X, "p")).alias("m"))
-    classes = materialise(first.select("h1", "h2", "m.*"), "classes")
-    #: A set that has no place for one more or one less word is similar to itself alone.
-    able = classes.where(F.col("n") >= F.lit(jaccard) * (F.col("n") + 1) - 1e-9)
-    #: A set and one no smaller share a word of this shorter prefix of the smaller one, too.
-    short = lambda size: _prefix(size, 2 * jaccard / (1 + jaccard))
-    #: Near copies mostly agree in the least and greatest hash of all words, or in the least or greatest one of the prefix.
-    keys = F.array_distinct(F.array("ends", F.array_min("p"), F.array_max("p"), F.col("p")[0], F.element_at("p", -1)))
-    alike = able.select("d", "l", "n", "x0", F.explode(keys).alias("key"))
-    #: The earliest line of each key: partial minima meet, and a row a key joins back, so no task holds a hot key's lines.
-    first = alike.groupBy("key").agg(F.min(F.struct("d", "l", "n", "x0")).alias("b"), F.count("*").alias("c")).where("c > 1")
-    first = materialise(first.select("key", *(F.col("b")[c].alias(f"b{c}") for c in ("d", "l", "n", "x0"))), "first")
-    lead = alike.join(first, "key")
-    lead = lead.where(((F.col("bd") != F.col("d")) | (F.col("bl") != F.col("l"))) & _alike("", "b", jaccard))
-    lead = lead.select("d", "l", "bd", "bl", (_apart("", "b") / (F.col("n") + F.col("bn"))).alias("q"))
-    gone = _confirm(materialise(lead.distinct(), "pairs"), tokens, jaccard)
-    forget(first)
-    #: Lines found by the first round seek nothing more. A merge join at every size: what is moved grows with the table.
-    found = gone.withColumn("found", F.lit(True)).hint("merge")
-    seeks = able.join(found, ["d", "l"], "left").withColumn("found", F.coalesce("found", F.lit(False))).select("d", "l", "n", "found", *X, "p")
-    seeks = materialise(seeks, "seeks")
-    #: The smaller line's short prefix meets the other's whole one; of two lines of one size the earlier one counts as the smaller.
-    later = (F.col("b.d") > F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") > F.col("a.l")))
-    earlier = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.l") < F.col("a.l")))
-    sought = F.when(later, ~F.col("b.found")).otherwise(earlier & (F.col("a.n") < F.col("b.n")) & ~F.col("a.found"))
-    test = _alike("a.", "b.", jaccard) & (F.col("a.n") <= F.col("b.n")) & _placed("a.", "b.", jaccard) & _still_alike("a.", "b.", jaccard) & sought
-    last, first = (F.when(later, F.struct(f"{x}.d", f"{x}.l")).otherwise(F.struct(f"{y}.d", f"{y}.l")) for x, y in ("ba", "ab"))
-    pair = [last["d"].alias("d"), last["l"].alias("l"), first["d"].alias("bd"), first["l"].alias("bl")]
-    pair.append((_apart("a.", "b.") / (F.col("a.n") + F.col("b.n"))).alias("q"))
-    pairs = None
-    for k in range(PASSES):
-        posts = seeks.select("d", "l", "n", "found", *X, F.posexplode("p").alias("i", "key")).where(F.pmod("key", F.lit(PASSES)) == k)
-        small = seeks.select("d", "l", "n", "found", *X, F.posexplode(F.slice("p", 1, short(F.col("n")))).alias("i", "key"))
-        small = small.where(F.pmod("key", F.lit(PASSES)) == k)
-        met = small.alias("a").join(posts.alias("b"), F.col("a.key") == F.col("b.key")).where(test).select(*pair).distinct()
-        met = materialise(met, "pairs")
-        pairs = met if pairs is None else pairs.union(met)
-    gone = gone.union(_confirm(pairs.distinct(), tokens, jaccard))
-    forget(tokens, seeks)
-    late = gone.select("d", "l", F.lit(True).alias("late")).hint("merge")
-    fate = classes.select("h1", "h2", F.col("d").alias("fd"), F.col("l").alias("fl")).join(late.select(F.col("d").alias("fd"), F.col("l").alias("fl"), "late"), ["fd", "fl"], "left")
-    out = told.select("d", "l", "h1", "h2").join(fate, ["h1", "h2"], "left")
-    removed = F.coalesce(F.col("late"), F.lit(False)) | F.coalesce((F.col("d") != F.col("fd")) | (F.col("l") != F.col("fl")), F.lit(False))
+    told = materialise(told, "lines", often)
+    #: All but the place follows from the set.
+    classes = told.where("n > 0").groupBy("h1", "h2", "n", "x0", "x1", "p").agg(F.min(place).alias("k"))
+    classes = materialise(classes, "classes", often)
+    late = _later(classes, tokens.select(place, "t"), jaccard).select("k", F.lit(True).alias("late")).hint("merge")
+    forget(tokens)
+    fate = classes.select("h1", "h2", "k").join(late, "k", "left").select("h1", "h2", F.col("k").alias("first"), "late")
+    out = told.select("d", "l", place, "h1", "h2").join(fate, ["h1", "h2"], "left")
+    removed = F.coalesce(F.col("late"), F.lit(False)) | F.coalesce(F.col("k") != F.col("first"), F.lit(False))
     return out.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias(id_col), F.col("l").alias("line"), removed.alias("removed"))
 
 

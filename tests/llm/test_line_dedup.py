@@ -1,6 +1,9 @@
+import random
 import re
 
+from sigloom.llm import line_dedup
 from sigloom.llm.line_dedup import dedup_lines, repeated_lines
+from sigloom.llm.storage import materialise
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -47,3 +50,32 @@ def test_null_and_shared_ids(spark):
     got = sorted(map(tuple, repeated_lines(df).collect()), key=repr)
     # null ids stand first, as one document; its lines at place 0 differ, the equal one at place 1 goes; equal lines of id 1 share one fate
     assert got == sorted([(None, 0, False), (None, 0, False), (None, 1, True), (1, 0, True), (1, 0, True), (2, 0, False)], key=repr)
+
+
+def test_thresholds_and_sizes(spark):
+    """Keys of two words and of one, long lines, sizes at the filters' bounds."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(rng.choice((3, 5, 9, 20, 60, 150)))] + [f"c{rng.randrange(5)}" for _ in range(3)]
+        for i in range(12):
+            some = [w for w in base if rng.random() > 0.12] + [f"n{rng.randrange(9)}" for _ in range(rng.randrange(1 + len(base) // 6))]
+            rows.append((100 * i + g, rng.choice((" ", ", ", "-")).join(rng.sample(some, len(some)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for jaccard in (0.55, 0.7, 0.8, 0.95):
+        assert result(repeated_lines(df, jaccard=jaccard)) == brute(rows, jaccard)
+
+
+def test_ids_far_apart(spark):
+    rows = [(-(1 << 62), "a b c d e"), (0, "x y\na b c d e f"), ((1 << 63) - 1, "f e d c b a\nz")]
+    assert result(repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_hot_group_meets_in_few_pairs(spark, monkeypatch):
+    """Near copies, most of them similar to some line before them: pairs tried stay far under the square, no pair twice."""
+    rng, tried = random.Random(3), []
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.06 else f"x{rng.randrange(10**6)}" for w in base)) for i in range(400)]
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name="step", options=None: tried.append(out.count()) or out if (out := materialise(df, name, options)) is not None and name == "pairs" else out)
+    assert result(repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(tried) < 400 * 400 / 8
