@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sigloom.llm import line_dedup
 from sigloom.llm.line_dedup import dedup_lines, repeated_lines
 from sigloom.llm.storage import materialise
@@ -79,3 +81,16 @@ def test_hot_group_meets_in_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "materialise", lambda df, name="step", options=None: tried.append(out.count()) or out if (out := materialise(df, name, options)) is not None and name == "pairs" else out)
     assert result(repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
     assert sum(tried) < 400 * 400 / 8
+
+
+def test_small_keys_are_done_in_the_first_round(spark, monkeypatch):
+    """Lines of one common pair of rare words, otherwise unlike: no row of a key of few lines goes on to the second round."""
+    rows = [(10 * g + i, f"g{g}a g{g}b " + " ".join(f"u{g}x{i}y{j}" for j in range(4))) for g in range(30) for i in range(9)]
+    rows += [(1000 + i, " ".join(f"common{j}" for j in range(8)) + f" v{i}") for i in range(9)]
+    met = []
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name="step", options=None: met.append(out.where("size(b) = 0").count()) or out if (out := materialise(df, name, options)) is not None and name == "met" else out)
+    # all words are as rare as each other, so that each group's pair may be a key
+    monkeypatch.setattr(line_dedup, "_rarity", lambda tokens: F.array_repeat(F.lit(0).cast("long"), line_dedup.CELLS))
+    monkeypatch.setattr(line_dedup, "_prefix", lambda n, jaccard: n - 1)
+    assert result(repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(met) == 0
